@@ -52,12 +52,14 @@ def _out(level: DataFrame, k: int) -> DataFrame:
                         "first_type", "first_outgoing", F.lit(k).alias("distance"))
 
 
-def _first_level(seeds: DataFrame, adj: DataFrame, seed_ids: list[int] | None) -> DataFrame:
+def _first_level(seeds: DataFrame, adj: DataFrame, seed_ids: list[int] | None,
+                 small: bool) -> DataFrame:
     if seed_ids is not None:
         # A literal id list lets the scan skip row groups of a sorted
         # adjacency table (Parquet min/max statistics).
         adj = adj.where(F.col("a").isin(seed_ids))
-    return (adj.join(F.broadcast(seeds.select(F.col("memory_id").alias("a"))), "a")
+    s = seeds.select(F.col("memory_id").alias("a"))
+    return (adj.join(F.broadcast(s) if small else s, "a")
             .select(F.col("a").alias("memory_id"), F.col("b").alias("node"),
                     F.col("edge_id").alias("first_edge"), F.col("type").alias("first_type"),
                     F.col("outgoing").alias("first_outgoing"), F.array("edge_id").alias("path")))
@@ -75,10 +77,13 @@ def _next_level(frontier: DataFrame, adj: DataFrame, small: bool) -> DataFrame:
 
 
 def expand(seeds: DataFrame, adj: DataFrame, depth: int, seed_ids: list[int] | None = None,
-           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+           seeds_small: bool | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """All trails of length 1..depth from each seed (``seeds.memory_id``).
 
-    ``seeds`` must be small (a search's top-k, at most the limit cap).
+    ``seeds`` must hold distinct ids. Pass ``seeds_small=True`` when their
+    number has a known small bound (a search's top-k, at most the limit
+    cap); otherwise they are counted and broadcast only under
+    ``broadcast_rows``.
     Returns distinct ``(memory_id, related_id, first_edge, first_type,
     first_outgoing, distance)`` (type and direction belong to the first
     edge, so they do not change distinctness).
@@ -89,7 +94,9 @@ def expand(seeds: DataFrame, adj: DataFrame, depth: int, seed_ids: list[int] | N
     spark = seeds.sparkSession
     if depth <= 0:
         return spark.createDataFrame([], RESULT_DDL)
-    level = _first_level(seeds, adj, seed_ids)
+    if seeds_small is None:
+        seeds_small = seed_ids is not None or seeds.count() <= broadcast_rows
+    level = _first_level(seeds, adj, seed_ids, seeds_small)
     outs = [_out(level, 1)]
     for k in range(2, depth + 1):
         if (k - 1) % CHECKPOINT_EVERY == 0:

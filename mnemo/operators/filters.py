@@ -8,7 +8,6 @@ the narrow ``search_text`` column.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -111,13 +110,12 @@ def phrase_search_all_props(nodes: DataFrame, query: str, label: str | None = No
     return nodes.where(all_of(text, lab))
 
 
-def recent_memories(nodes: DataFrame, asof: datetime, days: int = 7) -> DataFrame:
-    """Created within ``days`` before ``asof`` (exclusive), newest first."""
-    if asof.tzinfo is None:
-        asof = asof.replace(tzinfo=timezone.utc)
-    start = (asof - timedelta(days=days)).astimezone(timezone.utc).replace(tzinfo=None)
+def recent_memories(nodes: DataFrame, asof: str, days: int = 7) -> DataFrame:
+    """Created less than ``days`` before ``asof`` (an ISO-8601 text, a job
+    parameter so results are reproducible), newest first."""
+    start = F.to_timestamp(F.lit(asof)) - F.make_interval(days=F.lit(days))
     ts = F.to_timestamp("created_at")
-    return (nodes.where(ts > F.lit(start))
+    return (nodes.where(ts > start)
             .select("memory_id", "first_label", "created_at")
             .orderBy(F.col("created_at").desc_nulls_first(), "memory_id"))
 

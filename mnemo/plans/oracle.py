@@ -12,7 +12,7 @@ K = 1_000_000_000_000
 
 def jsnum(x: str) -> str:
     """JavaScript number text (same rule as ``js_number_text``)."""
-    return (f"CASE WHEN {x} IS NULL THEN NULL ELSE regexp_replace(CAST(CAST(CAST({x} AS DOUBLE) "
+    return (f"CASE WHEN {x} IS NULL THEN NULL ELSE regexp_replace(CAST(CAST(CAST(CAST({x} AS DOUBLE) "
             f"AS VARCHAR) AS DECIMAL(38,18)) AS VARCHAR), '\\.?0+$', '') END")
 
 

@@ -70,7 +70,7 @@ def attach_connections(seeds: DataFrame, adj: DataFrame, depth: int,
     """Flat search result: one row per (seed, connection); a seed without
     connections (or ``depth <= 0``) keeps one row with null connection
     columns."""
-    conns = expand(seeds.select("memory_id"), adj, depth, seed_ids)
+    conns = expand(seeds.select("memory_id"), adj, depth, seed_ids, seeds_small=True)
     # seeds holds at most the limit cap (200) rows
     return F.broadcast(seeds).join(conns, "memory_id", "left").select(*FLAT_COLUMNS)
 
