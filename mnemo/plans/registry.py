@@ -349,3 +349,7 @@ def q_distinct_labels(spark, sf):
 @register("relationship_type_counts", "SELECT type, CAST(count(*) AS BIGINT) AS count FROM edges GROUP BY type")
 def q_relationship_type_counts(spark, sf):
     return stats.relationship_type_counts(g(spark, sf).edges)
+
+
+# Further registrations live in their own modules.
+from mnemo.plans import change_queries  # noqa: E402,F401
