@@ -432,3 +432,56 @@ def q_topk_mixed_types_desc(spark, sf):
     return search_memories(graph, query="Customer#0000001", label="customer", order_by="rank DESC",
                            limit=200, depth=0)
 
+
+
+# ------------------------------------------------------------------ bulk search
+
+def _bulk_requests(spark, sf):
+    t = lambda n: _t(spark, sf, n)
+    s = lambda c: F.lit(c)
+    ev = t("events").select("event_type").distinct().select(
+        F.concat(s("event:"), "event_type").alias("req_key"), F.col("event_type").alias("query"),
+        s("event").alias("label"), F.lit(None).cast("string").alias("since_date"), s(5).alias("limit"))
+    br = t("part").select("p_brand").distinct().select(
+        F.concat(s("brand:"), "p_brand").alias("req_key"), F.col("p_brand").alias("query"),
+        s("part").alias("label"), F.lit(None).cast("string").alias("since_date"), s(3).alias("limit"))
+    sg = t("customer").select("c_mktsegment").distinct().select(
+        F.concat(s("segment:"), "c_mktsegment").alias("req_key"), F.lower("c_mktsegment").alias("query"),
+        s("customer").alias("label"), F.lit(None).cast("string").alias("since_date"), s(4).alias("limit"))
+    pr = t("orders").select("o_orderpriority").distinct().select(
+        F.concat(s("priority:"), "o_orderpriority").alias("req_key"),
+        F.substring_index("o_orderpriority", "-", -1).alias("query"), s("order").alias("label"),
+        s("2000-01-01").alias("since_date"), s(10).alias("limit"))
+    rg = t("region").select(
+        F.concat(s("any:"), "r_name").alias("req_key"), F.col("r_name").alias("query"),
+        F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("since_date"), s(7).alias("limit"))
+    al = t("region").limit(1).select(s("nations").alias("req_key"), s("").alias("query"), s("nation").alias("label"),
+                                     F.lit(None).cast("string").alias("since_date"), s(30).alias("limit"))
+    return ev.unionByName(br).unionByName(sg).unionByName(pr).unionByName(rg).unionByName(al)
+
+
+BULK_SQL = """
+, req AS (SELECT DISTINCT 'event:' || event_type AS req_key, event_type AS query, 'event' AS label,
+                 CAST(NULL AS VARCHAR) AS since, 5 AS lim FROM events
+          UNION ALL SELECT DISTINCT 'brand:' || p_brand, p_brand, 'part', NULL, 3 FROM part
+          UNION ALL SELECT DISTINCT 'segment:' || c_mktsegment, lower(c_mktsegment), 'customer', NULL, 4 FROM customer
+          UNION ALL SELECT DISTINCT 'priority:' || o_orderpriority, split_part(o_orderpriority, '-', 2), 'order',
+                 '2000-01-01', 10 FROM orders
+          UNION ALL SELECT 'any:' || r_name, r_name, NULL, NULL, 7 FROM region
+          UNION ALL SELECT 'nations', '', 'nation', NULL, 30),
+rw AS (SELECT req_key, unnest(string_split(lower(trim(query)), ' ')) AS w FROM req WHERE trim(query) <> ''),
+hits AS (SELECT DISTINCT r.req_key, n.memory_id, n.created_at, r.lim FROM req r JOIN nodes n
+           ON (r.label IS NULL OR n.first_label = r.label) AND (r.since IS NULL OR n.created_at >= r.since)
+         WHERE trim(r.query) = '' OR EXISTS (SELECT 1 FROM rw WHERE rw.req_key = r.req_key
+                                             AND contains(n.search_text, rw.w))),
+ranked AS (SELECT req_key, memory_id, lim, row_number() OVER (PARTITION BY req_key
+           ORDER BY created_at DESC NULLS FIRST, memory_id) AS rank FROM hits)
+SELECT req_key, memory_id, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= lim"""
+
+
+@register("bulk_search", BULK_SQL)
+def q_bulk_search(spark, sf):
+    """About a hundred searches derived from the data (per event type,
+    brand, market segment, priority, region, and one match-all) in one job."""
+    from mnemo.plans.bulk import bulk_search
+    return bulk_search(g(spark, sf).nodes, _bulk_requests(spark, sf))
