@@ -485,3 +485,150 @@ def q_bulk_search(spark, sf):
     brand, market segment, priority, region, and one match-all) in one job."""
     from mnemo.plans.bulk import bulk_search
     return bulk_search(g(spark, sf).nodes, _bulk_requests(spark, sf))
+
+
+# ------------------------------------------------------------------ request log, replay, streaming
+
+def _log_lines(spark, sf):
+    from functools import reduce as _reduce
+
+    from mnemo.sources.testlog import log_blocks
+    return _reduce(lambda a, b: a.unionByName(b), log_blocks(spark, sf, NOW))
+
+
+def _graph_counts(graph):
+    e = graph.edges.groupBy(F.col("type").alias("name")).agg(F.count(F.lit(1)).alias("count")) \
+        .select(F.lit("edge").alias("kind"), "name", "count")
+    n = graph.nodes.agg(F.count(F.lit(1)).alias("count")).select(F.lit("node").alias("kind"),
+                                                                 F.lit("*").alias("name"), "count")
+    return e.unionByName(n)
+
+
+B = 10 ** 12
+LOG_KEYS_SQL = f"""
+, urgent AS (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT'),
+pk AS (SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)"""
+
+VALIDATE_SQL = LOG_KEYS_SQL + f"""
+, v AS (
+  SELECT {B} + o_orderkey AS seq, 'create_memory' AS name FROM urgent
+  UNION ALL SELECT {2 * B} + o_orderkey, 'create_connection' FROM urgent
+  UNION ALL SELECT {3 * B} + c_custkey, 'update_memory' FROM customer WHERE c_acctbal < 0
+  UNION ALL SELECT {4 * B} + c_custkey, 'delete_memory' FROM customer WHERE c_acctbal > 9890
+  UNION ALL SELECT {5 * B} + l_orderkey * 100000 + l_partkey, 'delete_connection' FROM pk
+  UNION ALL SELECT {6 * B} + l_orderkey * 100000 + l_partkey, 'create_connection' FROM pk
+  UNION ALL SELECT {7 * B} + l_orderkey * 100000 + l_partkey, 'update_connection' FROM pk
+  UNION ALL SELECT {8 * B} + o_orderkey, 'delete_memory' FROM urgent WHERE o_orderstatus = 'F'
+  UNION ALL SELECT {9 * B} + o_orderkey, 'create_connection' FROM urgent WHERE o_orderstatus = 'F'
+  UNION ALL SELECT {10 * B} + n_nationkey * 2, 'update_memory' FROM nation
+  UNION ALL SELECT {10 * B} + n_nationkey * 2 + 1, 'delete_memory' FROM nation
+  UNION ALL SELECT {11 * B} + r_regionkey * 10 + 3, 'search_memories' FROM region
+  UNION ALL SELECT {11 * B} + r_regionkey * 10 + 4, 'list_memory_labels' FROM region)"""
+
+
+@register("validate_requests", VALIDATE_SQL + f"""
+SELECT seq, name, TRUE AS valid, CAST(NULL AS VARCHAR) AS reason FROM v
+UNION ALL SELECT {11 * B} + r_regionkey * 10, 'forget_memory', FALSE, 'Unknown tool: forget_memory' FROM region
+UNION ALL SELECT {11 * B} + r_regionkey * 10 + 1, 'create_memory', FALSE, 'Invalid create_memory arguments' FROM region
+UNION ALL SELECT {11 * B} + r_regionkey * 10 + 2, 'update_memory', FALSE, 'property values must be scalars or arrays'
+          FROM region
+UNION ALL SELECT NULL, NULL, FALSE, 'Invalid JSON' FROM region""")
+def q_validate_requests(spark, sf):
+    """Every call of the derived log with its validity and the reason."""
+    from mnemo.sources.requests import parse_log_lines, validate_requests
+    return validate_requests(parse_log_lines(_log_lines(spark, sf))).select("seq", "name", "valid", "reason")
+
+
+@register("load_request_log")
+def q_load_request_log(spark, sf):
+    """The derived log written as JSON-lines files, read back."""
+    from mnemo.sources.requests import read_request_log
+    from mnemo.sources.snapshot import scratch_path
+    from mnemo.sources.testlog import write_log
+    path = write_log(spark, sf, scratch_path(spark, "request-log"), NOW, one_file_per_block=False)
+    return read_request_log(spark, f"{path}/*").select("seq", "name")
+
+
+REPLAY_COUNTS_SQL = LOG_KEYS_SQL + f"""
+, gone AS (SELECT CAST({3 * K} AS BIGINT) + c_custkey AS id FROM customer WHERE c_acctbal > 9890),
+pairs AS (SELECT CAST({6 * K} AS BIGINT) + l_orderkey AS src, CAST({5 * K} AS BIGINT) + l_partkey AS dst FROM pk),
+e2 AS (SELECT type FROM edges e WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)
+         AND NOT (type = 'CONTAINS' AND EXISTS (SELECT 1 FROM pairs p WHERE p.src = e.src AND p.dst = e.dst))
+       UNION ALL SELECT 'CONTAINS' FROM pk
+       UNION ALL SELECT 'ABOUT' FROM urgent WHERE o_orderstatus <> 'F'),
+n2 AS (SELECT memory_id FROM nodes WHERE memory_id NOT IN (SELECT id FROM gone)
+       UNION ALL SELECT o_orderkey FROM urgent WHERE o_orderstatus <> 'F')
+SELECT 'edge' AS kind, type AS name, CAST(count(*) AS BIGINT) AS count FROM e2 GROUP BY type
+UNION ALL SELECT 'node', '*', CAST(count(*) AS BIGINT) FROM n2"""
+
+
+@register("replay_log", REPLAY_COUNTS_SQL)
+def q_replay_log(spark, sf):
+    """R2: the derived log replayed onto the derived graph: remaining
+    nodes and connections per type."""
+    from mnemo.sources.requests import parse_log_lines
+    from mnemo.streaming.replay import replay_log
+    change, _ = replay_log(g(spark, sf), parse_log_lines(_log_lines(spark, sf)), NOW)
+    return _graph_counts(change.graph)
+
+
+@register("replay_results", LOG_KEYS_SQL + f"""
+SELECT {B} + o_orderkey AS seq, 'create_memory' AS op, 'created' AS status, CAST(NULL AS BIGINT) AS deletedCount,
+       CAST(NULL AS BIGINT) AS n_matched FROM urgent
+UNION ALL SELECT {2 * B} + o_orderkey, 'create_connection', 'created', NULL, NULL FROM urgent
+UNION ALL SELECT {3 * B} + c_custkey, 'update_memory', 'applied', NULL, NULL FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT {4 * B} + c_custkey, 'delete_memory', 'applied', 1, NULL FROM customer WHERE c_acctbal > 9890
+UNION ALL SELECT {5 * B} + l_orderkey * 100000 + l_partkey, 'delete_connection', 'applied', n, NULL FROM pk
+UNION ALL SELECT {6 * B} + l_orderkey * 100000 + l_partkey, 'create_connection', 'created', NULL, NULL FROM pk
+UNION ALL SELECT {7 * B} + l_orderkey * 100000 + l_partkey, 'update_connection', 'applied', NULL, 1 FROM pk
+UNION ALL SELECT {8 * B} + o_orderkey, 'delete_memory', 'applied', 1, NULL FROM urgent WHERE o_orderstatus = 'F'
+UNION ALL SELECT {9 * B} + o_orderkey, 'create_connection', 'no_match', NULL, NULL FROM urgent
+          WHERE o_orderstatus = 'F'
+UNION ALL SELECT {10 * B} + n_nationkey * 2, 'update_memory', 'no_match', NULL, NULL FROM nation
+UNION ALL SELECT {10 * B} + n_nationkey * 2 + 1, 'delete_memory', 'applied', 0, NULL FROM nation""")
+def q_replay_results(spark, sf):
+    """R2: one result per valid change call of the derived log."""
+    from mnemo.sources.requests import parse_log_lines
+    from mnemo.streaming.replay import replay_log
+    change, _ = replay_log(g(spark, sf), parse_log_lines(_log_lines(spark, sf)), NOW)
+    return change.result
+
+
+@register("replay_props", f"""
+SELECT CAST({3 * K} AS BIGINT) + c_custkey AS memory_id,
+       lower(concat_ws(chr(10), {jsnum('c_acctbal')}, c_name, 'gold')) AS search_text
+FROM customer WHERE c_acctbal < 0""")
+def q_replay_props(spark, sf):
+    """R2: debtors after the replay: tier set, market segment removed."""
+    from mnemo.sources.requests import parse_log_lines
+    from mnemo.streaming.replay import replay_log
+    change, _ = replay_log(g(spark, sf), parse_log_lines(_log_lines(spark, sf)), NOW)
+    return change.graph.nodes.where(F.array_contains("labels", "debtor") & (F.col("first_label") == "customer")) \
+        .select("memory_id", "search_text")
+
+
+@register("stream_replay", REPLAY_COUNTS_SQL)
+def q_stream_replay(spark, sf):
+    """The same log as a growing folder of files, replayed by
+    Structured Streaming in several micro-batches, one snapshot per batch;
+    the last snapshot equals the batch replay."""
+    from mnemo.sources.snapshot import read_graph, scratch_path, write_graph
+    from mnemo.sources.testlog import write_log
+    from mnemo.streaming.replay import stream_replay
+    base = scratch_path(spark, "stream-replay")
+    write_graph(g(spark, sf), f"{base}/snapshot0")
+    write_log(spark, sf, f"{base}/log", NOW, one_file_per_block=False)
+    last = stream_replay(spark, f"{base}/log", f"{base}/snapshot0", f"{base}/snapshots", NOW,
+                         checkpoint=f"{base}/_checkpoint", max_files_per_trigger=16)
+    return _graph_counts(read_graph(spark, f"{base}/snapshots/batch={last}"))
+
+
+@register("search_result_json")
+def q_search_result_json(spark, sf):
+    """The flagship search in the reference's nested reply shape, one
+    JSON document per memory."""
+    from mnemo.plans.search import nest_result
+    from mnemo.sources.snapshot import to_json_lines
+    graph = g(spark, sf)
+    flat = search_memories(graph, query="urgent high", label="order", since_date="1998-01-01", limit=10, depth=1)
+    return to_json_lines(nest_result(flat, graph, depth=1))
