@@ -79,6 +79,9 @@ def edge_row(edge_id: Column, src: Column, dst: Column, type_: Column, props: Co
 class Graph:
     nodes: DataFrame
     edges: DataFrame
+    # both directions of every edge, stored sorted by node id in snapshots
+    # (see mnemo.operators.expand.adjacency); derived from edges when absent
+    adj: DataFrame | None = None
 
     def register(self, prefix: str = "") -> "Graph":
         """Expose the tables to ``spark.sql`` as ``nodes`` and ``edges``."""

@@ -89,7 +89,13 @@ def search_memories(graph: Graph, query: str | None = None, label: str | None =
     spec = parse_order_by(order_by)
     cands = search_candidates(graph.nodes, query, label, since_date)
     seeds, ids = select_seeds(cands, spec, k, collect=collect_seeds)
-    return attach_connections(seeds, adj if adj is not None else adjacency(graph.edges), d, ids)
+    return attach_connections(seeds, _adj(graph, adj), d, ids)
+
+
+def _adj(graph: Graph, adj: DataFrame | None) -> DataFrame:
+    if adj is not None:
+        return adj
+    return graph.adj if graph.adj is not None else adjacency(graph.edges)
 
 
 def recall(graph: Graph, query: str, type_: str | None = None, depth: int | None = None,
@@ -103,7 +109,7 @@ def recall(graph: Graph, query: str, type_: str | None = None, depth: int | None
     spec = parse_order_by(order_by, strict=True, legacy=True)
     cands = phrase_search_all_props(graph.nodes, query, type_)
     seeds, ids = select_seeds(cands, spec, k, collect=collect_seeds)
-    return attach_connections(seeds, adj if adj is not None else adjacency(graph.edges), d, ids)
+    return attach_connections(seeds, _adj(graph, adj), d, ids)
 
 
 def nest_result(flat: DataFrame, graph: Graph, depth: int = 1) -> DataFrame:

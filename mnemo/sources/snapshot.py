@@ -18,20 +18,40 @@ from mnemo.model import EDGE_COLUMNS, NODE_COLUMNS, Graph
 from mnemo.session import checkpoint_dir
 
 
-def write_graph(graph: Graph, path: str, mode: str = "overwrite") -> str:
+def write_graph(graph: Graph, path: str, mode: str = "overwrite", with_adjacency: bool = True) -> str:
+    """Write nodes, edges and (by default) the adjacency table.
+
+    The adjacency table is range-partitioned and sorted on the node id, so
+    each file and row group covers a narrow id range and a lookup of a few
+    hundred seeds reads only the row groups whose min/max include them.
+    """
+    from mnemo.operators.expand import ADJ_COLUMNS, adjacency
+
     (graph.nodes.select(*NODE_COLUMNS)
      .sortWithinPartitions("first_label", "memory_id")
      .write.mode(mode).partitionBy("first_label").parquet(f"{path}/nodes"))
     (graph.edges.select(*EDGE_COLUMNS)
      .sortWithinPartitions("src")
      .write.mode(mode).parquet(f"{path}/edges"))
+    if with_adjacency:
+        adj = adjacency(graph.edges)
+        n = int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # range bounds on (a, edge_id): a hub node can still span several files
+        (adj.select(*ADJ_COLUMNS).repartitionByRange(n, "a", "edge_id").sortWithinPartitions("a", "edge_id")
+         .write.mode(mode).parquet(f"{path}/adjacency"))
     return path
 
 
 def read_graph(spark: SparkSession, path: str) -> Graph:
+    from mnemo.operators.expand import ADJ_COLUMNS
+
     nodes = spark.read.parquet(f"{path}/nodes").select(*NODE_COLUMNS)
     edges = spark.read.parquet(f"{path}/edges").select(*EDGE_COLUMNS)
-    return Graph(nodes, edges)
+    try:
+        adj = spark.read.parquet(f"{path}/adjacency").select(*ADJ_COLUMNS)
+    except Exception:  # noqa: BLE001 -- snapshot written without adjacency
+        adj = None
+    return Graph(nodes, edges, adj)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
