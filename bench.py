@@ -52,7 +52,8 @@ def main() -> None:
     deletes = materialize(spark, read_table(spark, SF_DIR, "customer").where(F.col("c_acctbal") > 9890).select(
         F.col("c_custkey").alias("req_id"), (F.lit(3 * K) + F.col("c_custkey")).alias("memory_id")),
         "bench-deletes")
-    log = materialize(spark, _log_lines(spark, SF_DIR), "bench-log")  # JSON text lines
+    # the log as its producer would store it: JSON lines in evenly sized files
+    log = materialize(spark, _log_lines(spark, SF_DIR).repartition(int(CPUS) * 2), "bench-log")
 
     def write_change(change, name):
         write_graph(change.graph, scratch_path(spark, name), with_adjacency=False)
