@@ -77,7 +77,8 @@ def _next_level(frontier: DataFrame, adj: DataFrame, small: bool) -> DataFrame:
 
 
 def expand(seeds: DataFrame, adj: DataFrame, depth: int, seed_ids: list[int] | None = None,
-           seeds_small: bool | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+           seeds_small: bool | None = None, broadcast_rows: int = BROADCAST_ROWS,
+           first_level: list | None = None) -> DataFrame:
     """All trails of length 1..depth from each seed (``seeds.memory_id``).
 
     ``seeds`` must hold distinct ids. Pass ``seeds_small=True`` when their
@@ -90,6 +91,8 @@ def expand(seeds: DataFrame, adj: DataFrame, depth: int, seed_ids: list[int] | N
     Frontier levels are persisted while the plan is built; executor loss
     recomputes them from the (short) lineage, and expansions deeper than
     ``CHECKPOINT_EVERY`` levels cut lineage through the checkpoint folder.
+    When ``first_level`` is a list, the level-1 trails (persisted when
+    deeper levels follow) are appended to it for reuse by the caller.
     """
     spark = seeds.sparkSession
     if depth <= 0:
@@ -98,6 +101,7 @@ def expand(seeds: DataFrame, adj: DataFrame, depth: int, seed_ids: list[int] | N
         seeds_small = seed_ids is not None or seeds.count() <= broadcast_rows
     level = _first_level(seeds, adj, seed_ids, seeds_small)
     outs = [_out(level, 1)]
+    first = level
     for k in range(2, depth + 1):
         if (k - 1) % CHECKPOINT_EVERY == 0:
             level = level.checkpoint(eager=True)
@@ -106,8 +110,12 @@ def expand(seeds: DataFrame, adj: DataFrame, depth: int, seed_ids: list[int] | N
         n = level.count()
         if n == 0:
             break
+        if k == 2:
+            first = level
         level = _next_level(level, adj, small=n <= broadcast_rows)
         outs.append(_out(level, k))
+    if first_level is not None:
+        first_level.append(first)
     result = reduce(DataFrame.unionByName, outs)
     # Length-1 trails are distinct by construction (one per edge and
     # direction); longer ones can repeat on (end node, first edge).

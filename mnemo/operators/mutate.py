@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.functions.values import PROPS_DDL, is_falsy, props_map, pv_string
@@ -93,9 +93,12 @@ def _node_ids(nodes: DataFrame, alias: str) -> DataFrame:
 
 
 def _first_per_key(requests: DataFrame, keys: list[str]) -> DataFrame:
-    """Flag the first request (lowest ``req_id``) per target key."""
-    w = Window.partitionBy(*keys).orderBy("req_id")
-    return requests.withColumn("first_of_key", F.row_number().over(w) == 1)
+    """Flag the first request (lowest ``req_id``) per target key. A min
+    aggregate (partial, map-side) and a join instead of a window, so a key
+    named by a huge share of the requests never lands in one task."""
+    first = requests.groupBy(*keys).agg(F.min("req_id").alias("first_req"))
+    return (requests.join(first, keys, "left")
+            .withColumn("first_of_key", F.col("req_id") == F.col("first_req")).drop("first_req"))
 
 
 # ------------------------------------------------------------------ creates

@@ -91,6 +91,20 @@ def q_create_connections(spark, sf):
     return ch.result.join(keys, "edge_id", "left").select("req_id", "edge_id", "status", "prop_keys")
 
 
+@register("create_connection_defaults", f"""
+SELECT CAST({12 * K} AS BIGINT) + o_orderkey AS edge_id,
+       CASE WHEN o_orderpriority = '1-URGENT' THEN '{NOW}' END AS created_at,
+       CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE o_orderpriority END AS priority
+FROM orders WHERE o_orderstatus <> 'P'""")
+def q_create_connection_defaults(spark, sf):
+    """Created connections: ``{created_at: now}`` only where no properties
+    were given; given properties get no timestamp."""
+    ch = mutate.create_connections(g(spark, sf), _connection_requests(spark, sf), NOW)
+    p = F.col("props")
+    return ch.graph.edges.where(F.col("type") == "ORDERED").select(
+        "edge_id", p["created_at"]["text"].alias("created_at"), p["priority"]["text"].alias("priority"))
+
+
 @register("resolve_endpoints", f"""
 SELECT o_orderkey AS req_id, CAST({3 * K} AS BIGINT) + o_custkey AS from_id, CAST({6 * K} AS BIGINT) + o_orderkey AS to_id
 FROM orders WHERE o_orderstatus <> 'P'""")

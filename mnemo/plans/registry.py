@@ -231,6 +231,12 @@ def q_tokenize_query(spark, sf):
                        F.posexplode(tokenize_col("text")).alias("pos", "word"))
 
 
+@register("search_empty", search_sql("first_label = 'order' AND " + words_sql(["zzqx"]), 10, 1))
+def q_search_empty(spark, sf):
+    """No candidate: the result is empty (no expansion runs)."""
+    return search_memories(g(spark, sf), query="zzqx", label="order", limit=10, depth=1)
+
+
 @register("search_match_all", search_sql("first_label = 'event'", 200, 0))
 def q_search_match_all(spark, sf):
     """A blank query keeps every event; newest 200."""

@@ -70,9 +70,21 @@ def attach_connections(seeds: DataFrame, adj: DataFrame, depth: int,
     """Flat search result: one row per (seed, connection); a seed without
     connections (or ``depth <= 0``) keeps one row with null connection
     columns."""
-    conns = expand(seeds.select("memory_id"), adj, depth, seed_ids, seeds_small=True)
-    # seeds holds at most the limit cap (200) rows
-    return F.broadcast(seeds).join(conns, "memory_id", "left").select(*FLAT_COLUMNS)
+    lv1: list = []
+    conns = expand(seeds.select("memory_id"), adj, depth, seed_ids, seeds_small=True, first_level=lv1)
+    # ``seeds`` and the ids of seeds having connections hold at most the
+    # limit cap (200) rows each, so both joins broadcast them and the
+    # connections are never shuffled (an outer join would have to shuffle
+    # them, since the preserved side of a broadcast join cannot be built).
+    # a seed has connections iff it has a trail of length 1
+    found = lv1[0].select("memory_id").distinct() if lv1 else conns.select("memory_id").distinct()
+    linked = conns.join(F.broadcast(seeds), "memory_id")
+    lonely = seeds.join(F.broadcast(found), "memory_id", "left_anti")
+    return linked.select(*FLAT_COLUMNS).unionByName(
+        lonely.select("memory_id", "seed_rank", "created_at",
+                      *[F.lit(None).cast(t).alias(c) for c, t in
+                        (("related_id", "bigint"), ("first_edge", "bigint"), ("first_type", "string"),
+                         ("first_outgoing", "boolean"), ("distance", "int"))]).select(*FLAT_COLUMNS))
 
 
 def search_memories(graph: Graph, query: str | None = None, label: str | None = None,
