@@ -11,7 +11,7 @@ from mnemo.functions.values import PROPS_DDL, pv_array, pv_boolean, pv_number, p
 from mnemo.operators import audit, mutate
 from mnemo.plans.oracle import iso as iso_sql
 from mnemo.plans.oracle import jsnum
-from mnemo.plans.registry import g, register, search_sql
+from mnemo.plans.registry import g, register, search_sql, trails_sql
 from mnemo.plans.search import search_memories
 from mnemo.sources.testgraph import K, contains_line_number, iso, read_table
 
@@ -553,7 +553,12 @@ def q_validate_requests(spark, sf):
     return validate_requests(parse_log_lines(_log_lines(spark, sf))).select("seq", "name", "valid", "reason")
 
 
-@register("load_request_log")
+@register("load_request_log", VALIDATE_SQL + f"""
+SELECT seq, name FROM v
+UNION ALL SELECT {11 * B} + r_regionkey * 10, 'forget_memory' FROM region
+UNION ALL SELECT {11 * B} + r_regionkey * 10 + 1, 'create_memory' FROM region
+UNION ALL SELECT {11 * B} + r_regionkey * 10 + 2, 'update_memory' FROM region
+UNION ALL SELECT NULL, NULL FROM region""")
 def q_load_request_log(spark, sf):
     """The derived log written as JSON-lines files, read back."""
     from mnemo.sources.requests import read_request_log
@@ -646,3 +651,24 @@ def q_search_result_json(spark, sf):
     graph = g(spark, sf)
     flat = search_memories(graph, query="urgent high", label="order", since_date="1998-01-01", limit=10, depth=1)
     return to_json_lines(nest_result(flat, graph, depth=1))
+
+
+@register("bulk_search_expand", BULK_SQL.replace(
+    "SELECT req_key, memory_id, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= lim",
+    "") + """, hits2 AS (SELECT req_key, memory_id, CAST(rank AS INTEGER) AS rank,
+    CASE WHEN req_key = 'nations' THEN 0 WHEN req_key LIKE 'priority:%' THEN 2 ELSE 1 END AS d
+    FROM ranked WHERE rank <= lim)""".replace("\n", "\n") + trails_sql(2, "(SELECT DISTINCT memory_id FROM hits2)") + """
+, linked AS (SELECT h.req_key, h.memory_id, h.rank, c.related_id, c.first_edge, c.first_type, c.first_outgoing,
+             c.distance FROM hits2 h JOIN conns c ON c.memory_id = h.memory_id AND c.distance <= h.d)
+SELECT * FROM linked
+UNION ALL SELECT h.req_key, h.memory_id, h.rank, NULL, NULL, NULL, NULL, NULL FROM hits2 h
+WHERE NOT EXISTS (SELECT 1 FROM linked l WHERE l.req_key = h.req_key AND l.memory_id = h.memory_id)""")
+def q_bulk_search_expand(spark, sf):
+    """The bulk searches with expansion: depth 2 for the priority
+    searches, 0 for the match-all, 1 (default) for the rest."""
+    from mnemo.operators.expand import adjacency
+    from mnemo.plans.bulk import bulk_search_expand
+    graph = g(spark, sf)
+    reqs = _bulk_requests(spark, sf).withColumn("depth", F.when(F.col("req_key") == "nations", 0)
+                                                 .when(F.col("req_key").startswith("priority:"), 2))
+    return bulk_search_expand(graph.nodes, adjacency(graph.edges), reqs)
