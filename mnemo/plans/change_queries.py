@@ -646,11 +646,10 @@ def q_stream_replay(spark, sf):
 def q_search_result_json(spark, sf):
     """The flagship search in the reference's nested reply shape, one
     JSON document per memory."""
-    from mnemo.plans.search import nest_result
-    from mnemo.sources.snapshot import to_json_lines
+    from mnemo.plans.search import reply_json
     graph = g(spark, sf)
     flat = search_memories(graph, query="urgent high", label="order", since_date="1998-01-01", limit=10, depth=1)
-    return to_json_lines(nest_result(flat, graph, depth=1))
+    return reply_json(flat, graph, depth=1)
 
 
 @register("bulk_search_expand", BULK_SQL.replace(

@@ -172,3 +172,37 @@ def nest_result(flat: DataFrame, graph: Graph, depth: int = 1) -> DataFrame:
         conns = F.filter(conns, lambda x: F.lit(False))
     entries = entries.select("memory_id", conns.alias("connections"))
     return seed_rows.join(entries, "memory_id", "left").orderBy("seed_rank")
+
+
+def reply_json(flat: DataFrame, graph: Graph, depth: int = 1) -> DataFrame:
+    """The reference's reply, one JSON document per memory (in seed order):
+    ``{"memory": {...props, "_id", "_labels"}, "connections": [{"memory":
+    {...}, "relationship": {...props, "_id", "_type"}, "distance": d}]}``.
+    Connections are listed by distance, related id, first edge; a memory
+    without connections gets one entry of nulls, ``depth <= 0`` gives [].
+    As with :func:`nest_result`, one document holds all of a memory's
+    connections: for bounded interactive replies.
+    """
+    from mnemo.sources.snapshot import connection_json, memory_json
+
+    nodes = graph.nodes.select("memory_id", "labels", "props")
+    seeds = (flat.select("memory_id", "seed_rank").distinct().join(nodes, "memory_id")
+             .select("memory_id", "seed_rank", memory_json("memory_id", "labels", "props").alias("m")))
+    rel = nodes.select(F.col("memory_id").alias("related_id"),
+                       memory_json("memory_id", "labels", "props").alias("rm"))
+    edges = graph.edges.select(F.col("edge_id").alias("first_edge"),
+                               connection_json("edge_id", "type", "props").alias("rj"))
+    entry = F.concat(F.lit('{"memory":'), F.coalesce("rm", F.lit("null")), F.lit(',"relationship":'),
+                     F.coalesce("rj", F.lit("null")), F.lit(',"distance":'),
+                     F.coalesce(F.col("distance").cast("string"), F.lit("null")), F.lit("}"))
+    conns = (flat.select("memory_id", "related_id", "first_edge", "distance")
+             .join(rel, "related_id", "left").join(edges, "first_edge", "left")
+             .groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct(
+                 "distance", "related_id", "first_edge", entry.alias("j")))).alias("c")))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("c", lambda x: x["j"]), ","), F.lit("]"))
+    if depth <= 0:
+        listed = F.lit("[]")
+    return (seeds.join(conns, "memory_id", "left")
+            .select("seed_rank", F.concat(F.lit('{"memory":'), F.col("m"), F.lit(',"connections":'),
+                                          listed, F.lit("}")).alias("json"))
+            .orderBy("seed_rank").select("json"))

@@ -75,3 +75,44 @@ def to_json_lines(df: DataFrame) -> DataFrame:
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
+
+
+def _json_string(s) -> F.Column:
+    """A string as a JSON string literal (quoted and escaped)."""
+    j = F.to_json(F.array(s))
+    return j.substr(F.lit(2), F.length(j) - 2)
+
+
+def pv_json(pv) -> F.Column:
+    """A property value as ``JSON.stringify`` prints it: strings quoted,
+    numbers in JavaScript text (NaN/Infinity become null), booleans, arrays
+    of their items."""
+    pv = F.col(pv) if isinstance(pv, str) else pv
+    return (F.when(pv["kind"] == "string", _json_string(pv["text"]))
+            .when((pv["kind"] == "number") & (F.isnan(pv["num"]) | (F.abs(pv["num"]) == float("inf"))),
+                  F.lit("null"))
+            .when(pv["kind"].isin("number", "boolean"), pv["text"])
+            .when(pv["kind"] == "array", F.to_json(pv["items"]))
+            .otherwise(F.lit("null")))
+
+
+def object_json(props, extra: list[tuple[str, F.Column]]) -> F.Column:
+    """``{...props, <extra keys>}`` as JSON text; an extra key replaces a
+    property of the same name (the reference spreads properties first)."""
+    props = F.col(props) if isinstance(props, str) else props
+    names = [k for k, _ in extra]
+    kept = F.filter(F.map_entries(props), lambda e: ~e["key"].isin(*names))
+    parts = F.transform(kept, lambda e: F.concat(_json_string(e["key"]), F.lit(":"), pv_json(e["value"])))
+    extras = [F.concat(F.lit(f'"{k}":'), v) for k, v in extra]
+    return F.concat(F.lit("{"), F.array_join(F.concat(parts, F.array(*extras)), ","), F.lit("}"))
+
+
+def memory_json(memory_id, labels, props) -> F.Column:
+    return object_json(props, [("_id", F.col(memory_id).cast("string") if isinstance(memory_id, str)
+                                else memory_id.cast("string")),
+                               ("_labels", F.to_json(F.col(labels) if isinstance(labels, str) else labels))])
+
+
+def connection_json(edge_id, type_, props) -> F.Column:
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    return object_json(props, [("_id", c(edge_id).cast("string")), ("_type", _json_string(c(type_)))])
