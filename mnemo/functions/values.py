@@ -98,6 +98,11 @@ def props_map(*pairs: tuple[str, Column]) -> Column:
     return F.map_filter(F.create_map(*flat), lambda k, v: v.isNotNull())
 
 
+def null_pv() -> Column:
+    """A typed null property value (in an update: remove the key)."""
+    return F.lit(None).cast(PV_DDL)
+
+
 def empty_props() -> Column:
     return F.create_map().cast(PROPS_DDL)
 

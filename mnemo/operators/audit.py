@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemo.functions.values import pv_string
+from mnemo.functions.values import empty_props, null_pv, pv_string
 from mnemo.model import EDGE_COLUMNS, NODE_COLUMNS, Graph, edge_row, node_row
-from mnemo.operators.mutate import _assign_ids, apply_node_props, merge_props
+from mnemo.operators.mutate import _assign_ids, apply_node_props
 
 
 def audit_label_case(nodes: DataFrame) -> DataFrame:
@@ -85,10 +85,8 @@ def promote_property(graph: Graph, key: str, holder_label: str, new_label: str,
              .withColumn("edge_id", F.lit(None).cast("bigint")))
     links = _assign_ids(links, graph.edges, "edge_id", "promoted-links")
     new_edges = links.select(*edge_row(F.col("edge_id"), F.col("src"), F.col("dst"), F.lit(edge_type),
-                                       F.create_map().cast("map<string,struct<kind:string,text:string,"
-                                                           "num:double,items:array<string>>>")))
-    removal = holders.select("memory_id", F.create_map(F.lit(key), F.lit(None).cast(
-        "struct<kind:string,text:string,num:double,items:array<string>>")).alias("new_props"))
+                                       empty_props()))
+    removal = holders.select("memory_id", F.create_map(F.lit(key), null_pv()).alias("new_props"))
     nodes = apply_node_props(graph.nodes, removal).unionByName(new_nodes.select(*NODE_COLUMNS))
     return Graph(nodes, graph.edges.unionByName(new_edges.select(*EDGE_COLUMNS)))
 
@@ -98,12 +96,10 @@ def migrate_property(graph: Graph, src_key: str = "content", dst_key: str = "nam
     value to ``dst_key`` (legacy ``content`` -> ``name``)."""
     props = F.col("props")
     todo = (graph.nodes.where(props[src_key].isNotNull() & props[dst_key].isNull())
-            .select("memory_id", F.create_map(F.lit(src_key), F.lit(None).cast(
-                "struct<kind:string,text:string,num:double,items:array<string>>"),
-                F.lit(dst_key), props[src_key]).alias("new_props")))
+            .select("memory_id", F.create_map(F.lit(src_key), null_pv(), F.lit(dst_key), props[src_key])
+                    .alias("new_props")))
     return Graph(apply_node_props(graph.nodes, todo), graph.edges)
 
 
 __all__ = ["audit_label_case", "audit_type_case", "audit_isolated", "audit_duplicate_names",
-           "audit_missing_name", "connection_patterns", "promote_property", "migrate_property",
-           "merge_props"]
+           "audit_missing_name", "connection_patterns", "promote_property", "migrate_property"]

@@ -24,8 +24,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemo.model import EDGE_COLUMNS  # noqa: F401  (documents the input)
-
 BROADCAST_ROWS = 1_000_000
 # Levels between lineage cuts of long expansions (each cut writes the
 # frontier to the shared checkpoint folder).

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.functions.text import any_word_matches, is_blank_query, tokenize
-from mnemo.functions.values import js_number_text
 
 
 def label_pred(label: str | None) -> Column | None:
@@ -139,5 +138,5 @@ def stringify_properties(nodes: DataFrame) -> DataFrame:
 __all__ = [
     "label_pred", "since_pred", "text_pred", "all_of", "search_candidates", "nodes_with_label",
     "nodes_by_id", "edges_by_key", "phrase_search", "phrase_search_all_props", "recent_memories",
-    "project_memory", "stringify_properties", "js_number_text",
+    "project_memory", "stringify_properties",
 ]

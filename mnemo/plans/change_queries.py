@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemo.functions.values import PROPS_DDL, pv_array, pv_boolean, pv_number, pv_string, props_map
+from mnemo.functions.values import PROPS_DDL, null_pv, pv_array, pv_boolean, pv_number, pv_string, props_map
 from mnemo.operators import audit, mutate
 from mnemo.plans.oracle import iso as iso_sql
 from mnemo.plans.oracle import jsnum
@@ -19,10 +19,6 @@ from mnemo.sources.testgraph import K, contains_line_number, iso, read_table
 NOW = "2026-01-01T00:00:00.000Z"
 
 
-def null_pv():
-    return F.lit(None).cast("struct<kind:string,text:string,num:double,items:array<string>>")
-
-
 def _t(spark, sf, name):
     return read_table(spark, sf, name)
 
