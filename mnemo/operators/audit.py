@@ -30,8 +30,10 @@ def audit_type_case(edges: DataFrame) -> DataFrame:
 
 def audit_isolated(graph: Graph) -> DataFrame:
     """Memories with no connection in either direction."""
+    # distinct with a partial (map-side) step: a hub's many edges leave each
+    # task as one row
     ends = graph.edges.select(F.col("src").alias("memory_id")).unionByName(
-        graph.edges.select(F.col("dst").alias("memory_id")))
+        graph.edges.select(F.col("dst").alias("memory_id"))).distinct()
     return graph.nodes.select("memory_id", "first_label").join(ends, "memory_id", "left_anti")
 
 

@@ -17,8 +17,12 @@ removes the key):
 
 Joins against the node table are written as inner joins on the unique
 ``memory_id`` (not as semi-joins) so that the planner may build the hash
-table from the request side when it is the small one; sizes are left to
-adaptive execution, since request tables may be as large as the graph.
+table from the request side when it is the small one. The request-side
+tables that meet the whole node or edge table are written to the shared
+folder first (``materialize``): the planner then sees their real size and
+broadcasts them when small, instead of shuffling the graph to meet a
+table whose size it could only guess; large request tables still get a
+shuffle join.
 """
 
 from __future__ import annotations
@@ -160,7 +164,8 @@ def update_memories(graph: Graph, requests: DataFrame) -> Change:
     req = _first_per_key(requests, ["memory_id"])
     dup_ids = req.where(~F.col("first_of_key")).select("memory_id").distinct()
     good = req.where("first_of_key").join(dup_ids, "memory_id", "left_anti")
-    hit = good.join(_node_ids(graph.nodes, "memory_id"), "memory_id")
+    hit = materialize(requests.sparkSession, good.join(_node_ids(graph.nodes, "memory_id"), "memory_id"),
+                      "update-hits")
     upd = hit.select("memory_id", F.col("props").alias("new_props"))
     nodes = apply_node_props(graph.nodes, upd)
     result = (req.join(hit.select("req_id", F.lit(True).alias("hit")), "req_id", "left")
@@ -177,7 +182,8 @@ def update_connections(graph: Graph, requests: DataFrame) -> Change:
     key = ["src", "dst", "type"]
     req = _first_per_key(requests.withColumnRenamed("from_id", "src").withColumnRenamed("to_id", "dst"), key)
     dup = req.where(~F.col("first_of_key")).select(*key).distinct()
-    good = req.where("first_of_key").join(dup, key, "left_anti")
+    good = materialize(requests.sparkSession, req.where("first_of_key").join(dup, key, "left_anti"),
+                       "update-connection-requests")
     upd = good.select(*key, F.col("props").alias("new_props"))
     edges = (graph.edges.join(upd, key, "left")
              .withColumn("props", F.when(F.col("new_props").isNull(), F.col("props"))
@@ -199,7 +205,7 @@ def delete_memories(graph: Graph, requests: DataFrame) -> Change:
     """M7: detach-delete: the node and every edge touching it, either
     direction. ``deletedCount`` is 1 for the first request naming an
     existing node, 0 otherwise."""
-    ids = requests.select("memory_id").distinct()
+    ids = materialize(requests.sparkSession, requests.select("memory_id").distinct(), "delete-ids")
     found = graph.nodes.select("memory_id").join(ids, "memory_id")
     nodes = graph.nodes.join(ids, "memory_id", "left_anti")
     edges = (graph.edges.join(ids.withColumnRenamed("memory_id", "src"), "src", "left_anti")
@@ -216,7 +222,7 @@ def delete_connections(graph: Graph, requests: DataFrame) -> Change:
     stay. ``deletedCount`` = number of edges removed (0 on a repeat)."""
     key = ["src", "dst", "type"]
     req = requests.withColumnRenamed("from_id", "src").withColumnRenamed("to_id", "dst")
-    keys = req.select(*key).distinct()
+    keys = materialize(requests.sparkSession, req.select(*key).distinct(), "delete-connection-keys")
     counts = graph.edges.join(keys, key).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     edges = graph.edges.join(keys, key, "left_anti")
     result = (_first_per_key(req, key).join(counts, key, "left")
