@@ -317,3 +317,10 @@ def test_depth_isolated_graph_nested_order(spark):
     assert [r.memory._id for r in nested] == [1, 2]
     assert nested[0].connections[0].relationship._type == "E"
     assert nested[1].connections[0].memory._id == 1
+
+
+def test_c8_limit_zero_and_cap(spark, people):
+    assert search_memories(people, limit=0, depth=1).count() == 0
+    assert len(seed_ids(search_memories(people, limit=500, depth=0))) == 4
+    with pytest.raises(ValueError):
+        search_memories(people, depth=1.5)
