@@ -627,15 +627,16 @@ def q_stream_replay(spark, sf):
     """The same log as a growing folder of files, replayed by
     Structured Streaming in several micro-batches, one snapshot per batch;
     the last snapshot equals the batch replay."""
-    from mnemo.sources.snapshot import read_graph, scratch_path, write_graph
+    from mnemo.sources.snapshot import scratch_path, write_graph
     from mnemo.sources.testlog import write_log
-    from mnemo.streaming.replay import stream_replay
+    from mnemo.streaming.replay import stream_replay, stream_state
     base = scratch_path(spark, "stream-replay")
     write_graph(g(spark, sf), f"{base}/snapshot0")
     write_log(spark, sf, f"{base}/log", NOW, one_file_per_block=False)
-    last = stream_replay(spark, f"{base}/log", f"{base}/snapshot0", f"{base}/snapshots", NOW,
-                         checkpoint=f"{base}/_checkpoint", max_files_per_trigger=16)
-    return _graph_counts(read_graph(spark, f"{base}/snapshots/batch={last}"))
+    # small compaction interval so the run exercises both deltas and snapshots
+    last = stream_replay(spark, f"{base}/log", f"{base}/snapshot0", f"{base}/out", NOW,
+                         checkpoint=f"{base}/_checkpoint", max_files_per_trigger=4, compact_every=3)
+    return _graph_counts(stream_state(spark, f"{base}/snapshot0", f"{base}/out", last + 1, 3))
 
 
 @register("search_result_json")
