@@ -13,7 +13,6 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -37,10 +36,10 @@ def main() -> None:
     from mnemo.sources.testgraph import K, build_graph, read_table
     from mnemo.streaming.replay import replay_log
 
-    scratch = tempfile.mkdtemp(prefix="mnemo-bench-", dir=os.environ.get("MNEMO_SCRATCH", "/tmp"))
-    os.environ.setdefault("MNEMO_SCRATCH", scratch)
     spark = get_session(master=f"local[{CPUS}]", shuffle_partitions=int(CPUS) * 2, app_name="mnemo-bench")
     spark.sparkContext.setLogLevel("ERROR")
+    # all bench data lives under the session's shared checkpoint folder
+    scratch = scratch_path(spark, "bench")
 
     t0 = time.perf_counter()
     snap = write_graph(build_graph(spark, SF_DIR), f"{scratch}/graph")
