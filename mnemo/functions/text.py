@@ -1,10 +1,5 @@
-"""Query tokenizing and text-match predicates.
-
-Fixed values: the whitespace class of JavaScript's ``\\s`` (used by
-``trim()`` and ``split(/\\s+/)``): tab, line feed, vertical tab, form
-feed, carriage return, space, U+00A0, U+1680, U+2000-U+200A, U+2028,
-U+2029, U+202F, U+205F, U+3000, U+FEFF.
-"""
+"""Query tokenizing and text-match predicates (whitespace as JavaScript
+defines it, see ``mnemo.fixed``)."""
 
 from __future__ import annotations
 
@@ -14,10 +9,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# JavaScript whitespace (see module docstring).
-JS_WS_CLASS = "[\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
-# The same class written for Java's regex engine (Spark's split/regexp_*).
-JAVA_WS_CLASS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+from mnemo.fixed import JAVA_WS_CLASS, JS_WS_CLASS
 
 _PY_WS = re.compile(JS_WS_CLASS + "+")
 _PY_TRIM = re.compile(f"^{JS_WS_CLASS}+|{JS_WS_CLASS}+$")

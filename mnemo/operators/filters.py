@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemo.fixed import PHRASE_FIELDS
 from mnemo.functions.text import any_word_matches, is_blank_query, tokenize
 
 
@@ -79,8 +80,7 @@ def phrase_search(nodes: DataFrame, query: str | None = None, label: str | None
     Returns distinct ``memory_id``."""
     text = None
     if not is_blank_query(query):
-        text = (_string_prop("name").contains(query) | _string_prop("context").contains(query)
-                | _string_prop("description").contains(query))
+        text = reduce(lambda a, b: a | b, [_string_prop(f).contains(query) for f in PHRASE_FIELDS])
     return nodes.where(all_of(text, label_pred(label), since_pred(since_date))).select("memory_id")
 
 

@@ -32,6 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemo.fixed import RELATES_TO, SOURCE_NOT_FOUND, TARGET_NOT_FOUND
 from mnemo.functions.values import PROPS_DDL, is_falsy, props_map, pv_string
 from mnemo.model import EDGE_COLUMNS, NODE_COLUMNS, Graph, edge_row, node_row, with_node_derived
 from mnemo.sources.snapshot import materialize
@@ -255,13 +256,18 @@ def resolve_name_or_id(nodes: DataFrame, requests: DataFrame, ref_col: str = "re
         .groupBy("req_id").agg(F.min("memory_id").alias("memory_id"))
 
 
+def _not_found(template: str, ref: Column) -> Column:
+    before, after = template.split("{ref}")
+    return F.concat(F.lit(before), ref, F.lit(after))
+
+
 def unresolved_references(nodes: DataFrame, requests: DataFrame, ref_col: str, role: str) -> DataFrame:
     """Requests whose reference resolves to nothing, with the legacy
-    error text ("Source memory 'x' not found")."""
+    error text (``role`` "Source" or "Target")."""
     hit = resolve_name_or_id(nodes, requests, ref_col)
+    template = SOURCE_NOT_FOUND if role == "Source" else TARGET_NOT_FOUND
     return (requests.join(hit, "req_id", "left_anti")
-            .select("req_id", F.concat(F.lit(f"{role} memory '"), F.col(ref_col), F.lit("' not found"))
-                    .alias("error")))
+            .select("req_id", _not_found(template, F.col(ref_col)).alias("error")))
 
 
 def capitalize_first(c) -> Column:
@@ -292,7 +298,7 @@ def remember(graph: Graph, requests: DataFrame, now: str) -> Change:
     links = (resolve_name_or_id(graph.nodes, req.where(F.col("relates_to").isNotNull()), "relates_to")
              .withColumnRenamed("memory_id", "to_id")
              .join(req.select("req_id", F.col("memory_id").alias("from_id")), "req_id")
-             .select("req_id", "from_id", "to_id", F.lit("RELATES_TO").alias("type"),
+             .select("req_id", "from_id", "to_id", F.lit(RELATES_TO).alias("type"),
                      F.create_map(F.lit("created_at"), pv_string(F.lit(now))).alias("props")))
     ch = create_connections(g1, links, now)
     result = (req.select("req_id", "memory_id").join(
@@ -315,10 +321,8 @@ def connect_by_name(graph: Graph, requests: DataFrame, now: str) -> Change:
                      F.create_map(F.lit("created_at"), pv_string(F.lit(now))).alias("props")))
     ch = create_connections(graph, links, now)
     errors = (requests.join(src, "req_id", "left").join(dst, "req_id", "left")
-              .select("req_id", F.when(F.col("from_id").isNull(), F.concat(
-                  F.lit("Source memory '"), F.col("from_ref"), F.lit("' not found")))
-                  .when(F.col("to_id").isNull(), F.concat(
-                      F.lit("Target memory '"), F.col("to_ref"), F.lit("' not found"))).alias("error")))
+              .select("req_id", F.when(F.col("from_id").isNull(), _not_found(SOURCE_NOT_FOUND, F.col("from_ref")))
+                      .when(F.col("to_id").isNull(), _not_found(TARGET_NOT_FOUND, F.col("to_ref"))).alias("error")))
     result = (errors.join(ch.result.select("req_id", "edge_id"), "req_id", "left")
               .select("req_id", "edge_id", "error",
                       F.when(F.col("error").isNotNull(), "error").otherwise("created").alias("status")))

@@ -9,20 +9,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemo.fixed import (
+    DEFAULT_DEPTH, DEFAULT_LIMIT, DEFAULT_ORDER_DESCENDING, DEFAULT_ORDER_PROPERTY, INVALID_ORDER_BY,
+    LEGACY_DEFAULT_LIMIT, LEGACY_ORDER_BY_REGEX, MAX_LIMIT, ORDER_BY_REGEX,
+)
+
 from mnemo.functions.values import order_keys
 
-# Accepted order_by text, default order and limits.
-ORDER_BY_PATTERN = re.compile(r"(memory\.|n\.)?([a-zA-Z_]+)\s+(ASC|DESC)", re.IGNORECASE)
-LEGACY_ORDER_BY_PATTERN = re.compile(r"(n\.)?([a-zA-Z_]+)\s+(ASC|DESC)", re.IGNORECASE)
-DEFAULT_LIMIT = 10
-LEGACY_DEFAULT_LIMIT = 50
-MAX_LIMIT = 200
+ORDER_BY_PATTERN = re.compile(ORDER_BY_REGEX, re.IGNORECASE)
+LEGACY_ORDER_BY_PATTERN = re.compile(LEGACY_ORDER_BY_REGEX, re.IGNORECASE)
 
 
 @dataclass(frozen=True)
 class OrderSpec:
-    prop: str = "created_at"
-    descending: bool = True
+    prop: str = DEFAULT_ORDER_PROPERTY
+    descending: bool = DEFAULT_ORDER_DESCENDING
 
 
 DEFAULT_ORDER = OrderSpec()
@@ -37,7 +38,7 @@ def parse_order_by(order_by: str | None, strict: bool = False, legacy: bool = Fa
     m = (LEGACY_ORDER_BY_PATTERN if legacy else ORDER_BY_PATTERN).fullmatch(order_by)
     if not m:
         if strict:
-            raise ValueError('Invalid order_by format. Use "property ASC" or "property DESC"')
+            raise ValueError(INVALID_ORDER_BY)
         return DEFAULT_ORDER
     return OrderSpec(m.group(2), m.group(3).upper() == "DESC")
 
@@ -52,7 +53,7 @@ def effective_limit(limit, default: int = DEFAULT_LIMIT, cap: int = MAX_LIMIT) -
     return int(min(limit, cap))
 
 
-def effective_depth(depth, default: int = 1) -> int:
+def effective_depth(depth, default: int = DEFAULT_DEPTH) -> int:
     """``depth ?? 1``; a fractional depth is a request error."""
     if depth is None:
         return default

@@ -240,7 +240,7 @@ def q_search_empty(spark, sf):
 @register("search_match_all", search_sql("first_label = 'event'", 200, 0))
 def q_search_match_all(spark, sf):
     """A blank query keeps every event; newest 200."""
-    return search_memories(g(spark, sf), query="    ", label="event", limit=200, depth=0)
+    return search_memories(g(spark, sf), query=" \u00a0\t\u3000", label="event", limit=200, depth=0)
 
 
 @register("search_label_since", search_sql(

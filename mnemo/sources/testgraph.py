@@ -18,7 +18,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemo.functions.values import props_map, pv_array, pv_number, pv_string, empty_props
+from mnemo.fixed import ISO_MILLIS
+from mnemo.functions.values import empty_props, props_map, pv_array, pv_number, pv_string
 from mnemo.model import Graph, edge_row, node_row
 
 # Id spaces of the derived graph.
@@ -27,7 +28,6 @@ NODE_ID_BASE = {"region": 1, "nation": 2, "customer": 3, "supplier": 4, "part":
                 "order": 6, "user": 7, "event": 8, "document": 9, "message": 10}
 EDGE_ID_BASE = {"PART_OF": 1, "LIVES_IN": 2, "LOCATED_IN": 3, "PLACED_BY": 4,
                 "CONTAINS": 5, "EMITTED": 6, "REPLIES_TO": 7}
-ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
