@@ -76,7 +76,7 @@ def _next_level(frontier: DataFrame, adj: DataFrame, small: bool) -> DataFrame:
 
 def expand(seeds: DataFrame, adj: DataFrame, depth: int, seed_ids: list[int] | None = None,
            seeds_small: bool | None = None, broadcast_rows: int = BROADCAST_ROWS,
-           first_level: list | None = None) -> DataFrame:
+           first_level: list | None = None, persisted: list | None = None) -> DataFrame:
     """All trails of length 1..depth from each seed (``seeds.memory_id``).
 
     ``seeds`` must hold distinct ids. Pass ``seeds_small=True`` when their
@@ -90,7 +90,10 @@ def expand(seeds: DataFrame, adj: DataFrame, depth: int, seed_ids: list[int] | N
     recomputes them from the (short) lineage, and expansions deeper than
     ``CHECKPOINT_EVERY`` levels cut lineage through the checkpoint folder.
     When ``first_level`` is a list, the level-1 trails (persisted when
-    deeper levels follow) are appended to it for reuse by the caller.
+    deeper levels follow) are appended to it for reuse by the caller. The
+    persisted levels are appended to ``persisted`` (when given) so the
+    caller can release them once the result is written; see
+    :func:`release`.
     """
     spark = seeds.sparkSession
     if depth <= 0:
@@ -105,6 +108,8 @@ def expand(seeds: DataFrame, adj: DataFrame, depth: int, seed_ids: list[int] | N
             level = level.checkpoint(eager=True)
         else:
             level = level.persist(StorageLevel.MEMORY_AND_DISK)
+            if persisted is not None:
+                persisted.append(level)
         n = level.count()
         if n == 0:
             break
@@ -118,3 +123,10 @@ def expand(seeds: DataFrame, adj: DataFrame, depth: int, seed_ids: list[int] | N
     # Length-1 trails are distinct by construction (one per edge and
     # direction); longer ones can repeat on (end node, first edge).
     return result if depth == 1 else result.distinct()
+
+
+def release(frames: list) -> None:
+    """Unpersist cached frontier levels (after their result was written)."""
+    for df in frames:
+        df.unpersist()
+    frames.clear()

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemo.model import Graph
-from mnemo.operators.expand import adjacency, expand
+from mnemo.operators.expand import adjacency, expand, release
+from mnemo.sources.snapshot import materialize
 from mnemo.operators.filters import phrase_search_all_props, search_candidates
 from mnemo.operators.order import (
     LEGACY_DEFAULT_LIMIT, OrderSpec, effective_depth, effective_limit, order_columns, parse_order_by,
@@ -71,7 +72,9 @@ def attach_connections(seeds: DataFrame, adj: DataFrame, depth: int,
     connections (or ``depth <= 0``) keeps one row with null connection
     columns."""
     lv1: list = []
-    conns = expand(seeds.select("memory_id"), adj, depth, seed_ids, seeds_small=True, first_level=lv1)
+    cached: list = []
+    conns = expand(seeds.select("memory_id"), adj, depth, seed_ids, seeds_small=True, first_level=lv1,
+                   persisted=cached)
     # ``seeds`` and the ids of seeds having connections hold at most the
     # limit cap (200) rows each, so both joins broadcast them and the
     # connections are never shuffled (an outer join would have to shuffle
@@ -80,11 +83,19 @@ def attach_connections(seeds: DataFrame, adj: DataFrame, depth: int,
     found = lv1[0].select("memory_id").distinct() if lv1 else conns.select("memory_id").distinct()
     linked = conns.join(F.broadcast(seeds), "memory_id")
     lonely = seeds.join(F.broadcast(found), "memory_id", "left_anti")
-    return linked.select(*FLAT_COLUMNS).unionByName(
+    flat = linked.select(*FLAT_COLUMNS).unionByName(
         lonely.select("memory_id", "seed_rank", "created_at",
                       *[F.lit(None).cast(t).alias(c) for c, t in
                         (("related_id", "bigint"), ("first_edge", "bigint"), ("first_type", "string"),
                          ("first_outgoing", "boolean"), ("distance", "int"))]).select(*FLAT_COLUMNS))
+    if not cached:
+        return flat
+    # Deeper expansions cached their frontier levels: write the result (its
+    # size is the reply's) to the shared folder and release the cache, so a
+    # service running many searches does not accumulate cached blocks.
+    out = materialize(seeds.sparkSession, flat, "search-result")
+    release(cached)
+    return out
 
 
 def search_memories(graph: Graph, query: str | None = None, label: str | None = None,

@@ -24,7 +24,7 @@ REQUIRED_CONF = {
     # Seed-id lists (at most the search limit cap, 200) are pushed into
     # Parquet as per-value tests, so row groups are skipped by their
     # min/max; past the default of 10 values Spark would only push the
-    # lists's overall min/max, which skips almost nothing for scattered ids.
+    # list's overall min/max, which skips almost nothing for scattered ids.
     "spark.sql.parquet.pushdown.inFilterThreshold": "256",
 }
 
