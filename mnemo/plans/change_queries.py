@@ -587,6 +587,25 @@ def q_replay_log(spark, sf):
     return _graph_counts(change.graph)
 
 
+@register("replay_as_of", LOG_KEYS_SQL + f"""
+, gone AS (SELECT CAST({3 * K} AS BIGINT) + c_custkey AS id FROM customer WHERE c_acctbal > 9890),
+e2 AS (SELECT type FROM edges e WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)
+       UNION ALL SELECT 'ABOUT' FROM urgent),
+n2 AS (SELECT memory_id FROM nodes WHERE memory_id NOT IN (SELECT id FROM gone)
+       UNION ALL SELECT o_orderkey FROM urgent)
+SELECT 'edge' AS kind, type AS name, CAST(count(*) AS BIGINT) AS count FROM e2 GROUP BY type
+UNION ALL SELECT 'node', '*', CAST(count(*) AS BIGINT) FROM n2""")
+def q_replay_as_of(spark, sf):
+    """The graph as of the end of block 4 of the derived log (notes
+    created and linked, debtors updated, top-balance customers deleted;
+    later calls ignored)."""
+    from mnemo.sources.requests import change_ops, parse_log_lines, validate_requests
+    from mnemo.sources.testlog import BLOCK
+    from mnemo.streaming.replay import replay_as_of
+    ops = change_ops(validate_requests(parse_log_lines(_log_lines(spark, sf))))
+    return _graph_counts(replay_as_of(g(spark, sf), ops, NOW, 5 * BLOCK - 1).graph)
+
+
 @register("replay_results", LOG_KEYS_SQL + f"""
 SELECT {B} + o_orderkey AS seq, 'create_memory' AS op, 'created' AS status, CAST(NULL AS BIGINT) AS deletedCount,
        CAST(NULL AS BIGINT) AS n_matched FROM urgent
