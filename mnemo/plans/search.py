@@ -71,6 +71,11 @@ def attach_connections(seeds: DataFrame, adj: DataFrame, depth: int,
     """Flat search result: one row per (seed, connection); a seed without
     connections (or ``depth <= 0``) keeps one row with null connection
     columns."""
+    nulls = [F.lit(None).cast(t).alias(c) for c, t in
+             (("related_id", "bigint"), ("first_edge", "bigint"), ("first_type", "string"),
+              ("first_outgoing", "boolean"), ("distance", "int"))]
+    if depth <= 0:
+        return seeds.select("memory_id", "seed_rank", "created_at", *nulls).select(*FLAT_COLUMNS)
     lv1: list = []
     cached: list = []
     conns = expand(seeds.select("memory_id"), adj, depth, seed_ids, seeds_small=True, first_level=lv1,
@@ -84,10 +89,7 @@ def attach_connections(seeds: DataFrame, adj: DataFrame, depth: int,
     linked = conns.join(F.broadcast(seeds), "memory_id")
     lonely = seeds.join(F.broadcast(found), "memory_id", "left_anti")
     flat = linked.select(*FLAT_COLUMNS).unionByName(
-        lonely.select("memory_id", "seed_rank", "created_at",
-                      *[F.lit(None).cast(t).alias(c) for c, t in
-                        (("related_id", "bigint"), ("first_edge", "bigint"), ("first_type", "string"),
-                         ("first_outgoing", "boolean"), ("distance", "int"))]).select(*FLAT_COLUMNS))
+        lonely.select("memory_id", "seed_rank", "created_at", *nulls).select(*FLAT_COLUMNS))
     if not cached:
         return flat
     # Deeper expansions cached their frontier levels: write the result (its
