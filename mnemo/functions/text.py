@@ -15,6 +15,19 @@ _PY_WS = re.compile(JS_WS_CLASS + "+")
 _PY_TRIM = re.compile(f"^{JS_WS_CLASS}+|{JS_WS_CLASS}+$")
 
 
+def jvm_lower(s: str) -> str:
+    """Lower-case exactly as Spark's ``lower`` does (the function that built
+    ``search_text``), which, like JavaScript, is context-aware (a final
+    sigma becomes 'ς'); Python's ``str.lower`` is not."""
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    try:
+        return sc._jvm.org.apache.spark.unsafe.types.UTF8String.fromString(s).toLowerCase().toString()
+    except Exception:  # noqa: BLE001 -- no JVM at hand (e.g. plain unit use)
+        return s.lower()
+
+
 def js_trim(s: str) -> str:
     return _PY_TRIM.sub("", s)
 
@@ -31,7 +44,7 @@ def tokenize(query: str | None) -> list[str]:
     """
     if is_blank_query(query):
         return []
-    return _PY_WS.split(js_trim(query.lower()))
+    return _PY_WS.split(js_trim(jvm_lower(query)))
 
 
 def tokenize_col(query) -> Column:

@@ -110,3 +110,9 @@ def test_js_number_text(spark):
     exp = ["5", "10000000", "0.0001", "24.99", "100", "0", "-12.5", "123456789.125", "0.000025", "999999999999"]
     df = spark.createDataFrame([(v,) for v in vals], "d double").select(js_number_text(F.col("d")).alias("t"))
     assert [r.t for r in df.collect()] == exp
+
+
+def test_query_lowercase_matches_text_lowercase(spark):
+    g = graph_from_records(spark, [(1, ["n"], {"name": "ΟΔΟΣ"}), (2, ["n"], {"name": "İstanbul"})])
+    assert [r.memory_id for r in search_candidates(g.nodes, "ΟΔΟΣ").collect()] == [1]
+    assert [r.memory_id for r in search_candidates(g.nodes, "İSTANBUL").collect()] == [2]
