@@ -1,9 +1,10 @@
 """Graph snapshots on shared storage (Parquet), and result sinks.
 
 A snapshot is a folder with ``nodes/`` (partitioned by ``first_label`` so
-label filters prune whole folders, rows sorted by ``memory_id`` inside
-each file so id lookups skip row groups by min/max statistics) and
-``edges/`` (sorted by ``src``). Snapshots are immutable: every change job
+label filters prune whole folders, range-clustered on ``created_at`` so
+date filters skip files and row groups by min/max statistics),
+``edges/`` (sorted by ``src``) and ``adjacency/`` (both directions of every
+edge, range-clustered on the node id, for expansion lookups). Snapshots are immutable: every change job
 writes a new one, which doubles as the lineage cut of long job chains.
 """
 
@@ -27,15 +28,20 @@ def write_graph(graph: Graph, path: str, mode: str = "overwrite", with_adjacency
     """
     from mnemo.operators.expand import ADJ_COLUMNS, adjacency
 
+    n = int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Files and row groups cover narrow (label, created_at) ranges, so the
+    # search's label and since-date filters skip whole files and row groups
+    # by their statistics; ties (and the many nodes without created_at)
+    # are split by id, so no range is a hot spot.
+    order = ["first_label", "created_at", "memory_id"]
     (graph.nodes.select(*NODE_COLUMNS)
-     .sortWithinPartitions("first_label", "memory_id")
+     .repartitionByRange(n, *order).sortWithinPartitions(*order)
      .write.mode(mode).partitionBy("first_label").parquet(f"{path}/nodes"))
     (graph.edges.select(*EDGE_COLUMNS)
      .sortWithinPartitions("src")
      .write.mode(mode).parquet(f"{path}/edges"))
     if with_adjacency:
         adj = adjacency(graph.edges)
-        n = int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         # range bounds on (a, edge_id): a hub node can still span several files
         (adj.select(*ADJ_COLUMNS).repartitionByRange(n, "a", "edge_id").sortWithinPartitions("a", "edge_id")
          .write.mode(mode).parquet(f"{path}/adjacency"))
