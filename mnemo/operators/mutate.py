@@ -108,16 +108,35 @@ def _first_per_key(requests: DataFrame, keys: list[str]) -> DataFrame:
 
 # ------------------------------------------------------------------ creates
 
+def _id_clash(req: DataFrame, table: DataFrame, id_col: str) -> DataFrame:
+    """Requests whose supplied id is taken: by an existing row, or by an
+    earlier request (lower ``req_id``) of the same batch. Ids are never
+    reused, so those rows are not created."""
+    first = materialize(req.sparkSession, req.groupBy(id_col).agg(F.min("req_id").alias("first_req")),
+                        "requested-ids")
+    # the requested ids are written first, so meeting the whole table is a
+    # broadcast join whenever they are few
+    taken = table.select(id_col).join(first.select(id_col), id_col).withColumn("taken", F.lit(True))
+    return (req.join(first, id_col).join(taken, id_col, "left")
+            .where(F.col("taken").isNotNull() | (F.col("req_id") != F.col("first_req")))
+            .select("req_id"))
+
+
 def create_memories(graph: Graph, requests: DataFrame, now: str) -> Change:
     """M1/M2: one new node per request (never de-duplicated), ``created_at``
-    defaulted to ``now``. Ids come from ``memory_id`` when given, otherwise
+    defaulted to ``now``. Ids come from ``memory_id`` when given (an id
+    already in use is reported ``id_exists`` and not created), otherwise
     they are assigned above the current maximum."""
     req = requests if "memory_id" in requests.columns else requests.withColumn(
         "memory_id", F.lit(None).cast("bigint"))
     req = _assign_ids(req, graph.nodes, "memory_id", "new-memory-ids")
-    new = req.select(*node_row(F.col("memory_id"), F.array(F.col("label")),
-                               with_created_at(F.col("props"), now)))
-    result = req.select("req_id", "memory_id", F.lit("created").alias("status"))
+    clash = materialize(req.sparkSession, _id_clash(req, graph.nodes, "memory_id"), "create-clash")
+    ok = req.join(clash, "req_id", "left_anti")
+    new = ok.select(*node_row(F.col("memory_id"), F.array(F.col("label")),
+                              with_created_at(F.col("props"), now)))
+    result = (req.join(clash.withColumn("clash", F.lit(True)), "req_id", "left")
+              .select("req_id", "memory_id",
+                      F.when(F.col("clash"), "id_exists").otherwise("created").alias("status")))
     return Change(Graph(graph.nodes.unionByName(new.select(*NODE_COLUMNS)), graph.edges), result)
 
 
@@ -133,12 +152,16 @@ def create_connections(graph: Graph, requests: DataFrame, now: str) -> Change:
     ok = (req.join(_node_ids(graph.nodes, "from_id"), "from_id")
           .join(_node_ids(graph.nodes, "to_id"), "to_id"))
     ok = _assign_ids(ok, graph.edges, "edge_id", "new-edge-ids")
+    clash = materialize(req.sparkSession, _id_clash(ok, graph.edges, "edge_id"), "connect-clash")
+    ok = ok.join(clash, "req_id", "left_anti")
     props = F.coalesce(drop_null_values("props"),
                        F.create_map(F.lit("created_at"), pv_string(F.lit(now))))
     new = ok.select(*edge_row(F.col("edge_id"), F.col("from_id"), F.col("to_id"), F.col("type"), props))
     result = (req.select("req_id").join(ok.select("req_id", "edge_id"), "req_id", "left")
+              .join(clash.withColumn("clash", F.lit(True)), "req_id", "left")
               .select("req_id", "edge_id",
-                      F.when(F.col("edge_id").isNull(), "no_match").otherwise("created").alias("status")))
+                      F.when(F.col("clash"), "id_exists")
+                      .when(F.col("edge_id").isNull(), "no_match").otherwise("created").alias("status")))
     return Change(Graph(graph.nodes, graph.edges.unionByName(new.select(*EDGE_COLUMNS))), result)
 
 

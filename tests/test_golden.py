@@ -324,3 +324,17 @@ def test_c8_limit_zero_and_cap(spark, people):
     assert len(seed_ids(search_memories(people, limit=500, depth=0))) == 4
     with pytest.raises(ValueError):
         search_memories(people, depth=1.5)
+
+
+def test_create_rejects_taken_ids(spark):
+    g = graph_from_records(spark, [(7, ["a"], {})], [(70, 7, 7, "E", {})])
+    req = local_props(spark, [(1, 7, "n", {}), (2, 8, "n", {}), (3, 8, "n", {})],
+                      "req_id bigint, memory_id bigint, label string")
+    ch = mutate.create_memories(g, req, now="2026-01-01T00:00:00.000Z")
+    assert {r.req_id: r.status for r in ch.result.collect()} == {1: "id_exists", 2: "created", 3: "id_exists"}
+    assert sorted(ids(ch.graph.nodes)) == [7, 8]
+    creq = local_props(spark, [(1, 70, 7, 7, "E", None), (2, 71, 7, 7, "E", None)],
+                       "req_id bigint, edge_id bigint, from_id bigint, to_id bigint, type string")
+    ch2 = mutate.create_connections(g, creq, now="2026-01-01T00:00:00.000Z")
+    assert {r.req_id: r.status for r in ch2.result.collect()} == {1: "id_exists", 2: "created"}
+    assert sorted(ids(ch2.graph.edges, "edge_id")) == [70, 71]
