@@ -137,14 +137,30 @@ def recall(graph: Graph, query: str, type_: str | None = None, depth: int | None
     return attach_connections(seeds, _adj(graph, adj), d, ids)
 
 
-def nest_result(flat: DataFrame, graph: Graph, depth: int = 1) -> DataFrame:
+REPLY_PART = 10_000
+
+
+def _parts(entries: DataFrame, part_size: int) -> DataFrame:
+    """Spread each memory's connection entries over parts of at most about
+    ``part_size`` entries: the number of parts comes from a count per
+    memory (partial aggregation), entries are assigned to parts by hash. A
+    memory with a huge neighbourhood thus never becomes one group."""
+    counts = entries.groupBy("memory_id").agg(F.count(F.lit(1)).alias("n"))
+    parts = counts.select("memory_id", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(part_size)))
+                          .cast("int").alias("parts"))
+    return (entries.join(parts, "memory_id")
+            .withColumn("part", F.pmod(F.xxhash64("related_id", "first_edge", "distance"), F.col("parts"))
+                        .cast("int")))
+
+
+def nest_result(flat: DataFrame, graph: Graph, depth: int = 1, part_size: int = REPLY_PART) -> DataFrame:
     """The reference's reply shape: ``memory`` plus ``connections``
     (``array<struct<memory, relationship, distance>>``), in seed order.
 
-    One row per seed holding all its connections: meant for the bounded
-    replies of interactive searches; large results should stay flat.
     With ``depth <= 0`` every seed gets ``[]``; at ``depth >= 1`` a seed
-    without connections gets one entry whose fields are all null.
+    without connections gets one entry whose fields are all null. A memory
+    with more than ``part_size`` connections is split into several rows
+    (``part`` of ``parts``), each holding a share of its connections.
     """
     def node_struct(prefix: str):
         return F.struct(F.col(f"{prefix}_id").alias("_id"), F.col(f"{prefix}_labels").alias("_labels"),
@@ -163,9 +179,9 @@ def nest_result(flat: DataFrame, graph: Graph, depth: int = 1) -> DataFrame:
                                F.map_entries("props").alias("e_props"))
     # Sort on ids while property maps are held as entry arrays (a struct
     # holding a map cannot be sorted), then rebuild the maps.
-    entries = (flat.select("memory_id", "related_id", "first_edge", "distance")
-               .join(rel, "related_id", "left").join(edges, "first_edge", "left")
-               .groupBy("memory_id")
+    entries = _parts(flat.select("memory_id", "related_id", "first_edge", "distance"), part_size)
+    entries = (entries.join(rel, "related_id", "left").join(edges, "first_edge", "left")
+               .groupBy("memory_id", "part", "parts")
                .agg(F.array_sort(F.collect_list(F.struct(
                    "distance", "related_id", "first_edge", "r_labels", "r_props",
                    "e_type", "e_src", "e_dst", "e_props"))).alias("c")))
@@ -183,18 +199,18 @@ def nest_result(flat: DataFrame, graph: Graph, depth: int = 1) -> DataFrame:
     conns = F.transform("c", entry)
     if depth <= 0:
         conns = F.filter(conns, lambda x: F.lit(False))
-    entries = entries.select("memory_id", conns.alias("connections"))
-    return seed_rows.join(entries, "memory_id", "left").orderBy("seed_rank")
+    entries = entries.select("memory_id", "part", "parts", conns.alias("connections"))
+    return seed_rows.join(entries, "memory_id", "left").orderBy("seed_rank", "part")
 
 
-def reply_json(flat: DataFrame, graph: Graph, depth: int = 1) -> DataFrame:
+def reply_json(flat: DataFrame, graph: Graph, depth: int = 1, part_size: int = REPLY_PART) -> DataFrame:
     """The reference's reply, one JSON document per memory (in seed order):
     ``{"memory": {...props, "_id", "_labels"}, "connections": [{"memory":
     {...}, "relationship": {...props, "_id", "_type"}, "distance": d}]}``.
     Connections are listed by distance, related id, first edge; a memory
     without connections gets one entry of nulls, ``depth <= 0`` gives [].
-    As with :func:`nest_result`, one document holds all of a memory's
-    connections: for bounded interactive replies.
+    A memory with more than ``part_size`` connections gets several
+    documents (``part`` of ``parts``), each with a share of them.
     """
     from mnemo.sources.snapshot import connection_json, memory_json
 
@@ -208,14 +224,15 @@ def reply_json(flat: DataFrame, graph: Graph, depth: int = 1) -> DataFrame:
     entry = F.concat(F.lit('{"memory":'), F.coalesce("rm", F.lit("null")), F.lit(',"relationship":'),
                      F.coalesce("rj", F.lit("null")), F.lit(',"distance":'),
                      F.coalesce(F.col("distance").cast("string"), F.lit("null")), F.lit("}"))
-    conns = (flat.select("memory_id", "related_id", "first_edge", "distance")
+    conns = (_parts(flat.select("memory_id", "related_id", "first_edge", "distance"), part_size)
              .join(rel, "related_id", "left").join(edges, "first_edge", "left")
-             .groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct(
+             .groupBy("memory_id", "part", "parts").agg(F.array_sort(F.collect_list(F.struct(
                  "distance", "related_id", "first_edge", entry.alias("j")))).alias("c")))
     listed = F.concat(F.lit("["), F.array_join(F.transform("c", lambda x: x["j"]), ","), F.lit("]"))
     if depth <= 0:
         listed = F.lit("[]")
     return (seeds.join(conns, "memory_id", "left")
-            .select("seed_rank", F.concat(F.lit('{"memory":'), F.col("m"), F.lit(',"connections":'),
-                                          listed, F.lit("}")).alias("json"))
-            .orderBy("seed_rank").select("json"))
+            .select("seed_rank", "part", "parts",
+                    F.concat(F.lit('{"memory":'), F.col("m"), F.lit(',"connections":'), listed, F.lit("}"))
+                    .alias("json"))
+            .orderBy("seed_rank", "part").select("json", "part", "parts"))

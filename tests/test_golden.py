@@ -338,3 +338,16 @@ def test_create_rejects_taken_ids(spark):
     ch2 = mutate.create_connections(g, creq, now="2026-01-01T00:00:00.000Z")
     assert {r.req_id: r.status for r in ch2.result.collect()} == {1: "id_exists", 2: "created"}
     assert sorted(ids(ch2.graph.edges, "edge_id")) == [70, 71]
+
+
+def test_nested_reply_parts(spark):
+    g = graph_from_records(spark, [(1, ["hub"], {"name": "h"})] + [(i, ["n"], {}) for i in range(2, 12)],
+                           [(100 + i, 1, i, "E", {}) for i in range(2, 12)])
+    flat = search_memories(g, label="hub", depth=1)
+    rows = nest_result(flat, g, depth=1, part_size=3).collect()
+    assert rows[0].parts == 4 and 1 < len(rows) <= 4  # entries spread over up to 4 parts by hash
+    assert sorted(c.memory._id for r in rows for c in r.connections) == list(range(2, 12))
+    from mnemo.plans.search import reply_json
+    import json
+    docs = reply_json(flat, g, depth=1, part_size=3).collect()
+    assert sorted(c["memory"]["_id"] for d in docs for c in json.loads(d.json)["connections"]) == list(range(2, 12))
