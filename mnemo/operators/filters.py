@@ -42,10 +42,20 @@ def all_of(*preds: Column | None) -> Column:
     return reduce(lambda a, b: a & b, present) if present else F.lit(True)
 
 
+def bucket_pred(nodes: DataFrame, label: str | None) -> Column | None:
+    """On a snapshot, the label's partition bucket (folds to a constant and
+    prunes folders); nothing on other node tables."""
+    if not label or "label_bucket" not in nodes.columns:
+        return None
+    from mnemo.sources.snapshot import label_bucket_of
+    return F.col("label_bucket") == label_bucket_of(F.lit(label))
+
+
 def search_candidates(nodes: DataFrame, query: str | None = None, label: str | None = None,
                       since_date: str | None = None) -> DataFrame:
     """Nodes passing the label, date and word filters that are present."""
-    return nodes.where(all_of(label_pred(label), since_pred(since_date), text_pred(query)))
+    return nodes.where(all_of(bucket_pred(nodes, label), label_pred(label), since_pred(since_date),
+                              text_pred(query)))
 
 
 def nodes_with_label(nodes: DataFrame, label: str) -> DataFrame:

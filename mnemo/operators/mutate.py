@@ -137,7 +137,8 @@ def create_memories(graph: Graph, requests: DataFrame, now: str) -> Change:
     result = (req.join(clash.withColumn("clash", F.lit(True)), "req_id", "left")
               .select("req_id", "memory_id",
                       F.when(F.col("clash"), "id_exists").otherwise("created").alias("status")))
-    return Change(Graph(graph.nodes.unionByName(new.select(*NODE_COLUMNS)), graph.edges), result)
+    nodes = graph.nodes.select(*NODE_COLUMNS).unionByName(new.select(*NODE_COLUMNS))
+    return Change(Graph(nodes, graph.edges), result)
 
 
 def create_connections(graph: Graph, requests: DataFrame, now: str) -> Change:
@@ -317,7 +318,7 @@ def remember(graph: Graph, requests: DataFrame, now: str) -> Change:
         req = req.withColumn("memory_id", F.lit(None).cast("bigint"))
     req = _assign_ids(req, graph.nodes, "memory_id", "remember-ids")
     new = req.select(*node_row(F.col("memory_id"), F.array(capitalize_first("type")), F.col("props")))
-    g1 = Graph(graph.nodes.unionByName(new.select(*NODE_COLUMNS)), graph.edges)
+    g1 = Graph(graph.nodes.select(*NODE_COLUMNS).unionByName(new.select(*NODE_COLUMNS)), graph.edges)
     links = (resolve_name_or_id(graph.nodes, req.where(F.col("relates_to").isNotNull()), "relates_to")
              .withColumnRenamed("memory_id", "to_id")
              .join(req.select("req_id", F.col("memory_id").alias("from_id")), "req_id")

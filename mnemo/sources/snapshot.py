@@ -1,8 +1,9 @@
 """Graph snapshots on shared storage (Parquet), and result sinks.
 
-A snapshot is a folder with ``nodes/`` (partitioned by ``first_label`` so
-label filters prune whole folders, range-clustered on ``created_at`` so
-date filters skip files and row groups by min/max statistics),
+A snapshot is a folder with ``nodes/`` (partitioned by a fixed number of
+label buckets, so a label filter prunes to one folder however many labels
+exist, and range-clustered on (label, ``created_at``) so label and date
+filters skip files and row groups by min/max statistics),
 ``edges/`` (sorted by ``src``) and ``adjacency/`` (both directions of every
 edge, range-clustered on the node id, for expansion lookups). Snapshots are immutable: every change job
 writes a new one, which doubles as the lineage cut of long job chains.
@@ -18,6 +19,14 @@ from pyspark.sql import functions as F
 from mnemo.model import EDGE_COLUMNS, NODE_COLUMNS, Graph
 from mnemo.session import checkpoint_dir
 
+LABEL_BUCKETS = 64
+
+
+def label_bucket_of(label) -> F.Column:
+    """Partition bucket of a first label. On a literal label Catalyst folds
+    it to a constant, which prunes the snapshot's partition folders."""
+    return F.pmod(F.xxhash64(label), F.lit(LABEL_BUCKETS)).cast("int")
+
 
 def write_graph(graph: Graph, path: str, mode: str = "overwrite", with_adjacency: bool = True) -> str:
     """Write nodes, edges and (by default) the adjacency table.
@@ -33,10 +42,10 @@ def write_graph(graph: Graph, path: str, mode: str = "overwrite", with_adjacency
     # search's label and since-date filters skip whole files and row groups
     # by their statistics; ties (and the many nodes without created_at)
     # are split by id, so no range is a hot spot.
-    order = ["first_label", "created_at", "memory_id"]
-    (graph.nodes.select(*NODE_COLUMNS)
+    order = ["label_bucket", "first_label", "created_at", "memory_id"]
+    (graph.nodes.select(*NODE_COLUMNS).withColumn("label_bucket", label_bucket_of(F.col("first_label")))
      .repartitionByRange(n, *order).sortWithinPartitions(*order)
-     .write.mode(mode).partitionBy("first_label").parquet(f"{path}/nodes"))
+     .write.mode(mode).partitionBy("label_bucket").parquet(f"{path}/nodes"))
     (graph.edges.select(*EDGE_COLUMNS)
      .sortWithinPartitions("src")
      .write.mode(mode).parquet(f"{path}/edges"))
@@ -51,7 +60,8 @@ def write_graph(graph: Graph, path: str, mode: str = "overwrite", with_adjacency
 def read_graph(spark: SparkSession, path: str) -> Graph:
     from mnemo.operators.expand import ADJ_COLUMNS
 
-    nodes = spark.read.parquet(f"{path}/nodes").select(*NODE_COLUMNS)
+    # label_bucket stays visible so label filters can prune folders
+    nodes = spark.read.parquet(f"{path}/nodes").select(*NODE_COLUMNS, "label_bucket")
     edges = spark.read.parquet(f"{path}/edges").select(*EDGE_COLUMNS)
     try:
         adj = spark.read.parquet(f"{path}/adjacency").select(*ADJ_COLUMNS)

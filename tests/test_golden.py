@@ -351,3 +351,16 @@ def test_nested_reply_parts(spark):
     import json
     docs = reply_json(flat, g, depth=1, part_size=3).collect()
     assert sorted(c["memory"]["_id"] for d in docs for c in json.loads(d.json)["connections"]) == list(range(2, 12))
+
+
+def test_changes_on_a_stored_snapshot(spark, tmp_path):
+    from mnemo.sources.snapshot import read_graph, write_graph
+    g0 = graph_from_records(spark, [(1, ["person"], {"name": "a"}), (2, ["place"], {"name": "b"})],
+                            [(10, 1, 2, "AT", {})])
+    g = read_graph(spark, write_graph(g0, str(tmp_path / "snap")))
+    assert [r.memory_id for r in search_candidates(g.nodes, "a", "person").collect()] == [1]
+    req = local_props(spark, [(1, 3, "note", {"name": "c"})], "req_id bigint, memory_id bigint, label string")
+    ch = mutate.create_memories(g, req, now="2026-01-01T00:00:00.000Z")
+    assert sorted(ids(ch.graph.nodes)) == [1, 2, 3]
+    ch2 = mutate.delete_memories(g, spark.createDataFrame([(1, 2)], "req_id bigint, memory_id bigint"))
+    assert sorted(ids(ch2.graph.nodes)) == [1] and ch2.graph.edges.count() == 0

@@ -56,3 +56,4 @@ def test_search_pushes_filters_and_prunes(spark, tmp_path):
     assert "StringContains(search_text,urgent)" in text
     assert "GreaterThanOrEqual(created_at,1998-01-01)" in text
     assert "props" not in text.split("ReadSchema:")[1].split("\n")[0]
+    assert "PartitionFilters: [isnotnull(label_bucket" in text
