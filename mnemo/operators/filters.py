@@ -1,8 +1,8 @@
 """Scans, lookups, filters and projections over node/edge tables.
 
 All predicates are plain Column expressions: Catalyst pushes the label and
-date comparisons into the Parquet scan (and prunes ``first_label``
-partitions of a snapshot), and the text match runs as generated code over
+date comparisons into the Parquet scan (and prunes a snapshot's
+label-bucket folders), and the text match runs as generated code over
 the narrow ``search_text`` column.
 """
 
