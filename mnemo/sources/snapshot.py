@@ -22,6 +22,16 @@ from mnemo.session import checkpoint_dir
 LABEL_BUCKETS = 64
 
 
+def run_parallel(*jobs) -> None:
+    """Run independent write jobs concurrently (Spark schedules jobs from
+    several threads side by side, filling idle task slots)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        for f in [pool.submit(j) for j in jobs]:
+            f.result()
+
+
 def label_bucket_of(label) -> F.Column:
     """Partition bucket of a first label. On a literal label Catalyst folds
     it to a constant, which prunes the snapshot's partition folders."""
@@ -43,17 +53,19 @@ def write_graph(graph: Graph, path: str, mode: str = "overwrite", with_adjacency
     # by their statistics; ties (and the many nodes without created_at)
     # are split by id, so no range is a hot spot.
     order = ["label_bucket", "first_label", "created_at", "memory_id"]
-    (graph.nodes.select(*NODE_COLUMNS).withColumn("label_bucket", label_bucket_of(F.col("first_label")))
-     .repartitionByRange(n, *order).sortWithinPartitions(*order)
-     .write.mode(mode).partitionBy("label_bucket").parquet(f"{path}/nodes"))
-    (graph.edges.select(*EDGE_COLUMNS)
-     .sortWithinPartitions("src")
-     .write.mode(mode).parquet(f"{path}/edges"))
+    jobs = [
+        lambda: (graph.nodes.select(*NODE_COLUMNS).withColumn("label_bucket", label_bucket_of(F.col("first_label")))
+                 .repartitionByRange(n, *order).sortWithinPartitions(*order)
+                 .write.mode(mode).partitionBy("label_bucket").parquet(f"{path}/nodes")),
+        lambda: (graph.edges.select(*EDGE_COLUMNS).sortWithinPartitions("src")
+                 .write.mode(mode).parquet(f"{path}/edges")),
+    ]
     if with_adjacency:
-        adj = adjacency(graph.edges)
         # range bounds on (a, edge_id): a hub node can still span several files
-        (adj.select(*ADJ_COLUMNS).repartitionByRange(n, "a", "edge_id").sortWithinPartitions("a", "edge_id")
-         .write.mode(mode).parquet(f"{path}/adjacency"))
+        jobs.append(lambda: (adjacency(graph.edges).select(*ADJ_COLUMNS)
+                             .repartitionByRange(n, "a", "edge_id").sortWithinPartitions("a", "edge_id")
+                             .write.mode(mode).parquet(f"{path}/adjacency")))
+    run_parallel(*jobs)
     return path
 
 
