@@ -150,6 +150,7 @@ def create_connections(graph: Graph, requests: DataFrame, now: str) -> Change:
     for c, t in (("edge_id", "bigint"), ("props", PROPS_DDL)):
         if c not in req.columns:
             req = req.withColumn(c, F.lit(None).cast(t))
+    req = materialize(requests.sparkSession, req, "connect-requests")
     ok = (req.join(_node_ids(graph.nodes, "from_id"), "from_id")
           .join(_node_ids(graph.nodes, "to_id"), "to_id"))
     ok = _assign_ids(ok, graph.edges, "edge_id", "new-edge-ids")
@@ -188,7 +189,8 @@ def update_memories(graph: Graph, requests: DataFrame) -> Change:
     job)."""
     req = _first_per_key(requests, ["memory_id"])
     dup_ids = req.where(~F.col("first_of_key")).select("memory_id").distinct()
-    good = req.where("first_of_key").join(dup_ids, "memory_id", "left_anti")
+    good = materialize(requests.sparkSession, req.where("first_of_key").join(dup_ids, "memory_id", "left_anti"),
+                       "update-requests")
     hit = materialize(requests.sparkSession, good.join(_node_ids(graph.nodes, "memory_id"), "memory_id"),
                       "update-hits")
     upd = hit.select("memory_id", F.col("props").alias("new_props"))
