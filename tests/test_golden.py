@@ -364,3 +364,13 @@ def test_changes_on_a_stored_snapshot(spark, tmp_path):
     assert sorted(ids(ch.graph.nodes)) == [1, 2, 3]
     ch2 = mutate.delete_memories(g, spark.createDataFrame([(1, 2)], "req_id bigint, memory_id bigint"))
     assert sorted(ids(ch2.graph.nodes)) == [1] and ch2.graph.edges.count() == 0
+
+
+def test_bulk_search_chunks_give_same_result(spark, people):
+    from mnemo.plans.bulk import bulk_search
+    reqs = spark.createDataFrame([("a", "ben", "person", None, 5), ("b", "engineer", None, None, 2),
+                                  ("c", "", None, None, 3), ("d", "zz", None, None, 1)],
+                                 "req_key string, query string, label string, since_date string, limit int")
+    whole = sorted(tuple(r) for r in bulk_search(people.nodes, reqs).collect())
+    split = sorted(tuple(r) for r in bulk_search(people.nodes, reqs, chunk_bytes=100).collect())
+    assert whole == split and len(whole) == 2 + 2 + 3
