@@ -96,6 +96,13 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(p)
 
 
+def materialize_all(spark: SparkSession, items: list[tuple[DataFrame, str]]) -> list[DataFrame]:
+    """:func:`materialize` several independent tables concurrently."""
+    paths = [scratch_path(spark, name) for _, name in items]
+    run_parallel(*[(lambda df=df, p=p: df.write.parquet(p)) for (df, _), p in zip(items, paths)])
+    return [spark.read.parquet(p) for p in paths]
+
+
 def to_json_lines(df: DataFrame) -> DataFrame:
     """One JSON document per row (the reference replies with JSON text)."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
