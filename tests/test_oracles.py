@@ -57,3 +57,16 @@ def test_search_pushes_filters_and_prunes(spark, tmp_path):
     assert "GreaterThanOrEqual(created_at,1998-01-01)" in text
     assert "props" not in text.split("ReadSchema:")[1].split("\n")[0]
     assert "PartitionFilters: [isnotnull(label_bucket" in text
+
+
+def test_expansion_pushes_seed_ids_and_never_shuffles_connections(spark, tmp_path):
+    from mnemo.plans.search import search_memories
+    from mnemo.sources.snapshot import read_graph, write_graph
+    from mnemo.sources.testgraph import build_graph
+
+    g = read_graph(spark, write_graph(build_graph(spark, SF001), str(tmp_path / "g")))
+    flat = search_memories(g, query="urgent high", label="order", since_date="1998-01-01", limit=10, depth=1)
+    text = plan_text(flat)
+    assert "PushedFilters: [In(a," in text          # seed ids reach the adjacency scan
+    assert "SortMergeJoin" not in text              # connections are never shuffled to meet the seeds
+    assert flat.count() > 0
