@@ -374,3 +374,22 @@ def test_bulk_search_chunks_give_same_result(spark, people):
     whole = sorted(tuple(r) for r in bulk_search(people.nodes, reqs).collect())
     split = sorted(tuple(r) for r in bulk_search(people.nodes, reqs, chunk_bytes=100).collect())
     assert whole == split and len(whole) == 2 + 2 + 3
+
+
+def test_legacy_recall_rules(spark):
+    from mnemo.operators.filters import phrase_search_all_props, recent_memories
+    from mnemo.plans.search import recall
+    g = graph_from_records(spark, [(1, ["Person"], {"name": "Ann Lee", "created_at": "2025-05-30T00:00:00.000Z"}),
+                                   (2, ["person"], {"name": "Ann Roe", "created_at": "2025-01-01T00:00:00.000Z"}),
+                                   (3, ["Person"], {"name": "Bob", "context": "met Ann"})],
+                           [(9, 1, 3, "KNOWS", {})])
+    # the type is capitalised before it is compared with the first label
+    assert sorted(ids(phrase_search_all_props(g.nodes, "Ann", "person"))) == [1, 3]
+    # case-sensitive phrase, any property
+    assert ids(phrase_search_all_props(g.nodes, "ann")) == []
+    with pytest.raises(ValueError):
+        recall(g, "Ann", order_by="name")                       # strict order_by
+    flat = recall(g, "Ann", type_="person", order_by="n.name ASC", depth=0)
+    assert seed_ids(flat) == [1, 3] and flat.where("distance = 1").count() == 2   # depth 0 reads as 1
+    recent = recent_memories(g.nodes, "2025-06-01T00:00:00Z", days=7)
+    assert ids(recent) == [1]
