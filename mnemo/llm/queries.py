@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemo.llm import byte_bpe, html_extract, mixing, piece_counts, quality_classifier, quality_rules, simhash
+from mnemo.llm import byte_bpe, html_extract, minhash, mixing, piece_counts, quality_classifier, quality_rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compare_edits(_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_token_counts": op4_token_counts,
+    "op5_fingerprints": op5_fingerprints,
     "op6_mixing": op6_mixing,
     "op7_html_extraction": op7_html_extraction,
     "op9_quality_rules": op9_quality_rules,
