@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemo.llm import byte_bpe, html_extract, minhash, mixing, piece_counts, quality_classifier, quality_rules, simhash
+from mnemo.llm import byte_bpe, html_extract, lm_score, minhash, mixing, piece_counts, quality_classifier, quality_rules, quote_links, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -39,6 +43,10 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op8_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.reply_ordered(_table(spark, sf_dir, "conversations"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rule_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -50,10 +58,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_lm_score": op3_lm_score,
     "op4_token_counts": op4_token_counts,
     "op5_fingerprints": op5_fingerprints,
     "op6_mixing": op6_mixing,
     "op7_html_extraction": op7_html_extraction,
+    "op8_quote_links": op8_quote_links,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
