@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from mnemo.llm.words import arrow
 
@@ -314,7 +315,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
     arrow(docs.sparkSession)
     schema = docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches):
         c = codec(path, pattern)

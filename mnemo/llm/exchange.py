@@ -12,10 +12,12 @@ Keys go to shards by hash and are distinct within a block, so a frequent key
 costs a shard one entry per block. The number of shards is the session's
 number of shuffle partitions, as for any other Spark shuffle.
 
-Blocks are made twice, once for the messages and once for the documents'
-side. A block is named by a hash of its content, and a block whose answers
-are missing raises an error, so an input that is not read in the same order
-each time fails and never gives wrong sums; pass tables read from storage.
+With ``keep`` the blocks are made once and written to the shared checkpoint
+folder (less work, more disk); without, they are made twice, once for the
+messages and once for the documents' side. A block is named by a hash of its
+content, and a block whose answers are missing raises an error, so an input
+that is not read in the same order each time fails and never gives wrong
+sums; pass tables read from storage.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from mnemo.llm.words import arrow
+from mnemo.sources.snapshot import materialize
 
 BLOCK_BYTES = 16_000_000
 MESSAGE = "block string, shard int, payload binary"
@@ -90,7 +93,7 @@ def name(block: pa.Table) -> str:
     return h.hexdigest()
 
 
-def ask(docs: DataFrame, questions: Callable, answer: Callable, combine: Callable, schema) -> DataFrame:
+def ask(docs: DataFrame, questions: Callable, answer: Callable, combine: Callable, schema, keep: bool = False) -> DataFrame:
     """Rows of ``schema`` made from every block and its answers.
 
     ``questions(block, shards)`` gives (state, {shard: message}) for a
@@ -102,10 +105,10 @@ def ask(docs: DataFrame, questions: Callable, answer: Callable, combine: Callabl
     arrow(spark)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
-    def rows(batches, want_state: bool):
+    def rows(batches, what: str):
         for block in blocks(batches):
             state, messages = questions(block, shards)
-            mine = [(-1, state)] if want_state else sorted(messages.items())
+            mine = [(-1, state)] * (what != "messages") + sorted(messages.items()) * (what != "states")
             yield pa.RecordBatch.from_arrays([pa.array([name(block)] * len(mine), pa.string()), pa.array([s for s, _ in mine], pa.int32()),
                                               pa.array([p for _, p in mine], pa.binary())], ["block", "shard", "payload"])
 
@@ -122,8 +125,12 @@ def ask(docs: DataFrame, questions: Callable, answer: Callable, combine: Callabl
         got = dict(zip(answers["shard"].tolist(), answers["payload"]))
         return pd.concat([combine(s, got) for s in states["payload"]]) if len(states) else pd.DataFrame(columns=names)
 
-    messages = docs.mapInArrow(lambda it: rows(it, False), MESSAGE)
-    states = docs.mapInArrow(lambda it: rows(it, True), MESSAGE)
+    if keep:
+        both = materialize(spark, docs.mapInArrow(lambda it: rows(it, "both"), MESSAGE), "blocks")
+        messages, states = both.where("shard >= 0"), both.where("shard < 0")
+    else:
+        messages = docs.mapInArrow(lambda it: rows(it, "messages"), MESSAGE)
+        states = docs.mapInArrow(lambda it: rows(it, "states"), MESSAGE)
     answers = messages.groupBy("shard").applyInPandas(reply, MESSAGE)
     names = schema.fieldNames()
     return states.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(meet, schema)

@@ -152,15 +152,17 @@ def in_order(pdf) -> list[tuple[np.ndarray, np.ndarray, int]]:
     return [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), int(y)) for i, v, y in zip(pdf.idx, pdf.val, pdf.y)]
 
 
-def fitted(features: DataFrame, fit, sample: int) -> bytes:
+def fitted(features: DataFrame, fit) -> bytes:
     """The model that one task makes of the bounded training rows."""
     import pandas as pd
 
+    none = pd.DataFrame({"key": [], "y": [], "idx": [], "val": []})
+
     def train(batches):
-        yield pd.DataFrame({"model": [fit(pd.concat(list(batches)))]})
+        yield pd.DataFrame({"model": [fit(pd.concat([none, *batches]))]})
 
     got = features.repartition(1).mapInPandas(train, "model binary").collect()
-    return bytes(got[0][0])
+    return bytes(got[0][0]) if got else fit(none)
 
 
 __all__ = ["char_grams", "fitted", "in_doc", "in_order", "margins", "mix", "remainder", "rows", "shape_grams", "training_rows", "word_grams"]

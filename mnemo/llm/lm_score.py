@@ -194,7 +194,8 @@ def _answer(messages: list[bytes], hot: dict[int, int], order: int) -> list[byte
         at = 2 + (k - 1) * 4
         key = np.concatenate([a[at].astype(_U) | a[at + 1].astype(_U) << _U(32) for a in asked])
         path = np.repeat(backs[-1], kids).astype(_U) << _U(BITS[k]) | key
-        # the successors of a path stay below 2**(64 - bits) paths of a shard
+        if len(keys[-1]) >> (64 - BITS[k]):
+            raise ValueError("too many n-grams in one shard; raise spark.sql.shuffle.partitions")
         path, back = np.unique(path, return_inverse=True)
         counts.append(np.bincount(back, weights=np.concatenate([a[at + 2].astype(np.float64) for a in asked]), minlength=len(path)))
         backs.append(back)

@@ -127,5 +127,5 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
                              "n_bytes": size.astype(np.int64), "n_tokens": total[first[1:]] - total[first[:-1]]})
 
     schema = docs.select(F.col("doc_id").cast("long").alias("doc_id")).schema.add("n_bytes", "long").add("n_tokens", "long")
-    counted = ask(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), questions, answer, combine, schema)
+    counted = ask(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), questions, answer, combine, schema, keep=True)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

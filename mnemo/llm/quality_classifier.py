@@ -59,32 +59,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, eligible: Colu
         return model.weights().astype(np.float32).tobytes()
 
     arrow(docs.sparkSession)
-    model = fitted(training_rows(docs, labels, "quality", sample, BITS, FAMILIES, eligible), train, sample)
+    model = fitted(training_rows(docs, labels, "quality", sample, BITS, FAMILIES, eligible), train)
     return np.frombuffer(model, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """``keep`` columns of every document and its score."""
+def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(row, score): every document as a struct of its columns, and its score."""
     arrow(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    schema = docs.select(*keep).schema.add("score", "double")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("_text"))
 
     def run(batches):
         for b in batches:
             s = sigmoid(margins(b.column("_text"), shared.value, BITS, FAMILIES))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s)], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(s)], ["row", "score"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.select("row").schema.add("score", "double"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     weights = fit(docs, labels, eligible=remainder(HELD_OUT) != 0)
-    return score(docs, weights, ["doc_id"]).select(
-        "doc_id", (remainder(HELD_OUT) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = score(docs.select("doc_id", "text"), weights).select(F.col("row.doc_id").alias("doc_id"), "score")
+    return scored.select("doc_id", (remainder(HELD_OUT) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """The rows of ``docs`` that the classifier predicts to be good."""
-    weights = fit(docs, labels, eligible=remainder(HELD_OUT) != 0)
-    return score(docs, weights, docs.columns).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    return score(docs, weights).where(F.col("score") >= THRESHOLD).select("row.*")

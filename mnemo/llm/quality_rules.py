@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
     arrow(docs.sparkSession)
     features = training_rows(docs, labels, "quality", sample, BITS, FAMILIES)
-    return np.frombuffer(fitted(features, train, sample), np.float32)
+    return np.frombuffer(fitted(features, train), np.float32)
 
 
 def _platt(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -131,36 +131,38 @@ def _platt(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a / scale), float(b)
 
 
-def judge(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """``keep`` columns of every document, its counts and the verdicts."""
+def judge(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(row, COUNTS, base_failed, probability): every document as a struct
+    of its columns, its counts and the verdicts."""
     arrow(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    schema = docs.select(*keep).schema
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("_text"))
+    schema = rows.select("row").schema
     for c in COUNTS:
-        schema = schema.add(f"_{c}", "long")
-    schema = schema.add("_p", "double")
+        schema = schema.add(c, "long")
+    schema = schema.add("probability", "double")
 
     def run(batches):
         for b in batches:
             texts = b.column("_text")
             n = counts(texts)
             p = sigmoid(margins(texts, shared.value, BITS, FAMILIES))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(n[:, k]) for k in range(5)), pa.array(p)], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(n[:, k]) for k in range(5)), pa.array(p)], schema.names)
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
+    return rows.mapInArrow(run, schema).select("row", *COUNTS, failed.alias("base_failed"), "probability")
 
 
-def _failed():
-    return (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > MAX_REPEAT * F.col("_n_words"))
+def _kept():
+    return ~F.col("base_failed") & (F.col("probability") >= KEEP)
 
 
 def rule_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, kept and the model's probability."""
-    judged = judge(docs, fit(docs, labels), ["doc_id"])
-    return judged.select("doc_id", *(F.col(f"_{c}").alias(c) for c in COUNTS), _failed().alias("base_failed"),
-                         (~_failed() & (F.col("_p") >= KEEP)).alias("kept"), F.col("_p").alias("probability"))
+    judged = judge(docs.select("doc_id", "text"), fit(docs, labels))
+    return judged.select(F.col("row.doc_id").alias("doc_id"), *COUNTS, "base_failed", _kept().alias("kept"), "probability")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """The rows of ``docs`` that pass the base rules and the model."""
-    return judge(docs, fit(docs, labels), docs.columns).where(~_failed() & (F.col("_p") >= KEEP)).select(*docs.columns)
+    return judge(docs, weights).where(_kept()).select("row.*")

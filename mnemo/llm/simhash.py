@@ -171,13 +171,11 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Of rows that share the doc_id one stays. Rows without a doc_id stay
     only if their whole group has none, then one for each distinct row.
     """
-    named = docs.where(F.col("doc_id").isNotNull())
     g = groups(docs)
-    heads = g.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias("doc_id")).distinct()
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = named.join(heads, "doc_id").withColumn("_rank", rank).where("_rank = 1").select(*docs.columns)
-    lost = g.where(F.col("component_id").isNull()).select("fp").distinct()
-    if lost.isEmpty():
+    heads = g.where(F.col("component_id").isNotNull()).select("component_id").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tie"))
+    rank = F.row_number().over(Window.partitionBy("_id").orderBy("_tie"))
+    kept = rows.join(heads, F.col("_id") == F.col("component_id")).withColumn("_rank", rank).where("_rank = 1").select("row.*")
+    if g.where(F.col("component_id").isNull()).limit(1).isEmpty():
         return kept
-    unnamed = docs.where(F.col("doc_id").isNull()).dropDuplicates()
-    return kept.unionByName(unnamed)
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates())
