@@ -9,7 +9,7 @@ every block in the same order, and the answers meet the block's documents
 again in one cogroup. All shuffles are Spark's; payloads are numpy arrays.
 
 Keys go to shards by hash and are distinct within a block, so a frequent key
-costs a shard one entry per block. The number of shards is the session's
+costs a shard one entry per block. The number of shards follows the session's
 number of shuffle partitions, as for any other Spark shuffle.
 
 With ``keep`` the blocks are made once and written to the shared checkpoint
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from mnemo.llm.words import arrow
 from mnemo.sources.snapshot import materialize
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 6_000_000
 MESSAGE = "block string, shard int, payload binary"
 _DTYPES = ["<u1", "<u2", "<u4", "<u8", "<i8", "<f4"]
 
@@ -69,14 +69,14 @@ def narrow(a: np.ndarray) -> np.ndarray:
     return a.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
 
 
-def blocks(batches: Iterable[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[pa.Table]:
+def blocks(batches: Iterable[pa.RecordBatch], most: int | None = None) -> Iterator[pa.Table]:
     """Tables of about ``most`` bytes, in input order."""
     held, size = [], 0
     for b in batches:
         if b.num_rows:
             held.append(b)
             size += b.nbytes
-        if size >= most:
+        if size >= (most or BLOCK_BYTES):
             yield pa.Table.from_batches(held).combine_chunks()
             held, size = [], 0
     if held:
@@ -93,7 +93,8 @@ def name(block: pa.Table) -> str:
     return h.hexdigest()
 
 
-def ask(docs: DataFrame, questions: Callable, answer: Callable, combine: Callable, schema, keep: bool = False) -> DataFrame:
+def ask(docs: DataFrame, questions: Callable, answer: Callable, combine: Callable, schema, shards: int | None = None,
+        keep: bool = False) -> DataFrame:
     """Rows of ``schema`` made from every block and its answers.
 
     ``questions(block, shards)`` gives (state, {shard: message}) for a
@@ -103,7 +104,7 @@ def ask(docs: DataFrame, questions: Callable, answer: Callable, combine: Callabl
     """
     spark = docs.sparkSession
     arrow(spark)
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def rows(batches, what: str):
         for block in blocks(batches):

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.llm.words import arrow
+from mnemo.sources.snapshot import materialize
 
 MIN_PAGES = 5       # distinct pages of the host that have the subtree
 SHARE = 0.2         # ... and their share of the host's distinct pages
@@ -276,7 +277,10 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = S
     total = once.where("page = hash").groupBy("host").agg(F.count("*").alias("pages"))
     common = (once.where("page <> hash").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
               .join(total, "host").where(F.col("n") >= share * F.col("pages")).select("host", "hash"))
-    hits = (found.where("page <> hash").join(common, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("templates")))
+    hits = found.where("page <> hash").join(common, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("templates"))
+    # written first: the planner then knows its size, and sends few hits to
+    # the pages instead of shuffling the pages to meet them
+    hits = materialize(pages.sparkSession, hits, "template-hits")
 
     def text(batches):
         for b in batches:

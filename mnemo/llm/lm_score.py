@@ -45,6 +45,7 @@ ORDER = 3
 MU = (1000.0, 3.0, 2.0, 2.0)    # of orders 2, 3, 4, 5
 DISCOUNT = 0.75
 STEP = 0.03                     # of a byte code, in log10
+SHARDS = 4                      # per shuffle partition of the session
 FREQUENT = 64                   # words per shard looked at for the list of frequent words
 HELD_OUT = 1                    # crc32(doc_id) mod 5 of rows that are not learnt from
 BITS = [64, 40, 32, 32, 32]     # of a word's hash, by level
@@ -92,24 +93,30 @@ class Paths:
         pad = order - 1
         size = n + pad + 1
         first = np.concatenate([[0], np.cumsum(size)])
-        seq = np.full(int(first[-1]), begin, dtype=np.int64)
-        doc_of = np.repeat(np.arange(docs), n)
-        seq[np.arange(len(u)) + doc_of * (pad + 1) + pad] = u
-        seq[first[1:] - 1] = end
-        place = np.arange(len(seq)) - np.repeat(first[:-1], size)
+        place = (np.arange(int(first[-1])) - np.repeat(first[:-1], size)).astype(np.int32)
         self.said = place >= pad                      # tokens, not padding
+        seq = np.full(len(place), begin, dtype=np.int32)
+        spoken = self.said.copy()
+        spoken[first[1:] - 1] = False
+        seq[spoken] = u
+        seq[first[1:] - 1] = end
+        del spoken
         self.tokens = n + 1
         learnt = np.repeat(train, size) & self.said
         self.node, self.parent, self.last = [seq], [None], [np.arange(n_words)]
-        self.count = [np.bincount(seq[learnt], minlength=n_words)]
+        self.count = [np.bincount(seq[learnt], minlength=n_words).astype(np.int32)]
         for k in range(1, order):
-            at = np.flatnonzero(place >= k)
-            path = np.zeros(len(seq), dtype=np.int64)
-            distinct, path[at] = np.unique(self.node[k - 1][at - 1] * n_words + seq[at], return_inverse=True)
+            at = place >= k
+            before = np.zeros(len(seq), dtype=bool)
+            before[:-1] = at[1:]
+            distinct, found = np.unique(self.node[k - 1][before] * np.int64(n_words) + seq[at], return_inverse=True)
+            path = np.zeros(len(seq), dtype=np.int32)
+            path[at] = found
+            del found, before
             self.node.append(path)
-            self.parent.append(distinct // n_words)
-            self.last.append(distinct % n_words)
-            self.count.append(np.bincount(path[learnt], minlength=len(distinct)))
+            self.parent.append((distinct // n_words).astype(np.int32))
+            self.last.append((distinct % n_words).astype(np.int32))
+            self.count.append(np.bincount(path[learnt], minlength=len(distinct)).astype(np.int32))
 
     def deal(self, tags: np.ndarray, hot: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Which shard answers which node: (roots, [(nodes, cuts) per level]).
@@ -118,11 +125,11 @@ class Paths:
         later levels are ordered by shard; cuts[s]:cuts[s + 1] is shard s.
         """
         n_words = len(tags)
-        home = _shard(tags, shards)
+        home = _shard(tags, shards).astype(np.int32)
         split = (home[self.parent[1]] + _shard(tags[self.last[1]].astype(np.int64) + 77, shards)) % shards
         where = np.where(hot[self.parent[1]], split, home[self.parent[1]])
         cold = np.flatnonzero(~hot)
-        roots = np.unique(np.concatenate([where * n_words + self.parent[1], home[cold] * n_words + cold]))
+        roots = np.unique(np.concatenate([where.astype(np.int64) * n_words + self.parent[1], home[cold] * n_words + cold]))
         out = [(roots, np.searchsorted(roots, np.arange(shards + 1) * n_words))]
         for k in range(1, len(self.node)):
             if k > 1:
@@ -144,7 +151,7 @@ def _prepare(block: pa.Table, hot: dict[int, int], shards: int, order: int):
     tags = (mix(words) >> _U(48 if shards <= 8192 else 32)).astype("<u2" if shards <= 8192 else "<u4")
     known = np.fromiter(hot, dtype=_U, count=len(hot))
     is_hot = np.isin(words, known)
-    return words, u[:-2], n, train, begin, end, tags, is_hot
+    return words, u[:-2].astype(np.int32), n, train, begin, end, tags, is_hot
 
 
 def _shares(cuts, k: int, s: int):
@@ -188,6 +195,7 @@ def _answer(messages: list[bytes], hot: dict[int, int], order: int) -> list[byte
     asked = [unpack(m) for m in messages]
     # level by level, the distinct paths of all blocks
     words, back = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+    back = back.astype(np.int32)
     backs, keys, parents, counts = [back], [words], [None], []
     kids = np.concatenate([a[1].astype(np.int64) for a in asked])
     for k in range(1, order):
@@ -198,7 +206,7 @@ def _answer(messages: list[bytes], hot: dict[int, int], order: int) -> list[byte
             raise ValueError("too many n-grams in one shard; raise spark.sql.shuffle.partitions")
         path, back = np.unique(path, return_inverse=True)
         counts.append(np.bincount(back, weights=np.concatenate([a[at + 2].astype(np.float64) for a in asked]), minlength=len(path)))
-        backs.append(back)
+        backs.append(back.astype(np.int32))
         parents.append((path >> _U(BITS[k])).astype(np.int64))
         keys.append(path & _U((1 << BITS[k]) - 1))
         if k + 1 < order:
@@ -272,7 +280,7 @@ def _combine(state: bytes, replies: dict[int, bytes], shards: int, n_train: int,
     import pandas as pd
 
     ids, null, train, n, u, tags, hot_at, hot_count, (begin, end) = unpack(state)
-    n, u = n.astype(np.int64), u.astype(np.int64)
+    n, u = n.astype(np.int64), u.astype(np.int32)
     is_hot = np.zeros(len(tags), dtype=bool)
     is_hot[hot_at.astype(np.int64)] = True
     paths = Paths(u, n, train.astype(bool), len(tags), int(begin), int(end), order)
@@ -286,31 +294,32 @@ def _combine(state: bytes, replies: dict[int, bytes], shards: int, n_train: int,
     count[hot_at.astype(np.int64)] = hot_count.astype(np.int64)
 
     def placed(k: int, column: int) -> np.ndarray:
-        out = np.zeros(len(paths.last[k]))
+        out = np.zeros(len(paths.last[k]), dtype=np.float32)
         out[cuts[k][0]] = _SHARE[np.concatenate([g[column] for g in got])]
         return out
 
-    said = paths.said
-    seen = np.flatnonzero(said)
+    said, before = paths.said, np.zeros(len(paths.said), dtype=bool)
+    before[:-1] = said[1:]
+    doc = np.repeat(np.arange(len(n), dtype=np.int32), paths.tokens)
+    add = lambda x: np.bincount(doc, weights=x, minlength=len(n))
+    words = paths.node[0][said]
     c = count.copy()
     c[begin] = 0
-    words = paths.node[0][seen]
-    base = np.log10((c + 0.5) / (n_train + 0.5 * (n_types + 1)))[words]
+    base = add(np.log10((c + 0.5) / (n_train + 0.5 * (n_types + 1)))[words])
+    known = add((c > 0)[words]).astype(np.int64)
     p = ((np.maximum(c - DISCOUNT, 0) + DISCOUNT * n_types / (n_types + 1)) / n_train if n_train else np.full(len(c), 1.0))[words]
+    del words
+    rest = (MU[0] / (count + MU[0]))[paths.node[0][before]]
     column = 1
     for k in range(1, order):
-        share = placed(k, column)[paths.node[k][seen]]
-        if k == 1:
-            rest = (MU[0] / (count + MU[0]))[paths.node[0][seen - 1]]
-        else:
-            rest = placed(k - 1, column - 1)[paths.node[k - 1][seen - 1]]
+        p *= rest
+        p += placed(k, column)[paths.node[k][said]]
+        if k + 1 < order:
+            rest = placed(k, column + 1)[paths.node[k][before]]
             rest[rest == 0] = 1.0
-        p = share + rest * p
-        column += 1 + (k + 1 < order)
-    doc = np.repeat(np.arange(len(n)), paths.tokens)
-    add = lambda x: np.bincount(doc, weights=x, minlength=len(n))
+        column += 2
     return pd.DataFrame({"doc_id": pd.array([None if z else int(i) for i, z in zip(ids, null)], dtype="Int64"), "n_tokens": paths.tokens,
-                         "n_known": add(c[words] > 0).astype(np.int64), "base_score": add(base), "score": add(np.log10(p))})
+                         "n_known": known, "base_score": base, "score": add(np.log10(p))})
 
 
 def word_counts(docs: DataFrame) -> tuple[int, int, dict[int, int]]:
@@ -359,10 +368,11 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder(5) != HELD_OUT).alias("train"))
     spark = docs.sparkSession
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # a shard is taken up whole by a task, so it is a part of a partition
+    shards = SHARDS * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     n, v, hot = word_counts(docs)
     schema = (docs.select("doc_id").schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double"))
     scored = ask(docs, lambda block, s: _ask_block(block, s, hot, order), lambda shard, messages: _answer(messages, hot, order),
-                 lambda state, replies: _combine(state, replies, shards, n, v, order), schema)
+                 lambda state, replies: _combine(state, replies, shards, n, v, order), schema, shards)
     return scored.select("doc_id", (remainder(5) == HELD_OUT).alias("held_out"), "n_tokens", "n_known",
                          F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
