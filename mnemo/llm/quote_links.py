@@ -156,10 +156,11 @@ def _reply_order(tree: DataFrame) -> DataFrame:
     # downs, deep: sums over the places from this one up to before the next
     tour = materialize(spark, down.unionByName(up), "tour")
     while not tour.where("next is not null").limit(1).isEmpty():
+        # places that have reached the end of their list stay as they are
         ahead = tour.select(F.col("at").alias("next"), F.col("next").alias("then"), F.col("downs").alias("d"), F.col("deep").alias("e"))
-        tour = materialize(spark, tour.join(ahead, "next", "left").select(
-            "at", F.col("then").alias("next"), (F.col("downs") + F.coalesce("d", F.lit(0))).alias("downs"),
-            (F.col("deep") + F.coalesce("e", F.lit(0))).alias("deep")), "tour")
+        nearer = tour.where("next is not null").join(ahead, "next").select(
+            "at", F.col("then").alias("next"), (F.col("downs") + F.col("d")).alias("downs"), (F.col("deep") + F.col("e")).alias("deep"))
+        tour = materialize(spark, tour.where("next is null").unionByName(nearer), "tour")
     # downs: messages from here to the end of the tree; deep: minus the depth
     return tour.where(F.col("at") % 2 == 0).select((F.col("at") / 2).cast("long").alias("n"), "downs", (-F.col("deep")).alias("depth"))
 
