@@ -84,6 +84,18 @@ class Monotone:
     def successor(self, value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The first position in begin..end whose number is at least value
         (end if there is none): a search inside each context's range."""
+        return self._search(value, begin, end)[0]
+
+    def position(self, value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The position in begin..end of the number value itself, or -1: its
+        successor, if that has the same high part and the same low bits."""
+        at, last = self._search(value, begin, end)
+        hit = at < last
+        hit[hit] = self._low(at[hit]) == value[hit].astype(_U) & _U((1 << self.width) - 1)
+        return np.where(hit, at, -1)
+
+    def _search(self, value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(successors, ends of the numbers with the value's high part)."""
         value = value.astype(_U)
         h = np.minimum((value >> _U(self.width)).astype(np.int64), self.top)
         # numbers with a smaller high part come before the h-th zero's place
@@ -98,7 +110,7 @@ class Monotone:
             lo[live] = np.where(less, mid + 1, lo[live])
             hi[live] = np.where(less, hi[live], mid)
             live = live[lo[live] < hi[live]]
-        return lo
+        return lo, np.clip(last, begin, end)
 
 
 class Trie:
@@ -144,12 +156,13 @@ class Trie:
             ask = np.flatnonzero(parent >= 0)
             up = parent[ask]
             ptr = self.levels[k - 1]["next"]
-            begin, end = ptr.get(up).astype(np.int64), ptr.get(up + 1).astype(np.int64)
+            if 2 * len(up) > ptr.n:     # many questions: read each pointer once
+                every = ptr.get(np.arange(ptr.n)).astype(np.int64)
+                begin, end = every[up], every[up + 1]
+            else:
+                begin, end = ptr.get(up).astype(np.int64), ptr.get(up + 1).astype(np.int64)
             want = up.astype(_U) << _U(self.bits[k]) | key[ask]
-        at = nodes.successor(want, begin, end)
-        hit = at < end
-        hit[hit] = nodes.get(at[hit]) == want[hit]
-        out[ask[hit]] = at[hit]
+        out[ask] = nodes.position(want, begin, end)
         return out
 
     def save(self, path: str) -> None:

@@ -94,7 +94,7 @@ def name(block: pa.Table) -> str:
 
 
 def ask(docs: DataFrame, questions: Callable, answer: Callable, combine: Callable, schema, shards: int | None = None,
-        keep: bool = False) -> DataFrame:
+        block_bytes: int | None = None, keep: bool = False) -> DataFrame:
     """Rows of ``schema`` made from every block and its answers.
 
     ``questions(block, shards)`` gives (state, {shard: message}) for a
@@ -107,7 +107,7 @@ def ask(docs: DataFrame, questions: Callable, answer: Callable, combine: Callabl
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def rows(batches, what: str):
-        for block in blocks(batches):
+        for block in blocks(batches, block_bytes):
             state, messages = questions(block, shards)
             mine = [(-1, state)] * (what != "messages") + sorted(messages.items()) * (what != "states")
             yield pa.RecordBatch.from_arrays([pa.array([name(block)] * len(mine), pa.string()), pa.array([s for s, _ in mine], pa.int32()),

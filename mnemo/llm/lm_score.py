@@ -45,6 +45,8 @@ ORDER = 3
 MU = (1000.0, 3.0, 2.0, 2.0)    # of orders 2, 3, 4, 5
 DISCOUNT = 0.75
 STEP = 0.03                     # of a byte code, in log10
+COUNT_BYTES = 24_000_000        # of documents whose words are counted at once
+BLOCK_BYTES = 9_000_000         # of documents whose n-grams are asked at once
 SHARDS = 4                      # per shuffle partition of the session
 FREQUENT = 64                   # words per shard looked at for the list of frequent words
 HELD_OUT = 1                    # crc32(doc_id) mod 5 of rows that are not learnt from
@@ -331,7 +333,7 @@ def word_counts(docs: DataFrame) -> tuple[int, int, dict[int, int]]:
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def count(batches):
-        for block in blocks(batches):
+        for block in blocks(batches, COUNT_BYTES):
             h, n = _tokens(block)
             h = np.concatenate([h, np.full(len(n), END, dtype=_U)])
             words, times = np.unique(h, return_counts=True)
@@ -373,6 +375,6 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     n, v, hot = word_counts(docs)
     schema = (docs.select("doc_id").schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double"))
     scored = ask(docs, lambda block, s: _ask_block(block, s, hot, order), lambda shard, messages: _answer(messages, hot, order),
-                 lambda state, replies: _combine(state, replies, shards, n, v, order), schema, shards)
+                 lambda state, replies: _combine(state, replies, shards, n, v, order), schema, shards, block_bytes=BLOCK_BYTES)
     return scored.select("doc_id", (remainder(5) == HELD_OUT).alias("held_out"), "n_tokens", "n_known",
                          F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
