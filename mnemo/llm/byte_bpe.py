@@ -38,7 +38,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from mnemo.llm.words import arrow
 
 STATES = 150_000    # deterministic states kept before the tables start anew
-WORDS = 600_000     # pre-tokens whose ids are kept before that table starts anew
+WORDS = 300_000     # pre-tokens whose ids are kept before that table starts anew
 PORTION = 1 << 16   # ids handed to the decoder at once
 
 

@@ -171,11 +171,23 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Of rows that share the doc_id one stays. Rows without a doc_id stay
     only if their whole group has none, then one for each distinct row.
     """
-    g = groups(docs)
-    heads = g.where(F.col("component_id").isNotNull()).select("component_id").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tie"))
-    rank = F.row_number().over(Window.partitionBy("_id").orderBy("_tie"))
-    kept = rows.join(heads, F.col("_id") == F.col("component_id")).withColumn("_rank", rank).where("_rank = 1").select("row.*")
-    if g.where(F.col("component_id").isNull()).limit(1).isEmpty():
+    spark = docs.sparkSession
+    g = materialize(spark, groups(docs).select("doc_id", "component_id"), "simhash-groups")
+    heads = g.where("component_id is not null").select(F.col("component_id").alias("_id")).distinct()
+    ids = g.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"))
+    # only the ids that go, written first: where they are few, the planner
+    # sends them to the documents instead of shuffling the texts
+    losers = materialize(spark, ids.join(heads, "_id", "left_anti").select("_id"), "simhash-losers")
+    # columns by reference: the documents may have columns of any name
+    kept = docs.where(docs["doc_id"].isNotNull()).join(losers, docs["doc_id"] == losers["_id"], "left_anti")
+    repeated = materialize(spark, ids.where("n > 1").join(heads, "_id").select("_id"), "simhash-repeated")
+    if not repeated.isEmpty():
+        again = docs["doc_id"] == repeated["_id"]
+        rows = kept.join(repeated, again, "left_semi").select(
+            F.struct(*docs.columns).alias("row"), docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_tie"))
+        rank = F.row_number().over(Window.partitionBy("_id").orderBy("_tie"))
+        one = rows.withColumn("_rank", rank).where("_rank = 1").select("row.*")
+        kept = kept.join(repeated, again, "left_anti").unionByName(one)
+    if g.where("component_id is null").limit(1).isEmpty():
         return kept
     return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates())
