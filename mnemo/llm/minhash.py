@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from mnemo.llm.words import Words, arrow, mix, raw, runs, windows
 
@@ -109,10 +110,11 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``fingerprint``."""
+    """``docs`` with a column ``fingerprint`` (one of that name is replaced)."""
     arrow(docs.sparkSession)
+    docs = docs.drop("fingerprint")
     keep = docs.columns
-    schema = docs.schema.add("fingerprint", "string")
+    schema = StructType([*docs.schema.fields, StructField("fingerprint", StringType())])
 
     def run(batches):
         for b in batches:
