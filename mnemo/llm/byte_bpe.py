@@ -64,6 +64,11 @@ class Transducer:
         self.edge_memo: dict[int, tuple] = {}
         self._restart()
 
+    def forget(self) -> None:
+        self.stable_memo.clear()
+        self.edge_memo.clear()
+        self._restart()
+
     def _restart(self) -> None:
         self.state_of: dict[tuple[int, bytes], int] = {}
         self.states: list[tuple] = []       # (pending bytes, chain ends, positions that may grow)
@@ -280,6 +285,11 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.packed: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Free what was learnt from texts; the ranks stay."""
+        self.packed.clear()
+        self.transducer.forget()
+
     def _pack(self, piece: str) -> bytes:
         ids = _pack(self.transducer.encode(piece.encode()))
         if len(self.packed) >= WORDS:
@@ -317,8 +327,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
     if with_ids:
         schema = schema.add("ids", ArrayType(IntegerType()))
 
-    def run(batches):
-        c = codec(path, pattern)
+    def rows(c: Codec, batches):
         for b in batches:
             n, coded, decoded, kept = [], [], [], []
             for text in b.column("text").to_pylist():
@@ -334,4 +343,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
             cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(kept, pa.list_(pa.int32()))] if with_ids else []), schema.names)
 
+    def run(batches):
+        c = codec(path, pattern)
+        try:
+            yield from rows(c, batches)
+        finally:
+            c.forget()      # the worker goes on to other tasks
+
     return docs.select("doc_id", "text").mapInArrow(run, schema)
