@@ -150,6 +150,6 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def arrow(spark, rows: int = 1000) -> None:
+def arrow(spark, rows: int = 200) -> None:
     """Arrow batches of at most ``rows`` rows: texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
