@@ -32,9 +32,10 @@ def main() -> None:
     from mnemo.plans.search import search_memories
     from mnemo.session import get_session
     from mnemo.sources.requests import parse_log_lines
-    from mnemo.sources.snapshot import materialize, read_graph, scratch_path, write_graph
+    from mnemo.sources.snapshot import materialize, read_graph, release_run, scratch_path, write_graph
     from mnemo.sources.testgraph import K, build_graph, read_table
-    from mnemo.streaming.replay import replay_log_delta, write_delta
+    from mnemo.operators.delta import write_delta
+    from mnemo.streaming.replay import replay_log_delta
 
     spark = get_session(master=f"local[{CPUS}]", shuffle_partitions=int(CPUS) * 2, app_name="mnemo-bench")
     spark.sparkContext.setLogLevel("ERROR")
@@ -54,21 +55,29 @@ def main() -> None:
     # the log as its producer would store it: JSON lines in evenly sized files
     log = materialize(spark, _log_lines(spark, SF_DIR).repartition(int(CPUS) * 2), "bench-log")
 
-    def write_change(change, name):
-        write_graph(change.graph, scratch_path(spark, name), with_adjacency=False)
+    def write_snapshot(change, name):
+        write_graph(change.graph, scratch_path(spark, name))
         change.result.write.parquet(scratch_path(spark, name + "-result"))
 
+    def write_change(change, name):
+        write_delta(change.delta, scratch_path(spark, name), results=change.result)
+
+    def replay():
+        delta, results, _ = replay_log_delta(graph, parse_log_lines(log), NOW)
+        write_delta(delta, scratch_path(spark, "bench-replay"), results=results)
+
     queries = {
         "search_memories": lambda: search_memories(graph, depth=1, **flag).collect(),
         "expand_depth2": lambda: search_memories(graph, depth=2, **flag).collect(),
         "search_match_all": lambda: search_memories(graph, limit=200, depth=0).collect(),
         "bulk_search": lambda: bulk_search(graph.nodes, requests).collect(),
         "label_summary": lambda: stats.label_summary(graph.nodes).collect(),
-        "delete_memories": lambda: write_change(mutate.delete_memories(graph, deletes), "bench-delete"),
-        # a replay persists what changed (upserts + deleted ids); compaction
-        # into a full snapshot is a separate, periodic job
-        "replay_log": lambda: write_delta(replay_log_delta(graph, parse_log_lines(log), NOW)[0],
-                                          scratch_path(spark, "bench-replay")),
+        # the whole new snapshot, adjacency included
+        "delete_memories": lambda: write_snapshot(mutate.delete_memories(graph, deletes), "bench-delete"),
+        # what changed (rows and deleted ids); merging it into a full
+        # snapshot is a separate, periodic job
+        "delete_delta": lambda: write_change(mutate.delete_memories(graph, deletes), "bench-delete-delta"),
+        "replay_log": replay,
     }
     times: dict[str, float] = {}
     for name, fn in queries.items():
@@ -91,6 +100,7 @@ def main() -> None:
         "runs": RUNS,
     }
     print(json.dumps(out))
+    release_run(spark)
     spark.stop()
 
 

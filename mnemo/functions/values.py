@@ -1,13 +1,15 @@
 """Property values (PV) and their text forms.
 
 A memory's or connection's properties are a ``MAP<STRING, PV>`` where
-``PV = STRUCT<kind, text, num, items>``:
+``PV = STRUCT<kind, text, num, items, item_kind>``:
 
 * ``kind``  -- 'string' | 'number' | 'boolean' | 'array'
 * ``text``  -- the value's JavaScript ``toString()`` form, which is what
   search matches against (arrays: elements joined by one space)
 * ``num``   -- the value as DOUBLE for numbers, else null
 * ``items`` -- the elements of an array, as text, else null
+* ``item_kind`` -- the kind of an array's elements (an array holds one
+  scalar kind), so that ``[1, 2]`` and ``["1", "2"]`` stay apart
 
 All helpers return Column expressions built from built-in functions, so
 they stay inside whole-stage code generation.
@@ -24,9 +26,10 @@ PV_TYPE = T.StructType([
     T.StructField("text", T.StringType()),
     T.StructField("num", T.DoubleType()),
     T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("item_kind", T.StringType()),
 ])
 PROPS_TYPE = T.MapType(T.StringType(), PV_TYPE)
-PV_DDL = "struct<kind:string,text:string,num:double,items:array<string>>"
+PV_DDL = "struct<kind:string,text:string,num:double,items:array<string>,item_kind:string>"
 PROPS_DDL = f"map<string,{PV_DDL}>"
 
 # Sort rank of each kind in ascending order (arrays first, numbers last,
@@ -39,20 +42,47 @@ def _col(c) -> Column:
 
 
 def js_number_text(c) -> Column:
-    """JavaScript ``Number.prototype.toString`` for ordinary doubles.
+    """JavaScript ``Number.prototype.toString`` of a double.
 
-    ``5.0 -> '5'``, ``1e7 -> '10000000'``, ``0.0001 -> '0.0001'``,
-    ``24.99 -> '24.99'``. Goes through DECIMAL(38,18) via the shortest
-    decimal string, so it is exact for |d| < 1e20 with up to 18 decimals;
-    outside that range (and for NaN/Infinity) Spark's own text is used.
+    ``5.0 -> '5'``, ``1e7 -> '10000000'``, ``24.99 -> '24.99'``, ``1e-7 ->
+    '1e-7'``, ``1e20 -> '100000000000000000000'``, ``1e21 -> '1e+21'``. The
+    digits are those of the JVM's own text of the double; whole numbers and
+    the range that the JVM prints plainly take shorter ways to the same text.
     """
     c = _col(c)
-    dec = c.cast("string").try_cast("decimal(38,18)")
-    trimmed = F.regexp_replace(dec.cast("string"), r"\.?0+$", "")
-    # '0.000' trims to '' only for zero itself; keep it as '0'.
-    trimmed = F.when(trimmed == F.lit(""), F.lit("0")).otherwise(trimmed)
-    return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(
-        F.coalesce(trimmed, c.cast("string")))
+    size = F.abs(c)
+    whole = (size < F.lit(1e15)) & (c == F.floor(c))
+    plain = (size >= F.lit(1e-3)) & (size < F.lit(1e7))
+    text = size.cast("string")
+    mantissa = F.regexp_extract(text, r"^([0-9.]+)", 1)
+    before = F.substring_index(mantissa, ".", 1)
+    digits = F.regexp_replace(mantissa, r"\.", "")
+    shown = F.regexp_replace(digits, r"^0+|0+$", "")
+    exponent = F.coalesce(F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    leading = F.length(digits) - F.length(F.regexp_replace(digits, r"^0+", ""))
+    # the value is 0.<shown> * 10**point
+    point = F.length(before) + exponent - leading
+    count = F.length(shown)
+    first = F.substring(shown, 1, 1)
+    rest = shown.substr(F.lit(2), F.greatest(count - 1, F.lit(0)))
+    power = point - 1
+    scientific = F.concat(first, F.when(count > 1, F.concat(F.lit("."), rest)).otherwise(""), F.lit("e"),
+                          F.when(power < 0, "-").otherwise("+"), F.abs(power).cast("string"))
+    general = (F.when((count <= point) & (point <= 21), F.rpad(shown, point, "0"))
+               .when((point > 0) & (point <= 21), F.concat(shown.substr(F.lit(1), point), F.lit("."),
+                                                           shown.substr(point + 1, count)))
+               .when((point > -6) & (point <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), shown))
+               .otherwise(scientific))
+    sign = F.when(c < 0, "-").otherwise("")
+    return (F.when(c.isNull(), F.lit(None).cast("string"))
+            .when(F.isnan(c), "NaN").when(size == float("inf"), F.concat(sign, F.lit("Infinity")))
+            .when(whole, c.cast("bigint").cast("string"))
+            .when(plain, c.cast("string"))
+            .otherwise(F.concat(sign, general)))
+
+
+def _no_items() -> list[Column]:
+    return [F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("string").alias("item_kind")]
 
 
 def pv_string(c) -> Column:
@@ -60,14 +90,14 @@ def pv_string(c) -> Column:
     return F.when(c.isNotNull(), F.struct(
         F.lit("string").alias("kind"), c.cast("string").alias("text"),
         F.lit(None).cast("double").alias("num"),
-        F.lit(None).cast("array<string>").alias("items")))
+        *_no_items()))
 
 
 def pv_number(c) -> Column:
     c = _col(c).cast("double")
     return F.when(c.isNotNull(), F.struct(
         F.lit("number").alias("kind"), js_number_text(c).alias("text"),
-        c.alias("num"), F.lit(None).cast("array<string>").alias("items")))
+        c.alias("num"), *_no_items()))
 
 
 def pv_boolean(c) -> Column:
@@ -75,16 +105,19 @@ def pv_boolean(c) -> Column:
     return F.when(c.isNotNull(), F.struct(
         F.lit("boolean").alias("kind"), c.cast("string").alias("text"),
         F.lit(None).cast("double").alias("num"),
-        F.lit(None).cast("array<string>").alias("items")))
+        *_no_items()))
 
 
-def pv_array(c) -> Column:
-    """An array of scalars (given as text). Null elements print as ''."""
-    c = _col(c).cast("array<string>")
+def pv_array(c, item_kind: str = "string") -> Column:
+    """An array of scalars of one kind. Numbers are given as doubles, other
+    kinds as text; null elements print as ''."""
+    c = _col(c)
+    c = F.transform(c.cast("array<double>"), js_number_text) if item_kind == "number" else c.cast("array<string>")
     text = F.array_join(F.transform(c, lambda x: F.coalesce(x, F.lit(""))), " ")
     return F.when(c.isNotNull(), F.struct(
         F.lit("array").alias("kind"), text.alias("text"),
-        F.lit(None).cast("double").alias("num"), c.alias("items")))
+        F.lit(None).cast("double").alias("num"), c.alias("items"),
+        F.when(F.size(c) > 0, F.lit(item_kind)).alias("item_kind")))
 
 
 def props_map(*pairs: tuple[str, Column]) -> Column:
@@ -127,22 +160,33 @@ def is_falsy(pv) -> Column:
             | ((pv["kind"] == "boolean") & (pv["text"] == "false")))
 
 
-def order_keys(pv, descending: bool) -> list[Column]:
-    """Sort keys for a property value with mixed types.
-
-    Ascending: arrays < strings < booleans < numbers < missing; descending
-    is the exact reverse, so a missing value comes first.
-    """
+def sort_values(pv) -> list[Column]:
+    """The values that a property with mixed types is compared by, in turn:
+    rank of its kind, array, text, number (null where they do not apply)."""
     pv = _col(pv)
     rank = F.when(pv.isNull(), F.lit(None).cast("int"))
     for kind, r in KIND_RANK.items():
         rank = rank.when(pv["kind"] == kind, F.lit(r))
-    keys = [
+    number = pv["item_kind"] == "number"
+    item_rank = F.when(number, KIND_RANK["number"]).when(pv["item_kind"] == "boolean", KIND_RANK["boolean"]).otherwise(KIND_RANK["string"])
+    return [
         rank,
-        F.when(pv["kind"] == "array", pv["items"]),
+        F.when(pv["kind"] == "array", F.transform(pv["items"], lambda x: F.struct(
+            item_rank.alias("rank"), F.when(number, F.lit(None)).otherwise(x).alias("text"),
+            F.when(number, x.try_cast("double")).alias("num")))),
         F.when(pv["kind"].isin("string", "boolean"), pv["text"]),
         F.when(pv["kind"] == "number", pv["num"]),
     ]
+
+
+def order_keys(pv, descending: bool) -> list[Column]:
+    """Sort keys for a property value with mixed types.
+
+    Ascending: arrays < strings < booleans < numbers < missing; descending
+    is the exact reverse, so a missing value comes first. Arrays compare
+    element by element by the same rules (numbers as numbers), a shorter
+    array before a longer one that begins with it.
+    """
     if descending:
-        return [k.desc_nulls_first() for k in keys]
-    return [k.asc_nulls_last() for k in keys]
+        return [k.desc_nulls_first() for k in sort_values(pv)]
+    return [k.asc_nulls_last() for k in sort_values(pv)]

@@ -82,6 +82,23 @@ class Graph:
     # both directions of every edge, stored sorted by node id in snapshots
     # (see mnemo.operators.expand.adjacency); derived from edges when absent
     adj: DataFrame | None = None
+    # the highest ids ever given out, as stored with a snapshot; ids are not
+    # reused after a deletion, so these may lie above the highest stored ids
+    node_high: int | None = None
+    edge_high: int | None = None
+    # the graph that this one was made from by a change, while the marks of
+    # that graph are not known as numbers
+    older: "Graph | None" = None
+
+    def high_water(self, id_col: str) -> int:
+        """The highest id ever given out (0 without any): the stored mark, or
+        the maximum over this graph's table and those of the graphs before."""
+        known = self.node_high if id_col == "memory_id" else self.edge_high
+        if known is not None:
+            return known
+        table = self.nodes if id_col == "memory_id" else self.edges
+        top = table.agg(F.max(id_col)).first()[0] or 0
+        return max(int(top), self.older.high_water(id_col) if self.older is not None else 0)
 
     def register(self, prefix: str = "") -> "Graph":
         """Expose the tables to ``spark.sql`` as ``nodes`` and ``edges``."""

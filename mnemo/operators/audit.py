@@ -8,12 +8,15 @@ legacy ``content`` to ``name``); here they run as distributed jobs.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemo.functions.values import empty_props, null_pv, pv_string
+from mnemo.functions.values import empty_props, pv_string
 from mnemo.model import EDGE_COLUMNS, NODE_COLUMNS, Graph, edge_row, node_row
-from mnemo.operators.mutate import _assign_ids, apply_node_props
+from mnemo.operators.delta import GraphDelta, apply_delta
+from mnemo.operators.mutate import assign_ids
 
 
 def audit_label_case(nodes: DataFrame) -> DataFrame:
@@ -72,35 +75,45 @@ def promote_property(graph: Graph, key: str, holder_label: str, new_label: str,
     """Distinct string values of ``key`` on nodes whose first label is
     ``holder_label`` become nodes (``new_label``, ``{name: value}``), each
     holder gets an ``edge_type`` connection to its value's node, and the
-    property is removed from the holders. Ids of new nodes and edges are
-    assigned above the current maxima.
+    property is removed from the holders, by a rewrite of the rows in one
+    scan. Ids of new nodes and edges are assigned above all given out.
     """
     pv = F.col("props")[key]
     holders = (graph.nodes.where((F.col("first_label") == holder_label) & (pv["kind"] == "string"))
                .select("memory_id", pv["text"].alias("value")))
     values = holders.select("value").distinct().withColumn("memory_id", F.lit(None).cast("bigint"))
-    values = _assign_ids(values, graph.nodes, "memory_id", "promoted-values")
+    values, node_high = assign_ids(values, graph, "memory_id", "promoted-values")
     new_nodes = values.select(*node_row(F.col("memory_id"), F.array(F.lit(new_label)),
                                         F.create_map(F.lit(name_key), pv_string(F.col("value")))))
     links = (holders.withColumnRenamed("memory_id", "src")
              .join(values.withColumnRenamed("memory_id", "dst"), "value")
              .withColumn("edge_id", F.lit(None).cast("bigint")))
-    links = _assign_ids(links, graph.edges, "edge_id", "promoted-links")
+    links, edge_high = assign_ids(links, graph, "edge_id", "promoted-links")
     new_edges = links.select(*edge_row(F.col("edge_id"), F.col("src"), F.col("dst"), F.lit(edge_type),
                                        empty_props()))
-    removal = holders.select("memory_id", F.create_map(F.lit(key), null_pv()).alias("new_props"))
-    nodes = apply_node_props(graph.nodes, removal).unionByName(new_nodes.select(*NODE_COLUMNS))
-    return Graph(nodes, graph.edges.unionByName(new_edges.select(*EDGE_COLUMNS)))
+    holds = (F.col("first_label") == holder_label) & (pv["kind"] == "string")
+    nodes = _rewritten(graph.nodes, holds, F.map_filter("props", lambda k, v: k != F.lit(key)))
+    return apply_delta(replace(graph, nodes=nodes), GraphDelta(
+        node_inserts=new_nodes.select(*NODE_COLUMNS), edge_inserts=new_edges.select(*EDGE_COLUMNS), node_high=node_high, edge_high=edge_high))
+
+
+def _rewritten(nodes: DataFrame, where: F.Column, props: F.Column) -> DataFrame:
+    """All nodes in one scan, with ``props`` for those that match ``where``
+    (their derived columns are recomputed, the others' are kept)."""
+    todo = F.coalesce(where, F.lit(False))
+    fresh = dict(zip(NODE_COLUMNS, node_row(F.col("memory_id"), F.col("labels"), props)))
+    return nodes.select(*(F.when(todo, fresh[c]).otherwise(F.col(c)).alias(c) for c in NODE_COLUMNS))
 
 
 def migrate_property(graph: Graph, src_key: str = "content", dst_key: str = "name") -> Graph:
     """Where ``dst_key`` is missing and ``src_key`` present, move the
     value to ``dst_key`` (legacy ``content`` -> ``name``)."""
     props = F.col("props")
-    todo = (graph.nodes.where(props[src_key].isNotNull() & props[dst_key].isNull())
-            .select("memory_id", F.create_map(F.lit(src_key), null_pv(), F.lit(dst_key), props[src_key])
-                    .alias("new_props")))
-    return Graph(apply_node_props(graph.nodes, todo), graph.edges)
+    todo = props[src_key].isNotNull() & props[dst_key].isNull()
+    moved = F.map_from_entries(F.concat(
+        F.filter(F.map_entries(props), lambda e: ~e["key"].isin(src_key, dst_key)),
+        F.array(F.struct(F.lit(dst_key).alias("key"), props[src_key].alias("value")))))
+    return replace(graph, nodes=_rewritten(graph.nodes, todo, moved))
 
 
 __all__ = ["audit_label_case", "audit_type_case", "audit_isolated", "audit_duplicate_names",

@@ -11,9 +11,9 @@ the trail's edge ids carried as an array to enforce edge uniqueness.
 The adjacency table holds every edge once per direction (a self-loop
 once) and, in a snapshot, is sorted by ``a`` so the first level reads only
 the row groups around the seeds. Seeds are at most the search limit, so
-the first level always broadcasts them; later frontiers are counted and
-broadcast only under ``BROADCAST_ROWS``, otherwise both sides are
-shuffled on the node id (AQE splits skewed hubs).
+a search's first level broadcasts them. Larger seed sets and later
+frontiers carry no hint: adaptive execution measures their bytes and either
+broadcasts them or shuffles both sides on the node id, splitting skewed hubs.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 1_000_000
 # Levels between lineage cuts of long expansions (each cut writes the
 # frontier to the shared checkpoint folder).
 CHECKPOINT_EVERY = 3
@@ -37,12 +36,10 @@ def adjacency(edges: DataFrame) -> DataFrame:
     """Both directions of every edge as ``(a, b, edge_id, type, outgoing)``
     (``outgoing``: the edge is stored as a -> b); a self-loop appears once,
     since both of its directions are the same step."""
-    fwd = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "edge_id", "type",
-                       F.lit(True).alias("outgoing"))
-    rev = edges.where(F.col("src") != F.col("dst")).select(
-        F.col("dst").alias("a"), F.col("src").alias("b"), "edge_id", "type",
-        F.lit(False).alias("outgoing"))
-    return fwd.unionByName(rev)
+    out = F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("outgoing"))
+    back = F.struct(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(False).alias("outgoing"))
+    steps = F.when(F.col("src") == F.col("dst"), F.array(out)).otherwise(F.array(out, back))
+    return edges.select("edge_id", "type", F.explode(steps).alias("s")).select("s.a", "s.b", "edge_id", "type", "s.outgoing")
 
 
 def _out(level: DataFrame, k: int) -> DataFrame:
@@ -63,11 +60,9 @@ def _first_level(seeds: DataFrame, adj: DataFrame, seed_ids: list[int] | None,
                     F.col("outgoing").alias("first_outgoing"), F.array("edge_id").alias("path")))
 
 
-def _next_level(frontier: DataFrame, adj: DataFrame, small: bool) -> DataFrame:
+def _next_level(frontier: DataFrame, adj: DataFrame) -> DataFrame:
     f = frontier.select("memory_id", F.col("node").alias("a"), "first_edge", "first_type",
                         "first_outgoing", "path")
-    if small:
-        f = F.broadcast(f)
     return (f.join(adj.select("a", "b", "edge_id"), "a")
             .where(~F.array_contains("path", F.col("edge_id")))
             .select("memory_id", F.col("b").alias("node"), "first_edge", "first_type",
@@ -75,14 +70,14 @@ def _next_level(frontier: DataFrame, adj: DataFrame, small: bool) -> DataFrame:
 
 
 def expand(seeds: DataFrame, adj: DataFrame, depth: int, seed_ids: list[int] | None = None,
-           seeds_small: bool | None = None, broadcast_rows: int = BROADCAST_ROWS,
-           first_level: list | None = None, persisted: list | None = None) -> DataFrame:
+           seeds_small: bool = False, first_level: list | None = None,
+           persisted: list | None = None, depths: DataFrame | None = None) -> DataFrame:
     """All trails of length 1..depth from each seed (``seeds.memory_id``).
 
     ``seeds`` must hold distinct ids. Pass ``seeds_small=True`` when their
     number has a known small bound (a search's top-k, at most the limit
-    cap); otherwise they are counted and broadcast only under
-    ``broadcast_rows``.
+    cap); only then are they broadcast by a hint. ``depths`` (memory_id,
+    depth) stops each seed's trails at its own depth.
     Returns distinct ``(memory_id, related_id, first_edge, first_type,
     first_outgoing, distance)`` (type and direction belong to the first
     edge, so they do not change distinctness).
@@ -98,9 +93,7 @@ def expand(seeds: DataFrame, adj: DataFrame, depth: int, seed_ids: list[int] | N
     spark = seeds.sparkSession
     if depth <= 0:
         return spark.createDataFrame([], RESULT_DDL)
-    if seeds_small is None:
-        seeds_small = seed_ids is not None or seeds.count() <= broadcast_rows
-    level = _first_level(seeds, adj, seed_ids, seeds_small)
+    level = _first_level(seeds, adj, seed_ids, seeds_small or seed_ids is not None)
     outs = [_out(level, 1)]
     first = level
     for k in range(2, depth + 1):
@@ -110,12 +103,12 @@ def expand(seeds: DataFrame, adj: DataFrame, depth: int, seed_ids: list[int] | N
             level = level.persist(StorageLevel.MEMORY_AND_DISK)
             if persisted is not None:
                 persisted.append(level)
-        n = level.count()
-        if n == 0:
+        if level.limit(1).isEmpty():
             break
         if k == 2:
             first = level
-        level = _next_level(level, adj, small=n <= broadcast_rows)
+        wanted = level if depths is None else level.join(depths.where(F.col("depth") >= k).select("memory_id"), "memory_id", "left_semi")
+        level = _next_level(wanted, adj)
         outs.append(_out(level, k))
     if first_level is not None:
         first_level.append(first)

@@ -8,6 +8,8 @@ the narrow ``search_text`` column.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -121,10 +123,14 @@ def phrase_search_all_props(nodes: DataFrame, query: str, label: str | None = No
 
 def recent_memories(nodes: DataFrame, asof: str, days: int = 7) -> DataFrame:
     """Created less than ``days`` before ``asof`` (an ISO-8601 text, a job
-    parameter so results are reproducible), newest first."""
+    parameter so results are reproducible), newest first. A text that is no
+    timestamp is not recent. The day before the window's first day is also
+    pushed to the scan as text: stored times are ISO-8601, which sorts as
+    text, and a time zone moves a time by less than a day."""
     start = F.to_timestamp(F.lit(asof)) - F.make_interval(days=F.lit(days))
-    ts = F.to_timestamp("created_at")
-    return (nodes.where(ts > start)
+    ts = F.try_to_timestamp("created_at")
+    floor = (datetime.fromisoformat(asof.replace("Z", "+00:00")) - timedelta(days=days + 1)).strftime("%Y-%m-%d")
+    return (nodes.where((F.col("created_at") >= floor) & (ts > start))
             .select("memory_id", "first_label", "created_at")
             .orderBy(F.col("created_at").desc_nulls_first(), "memory_id"))
 

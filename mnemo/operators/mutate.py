@@ -1,9 +1,9 @@
 """Graph changes as set-based jobs.
 
-Each job takes the current tables and a DataFrame of requests and returns
-``Change(graph, result)``: the new node/edge tables (nothing is changed in
-place; write them as a new snapshot) and one result row per request with a
-``status``.
+Each job takes the current tables and a DataFrame of requests and returns a
+``Change``: the delta (rows added, replaced and removed; its size follows the
+requests), one result row per request with a ``status``, and, when asked for,
+``graph``: the merged tables (nothing is changed in place).
 
 Request tables (``props`` is ``MAP<STRING, PV>``; in updates a null value
 removes the key):
@@ -27,21 +27,15 @@ shuffle join.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemo.fixed import RELATES_TO, SOURCE_NOT_FOUND, TARGET_NOT_FOUND
 from mnemo.functions.values import PROPS_DDL, is_falsy, props_map, pv_string
-from mnemo.model import EDGE_COLUMNS, NODE_COLUMNS, Graph, edge_row, node_row, with_node_derived
-from mnemo.sources.snapshot import materialize
-
-
-@dataclass(frozen=True)
-class Change:
-    graph: Graph
-    result: DataFrame
+from mnemo.model import EDGE_COLUMNS, NODE_COLUMNS, Graph, edge_row, node_row
+from mnemo.operators.delta import Change, GraphDelta, apply_delta
+from mnemo.operators.ordered import running
+from mnemo.sources.snapshot import connection_json, materialize, memory_json
 
 
 def merge_props(old, new) -> Column:
@@ -71,26 +65,29 @@ def with_created_at(props, now: str) -> Column:
                        .otherwise(F.create_map().cast(PROPS_DDL)))
 
 
-def _next_ids(df: DataFrame, existing_max: int, id_col: str) -> DataFrame:
-    """Fill missing ids above every existing id: a unique, never reused
-    value per row (partition index in the high bits), computed inside each
-    task -- no global window, no single-task numbering."""
-    return df.withColumn(id_col, F.coalesce(
-        F.col(id_col), F.lit(existing_max + 1) + F.monotonically_increasing_id()))
-
-
-def _assign_ids(req: DataFrame, table: DataFrame, id_col: str, name: str) -> DataFrame:
-    """Give rows without ``id_col`` a fresh id. The filled table is
-    written to the shared folder once, so every later use (new rows,
-    result rows, links) sees the same ids even if tasks are re-run."""
-    if not req.where(F.col(id_col).isNull()).limit(1).count():
-        return req
-    return materialize(req.sparkSession, _next_ids(req, _max_id(table, id_col), id_col), name)
-
-
-def _max_id(df: DataFrame, col: str) -> int:
-    v = df.agg(F.max(col)).first()[0]
-    return int(v) if v is not None else 0
+def assign_ids(req: DataFrame, graph: Graph, id_col: str, name: str) -> tuple[DataFrame, int | None]:
+    """Give rows without ``id_col`` a fresh id, above every id that was ever
+    given out and above every id supplied in the same batch. Rows are
+    counted inside each task and numbered on from the counts of the tasks
+    before (one row per task). They are written to the shared folder first,
+    so every later use (new rows, result rows, links) sees the same ids even
+    if tasks are re-run. Returns the table and the new high-water mark (None
+    while the graph's own mark is unknown and was not needed)."""
+    seen = req.agg(F.count(F.when(F.col(id_col).isNull(), 1)).alias("missing"), F.max(id_col).alias("top")).first()
+    known = graph.node_high if id_col == "memory_id" else graph.edge_high
+    if not seen.missing:
+        return req, None if known is None else max(known, seen.top or 0)
+    start = max(graph.high_water(id_col), seen.top or 0) + 1
+    rows = materialize(req.sparkSession, req.withColumn("_at", F.monotonically_increasing_id()), name)
+    bare = rows.where(F.col(id_col).isNull()).withColumn("_task", F.shiftright("_at", 33))
+    tasks = bare.groupBy("_task").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first"))
+    begin = tasks.select("_task", (F.sum("n").over(Window.orderBy("_task")) - F.col("n")).alias("_before"))
+    # place among the rows of its task that lack an id
+    place = F.row_number().over(Window.partitionBy("_task").orderBy("_at")) - 1
+    filled = (bare.withColumn("_place", place).join(F.broadcast(begin), "_task")
+              .withColumn(id_col, (F.lit(start) + F.col("_before") + F.col("_place")).cast("bigint")))
+    out = rows.where(F.col(id_col).isNotNull()).select(*req.columns).unionByName(filled.select(*req.columns))
+    return out, start + seen.missing - 1
 
 
 def _node_ids(nodes: DataFrame, alias: str) -> DataFrame:
@@ -126,10 +123,10 @@ def create_memories(graph: Graph, requests: DataFrame, now: str) -> Change:
     """M1/M2: one new node per request (never de-duplicated), ``created_at``
     defaulted to ``now``. Ids come from ``memory_id`` when given (an id
     already in use is reported ``id_exists`` and not created), otherwise
-    they are assigned above the current maximum."""
+    they are assigned above every id ever given out."""
     req = requests if "memory_id" in requests.columns else requests.withColumn(
         "memory_id", F.lit(None).cast("bigint"))
-    req = _assign_ids(req, graph.nodes, "memory_id", "new-memory-ids")
+    req, high = assign_ids(req, graph, "memory_id", "new-memory-ids")
     clash = materialize(req.sparkSession, _id_clash(req, graph.nodes, "memory_id"), "create-clash")
     ok = req.join(clash, "req_id", "left_anti")
     new = ok.select(*node_row(F.col("memory_id"), F.array(F.col("label")),
@@ -137,8 +134,7 @@ def create_memories(graph: Graph, requests: DataFrame, now: str) -> Change:
     result = (req.join(clash.withColumn("clash", F.lit(True)), "req_id", "left")
               .select("req_id", "memory_id",
                       F.when(F.col("clash"), "id_exists").otherwise("created").alias("status")))
-    nodes = graph.nodes.select(*NODE_COLUMNS).unionByName(new.select(*NODE_COLUMNS))
-    return Change(Graph(nodes, graph.edges), result)
+    return Change(graph, GraphDelta(node_inserts=new.select(*NODE_COLUMNS), node_high=high), result)
 
 
 def create_connections(graph: Graph, requests: DataFrame, now: str) -> Change:
@@ -153,7 +149,7 @@ def create_connections(graph: Graph, requests: DataFrame, now: str) -> Change:
     req = materialize(requests.sparkSession, req, "connect-requests")
     ok = (req.join(_node_ids(graph.nodes, "from_id"), "from_id")
           .join(_node_ids(graph.nodes, "to_id"), "to_id"))
-    ok = _assign_ids(ok, graph.edges, "edge_id", "new-edge-ids")
+    ok, high = assign_ids(ok, graph, "edge_id", "new-edge-ids")
     clash = materialize(req.sparkSession, _id_clash(ok, graph.edges, "edge_id"), "connect-clash")
     ok = ok.join(clash, "req_id", "left_anti")
     props = F.coalesce(drop_null_values("props"),
@@ -164,22 +160,18 @@ def create_connections(graph: Graph, requests: DataFrame, now: str) -> Change:
               .select("req_id", "edge_id",
                       F.when(F.col("clash"), "id_exists")
                       .when(F.col("edge_id").isNull(), "no_match").otherwise("created").alias("status")))
-    return Change(Graph(graph.nodes, graph.edges.unionByName(new.select(*EDGE_COLUMNS))), result)
+    return Change(graph, GraphDelta(edge_inserts=new.select(*EDGE_COLUMNS), edge_high=high), result)
 
 
 # ------------------------------------------------------------------ updates
 
-def apply_node_props(nodes: DataFrame, upd: DataFrame, replace: bool = False) -> DataFrame:
-    """Left-join ``upd(memory_id, new_props)`` (unique ids) and merge (or,
-    with ``replace``, substitute) the properties; derived columns are
-    recomputed only on the rows that changed."""
-    j = nodes.join(upd, "memory_id", "left")
-    changed = F.col("new_props").isNotNull()
+def changed_nodes(nodes: DataFrame, upd: DataFrame, replace: bool = False) -> DataFrame:
+    """The rows of ``nodes`` named by ``upd(memory_id, new_props)`` (unique
+    ids) with the properties merged (or, with ``replace``, substituted) and
+    the derived columns recomputed."""
+    j = nodes.join(upd, "memory_id")
     props = F.col("new_props") if replace else merge_props("props", "new_props")
-    fresh = dict(zip(NODE_COLUMNS, node_row(F.col("memory_id"), F.col("labels"), props)))
-    derived = ("created_at", "created_pv", "search_text", "props")
-    return j.select(*[F.when(changed, fresh[c]).otherwise(F.col(c)).alias(c) if c in derived
-                      else F.col(c) for c in NODE_COLUMNS])
+    return j.select(*node_row(F.col("memory_id"), F.col("labels"), props)).select(*NODE_COLUMNS)
 
 
 def update_memories(graph: Graph, requests: DataFrame) -> Change:
@@ -194,13 +186,12 @@ def update_memories(graph: Graph, requests: DataFrame) -> Change:
     hit = materialize(requests.sparkSession, good.join(_node_ids(graph.nodes, "memory_id"), "memory_id"),
                       "update-hits")
     upd = hit.select("memory_id", F.col("props").alias("new_props"))
-    nodes = apply_node_props(graph.nodes, upd)
     result = (req.join(hit.select("req_id", F.lit(True).alias("hit")), "req_id", "left")
               .join(dup_ids.withColumn("dup", F.lit(True)), "memory_id", "left")
               .select("req_id", "memory_id",
                       F.when(F.col("dup"), "rejected_duplicate")
                       .when(F.col("hit"), "applied").otherwise("no_match").alias("status")))
-    return Change(Graph(nodes.select(*NODE_COLUMNS), graph.edges), result)
+    return Change(graph, GraphDelta(node_upserts=changed_nodes(graph.nodes, upd)), result)
 
 
 def update_connections(graph: Graph, requests: DataFrame) -> Change:
@@ -212,18 +203,16 @@ def update_connections(graph: Graph, requests: DataFrame) -> Change:
     good = materialize(requests.sparkSession, req.where("first_of_key").join(dup, key, "left_anti"),
                        "update-connection-requests")
     upd = good.select(*key, F.col("props").alias("new_props"))
-    edges = (graph.edges.join(upd, key, "left")
-             .withColumn("props", F.when(F.col("new_props").isNull(), F.col("props"))
-                         .otherwise(merge_props("props", "new_props")))
-             .select(*EDGE_COLUMNS))
-    touched = graph.edges.join(good.select(*key), key).groupBy(*key).agg(
+    changed = materialize(requests.sparkSession, graph.edges.join(upd, key).withColumn(
+        "props", merge_props("props", "new_props")).select(*EDGE_COLUMNS), "changed-connections")
+    touched = changed.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_matched"), F.min("edge_id").alias("edge_id"))
     result = (req.join(touched, key, "left").join(dup.withColumn("dup", F.lit(True)), key, "left")
               .select("req_id", F.col("src").alias("from_id"), F.col("dst").alias("to_id"), "type",
                       F.coalesce("n_matched", F.lit(0)).alias("n_matched"), "edge_id",
                       F.when(F.col("dup"), "rejected_duplicate")
                       .when(F.col("n_matched") > 0, "applied").otherwise("no_match").alias("status")))
-    return Change(Graph(graph.nodes, edges), result)
+    return Change(graph, GraphDelta(edge_upserts=changed), result)
 
 
 # ------------------------------------------------------------------ deletes
@@ -233,15 +222,23 @@ def delete_memories(graph: Graph, requests: DataFrame) -> Change:
     direction. ``deletedCount`` is 1 for the first request naming an
     existing node, 0 otherwise."""
     ids = materialize(requests.sparkSession, requests.select("memory_id").distinct(), "delete-ids")
-    found = graph.nodes.select("memory_id").join(ids, "memory_id")
-    nodes = graph.nodes.join(ids, "memory_id", "left_anti")
-    edges = (graph.edges.join(ids.withColumnRenamed("memory_id", "src"), "src", "left_anti")
-             .join(ids.withColumnRenamed("memory_id", "dst"), "dst", "left_anti"))
+    found = materialize(requests.sparkSession, graph.nodes.select("memory_id").join(ids, "memory_id"), "deleted-ids")
     req = _first_per_key(requests, ["memory_id"])
     result = (req.join(found.withColumn("found", F.lit(True)), "memory_id", "left")
               .select("req_id", "memory_id",
                       F.when(F.col("found") & F.col("first_of_key"), 1).otherwise(0).alias("deletedCount")))
-    return Change(Graph(nodes.select(*NODE_COLUMNS), edges.select(*EDGE_COLUMNS)), result)
+    return Change(graph, GraphDelta(node_deletes=found, edge_deletes=edges_at(graph, found)), result)
+
+
+def edges_at(graph: Graph, ids: DataFrame) -> DataFrame:
+    """Ids of the connections that touch ``ids(memory_id)``, either
+    direction; from the adjacency table where there is one, since that is
+    clustered by node id."""
+    at = ids.select(F.col("memory_id").alias("a"))
+    if graph.adj is not None:
+        return graph.adj.select("a", "edge_id").join(at, "a").select("edge_id").distinct()
+    ends = graph.edges.select("edge_id", F.explode(F.array("src", "dst")).alias("a"))
+    return ends.join(at, "a").select("edge_id").distinct()
 
 
 def delete_connections(graph: Graph, requests: DataFrame) -> Change:
@@ -250,13 +247,33 @@ def delete_connections(graph: Graph, requests: DataFrame) -> Change:
     key = ["src", "dst", "type"]
     req = requests.withColumnRenamed("from_id", "src").withColumnRenamed("to_id", "dst")
     keys = materialize(requests.sparkSession, req.select(*key).distinct(), "delete-connection-keys")
-    counts = graph.edges.join(keys, key).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    edges = graph.edges.join(keys, key, "left_anti")
+    gone = materialize(requests.sparkSession, graph.edges.select("edge_id", *key).join(keys, key), "deleted-connections")
+    counts = gone.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     result = (_first_per_key(req, key).join(counts, key, "left")
               .select("req_id", F.col("src").alias("from_id"), F.col("dst").alias("to_id"), "type",
                       F.when(F.col("first_of_key"), F.coalesce("n", F.lit(0))).otherwise(0)
                       .cast("bigint").alias("deletedCount")))
-    return Change(Graph(graph.nodes, edges.select(*EDGE_COLUMNS)), result)
+    return Change(graph, GraphDelta(edge_deletes=gone.select("edge_id")), result)
+
+
+# ------------------------------------------------------------------ replies
+
+def memory_reply(change: Change) -> DataFrame:
+    """(req_id, json) for the requests of a create or update of memories
+    that were carried out: ``{"memory": {...props, "_id", "_labels"}}``."""
+    rows = change.delta.node_inserts if change.delta.node_inserts is not None else change.delta.node_upserts
+    done = change.result.where(F.col("status").isin("created", "applied")).select("req_id", "memory_id")
+    return done.join(rows, "memory_id").select("req_id", F.concat(
+        F.lit('{"memory":'), memory_json("memory_id", "labels", "props"), F.lit("}")).alias("json"))
+
+
+def connection_reply(change: Change) -> DataFrame:
+    """(req_id, json): ``{"relationship": {...props, "_id", "_type"}}`` for
+    each connection created or (the one of lowest id) updated."""
+    rows = change.delta.edge_inserts if change.delta.edge_inserts is not None else change.delta.edge_upserts
+    done = change.result.where(F.col("status").isin("created", "applied")).select("req_id", "edge_id")
+    return done.join(rows.select("edge_id", F.col("type").alias("t"), "props"), "edge_id").select("req_id", F.concat(
+        F.lit('{"relationship":'), connection_json("edge_id", "t", "props"), F.lit("}")).alias("json"))
 
 
 # ------------------------------------------------------------------ legacy
@@ -266,20 +283,35 @@ def name_text() -> Column:
     return F.when(pv["kind"] == "string", pv["text"])
 
 
+def id_text(ref) -> Column:
+    """A reference read as an id: whole numbers exactly, other number text
+    (``5.0``, ``1e3``) through DOUBLE where that holds every whole number."""
+    ref = F.col(ref) if isinstance(ref, str) else ref
+    d = ref.try_cast("double")
+    return F.coalesce(ref.try_cast("bigint"), F.when(F.abs(d) <= F.lit(float(1 << 53)), d.try_cast("bigint")))
+
+
+def _matches(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """(ref, memory_id): the lowest id among the nodes named ``ref`` or whose
+    id it is. References are distinct, so a node meets at most one by name;
+    the minimum is partially aggregated, so a name that many nodes share is
+    cheap however many requests use it."""
+    by_name = nodes.select(name_text().alias("ref"), "memory_id").join(refs, "ref")
+    by_id = (refs.select("ref", id_text("ref").alias("memory_id")).where(F.col("memory_id").isNotNull())
+             .join(_node_ids(nodes, "memory_id"), "memory_id"))
+    return by_name.select("ref", "memory_id").unionByName(by_id.select("ref", "memory_id")) \
+        .groupBy("ref").agg(F.min("memory_id").alias("memory_id"))
+
+
 def resolve_name_or_id(nodes: DataFrame, requests: DataFrame, ref_col: str = "ref") -> DataFrame:
     """The node whose string ``name`` equals the reference, or whose id
     equals it read as an integer; the lowest id when several match (the
-    legacy lookup took an arbitrary first). Two equi-joins, each reduced
-    by a partial aggregation, so a name shared by many nodes is cheap.
+    legacy lookup took an arbitrary first). Distinct references are resolved
+    once and joined back to their requests.
     Returns (req_id, memory_id) for resolved requests only."""
-    refs = requests.select("req_id", F.col(ref_col).alias("ref"))
-    by_name = (nodes.select(name_text().alias("ref"), "memory_id").where(F.col("ref").isNotNull())
-               .join(refs, "ref").groupBy("req_id").agg(F.min("memory_id").alias("memory_id")))
-    as_int = F.col("ref").try_cast("double").try_cast("bigint")
-    by_id = (refs.select("req_id", as_int.alias("memory_id")).where(F.col("memory_id").isNotNull())
-             .join(_node_ids(nodes, "memory_id"), "memory_id"))
-    return by_name.unionByName(by_id.select("req_id", "memory_id")) \
-        .groupBy("req_id").agg(F.min("memory_id").alias("memory_id"))
+    refs = requests.select("req_id", F.col(ref_col).alias("ref")).where(F.col("ref").isNotNull())
+    found = materialize(nodes.sparkSession, _matches(nodes, refs.select("ref").distinct()), "resolved-references")
+    return refs.join(found, "ref").select("req_id", "memory_id")
 
 
 def _not_found(template: str, ref: Column) -> Column:
@@ -309,7 +341,10 @@ def remember(graph: Graph, requests: DataFrame, now: str) -> Change:
 
     Requests: req_id, [memory_id], type, name, context, props, relates_to.
     The legacy code linked through a field the create reply lacks; this
-    builds the intended link from the new node.
+    builds the intended link from the new node. Requests apply in ``req_id``
+    order, each creating before it looks up: a reference finds stored nodes
+    and those of this request and the requests before it. A supplied id that
+    is taken creates nothing (``id_exists``).
     """
     base = props_map(("type", pv_string(F.col("type"))), ("created_at", pv_string(F.lit(now))),
                      ("name", F.when(F.col("name") != "", pv_string(F.col("name")))),
@@ -318,19 +353,31 @@ def remember(graph: Graph, requests: DataFrame, now: str) -> Change:
         F.col("props"), F.create_map().cast(PROPS_DDL))))
     if "memory_id" not in req.columns:
         req = req.withColumn("memory_id", F.lit(None).cast("bigint"))
-    req = _assign_ids(req, graph.nodes, "memory_id", "remember-ids")
-    new = req.select(*node_row(F.col("memory_id"), F.array(capitalize_first("type")), F.col("props")))
-    g1 = Graph(graph.nodes.select(*NODE_COLUMNS).unionByName(new.select(*NODE_COLUMNS)), graph.edges)
-    links = (resolve_name_or_id(graph.nodes, req.where(F.col("relates_to").isNotNull()), "relates_to")
-             .withColumnRenamed("memory_id", "to_id")
-             .join(req.select("req_id", F.col("memory_id").alias("from_id")), "req_id")
+    spark = req.sparkSession
+    req, high = assign_ids(req, graph, "memory_id", "remember-ids")
+    clash = materialize(spark, _id_clash(req, graph.nodes, "memory_id"), "remember-clash")
+    new = materialize(spark, req.join(clash, "req_id", "left_anti").select("req_id", "relates_to", *node_row(
+        F.col("memory_id"), F.array(capitalize_first("type")), F.col("props"))), "remembered")
+    asking = new.where(F.col("relates_to").isNotNull()).select("req_id", F.col("memory_id").alias("from_id"), F.col("relates_to").alias("ref"))
+    stored = _matches(graph.nodes, asking.select("ref").distinct()).withColumnRenamed("memory_id", "stored")
+    # what finds a new node, and what a request looks for: a name or an id
+    by = lambda name, id_: F.array(F.concat(F.lit("name "), name), F.concat(F.lit("id "), id_.cast("string")))
+    none = F.lit(None).cast("bigint")
+    events = (asking.select("req_id", "from_id", "ref", none.alias("memory_id"), F.explode(by(F.col("ref"), id_text("ref"))).alias("key"))
+              .unionByName(new.select("req_id", none.alias("from_id"), F.lit(None).cast("string").alias("ref"), "memory_id",
+                                      F.explode(by(name_text(), F.col("memory_id"))).alias("key"))).where(F.col("key").isNotNull()))
+    fresh = (running(events, ["key"], "req_id", {"fresh": ("min", F.col("memory_id"))}, inclusive=True)
+             .where(F.col("from_id").isNotNull()).groupBy("req_id", "from_id", "ref").agg(F.min("fresh").alias("fresh")))
+    links = (fresh.join(stored, "ref", "left").withColumn("to_id", F.least("fresh", "stored")).where(F.col("to_id").isNotNull())
              .select("req_id", "from_id", "to_id", F.lit(RELATES_TO).alias("type"),
                      F.create_map(F.lit("created_at"), pv_string(F.lit(now))).alias("props")))
-    ch = create_connections(g1, links, now)
-    result = (req.select("req_id", "memory_id").join(
-        ch.result.select("req_id", F.col("edge_id").alias("relates_to_edge")), "req_id", "left")
-        .withColumn("status", F.lit("created")))
-    return Change(ch.graph, result)
+    inserts = new.select(*NODE_COLUMNS)
+    ch = create_connections(apply_delta(graph, GraphDelta(node_inserts=inserts)), materialize(spark, links, "remember-links"), now)
+    result = (req.select("req_id", "memory_id").join(ch.result.select("req_id", F.col("edge_id").alias("relates_to_edge")), "req_id", "left")
+              .join(clash.withColumn("clash", F.lit(True)), "req_id", "left")
+              .select("req_id", "memory_id", "relates_to_edge", F.when(F.col("clash"), "id_exists").otherwise("created").alias("status")))
+    return Change(graph, GraphDelta(node_inserts=inserts, edge_inserts=ch.delta.edge_inserts, node_high=high,
+                                    edge_high=ch.delta.edge_high), result)
 
 
 def connect_by_name(graph: Graph, requests: DataFrame, now: str) -> Change:
@@ -345,11 +392,11 @@ def connect_by_name(graph: Graph, requests: DataFrame, now: str) -> Change:
     links = (requests.join(src, "req_id").join(dst, "req_id")
              .select("req_id", "from_id", "to_id", F.col("relationship").alias("type"),
                      F.create_map(F.lit("created_at"), pv_string(F.lit(now))).alias("props")))
-    ch = create_connections(graph, links, now)
+    ch = create_connections(graph, materialize(requests.sparkSession, links, "links-by-name"), now)
     errors = (requests.join(src, "req_id", "left").join(dst, "req_id", "left")
               .select("req_id", F.when(F.col("from_id").isNull(), _not_found(SOURCE_NOT_FOUND, F.col("from_ref")))
                       .when(F.col("to_id").isNull(), _not_found(TARGET_NOT_FOUND, F.col("to_ref"))).alias("error")))
     result = (errors.join(ch.result.select("req_id", "edge_id"), "req_id", "left")
               .select("req_id", "edge_id", "error",
                       F.when(F.col("error").isNotNull(), "error").otherwise("created").alias("status")))
-    return Change(ch.graph, result)
+    return Change(graph, ch.delta, result)

@@ -11,7 +11,7 @@ from mnemo.functions.values import PROPS_DDL, null_pv, pv_array, pv_boolean, pv_
 from mnemo.operators import audit, mutate
 from mnemo.plans.oracle import iso as iso_sql
 from mnemo.plans.oracle import jsnum
-from mnemo.plans.registry import g, register, search_sql, trails_sql
+from mnemo.plans.registry import FLAG_WHERE, g, register, search_sql, seeds_sql, trails_sql
 from mnemo.plans.search import search_memories
 from mnemo.sources.testgraph import K, contains_line_number, iso, read_table
 
@@ -112,6 +112,24 @@ def q_resolve_endpoints(spark, sf):
             .join(nodes.withColumnRenamed("memory_id", "to_id"), "to_id").select("req_id", "from_id", "to_id"))
 
 
+@register("create_memory_reply", f"""
+SELECT o_orderkey AS req_id, '{{"memory":{{"text":"follow up ' || o_orderpriority || '","status":"' || o_orderstatus || '","created_at":"' ||
+       CASE WHEN o_orderstatus = 'F' THEN {iso_sql('o_orderdate')} ELSE '{NOW}' END || '","_id":' ||
+       CAST(CAST({11 * K} AS BIGINT) + o_orderkey AS VARCHAR) || ',"_labels":["note"]}}}}' AS json
+FROM orders WHERE o_orderpriority = '1-URGENT'""")
+def q_create_memory_reply(spark, sf):
+    """The reply of each create: the whole new record."""
+    return mutate.memory_reply(mutate.create_memories(g(spark, sf), _note_requests(spark, sf), NOW))
+
+
+@register("create_connection_reply", f"""
+SELECT o_orderkey AS req_id, '{{"relationship":{{' || CASE WHEN o_orderpriority = '1-URGENT' THEN '"created_at":"{NOW}"'
+       ELSE '"priority":"' || o_orderpriority || '"' END || ',"_id":' || CAST(CAST({12 * K} AS BIGINT) + o_orderkey AS VARCHAR) ||
+       ',"_type":"ORDERED"}}}}' AS json FROM orders WHERE o_orderstatus <> 'P'""")
+def q_create_connection_reply(spark, sf):
+    return mutate.connection_reply(mutate.create_connections(g(spark, sf), _connection_requests(spark, sf), NOW))
+
+
 # ------------------------------------------------------------------ updates
 
 def _debtor_updates(spark, sf):
@@ -139,6 +157,15 @@ def q_update_memories(spark, sf):
     return ch.result.join(ch.graph.nodes.select("memory_id", "search_text"), "memory_id", "left")
 
 
+@register("update_memory_reply", f"""
+SELECT c_custkey AS req_id, '{{"memory":{{"name":"' || c_name || '","acctbal":' || {jsnum('c_acctbal')} || ',"tier":"watch","_id":' ||
+       CAST(CAST({3 * K} AS BIGINT) + c_custkey AS VARCHAR) || ',"_labels":["customer","debtor"]}}}}' AS json
+FROM customer WHERE c_acctbal < 0""")
+def q_update_memory_reply(spark, sf):
+    """The reply of each update that found its memory: the merged record."""
+    return mutate.memory_reply(mutate.update_memories(g(spark, sf), _debtor_updates(spark, sf)))
+
+
 LINES_SQL = f"""
 , li AS (SELECT l_orderkey, l_partkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey
          ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem),
@@ -159,13 +186,31 @@ FROM r JOIN nreq n USING (from_id, to_id) JOIN eid USING (from_id, to_id)""")
 def q_update_connections(spark, sf):
     """Returned lines mark their CONTAINS connections (every parallel edge
     of the pair); two requests on one pair are rejected as duplicates."""
+    return mutate.update_connections(g(spark, sf), _line_updates(spark, sf)).result
+
+
+def _line_updates(spark, sf):
     li = _t(spark, sf, "lineitem").withColumn("rn", contains_line_number()).where(F.col("l_returnflag") == "R")
-    req = li.select((F.col("l_orderkey") * 1000 + F.col("rn")).alias("req_id"),
+    return li.select((F.col("l_orderkey") * 1000 + F.col("rn")).alias("req_id"),
                     (F.lit(6 * K) + F.col("l_orderkey")).alias("from_id"),
                     (F.lit(5 * K) + F.col("l_partkey")).alias("to_id"), F.lit("CONTAINS").alias("type"),
                     F.create_map(F.lit("returnflag"), pv_string(F.lit("R-checked")),
                                  F.lit("discount"), null_pv()).alias("props"))
-    return mutate.update_connections(g(spark, sf), req).result
+
+
+@register("update_connections_rows", LINES_SQL.replace("l_returnflag FROM li)", "l_returnflag, l_linenumber FROM li)").replace(
+    "SELECT l_orderkey, l_partkey, l_returnflag, row_number()", "SELECT l_orderkey, l_partkey, l_returnflag, l_linenumber, row_number()") + """,
+once AS (SELECT from_id, to_id FROM keyed WHERE l_returnflag = 'R' GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT e.edge_id, e.src, e.dst, e.type, TRUE AS checked, CAST(0 AS BIGINT) AS with_discount
+FROM edges e JOIN once o ON o.from_id = e.src AND o.to_id = e.dst WHERE e.type = 'CONTAINS'""")
+def q_update_connections_rows(spark, sf):
+    """The connections after the update above: every parallel one of an
+    accepted pair is marked and has lost its discount; no other is."""
+    rows = mutate.update_connections(g(spark, sf), _line_updates(spark, sf)).graph.edges
+    p = F.col("props")
+    marked = rows.where(p["returnflag"]["text"] == "R-checked")
+    return marked.select("edge_id", "src", "dst", "type", (p["returnflag"]["kind"] == "string").alias("checked"),
+                         F.when(p["discount"].isNotNull(), 1).otherwise(0).cast("bigint").alias("with_discount"))
 
 
 # ------------------------------------------------------------------ deletes
@@ -192,19 +237,29 @@ def q_delete_counts(spark, sf):
 
 
 @register("delete_memories", f"""
-, gone AS (SELECT CAST({3 * K} AS BIGINT) + c_custkey AS id FROM customer WHERE c_acctbal > 9890),
-rest AS (SELECT * FROM edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone))
-SELECT 'edge' AS kind, type AS name, CAST(count(*) AS BIGINT) AS count FROM rest GROUP BY type
-UNION ALL SELECT 'node', '*', CAST(count(*) AS BIGINT) FROM nodes WHERE memory_id NOT IN (SELECT id FROM gone)""")
+, gone AS (SELECT CAST({3 * K} AS BIGINT) + c_custkey AS id FROM customer WHERE c_acctbal > 9890)
+SELECT 'edge' AS kind, edge_id AS id FROM edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'node', memory_id FROM nodes WHERE memory_id NOT IN (SELECT id FROM gone)""")
 def q_delete_memories(spark, sf):
     """Detach-delete the customers with the highest balances (about 1%):
-    remaining nodes and connections per type."""
-    ch = mutate.delete_memories(g(spark, sf), _delete_requests(spark, sf))
-    e = ch.graph.edges.groupBy(F.col("type").alias("name")).agg(F.count(F.lit(1)).alias("count")) \
-        .select(F.lit("edge").alias("kind"), "name", "count")
-    n = ch.graph.nodes.agg(F.count(F.lit(1)).alias("count")).select(F.lit("node").alias("kind"),
-                                                                    F.lit("*").alias("name"), "count")
-    return e.unionByName(n)
+    every remaining node and connection."""
+    return _graph_ids(mutate.delete_memories(g(spark, sf), _delete_requests(spark, sf)).graph)
+
+
+def _graph_ids(graph):
+    return graph.edges.select(F.lit("edge").alias("kind"), F.col("edge_id").alias("id")).unionByName(
+        graph.nodes.select(F.lit("node").alias("kind"), F.col("memory_id").alias("id")))
+
+
+@register("delete_memories_delta", f"""
+, gone AS (SELECT CAST({3 * K} AS BIGINT) + c_custkey AS id FROM customer WHERE c_acctbal > 9890)
+SELECT 'edge' AS kind, edge_id AS id FROM edges WHERE src IN (SELECT id FROM gone) OR dst IN (SELECT id FROM gone)
+UNION ALL SELECT 'node', id FROM gone""")
+def q_delete_memories_delta(spark, sf):
+    """What the same deletion writes: the ids that go, nothing else."""
+    d = mutate.delete_memories(g(spark, sf), _delete_requests(spark, sf)).delta
+    return d.edge_deletes.select(F.lit("edge").alias("kind"), F.col("edge_id").alias("id")).unionByName(
+        d.node_deletes.select(F.lit("node").alias("kind"), F.col("memory_id").alias("id")))
 
 
 PARALLEL_KEYS_SQL = f"""
@@ -239,6 +294,14 @@ def q_delete_connections(spark, sf):
     return mutate.delete_connections(g(spark, sf), _parallel_delete_requests(spark, sf)).result
 
 
+@register("delete_connections_rows", PARALLEL_KEYS_SQL + """
+SELECT e.edge_id, e.src, e.dst, e.type FROM edges e
+WHERE NOT (e.type = 'CONTAINS' AND EXISTS (SELECT 1 FROM dreq d WHERE d.from_id = e.src AND d.to_id = e.dst))""")
+def q_delete_connections_rows(spark, sf):
+    """Every connection that remains after the deletion above."""
+    return mutate.delete_connections(g(spark, sf), _parallel_delete_requests(spark, sf)).graph.edges.select("edge_id", "src", "dst", "type")
+
+
 # ------------------------------------------------------------------ resolution (legacy)
 
 def _resolve_requests(spark, sf):
@@ -383,21 +446,16 @@ def q_promote_property(spark, sf):
 
 
 @register("migrate_content_to_name", """
-SELECT first_label AS label,
-       CAST(count(*) FILTER (WHERE name IS NOT NULL OR first_label IN ('document', 'message')) AS BIGINT) AS named,
-       CAST(count(*) FILTER (WHERE first_label NOT IN ('document', 'message')
-                             AND memory_id IN (SELECT memory_id FROM props_long WHERE key = 'text')) AS BIGINT)
-       AS with_text
-FROM nodes GROUP BY 1""")
+SELECT n.memory_id, coalesce(n.name, t.text) AS name,
+       CASE WHEN n.name IS NULL THEN NULL ELSE t.text END AS text, length(n.search_text) AS text_length
+FROM nodes n LEFT JOIN (SELECT memory_id, text FROM props_long WHERE key = 'text') t USING (memory_id)""")
 def q_migrate_content_to_name(spark, sf):
     """Move the legacy text property to ``name`` where a node has none
-    (documents and messages), per label: named nodes and nodes still
-    holding the old key."""
+    (documents and messages): every node's name and old key afterwards."""
     graph = audit.migrate_property(g(spark, sf), "text", "name")
     p = F.col("props")
-    return graph.nodes.groupBy(F.col("first_label").alias("label")).agg(
-        F.count(F.when(p["name"].isNotNull(), 1)).alias("named"),
-        F.count(F.when(p["text"].isNotNull(), 1)).alias("with_text"))
+    return graph.nodes.select("memory_id", p["name"]["text"].alias("name"), p["text"]["text"].alias("text"),
+                              F.length("search_text").cast("bigint").alias("text_length"))
 
 
 # ------------------------------------------------------------------ mixed-type order
@@ -419,7 +477,7 @@ MIXED_SOURCE = f"""(SELECT n.*, CASE c_mktsegment WHEN 'MACHINERY' THEN 0 WHEN '
     CASE c_mktsegment WHEN 'AUTOMOBILE' THEN c_name WHEN 'FURNITURE' THEN CAST(c_acctbal > 0 AS VARCHAR) END AS rtext,
     CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal END AS rnum
     FROM nodes n JOIN customer ON n.memory_id = CAST({3 * K} AS BIGINT) + c_custkey) nn"""
-MIXED_WHERE = "first_label = 'customer' AND contains(search_text, 'customer#0000001')"
+MIXED_WHERE = "first_label = 'customer'"
 
 
 @register("topk_mixed_types", search_sql(MIXED_WHERE, 200, 0, order=(
@@ -429,7 +487,7 @@ def q_topk_mixed_types(spark, sf):
     """A property holding arrays, strings, booleans and numbers (set per
     market segment), ascending: arrays < strings < booleans < numbers < missing."""
     graph = _ranked_customers(spark, sf)
-    return search_memories(graph, query="Customer#0000001", label="customer", order_by="rank ASC",
+    return search_memories(graph, label="customer", order_by="rank ASC",
                            limit=200, depth=0)
 
 
@@ -439,11 +497,61 @@ def q_topk_mixed_types(spark, sf):
 def q_topk_mixed_types_desc(spark, sf):
     """Same, descending: missing values first, then numbers, ..."""
     graph = _ranked_customers(spark, sf)
-    return search_memories(graph, query="Customer#0000001", label="customer", order_by="rank DESC",
+    return search_memories(graph, label="customer", order_by="rank DESC",
                            limit=200, depth=0)
 
 
 
+def _number_lists(spark, sf):
+    """Parts with an array property: [size, -size] by number, as text, or of
+    booleans, by brand."""
+    p = _t(spark, sf, "part")
+    size = F.col("p_size").cast("double")
+    kind = F.pmod(F.col("p_partkey"), F.lit(3))
+    value = (F.when(kind == 0, pv_array(F.array(size, -size), "number"))
+             .when(kind == 1, pv_array(F.array(F.col("p_size").cast("string"))))
+             .otherwise(pv_array(F.array(F.col("p_size") > 25), "boolean")))
+    req = p.select(F.col("p_partkey").alias("req_id"), (F.lit(5 * K) + F.col("p_partkey")).alias("memory_id"),
+                   F.create_map(F.lit("a"), value).alias("props"))
+    return mutate.update_memories(g(spark, sf), req).graph
+
+
+@register("topk_number_arrays", search_sql("first_label = 'part'", 200, 0, order="rk ASC, tx ASC, nm ASC, memory_id", source=f"""(
+    SELECT n.*, CASE p_partkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS rk, CASE p_partkey % 3 WHEN 1 THEN CAST(p_size AS VARCHAR)
+    WHEN 2 THEN CAST(p_size > 25 AS VARCHAR) END AS tx, CASE p_partkey % 3 WHEN 0 THEN p_size END AS nm
+    FROM nodes n JOIN part ON n.memory_id = CAST({5 * K} AS BIGINT) + p_partkey) nn"""))
+def q_topk_number_arrays(spark, sf):
+    """Array properties ascending: arrays of strings < of booleans < of
+    numbers, and numbers as numbers ([9] before [10])."""
+    return search_memories(_number_lists(spark, sf), label="part", order_by="a ASC", limit=200, depth=0)
+
+
+@register("number_array_json", f"""
+SELECT CAST({5 * K} AS BIGINT) + p_partkey AS memory_id, CASE p_partkey % 3
+       WHEN 0 THEN '[' || CAST(p_size AS VARCHAR) || ',' || CASE WHEN p_size = 0 THEN '0' ELSE CAST(-p_size AS VARCHAR) END || ']'
+       WHEN 1 THEN '["' || CAST(p_size AS VARCHAR) || '"]' ELSE '[' || CAST(p_size > 25 AS VARCHAR) || ']' END AS json FROM part""")
+def q_number_array_json(spark, sf):
+    """How a reply prints arrays of numbers, strings and booleans."""
+    from mnemo.sources.snapshot import pv_json
+    nodes = _number_lists(spark, sf).nodes.where(F.col("first_label") == "part")
+    return nodes.select("memory_id", pv_json(F.col("props")["a"]).alias("json"))
+
+
+# Doubles and their JavaScript text.
+NUMBER_TEXTS = [(1e-7, "1e-7"), (1e20, "100000000000000000000"), (1e21, "1e+21"), (1.5e300, "1.5e+300"), (-2.5e-9, "-2.5e-9"),
+                (0.000001, "0.000001"), (123456789.125, "123456789.125"), (1e16, "10000000000000000"), (0.1, "0.1"), (-5.0, "-5"),
+                (3.14e-5, "0.0000314")]
+
+
+@register("number_text", "SELECT n_nationkey, CASE n_nationkey % " + str(len(NUMBER_TEXTS)) + " " + " ".join(
+    f"WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(NUMBER_TEXTS)) + " END AS text FROM nation")
+def q_number_text(spark, sf):
+    """Number text as JavaScript prints it, one value per nation."""
+    from mnemo.functions.values import js_number_text
+    value = F.element_at(F.array(*(F.lit(v) for v, _ in NUMBER_TEXTS)), (F.col("n_nationkey") % len(NUMBER_TEXTS) + 1).cast("int"))
+    return _t(spark, sf, "nation").select("n_nationkey", js_number_text(value).alias("text"))
+
+
 # ------------------------------------------------------------------ bulk search
 
 def _bulk_requests(spark, sf):
@@ -465,7 +573,7 @@ def _bulk_requests(spark, sf):
     rg = t("region").select(
         F.concat(s("any:"), "r_name").alias("req_key"), F.col("r_name").alias("query"),
         F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("since_date"), s(7).alias("limit"))
-    al = t("region").limit(1).select(s("nations").alias("req_key"), s("").alias("query"), s("nation").alias("label"),
+    al = t("region").agg(F.count("*")).select(s("nations").alias("req_key"), s("").alias("query"), s("nation").alias("label"),
                                      F.lit(None).cast("string").alias("since_date"), s(30).alias("limit"))
     return ev.unionByName(br).unionByName(sg).unionByName(pr).unionByName(rg).unionByName(al)
 
@@ -560,7 +668,7 @@ def q_load_request_log(spark, sf):
     from mnemo.sources.requests import read_request_log
     from mnemo.sources.snapshot import scratch_path
     from mnemo.sources.testlog import write_log
-    path = write_log(spark, sf, scratch_path(spark, "request-log"), NOW, one_file_per_block=False)
+    path = write_log(spark, sf, scratch_path(spark, "request-log"), NOW)
     return read_request_log(spark, f"{path}/*").select("seq", "name")
 
 
@@ -641,31 +749,211 @@ def q_replay_props(spark, sf):
         .select("memory_id", "search_text")
 
 
+def _awkward_log(spark, sf):
+    """A log per customer and nation with what an ordered log can get wrong:
+    connection ids that stored or earlier connections have, repeated calls,
+    ids beyond 2**53, missing ids beside supplied ones."""
+    from mnemo.sources.testlog import _line
+    c, lit, key = F.col, F.lit, F.col("c_custkey")
+    cust, nation = _t(spark, sf, "customer"), _t(spark, sf, "nation")
+    far = lit(BIG) + key
+    me, home = lit(3 * K) + key, lit(2 * K) + c("c_nationkey")
+    link = lambda s, frm, to, type_, id_: _line(s, "create_connection", F.struct(
+        frm.alias("fromMemoryId"), to.alias("toMemoryId"), lit(type_).alias("type"), id_.alias("connectionId"),
+        F.struct(lit(type_).alias("t")).alias("properties")))
+    # 1: LIVES_IN has this id already; 2, 3: one new id, twice
+    clash = cust.select(link(lit(B) + key, me, home, "TAKEN", lit(2 * K) + key))
+    fresh = cust.select(link(lit(2 * B) + key, me, home, "FRESH", lit(21 * K) + key))
+    again = cust.select(link(lit(3 * B) + key, me, home, "AGAIN", lit(21 * K) + key))
+    # 4: ids beyond 2**53, next to each other; 5: every odd one deleted; the call comes twice
+    create = cust.select(_line(lit(4 * B) + key, "create_memory", F.struct(
+        lit("big").alias("label"), far.alias("memoryId"), F.struct(c("c_name").alias("name"), lit("2020").alias("created_at")).alias("properties"))))
+    drop = cust.where("c_custkey % 2 = 1").select(_line(lit(5 * B) + key, "delete_memory", F.struct(far.alias("nodeId"))))
+    # 6: creates without an id; 7: a supplied id, far above
+    noid = nation.select(_line(lit(6 * B) + c("n_nationkey"), "create_memory", F.struct(
+        lit("noid").alias("label"), F.struct(c("n_name").alias("name"), lit("2020").alias("created_at")).alias("properties"))))
+    # 8: toggle FRESH: deleted, made anew, updated
+    off = cust.select(_line(lit(8 * B) + key, "delete_connection", F.struct(me.alias("fromMemoryId"), home.alias("toMemoryId"), lit("FRESH").alias("type"))))
+    on = cust.select(link(lit(9 * B) + key, me, home, "FRESH", lit(22 * K) + key))
+    mark = cust.select(_line(lit(10 * B) + key, "update_connection", F.struct(
+        me.alias("fromMemoryId"), home.alias("toMemoryId"), lit("FRESH").alias("type"), F.struct(c("c_name").alias("by"), lit(None).cast("string").alias("t")).alias("properties"))))
+    parts = [clash, fresh, again, create, drop, drop, noid, off, on, mark]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+BIG = (1 << 53) + 1000
+
+
+def _awkward_replay(spark, sf):
+    from mnemo.sources.requests import parse_log_lines
+    from mnemo.streaming.replay import replay_log
+    return replay_log(g(spark, sf), parse_log_lines(_awkward_log(spark, sf)), NOW)
+
+
+@register("replay_edges", f"""
+SELECT edge_id, src, dst, type, CAST(NULL AS VARCHAR) AS t, CAST(NULL AS VARCHAR) AS by FROM edges
+UNION ALL SELECT CAST({22 * K} AS BIGINT) + c_custkey, CAST({3 * K} AS BIGINT) + c_custkey, CAST({2 * K} AS BIGINT) + c_nationkey, 'FRESH',
+       NULL, c_name FROM customer""")
+def q_replay_edges(spark, sf):
+    """Every connection after the awkward log: stored ones untouched by
+    creates that name their ids, the toggled one made anew and updated."""
+    p = F.col("props")
+    return _awkward_replay(spark, sf)[0].graph.edges.select("edge_id", "src", "dst", "type", p["t"]["text"].alias("t"), p["by"]["text"].alias("by"))
+
+
+@register("replay_nodes", f"""
+SELECT memory_id, first_label, search_text FROM nodes
+UNION ALL SELECT CAST({BIG} AS BIGINT) + c_custkey, 'big', '2020' || chr(10) || lower(c_name) FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT greatest((SELECT max(memory_id) FROM nodes), CAST({BIG} AS BIGINT) + (SELECT max(c_custkey) FROM customer)) + 1
+       + n_nationkey - (SELECT min(n_nationkey) FROM nation), 'noid', '2020' || chr(10) || lower(n_name) FROM nation""")
+def q_replay_nodes(spark, sf):
+    """Every memory after the awkward log: exact ids beyond 2**53, fresh ids
+    above every id given or supplied, in seq order."""
+    return _awkward_replay(spark, sf)[0].graph.nodes.select("memory_id", "first_label", "search_text")
+
+
+@register("replay_awkward_results", f"""
+SELECT {B} + c_custkey AS seq, 'id_exists' AS status FROM customer
+UNION ALL SELECT {2 * B} + c_custkey, 'created' FROM customer
+UNION ALL SELECT {3 * B} + c_custkey, 'id_exists' FROM customer
+UNION ALL SELECT {4 * B} + c_custkey, 'created' FROM customer
+UNION ALL SELECT {5 * B} + c_custkey, 'applied' FROM customer WHERE c_custkey % 2 = 1
+UNION ALL SELECT {5 * B} + c_custkey, 'repeated seq' FROM customer WHERE c_custkey % 2 = 1
+UNION ALL SELECT {6 * B} + n_nationkey, 'created' FROM nation
+UNION ALL SELECT {8 * B} + c_custkey, 'applied' FROM customer
+UNION ALL SELECT {9 * B} + c_custkey, 'created' FROM customer
+UNION ALL SELECT {10 * B} + c_custkey, 'applied' FROM customer""")
+def q_replay_awkward_results(spark, sf):
+    """One result per call of the awkward log; the second copy of a call is
+    quarantined."""
+    change, quarantine = _awkward_replay(spark, sf)
+    return change.result.select("seq", "status").unionByName(quarantine.select("seq", F.col("reason").alias("status")))
+
+
 @register("stream_replay", REPLAY_COUNTS_SQL)
 def q_stream_replay(spark, sf):
-    """The same log as a growing folder of files, replayed by
-    Structured Streaming in several micro-batches, one snapshot per batch;
-    the last snapshot equals the batch replay."""
+    """The same log as a growing folder, replayed by Structured
+    Streaming as its blocks arrive, one delta per micro-batch; the last
+    state equals the batch replay."""
     from mnemo.sources.snapshot import scratch_path, write_graph
     from mnemo.sources.testlog import write_log
     from mnemo.streaming.replay import stream_replay, stream_state
     base = scratch_path(spark, "stream-replay")
     write_graph(g(spark, sf), f"{base}/snapshot0")
-    write_log(spark, sf, f"{base}/log", NOW, one_file_per_block=False)
     # small compaction interval so the run exercises both deltas and snapshots
-    last = stream_replay(spark, f"{base}/log", f"{base}/snapshot0", f"{base}/out", NOW,
-                         checkpoint=f"{base}/_checkpoint", max_files_per_trigger=4, compact_every=3)
+    for blocks in (range(1, 4), range(4, 6), range(6, 9), range(9, 12)):
+        write_log(spark, sf, f"{base}/log", NOW, blocks)
+        last = stream_replay(spark, f"{base}/log", f"{base}/snapshot0", f"{base}/out", NOW,
+                             checkpoint=f"{base}/_checkpoint", max_files_per_trigger=1_000_000, compact_every=3)
     return _graph_counts(stream_state(spark, f"{base}/snapshot0", f"{base}/out", last + 1, 3))
 
 
-@register("search_result_json")
+REPLY_SQL = seeds_sql(FLAG_WHERE, 10) + trails_sql(1) + """
+, hit AS (SELECT s.memory_id, c.related_id, c.first_edge AS edge_id, c.distance FROM seeds s LEFT JOIN conns c USING (memory_id)),
+ep AS (SELECT edge_id, type FROM edges)
+SELECT h.memory_id, h.related_id, h.edge_id, h.distance, 'memory' AS owner, p.key, p.kind, p.text FROM hit h JOIN props_long p ON p.memory_id = h.memory_id
+UNION ALL SELECT h.memory_id, h.related_id, h.edge_id, h.distance, 'related', p.key, p.kind, p.text FROM hit h JOIN props_long p ON p.memory_id = h.related_id
+UNION ALL SELECT h.memory_id, h.related_id, h.edge_id, h.distance, 'type', '_type', 'string', e.type FROM hit h JOIN ep e USING (edge_id)"""
+
+
+@register("search_result_json", REPLY_SQL)
 def q_search_result_json(spark, sf):
     """The flagship search in the reference's nested reply shape, one
-    JSON document per memory."""
+    JSON document per memory, read back: each property of the memory and of
+    its related memories, and each connection's type."""
+    from mnemo.functions.values import js_number_text
     from mnemo.plans.search import reply_json
     graph = g(spark, sf)
     flat = search_memories(graph, query="urgent high", label="order", since_date="1998-01-01", limit=10, depth=1)
-    return reply_json(flat, graph, depth=1)
+    docs = reply_json(flat, graph, depth=1, part_size=10_000).select(F.parse_json("json").alias("v"))
+    get = F.try_variant_get
+    one = docs.select(get("v", "$.memory", "map<string,variant>").alias("m"), F.explode(get("v", "$.connections", "array<variant>")).alias("c"))
+    one = one.select(
+        F.col("m"), get(F.col("m")["_id"], "$", "bigint").alias("memory_id"), get("c", "$.memory", "map<string,variant>").alias("r"),
+        get("c", "$.relationship", "map<string,variant>").alias("e"), get("c", "$.distance", "int").alias("distance"))
+    one = one.withColumns({"related_id": get(F.col("r")["_id"], "$", "bigint"), "edge_id": get(F.col("e")["_id"], "$", "bigint")})
+    part = lambda owner, col: one.select("memory_id", "related_id", "edge_id", "distance", F.lit(owner).alias("owner"),
+                                         F.explode(col).alias("key", "value"))
+    rows = part("memory", "m").unionByName(part("related", "r")).unionByName(part("type", "e"))
+    named = F.when(F.col("owner") == "type", F.col("key") == "_type").otherwise(~F.col("key").isin("_id", "_labels"))
+    schema = F.schema_of_variant("value")
+    kind = (F.when(schema == "STRING", "string").when(schema.startswith("ARRAY"), "array").when(schema == "BOOLEAN", "boolean").otherwise("number"))
+    text = (F.when(kind == "number", js_number_text(get("value", "$", "double")))
+            .when(kind == "array", F.array_join(get("value", "$", "array<string>"), " ")).otherwise(get("value", "$", "string")))
+    return rows.where(named).select("memory_id", "related_id", "edge_id", "distance", "owner", "key", kind.alias("kind"), text.alias("text"))
+
+
+@register("bulk_request_errors", """
+, req AS (SELECT r_regionkey, r_name FROM region)
+SELECT 'limit -1:' || r_name AS req_key, 'invalid limit: -1.0' AS reason FROM req
+UNION ALL SELECT 'limit 1.5:' || r_name, 'invalid limit: 1.5' FROM req
+UNION ALL SELECT 'depth 1.5:' || r_name, 'invalid depth: 1.5' FROM req""")
+def q_bulk_request_errors(spark, sf):
+    """Requests whose limit or depth a single search would refuse."""
+    from mnemo.plans.bulk import request_errors
+    return request_errors(_odd_requests(spark, sf))
+
+
+def _odd_requests(spark, sf):
+    cases = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(lim).cast("double").alias("limit"), F.lit(d).cast("double").alias("depth"))
+                      for n, lim, d in (("limit -1:", -1.0, None), ("limit 1.5:", 1.5, None), ("limit 0:", 0.0, None),
+                                        ("depth 1.5:", 2.0, 1.5), ("good:", 2.0, 0.0))))
+    return _t(spark, sf, "region").select("r_name", F.explode(cases).alias("c")).select(
+        F.concat("c.n", "r_name").alias("req_key"), F.col("r_name").alias("query"), F.lit(None).cast("string").alias("label"),
+        F.lit(None).cast("string").alias("since_date"), "c.limit", "c.depth")
+
+
+@register("bulk_odd_limits", """
+, hits AS (SELECT r.r_name, n.memory_id, row_number() OVER (PARTITION BY r.r_name ORDER BY n.created_at DESC NULLS FIRST, n.memory_id) AS rank
+  FROM region r JOIN nodes n ON contains(n.search_text, split_part(lower(r.r_name), ' ', 1))
+       OR (contains(r.r_name, ' ') AND contains(n.search_text, split_part(lower(r.r_name), ' ', 2))))
+SELECT 'good:' || r_name AS req_key, memory_id, CAST(rank AS INTEGER) AS rank FROM hits WHERE rank <= 2""")
+def q_bulk_odd_limits(spark, sf):
+    """Of the same requests only the good ones (and limit 0, without rows) are answered."""
+    from mnemo.plans.bulk import bulk_search
+    return bulk_search(g(spark, sf).nodes, _odd_requests(spark, sf))
+
+
+@register("bulk_order_by", f"""
+, hits AS (SELECT r.r_regionkey, n.memory_id, n.name, p.num, row_number() OVER (PARTITION BY r.r_regionkey
+       ORDER BY CASE WHEN r_regionkey % 2 = 0 THEN p.num END DESC NULLS FIRST, CASE WHEN r_regionkey % 2 = 1 THEN n.name END ASC NULLS LAST,
+       n.memory_id) AS rank
+  FROM region r JOIN nodes n ON n.first_label = 'customer'
+  JOIN customer c ON n.memory_id = CAST({3 * K} AS BIGINT) + c_custkey JOIN props_long p ON p.memory_id = n.memory_id AND p.key = 'acctbal'
+  WHERE contains(n.search_text, CASE r_regionkey WHEN 0 THEN 'building' WHEN 1 THEN 'machinery' ELSE 'customer' END))
+SELECT 'r' || CAST(r_regionkey AS VARCHAR) AS req_key, memory_id, CAST(rank AS INTEGER) AS rank FROM hits WHERE rank <= 20""")
+def q_bulk_order_by(spark, sf):
+    """Bulk searches with their own order: balance descending, or name ascending."""
+    from mnemo.plans.bulk import bulk_search
+    key = F.col("r_regionkey")
+    reqs = _t(spark, sf, "region").select(
+        F.concat(F.lit("r"), key.cast("string")).alias("req_key"),
+        F.when(key == 0, "Building").when(key == 1, "machinery Machinery").otherwise("customer").alias("query"), F.lit("customer").alias("label"),
+        F.lit(None).cast("string").alias("since_date"), F.lit(20).alias("limit"),
+        F.when(key % 2 == 0, "memory.acctbal DESC").otherwise("n.name asc").alias("order_by"))
+    return bulk_search(g(spark, sf).nodes, reqs)
+
+
+@register("answer_request_log", f"""
+, hits AS (SELECT r.r_regionkey, n.memory_id, CAST(row_number() OVER (PARTITION BY r.r_regionkey
+           ORDER BY n.created_at DESC NULLS FIRST, n.memory_id) AS INTEGER) AS rank
+  FROM region r JOIN nodes n ON contains(n.search_text, split_part(lower(r.r_name), ' ', 1))
+       OR (contains(r.r_name, ' ') AND contains(n.search_text, split_part(lower(r.r_name), ' ', 2))))
+SELECT {11 * 10 ** 12} + r_regionkey * 10 + 3 AS seq, 'search_memories' AS tool, h.memory_id, h.rank, a.b AS related_id,
+       a.edge_id AS first_edge, CASE WHEN a.a IS NULL THEN NULL ELSE 1 END AS distance, CAST(NULL AS VARCHAR) AS label,
+       CAST(NULL AS BIGINT) AS count, CAST(NULL AS VARCHAR) AS reason
+FROM hits h LEFT JOIN adj a ON a.a = h.memory_id WHERE h.rank <= 10
+UNION ALL
+SELECT {11 * 10 ** 12} + r_regionkey * 10 + 4, 'list_memory_labels', NULL, NULL, NULL, NULL, NULL, l.label, l.n, NULL
+FROM region, (SELECT label, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(labels) AS label FROM nodes) GROUP BY label) l""")
+def q_answer_request_log(spark, sf):
+    """The searches and label listings of the derived log, answered."""
+    from mnemo.plans.bulk import answer_reads
+    from mnemo.sources.requests import parse_log_lines, validate_requests
+    return answer_reads(g(spark, sf), validate_requests(parse_log_lines(_log_lines(spark, sf))))
 
 
 @register("bulk_search_expand", BULK_SQL.replace(

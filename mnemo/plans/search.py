@@ -17,17 +17,15 @@ cutting to top-k before expanding gives the same result as the reference's
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemo.model import Graph
 from mnemo.operators.expand import adjacency, expand, release
-from mnemo.sources.snapshot import materialize
+from mnemo.sources.snapshot import connection_json, materialize, memory_json
 from mnemo.operators.filters import phrase_search_all_props, search_candidates
 from mnemo.operators.order import (
-    LEGACY_DEFAULT_LIMIT, OrderSpec, effective_depth, effective_limit, order_columns, parse_order_by,
+    LEGACY_DEFAULT_LIMIT, MAX_LIMIT, OrderSpec, effective_depth, effective_limit, order_columns, parse_order_by,
     top_k,
 )
 
@@ -35,16 +33,6 @@ FLAT_COLUMNS = ["memory_id", "seed_rank", "created_at", "related_id", "first_edg
                 "first_type", "first_outgoing", "distance"]
 
 
-@dataclass(frozen=True)
-class SearchRequest:
-    query: str | None = None
-    label: str | None = None
-    since_date: str | None = None
-    order_by: str | None = None
-    limit: int | None = None
-    depth: int | None = None
-
-
 def select_seeds(candidates: DataFrame, spec: OrderSpec, limit: int,
                  collect: bool = True) -> tuple[DataFrame, list[int] | None]:
     """Top-k candidates with their 1-based ``seed_rank``.
@@ -137,50 +125,71 @@ def recall(graph: Graph, query: str, type_: str | None = None, depth: int | None
     return attach_connections(seeds, _adj(graph, adj), d, ids)
 
 
-REPLY_PART = 10_000
+def _reply_tables(flat: DataFrame, graph: Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(flat, memories, connections): the written flat result and the full
+    rows of the memories and connections that it names. The ids of a search's
+    memories, at most 200, go to the node scan as literals, where Bloom
+    filters and statistics skip row groups; their neighbours and connections
+    are joined on their distinct ids."""
+    spark = flat.sparkSession
+    flat = materialize(spark, flat, "reply-flat")
+    nodes = graph.nodes.select("memory_id", "labels", "props")
+    seeds = [r[0] for r in flat.select("memory_id").distinct().limit(MAX_LIMIT + 1).collect()]
+    near = flat.select(F.col("related_id").alias("memory_id")).where("memory_id is not null").distinct()
+    if len(seeds) <= MAX_LIMIT:
+        memories = nodes.where(F.col("memory_id").isin(seeds)).unionByName(
+            nodes.join(near.where(~F.col("memory_id").isin(seeds)), "memory_id"))
+    else:       # not the result of one search
+        memories = nodes.join(near.unionByName(flat.select("memory_id")).distinct(), "memory_id")
+    used = flat.select(F.col("first_edge").alias("edge_id")).where("edge_id is not null").distinct()
+    return flat, materialize(spark, memories, "reply-memories"), materialize(spark, graph.edges.join(used, "edge_id"), "reply-connections")
+
+
+def reply_lines(flat: DataFrame, graph: Graph) -> DataFrame:
+    """The reply in flat form, the one for results of any size: one JSON
+    document ``{"memory", "relationship", "distance"}`` per connection,
+    beside its memory's ``memory_id``, ``seed_rank`` and ``memory`` JSON."""
+    flat, memories, edges = _reply_tables(flat, graph)
+    text = memories.select("memory_id", memory_json("memory_id", "labels", "props").alias("memory"))
+    rel = text.select(F.col("memory_id").alias("related_id"), F.col("memory").alias("rm"))
+    used = edges.select(F.col("edge_id").alias("first_edge"), connection_json("edge_id", "type", "props").alias("rj"))
+    entry = F.concat(F.lit('{"memory":'), F.coalesce("rm", F.lit("null")), F.lit(',"relationship":'),
+                     F.coalesce("rj", F.lit("null")), F.lit(',"distance":'),
+                     F.coalesce(F.col("distance").cast("string"), F.lit("null")), F.lit("}"))
+    return (flat.join(rel, "related_id", "left").join(used, "first_edge", "left").join(text, "memory_id")
+            .select("memory_id", "seed_rank", "memory", "distance", "related_id", "first_edge", entry.alias("connection")))
 
 
-def _parts(entries: DataFrame, part_size: int) -> DataFrame:
-    """Spread each memory's connection entries over parts of at most about
+def _parts(lines: DataFrame, part_size: int) -> DataFrame:
+    """Spread each memory's connections over parts of at most about
     ``part_size`` entries: the number of parts comes from a count per
-    memory (partial aggregation), entries are assigned to parts by hash. A
-    memory with a huge neighbourhood thus never becomes one group."""
-    counts = entries.groupBy("memory_id").agg(F.count(F.lit(1)).alias("n"))
-    parts = counts.select("memory_id", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(part_size)))
-                          .cast("int").alias("parts"))
-    return (entries.join(parts, "memory_id")
-            .withColumn("part", F.pmod(F.xxhash64("related_id", "first_edge", "distance"), F.col("parts"))
-                        .cast("int")))
+    memory (partial aggregation), entries are assigned to parts by hash."""
+    parts = lines.groupBy("memory_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(part_size)).cast("int").alias("parts"))
+    return (lines.join(parts, "memory_id")
+            .withColumn("part", F.pmod(F.xxhash64("related_id", "first_edge", "distance"), F.col("parts")).cast("int")))
 
 
-def nest_result(flat: DataFrame, graph: Graph, depth: int = 1, part_size: int = REPLY_PART) -> DataFrame:
+def nest_result(flat: DataFrame, graph: Graph, depth: int, part_size: int) -> DataFrame:
     """The reference's reply shape: ``memory`` plus ``connections``
     (``array<struct<memory, relationship, distance>>``), in seed order.
 
     With ``depth <= 0`` every seed gets ``[]``; at ``depth >= 1`` a seed
-    without connections gets one entry whose fields are all null. A memory
-    with more than ``part_size`` connections is split into several rows
-    (``part`` of ``parts``), each holding a share of its connections.
+    without connections gets one entry whose fields are all null. A nested
+    reply is one group per memory: the caller names the ``part_size`` up to
+    which that may grow, and a memory with more connections is split into
+    several rows (``part`` of ``parts``), each with a share of them.
     """
-    def node_struct(prefix: str):
-        return F.struct(F.col(f"{prefix}_id").alias("_id"), F.col(f"{prefix}_labels").alias("_labels"),
-                        F.col(f"{prefix}_props").alias("props"))
-
-    nodes = graph.nodes.select("memory_id", "labels", "props")
-    seed_rows = (flat.select("memory_id", "seed_rank").distinct()
-                 .join(nodes.select("memory_id", F.col("labels").alias("m_labels"),
-                                    F.col("props").alias("m_props")), "memory_id")
-                 .withColumn("m_id", F.col("memory_id"))
-                 .select("memory_id", "seed_rank", node_struct("m").alias("memory")))
-    rel = nodes.select(F.col("memory_id").alias("related_id"), F.col("labels").alias("r_labels"),
-                       F.map_entries("props").alias("r_props"))
-    edges = graph.edges.select(F.col("edge_id").alias("first_edge"), F.col("type").alias("e_type"),
-                               F.col("src").alias("e_src"), F.col("dst").alias("e_dst"),
-                               F.map_entries("props").alias("e_props"))
+    flat, memories, edges = _reply_tables(flat, graph)
+    node = F.struct(F.col("memory_id").alias("_id"), F.col("labels").alias("_labels"), F.col("props"))
+    seeds = flat.select("memory_id", "seed_rank").distinct().join(memories, "memory_id").select(
+        "memory_id", "seed_rank", node.alias("memory"))
+    rel = memories.select(F.col("memory_id").alias("related_id"), F.col("labels").alias("r_labels"), F.map_entries("props").alias("r_props"))
+    used = edges.select(F.col("edge_id").alias("first_edge"), F.col("type").alias("e_type"),
+                        F.col("src").alias("e_src"), F.col("dst").alias("e_dst"), F.map_entries("props").alias("e_props"))
     # Sort on ids while property maps are held as entry arrays (a struct
     # holding a map cannot be sorted), then rebuild the maps.
     entries = _parts(flat.select("memory_id", "related_id", "first_edge", "distance"), part_size)
-    entries = (entries.join(rel, "related_id", "left").join(edges, "first_edge", "left")
+    entries = (entries.join(rel, "related_id", "left").join(used, "first_edge", "left")
                .groupBy("memory_id", "part", "parts")
                .agg(F.array_sort(F.collect_list(F.struct(
                    "distance", "related_id", "first_edge", "r_labels", "r_props",
@@ -200,39 +209,23 @@ def nest_result(flat: DataFrame, graph: Graph, depth: int = 1, part_size: int =
     if depth <= 0:
         conns = F.filter(conns, lambda x: F.lit(False))
     entries = entries.select("memory_id", "part", "parts", conns.alias("connections"))
-    return seed_rows.join(entries, "memory_id", "left").orderBy("seed_rank", "part")
+    return seeds.join(entries, "memory_id", "left").orderBy("seed_rank", "part")
 
 
-def reply_json(flat: DataFrame, graph: Graph, depth: int = 1, part_size: int = REPLY_PART) -> DataFrame:
+def reply_json(flat: DataFrame, graph: Graph, depth: int, part_size: int) -> DataFrame:
     """The reference's reply, one JSON document per memory (in seed order):
     ``{"memory": {...props, "_id", "_labels"}, "connections": [{"memory":
     {...}, "relationship": {...props, "_id", "_type"}, "distance": d}]}``.
     Connections are listed by distance, related id, first edge; a memory
     without connections gets one entry of nulls, ``depth <= 0`` gives [].
-    A memory with more than ``part_size`` connections gets several
-    documents (``part`` of ``parts``), each with a share of them.
+    ``part_size`` as in :func:`nest_result`; :func:`reply_lines` needs none.
     """
-    from mnemo.sources.snapshot import connection_json, memory_json
-
-    nodes = graph.nodes.select("memory_id", "labels", "props")
-    seeds = (flat.select("memory_id", "seed_rank").distinct().join(nodes, "memory_id")
-             .select("memory_id", "seed_rank", memory_json("memory_id", "labels", "props").alias("m")))
-    rel = nodes.select(F.col("memory_id").alias("related_id"),
-                       memory_json("memory_id", "labels", "props").alias("rm"))
-    edges = graph.edges.select(F.col("edge_id").alias("first_edge"),
-                               connection_json("edge_id", "type", "props").alias("rj"))
-    entry = F.concat(F.lit('{"memory":'), F.coalesce("rm", F.lit("null")), F.lit(',"relationship":'),
-                     F.coalesce("rj", F.lit("null")), F.lit(',"distance":'),
-                     F.coalesce(F.col("distance").cast("string"), F.lit("null")), F.lit("}"))
-    conns = (_parts(flat.select("memory_id", "related_id", "first_edge", "distance"), part_size)
-             .join(rel, "related_id", "left").join(edges, "first_edge", "left")
-             .groupBy("memory_id", "part", "parts").agg(F.array_sort(F.collect_list(F.struct(
-                 "distance", "related_id", "first_edge", entry.alias("j")))).alias("c")))
-    listed = F.concat(F.lit("["), F.array_join(F.transform("c", lambda x: x["j"]), ","), F.lit("]"))
+    lines = _parts(reply_lines(flat, graph), part_size)
+    entries = F.array_sort(F.collect_list(F.struct("distance", "related_id", "first_edge", "connection")))
+    nested = lines.groupBy("memory_id", "seed_rank", "memory", "part", "parts").agg(entries.alias("c"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("c", lambda x: x["connection"]), ","), F.lit("]"))
     if depth <= 0:
         listed = F.lit("[]")
-    return (seeds.join(conns, "memory_id", "left")
-            .select("seed_rank", "part", "parts",
-                    F.concat(F.lit('{"memory":'), F.col("m"), F.lit(',"connections":'), listed, F.lit("}"))
-                    .alias("json"))
-            .orderBy("seed_rank", "part").select("json", "part", "parts"))
+    return (nested.select("seed_rank", "part", "parts", F.concat(
+        F.lit('{"memory":'), F.col("memory"), F.lit(',"connections":'), listed, F.lit("}")).alias("json"))
+        .orderBy("seed_rank", "part").select("json", "part", "parts"))

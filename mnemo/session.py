@@ -10,6 +10,7 @@ cluster has not named one.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -61,8 +62,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     On a cluster this is ``spark.checkpoint.dir`` as configured by the
-    cluster (a shared file system). Only when it is unset (local tests) a
-    scratch folder is created and registered.
+    cluster (a shared file system); without it nothing can be exchanged
+    between executors, so a cluster session that lacks it is an error. Only
+    a session whose driver and executors are one process (``local`` masters,
+    as in tests) gets a scratch folder of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -70,6 +73,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="mnemo-ckpt-", dir=os.environ.get("MNEMO_SCRATCH", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

@@ -4,9 +4,10 @@ A snapshot is a folder with ``nodes/`` (partitioned by a fixed number of
 label buckets, so a label filter prunes to one folder however many labels
 exist, and range-clustered on (label, ``created_at``) so label and date
 filters skip files and row groups by min/max statistics),
-``edges/`` (sorted by ``src``) and ``adjacency/`` (both directions of every
-edge, range-clustered on the node id, for expansion lookups). Snapshots are immutable: every change job
-writes a new one, which doubles as the lineage cut of long job chains.
+``edges/`` (range-clustered on ``src``), ``adjacency/`` (both directions of every
+edge, range-clustered on the node id, for expansion lookups) and ``meta/`` (the
+highest ids given out). Snapshots are immutable: a change is a delta, and merging
+deltas writes a new snapshot, which doubles as the lineage cut of long job chains.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.model import EDGE_COLUMNS, NODE_COLUMNS, Graph
+from mnemo.model import EDGE_COLUMNS, EDGE_DDL, NODE_COLUMNS, NODE_DDL, Graph
 from mnemo.session import checkpoint_dir
 
 LABEL_BUCKETS = 64
@@ -38,34 +39,52 @@ def label_bucket_of(label) -> F.Column:
     return F.pmod(F.xxhash64(label), F.lit(LABEL_BUCKETS)).cast("int")
 
 
-def write_graph(graph: Graph, path: str, mode: str = "overwrite", with_adjacency: bool = True) -> str:
-    """Write nodes, edges and (by default) the adjacency table.
+def _with_blooms(writer, *columns: str):
+    """Bloom filters let a lookup of scattered ids skip row groups."""
+    for c in columns:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    return writer
 
-    The adjacency table is range-partitioned and sorted on the node id, so
-    each file and row group covers a narrow id range and a lookup of a few
-    hundred seeds reads only the row groups whose min/max include them.
+
+def write_graph(graph: Graph, path: str, mode: str = "errorifexists") -> str:
+    """Write nodes, edges, the adjacency table and the id marks.
+
+    A snapshot is written once, to a new folder. The edge and adjacency
+    tables are range-partitioned and sorted on the node id, so each file and
+    row group covers a narrow id range and a lookup of a few hundred seeds
+    reads only the row groups whose min/max include them; nodes are
+    clustered for searches and carry Bloom filters for lookups by id. The
+    number of files follows the data (adaptive partition sizes).
     """
     from mnemo.operators.expand import ADJ_COLUMNS, adjacency
 
-    n = int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = graph.edges.sparkSession
     # Files and row groups cover narrow (label, created_at) ranges, so the
     # search's label and since-date filters skip whole files and row groups
     # by their statistics; ties (and the many nodes without created_at)
     # are split by id, so no range is a hot spot.
     order = ["label_bucket", "first_label", "created_at", "memory_id"]
-    jobs = [
-        lambda: (graph.nodes.select(*NODE_COLUMNS).withColumn("label_bucket", label_bucket_of(F.col("first_label")))
-                 .repartitionByRange(n, *order).sortWithinPartitions(*order)
-                 .write.mode(mode).partitionBy("label_bucket").parquet(f"{path}/nodes")),
-        lambda: (graph.edges.select(*EDGE_COLUMNS).sortWithinPartitions("src")
-                 .write.mode(mode).parquet(f"{path}/edges")),
-    ]
-    if with_adjacency:
-        # range bounds on (a, edge_id): a hub node can still span several files
-        jobs.append(lambda: (adjacency(graph.edges).select(*ADJ_COLUMNS)
-                             .repartitionByRange(n, "a", "edge_id").sortWithinPartitions("a", "edge_id")
-                             .write.mode(mode).parquet(f"{path}/adjacency")))
-    run_parallel(*jobs)
+
+    def nodes() -> None:
+        df = (graph.nodes.select(*NODE_COLUMNS).withColumn("label_bucket", label_bucket_of(F.col("first_label")))
+              .repartitionByRange(*order).sortWithinPartitions(*order))
+        _with_blooms(df.write.mode(mode), "memory_id").partitionBy("label_bucket").parquet(f"{path}/nodes")
+
+    def edges() -> None:
+        df = graph.edges.select(*EDGE_COLUMNS).repartitionByRange("src", "edge_id").sortWithinPartitions("src", "edge_id")
+        _with_blooms(df.write.mode(mode), "edge_id").parquet(f"{path}/edges")
+        # from the stored edges; range bounds on (a, edge_id): a hub node can
+        # still span several files
+        stored = spark.read.schema(EDGE_DDL).parquet(f"{path}/edges")
+        (adjacency(stored).select(*ADJ_COLUMNS).repartitionByRange("a", "edge_id").sortWithinPartitions("a", "edge_id")
+         .write.mode(mode).parquet(f"{path}/adjacency"))
+
+    run_parallel(nodes, edges)
+    top = [graph.high_water("memory_id") if graph.node_high is not None or graph.older is not None else
+           spark.read.schema(NODE_DDL).parquet(f"{path}/nodes").agg(F.max("memory_id")).first()[0] or 0,
+           graph.high_water("edge_id") if graph.edge_high is not None or graph.older is not None else
+           spark.read.schema(EDGE_DDL).parquet(f"{path}/edges").agg(F.max("edge_id")).first()[0] or 0]
+    spark.createDataFrame([tuple(top)], "node_high bigint, edge_high bigint").coalesce(1).write.mode(mode).parquet(f"{path}/meta")
     return path
 
 
@@ -75,16 +94,33 @@ def read_graph(spark: SparkSession, path: str) -> Graph:
     # label_bucket stays visible so label filters can prune folders
     nodes = spark.read.parquet(f"{path}/nodes").select(*NODE_COLUMNS, "label_bucket")
     edges = spark.read.parquet(f"{path}/edges").select(*EDGE_COLUMNS)
-    try:
-        adj = spark.read.parquet(f"{path}/adjacency").select(*ADJ_COLUMNS)
-    except Exception:  # noqa: BLE001 -- snapshot written without adjacency
-        adj = None
-    return Graph(nodes, edges, adj)
+    adj = spark.read.parquet(f"{path}/adjacency").select(*ADJ_COLUMNS)
+    meta = spark.read.parquet(f"{path}/meta").first()
+    return Graph(nodes, edges, adj, meta.node_high, meta.edge_high)
+
+
+_RUNS: dict[str, str] = {}
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, under the shared
+    checkpoint directory."""
+    base = checkpoint_dir(spark).rstrip("/")
+    app = f"{spark.sparkContext.applicationId}@{base}"
+    return _RUNS.setdefault(app, f"{base}/mnemo-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}")
+
+
+def release_run(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far by this application.
+    Call it when no result that was built on them is needed any more."""
+    folder = run_folder(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder for an intermediate table (see :func:`run_folder`)."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -103,15 +139,6 @@ def materialize_all(spark: SparkSession, items: list[tuple[DataFrame, str]]) ->
     return [spark.read.parquet(p) for p in paths]
 
 
-def to_json_lines(df: DataFrame) -> DataFrame:
-    """One JSON document per row (the reference replies with JSON text)."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
-
-
-def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).json(path)
-
-
 def _json_string(s) -> F.Column:
     """A string as a JSON string literal (quoted and escaped)."""
     j = F.to_json(F.array(s))
@@ -127,6 +154,8 @@ def pv_json(pv) -> F.Column:
             .when((pv["kind"] == "number") & (F.isnan(pv["num"]) | (F.abs(pv["num"]) == float("inf"))),
                   F.lit("null"))
             .when(pv["kind"].isin("number", "boolean"), pv["text"])
+            .when((pv["kind"] == "array") & pv["item_kind"].isin("number", "boolean"),
+                  F.concat(F.lit("["), F.array_join(pv["items"], ","), F.lit("]")))
             .when(pv["kind"] == "array", F.to_json(pv["items"]))
             .otherwise(F.lit("null")))
 

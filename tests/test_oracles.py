@@ -9,6 +9,20 @@ from oracle_compare import compare, duck
 from mnemo.plans.registry import ORACLES, QUERIES
 
 
+@pytest.fixture(scope="module", autouse=True)
+def stored_graph(spark, tmp_path_factory):
+    """One stored graph for all queries, instead of deriving it for each."""
+    from mnemo.plans import change_queries, registry
+    from mnemo.sources.snapshot import read_graph, write_graph
+    from mnemo.sources.testgraph import build_graph
+
+    path = write_graph(build_graph(spark, SF001), str(tmp_path_factory.mktemp("graph") / "g"))
+    old = registry.g
+    registry.g = change_queries.g = lambda spark, sf: read_graph(spark, path) if sf == SF001 else old(spark, sf)
+    yield
+    registry.g = change_queries.g = old
+
+
 @pytest.fixture(scope="module")
 def con():
     return duck(SF001)
@@ -70,3 +84,18 @@ def test_expansion_pushes_seed_ids_and_never_shuffles_connections(spark, tmp_pat
     assert "PushedFilters: [In(a," in text          # seed ids reach the adjacency scan
     assert "SortMergeJoin" not in text              # connections are never shuffled to meet the seeds
     assert flat.count() > 0
+
+
+def test_reply_pushes_seed_ids_and_reads_adjacency_once(spark, tmp_path):
+    from mnemo.plans.search import _reply_tables, search_memories
+    from mnemo.sources.snapshot import read_graph, write_graph
+    from mnemo.sources.testgraph import build_graph
+
+    g = read_graph(spark, write_graph(build_graph(spark, SF001), str(tmp_path / "g")))
+    flat = search_memories(g, query="urgent high", label="order", since_date="1998-01-01", limit=10, depth=1)
+    assert plan_text(flat).count("Scan parquet") <= 2           # the expansion is planned once per use, written once
+    seeds = [r[0] for r in flat.select("memory_id").distinct().collect()]
+    text = plan_text(g.nodes.where(g.nodes.memory_id.isin(seeds)).select("memory_id", "props"))
+    assert "PushedFilters: [In(memory_id," in text
+    _, memories, edges = _reply_tables(flat, g)
+    assert set(seeds) <= {r[0] for r in memories.select("memory_id").collect()} and edges.count() > 0
