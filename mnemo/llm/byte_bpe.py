@@ -50,8 +50,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes one pre-token at a time."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], most_states: int | None = None):
         self.ranks = ranks
+        self.most_states = most_states
         self.word = {rank: word for word, rank in ranks.items()}
         # every prefix of a vocabulary word: (its rank or -1, whether longer words begin with it)
         self.prefix: dict[bytes, tuple[int, bool]] = {}
@@ -64,6 +65,9 @@ class Transducer:
         self.edge_memo: dict[int, tuple] = {}
         self._restart()
 
+    def _most(self) -> int:
+        return self.most_states or STATES
+
     def forget(self) -> None:
         self.stable_memo.clear()
         self.edge_memo.clear()
@@ -129,7 +133,7 @@ class Transducer:
         """
         known = self.stable_memo.get((u, t))
         if known is None:
-            if len(self.stable_memo) > 2 * STATES:
+            if len(self.stable_memo) > 2 * self._most():
                 self.stable_memo.clear()
             left = self._edges(t)[0]
             right = [] if u < 0 else self._edges(u)[1]
@@ -191,13 +195,13 @@ class Transducer:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self.states) > STATES:
+        if len(self.states) > self._most():
             self._restart()
         moves, state, out = self.moves, self.start, []
         for byte in data:
             move = moves.get(state << 8 | byte)
             if move is None:
-                if len(self.states) > 2 * STATES:      # one very long pre-token
+                if len(self.states) > 2 * self._most():      # one very long pre-token
                     kept = self.states[state]
                     self._restart()
                     moves, state = self.moves, self._state(*kept)
@@ -275,10 +279,10 @@ def _pack(ids: list[int]) -> bytes:
 class Codec:
     """Whole-text encoder and decoder for one rank file and split pattern."""
 
-    def __init__(self, path: str, pattern: str, most_words: int | None = None):
+    def __init__(self, path: str, pattern: str, most_words: int | None = None, most_states: int | None = None):
         self.most_words = most_words
         ranks = load_ranks(path)
-        self.transducer = Transducer(ranks)
+        self.transducer = Transducer(ranks, most_states)
         self.words = [b""] * (max(ranks.values()) + 1)
         for word, rank in ranks.items():
             self.words[rank] = word
@@ -313,18 +317,19 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str, most_words: int | None = None) -> Codec:
-    return Codec(path, pattern, most_words)
+def codec(path: str, pattern: str, most_words: int | None = None, most_states: int | None = None) -> Codec:
+    return Codec(path, pattern, most_words, most_states)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, most_words: int | None = None,
-               release: bool = True) -> DataFrame:
+               most_states: int | None = None, release: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document.
 
     ``path`` must be readable on every executor (a tokenizer file installed
     with the workers). ``with_ids`` adds the ids as an array column. A worker
-    keeps the ids of up to ``most_words`` pre-tokens (default ``WORDS``) and
-    frees its tables after each task; without ``release`` it keeps them for
+    keeps the ids of up to ``most_words`` pre-tokens (default ``WORDS``) and up
+    to about ``most_states`` states (``STATES``), which sets its memory and
+    never its results, and frees its tables after each task; without ``release`` it keeps them for
     its next tasks, which takes memory from other stages and saves time.
     """
     arrow(docs.sparkSession)
@@ -349,7 +354,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False,
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(kept, pa.list_(pa.int32()))] if with_ids else []), schema.names)
 
     def run(batches):
-        c = codec(path, pattern, most_words)
+        c = codec(path, pattern, most_words, most_states)
         try:
             yield from rows(c, batches)
         finally:
