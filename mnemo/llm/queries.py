@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
-                               public_tokenizers.PATTERN, most_words=600_000, release=False)
+                               public_tokenizers.PATTERN, most_words=1_000_000, most_states=400_000, release=False)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
