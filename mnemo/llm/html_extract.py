@@ -58,7 +58,11 @@ button select textarea input datalist dialog menu search noembed noframes xmp"""
 DROPPED_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 DROPPED_WORDS = set("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu
 breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices popup modal newsletter subscribe comment comments
-disqus share sharing social related recommended pagination pager masthead login signup widget""".split())
+commentlist disqus replies share sharing social related recommended pagination pager masthead login signup subscription widget
+banner alert notification aside topbar toolbar topnav sidenav subnav navlinks sidemenu adbox adslot adsbygoogle""".split())
+
+# Of these, the ones that rule out an article element too.
+ARTICLE_WORDS = set("ad ads advert advertisement sponsored comment comments sidebar related recommended cookie cookies".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|"
                     r"<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -79,7 +83,8 @@ class Element:
             names = f"{found.get('class', '')} {found.get('id', '')}".lower()
         self.words = frozenset(_WORD.findall(names)) if names else frozenset()
         self.main = tag in ("article", "main") or self.role in ("main", "article")
-        self.dropped = (tag in DROPPED_TAGS or self.role in DROPPED_ROLES or bool(self.words & DROPPED_WORDS)) and tag not in ("html", "body")
+        words = ARTICLE_WORDS if self.main else DROPPED_WORDS
+        self.dropped = (tag in DROPPED_TAGS or self.role in DROPPED_ROLES or bool(self.words & words)) and tag not in ("html", "body")
         if self.dropped:
             self.main = False
 

@@ -31,6 +31,8 @@ def test_kinds_and_markup():
     assert e("<article>a<section class='reader-comments'><p>c</p></section></article><div id=cookie-notice>n</div>") == "a"
     assert e("<table><tr><td>1<td>2<tr><td>3</table></p></div>end") == "1\n2\n3\nend"
     assert e("<p>a < b and c > d</p>") == "a < b and c > d"
+    assert e("<article class='social notice'><p>text</p><article class=comment>no</article></article><article class=related>x</article>") == "text"
+    assert e("<div class=banner>b</div><ol class=commentlist><li>c</ol><p>text</p><div role=alert>d</div>") == "text"
     assert len(e("<div>" * 5000 + "deep" + "</div>" * 10)) == 4
 
 
