@@ -48,7 +48,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, with the digests of the ids and of their decoding."""
     # smaller tables than by default: executors still hold memory of the stages before
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True,
-                               most_words=150_000, most_states=60_000)
+                               most_words=120_000, most_states=50_000)
 
 
 STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("simhash", near_duplicates), ("mixing", mixture), ("byte_bpe", tokens)]

@@ -360,5 +360,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False,
         finally:
             if release:
                 c.forget()
+                codec.cache_clear()     # the ranks are read again by the next task
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
