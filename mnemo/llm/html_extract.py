@@ -5,17 +5,21 @@ A page is read into a tree of elements. Three things are deleted from it:
 * elements whose kind says that they are no article text (menus, headers,
   footers, sidebars, notices, adverts, forms, scripts, styles, reader
   comments), by tag, role or the words of class and id;
-* site templates: every remaining element outside the declared main content
-  is hashed with its whole subtree, once exactly and, where most of its text
-  is links, once without its text and with runs of equal children as one.
-  The hashes are counted per host in Spark; subtrees that recur on at least
-  ``MIN_PAGES`` and ``SHARE`` of the host's distinct pages are deleted;
+* site templates: every block of every page, inside and outside the declared
+  main content and of any kind, is hashed with its whole subtree, once
+  exactly and, where most of its text is links, once without its text and
+  with runs of equal children as one. The hashes are counted per host in
+  Spark; subtrees that recur on at least ``MIN_PAGES`` and ``SHARE`` of the
+  host's distinct pages are deleted;
 * if the page declares its main content (``article``, ``main`` or the role),
   everything outside of it.
 
-Declared main content is never deleted for recurring: copies of an article
-and passages that many articles share are text, not template. Exact copies
-of a page count as one page.
+Inside declared main content, passages that many articles share are text, not
+template. There a recurring subtree goes only if it is mostly links or a box
+(``BOXES``) of a kind, by tag and class, that no other block of the same main
+content has; the same skeleton is enough only for boxes and lists of links
+with a class. Where less than ``OWN`` of the text would be left, the page is
+a copy of an article and keeps all. Exact copies of a page count as one page.
 
 White space inside a block (line breaks too) becomes one space, blocks are
 trimmed and joined in page order by a newline. Null and empty pages give an
@@ -39,6 +43,7 @@ from mnemo.sources.snapshot import materialize
 MIN_PAGES = 5       # distinct pages of the host that have the subtree
 SHARE = 0.2         # ... and their share of the host's distinct pages
 LINKS = 0.6         # share of link text from which the skeleton counts
+OWN = 0.2           # share of its text that main content keeps, or nothing is deleted from it
 
 # Elements of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,6 +69,10 @@ banner alert notification aside topbar toolbar topnav sidenav subnav navlinks si
 # Of these, the ones that rule out an article element too.
 ARTICLE_WORDS = set("ad ads advert advertisement sponsored comment comments sidebar related recommended cookie cookies".split())
 
+# Never text, so not hashed; and what may be a box inside main content.
+NO_TEXT = set("head title script style noscript template iframe object embed svg canvas audio video map textarea noembed noframes xmp".split())
+BOXES = set("div section details fieldset center address".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|"
                     r"<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
@@ -71,7 +80,7 @@ _WORD = re.compile(r"[a-z0-9]+")
 
 
 class Element:
-    __slots__ = ("tag", "role", "words", "children", "dropped", "main", "exact", "shape")
+    __slots__ = ("tag", "role", "words", "children", "dropped", "main", "exact", "shape", "size", "links")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag = tag
@@ -168,49 +177,79 @@ def _hash(*parts: str) -> int:
 
 
 def _sign(root: Element) -> list[Element]:
-    """Hash all subtrees below ``root``; returns the elements with text that
-    are outside dropped elements, from the top down."""
+    """Hash all subtrees below ``root``, of dropped elements too; returns the
+    blocks with text that are not and hold no main content, from the top down.
+    A subtree is hashed without the dropped elements inside it."""
     order, todo = [], [root]
     while todo:
         e = todo.pop()
         order.append(e)
-        todo.extend(c for c in e.children if isinstance(c, Element) and not c.dropped)
-    measure: dict[int, tuple[int, int]] = {}
+        todo.extend(c for c in e.children if isinstance(c, Element) and c.tag not in NO_TEXT)
+    holds: set[int] = set()
     for e in reversed(order):
-        texts, linked, parts, shapes = 0, 0, [e.tag, *sorted(e.words)], [e.tag, *sorted(e.words)]
+        size, linked, parts, shapes = 0, 0, [e.tag, *sorted(e.words)], [e.tag, *sorted(e.words)]
         for c in e.children:
             if isinstance(c, str):
                 c = " ".join(html.unescape(c).split())
-                texts += len(c)
+                size += len(c)
                 if c:
                     parts.append(c)
-            elif not c.dropped:
-                t, k = measure[id(c)]
-                texts, linked = texts + t, linked + k
-                parts.append(str(c.exact))
-                if not shapes or shapes[-1] != str(c.shape):
-                    shapes.append(str(c.shape))
-        if e.tag == "a":
-            linked = texts
-        measure[id(e)] = texts, linked
+            elif c.tag not in NO_TEXT:
+                if c.main or id(c) in holds:
+                    holds.add(id(e))
+                if not c.dropped:
+                    size, linked = size + c.size, linked + c.links
+                    parts.append(str(c.exact))
+                    if shapes[-1] != str(c.shape):
+                        shapes.append(str(c.shape))
+        e.size, e.links = size, size if e.tag == "a" else linked
         e.exact, e.shape = _hash("exact", *parts), _hash("shape", *shapes)
-        e.main = e.main or False
     out = []
     for e in order:
-        t, k = measure[id(e)]
-        if t and e is not root and e.tag in BLOCK and e.tag not in ("body", "html"):
+        if e.size and e is not root and e.tag in BLOCK and e.tag not in ("body", "html") and not e.main and id(e) not in holds:
             out.append(e)
-            if k < LINKS * t:
+            if e.links < LINKS * e.size:
                 e.shape = e.exact
     return out
 
 
 def subtrees(page: str) -> tuple[int, list[int]]:
     """(hash of the whole page, hashes of its subtrees that may be template)."""
-    root = parse(page)
-    if _prune(root):
-        return _hash("page", page), []
-    return _hash("page", page), sorted({h for e in _sign(root) for h in (e.exact, e.shape)})
+    return _hash("page", page), sorted({h for e in _sign(parse(page)) for h in (e.exact, e.shape)})
+
+
+def _below(top: Element) -> list[Element]:
+    """The elements inside ``top`` that are not dropped, from the top down."""
+    order, todo = [], [top]
+    while todo:
+        e = todo.pop()
+        order.append(e)
+        todo.extend(c for c in reversed(e.children) if isinstance(c, Element) and not c.dropped)
+    return order[1:]
+
+
+def _templates(root: Element, mains: list[Element], templates: set[int]) -> list[Element]:
+    """The blocks of a page that go as template: all that recur, or inside
+    declared main content those that are no passage of it."""
+    blocks = _sign(root)
+    if not mains:
+        return [e for e in blocks if e.exact in templates or e.shape in templates]
+    may = {id(e) for e in blocks}
+    out = []
+    for top in mains:
+        inside = [e for e in _below(top) if id(e) in may]
+        kinds = {(e.tag, e.words) for e in inside if e.exact not in templates and e.shape not in templates}
+        gone, covered = [], set()
+        for e in inside:
+            linked = e.links >= LINKS * e.size
+            if id(e) not in covered and (
+                    e.exact in templates and (linked or e.tag in BOXES and (e.tag, e.words) not in kinds)
+                    or e.shape in templates and linked and e.words and (e.tag in BOXES or e.tag in ("ul", "ol"))):
+                gone.append(e)
+                covered.update(map(id, _below(e)))
+        if top.size - sum(e.size for e in gone) >= OWN * top.size:
+            out += gone
+    return out
 
 
 def extract(page: str | None, templates: set[int] | None = None) -> str:
@@ -219,9 +258,8 @@ def extract(page: str | None, templates: set[int] | None = None) -> str:
         return ""
     root = parse(page)
     mains = _prune(root)
-    if not mains and templates:
-        for e in _sign(root):
-            e.dropped = e.dropped or e.exact in templates or e.shape in templates
+    for e in _templates(root, mains, templates) if templates else ():
+        e.dropped = True
     blocks: list[str] = []
     line: list[str] = []
 
@@ -259,39 +297,39 @@ def extract(page: str | None, templates: set[int] | None = None) -> str:
 def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     arrow(pages.sparkSession)
+    spark = pages.sparkSession
     keyed = pages.select(
-        "page_id", "url", "html", F.coalesce(F.lower(F.regexp_extract(F.col("url"), r"^[A-Za-z][\w+.\-]*://([^/?#]*)", 1)), F.lit("")).alias("host"),
-        F.xxhash64("url", "html").alias("key"))
+        "page_id", "url", "html", F.coalesce(F.lower(F.regexp_extract(F.col("url"), r"^[A-Za-z][\w+.\-]*://([^/?#]*)", 1)), F.lit("")).alias("host"))
 
     def sign(batches):
         for b in batches:
-            keys, hosts, whole, hashes = [], [], [], []
-            for key, host, page in zip(b.column("key").to_pylist(), b.column("host").to_pylist(), b.column("html").to_pylist()):
+            hosts, whole, hashes = [], [], []
+            for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
                 body, found = subtrees(page or "")
                 for h in [body, *found]:
-                    keys.append(key)
                     hosts.append(host)
                     whole.append(body)
                     hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(whole, pa.int64()),
-                                              pa.array(hashes, pa.int64())], ["key", "host", "page", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(whole, pa.int64()), pa.array(hashes, pa.int64())],
+                                             ["host", "page", "hash"])
 
-    found = keyed.select("key", "host", "html").mapInArrow(sign, "key long, host string, page long, hash long")
+    # written first: pages are signed once
+    found = materialize(spark, keyed.select("host", "html").mapInArrow(sign, "host string, page long, hash long"), "subtrees")
     # one row per page and subtree; copies of a page fall together
-    once = found.groupBy("host", "page", "hash").agg(F.count("*").alias("copies"))
-    total = once.where("page = hash").groupBy("host").agg(F.count("*").alias("pages"))
+    once = found.distinct()
+    total = materialize(spark, once.where("page = hash").groupBy("host").agg(F.count("*").alias("pages")), "host-pages")
     common = (once.where("page <> hash").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-              .join(total, "host").where(F.col("n") >= share * F.col("pages")).select("host", "hash"))
-    hits = found.where("page <> hash").join(common, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("templates"))
-    # written first: the planner then knows its size, and sends few hits to
-    # the pages instead of shuffling the pages to meet them
-    hits = materialize(pages.sparkSession, hits, "template-hits")
+              .join(total, "host").where(F.col("n") >= share * F.col("pages")))
+    # one row per host, of at most 1 / share times the subtrees of its average
+    # page; written, so that the planner knows its size and, where it is
+    # small, sends it to the pages instead of shuffling the pages to meet it
+    listed = materialize(spark, common.groupBy("host").agg(F.collect_set("hash").alias("templates")), "templates")
 
     def text(batches):
         for b in batches:
             out = [extract(page, set(t) if t else None) for page, t in zip(b.column("html").to_pylist(), b.column("templates").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    joined = keyed.join(hits, "key", "left").select("page_id", "url", "html", "templates")
+    joined = keyed.join(listed, "host", "left").select("page_id", "url", "html", "templates")
     schema = pages.select("page_id", "url").schema.add("text", "string")
     return joined.mapInArrow(text, schema).withColumn("n_chars", F.char_length("text").cast("long"))

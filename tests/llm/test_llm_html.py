@@ -54,3 +54,24 @@ def test_templates_are_counted_per_host(spark):
     assert all(text[200 + k] == f"Shared passage.\nOwn {k}." for k in range(20))
     assert text[300] == text[301] == "" and text[None] == "Solo"
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_templates_inside_and_beside_declared_main_content(spark):
+    box = "<div class=teaser-x>Read all our stories today</div>"
+    para = "<div class=para>Shared words of many articles.</div><div class=para>Para {k}.</div>"
+    more = "<ul class=more><li><a href=/{k}>Other story {k}</a></ul>"
+    rows = [(k, f"http://a.example/{k}", f"<article><h1>Title {k}</h1><p>Shared passage.</p><p>Story {k} of many words, told at length.</p>{box}"
+             f"{para.format(k=k)}{more.format(k=k)}<p><a href=/s{k}>Source {k}</a></p></article><div>About this site</div>") for k in range(20)]
+    # no declared main content: what recurs beside the articles of the host goes
+    rows += [(100, "http://a.example/p", f"<body><p>A plain page.</p>{box}<div>About this site</div></body>")]
+    # copies of an article on pages that differ elsewhere stay whole
+    rows += [(200 + k, f"http://c.example/{k}", f"<nav>n{k}</nav><article><h1>T</h1><section>One part.</section><section>Two.</section></article>")
+             for k in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()}
+    for k in range(20):
+        assert text[k] == (f"Title {k}\nShared passage.\nStory {k} of many words, told at length.\nShared words of many articles.\nPara {k}."
+                           f"\nSource {k}")
+    assert text[100] == "A plain page."
+    assert all(text[200 + k] == "T\nOne part.\nTwo." for k in range(8))
+    assert all(html_extract.subtrees(page)[1] for _, _, page in rows)
