@@ -4,7 +4,8 @@ A page is read into a tree of elements. Three things are deleted from it:
 
 * elements whose kind says that they are no article text (menus, headers,
   footers, sidebars, notices, adverts, forms, scripts, styles, reader
-  comments), by tag, role or the words of class and id;
+  comments), by tag, role or the names in class and id (whole names, or
+  names made only of such words and ``PARTS``);
 * site templates: every block of every page, inside and outside the declared
   main content and of any kind, is hashed with its whole subtree, once
   exactly and, where most of its text is links, once without its text and
@@ -14,6 +15,13 @@ A page is read into a tree of elements. Three things are deleted from it:
 * if the page declares its main content (``article``, ``main`` or the role),
   everything outside of it.
 
+Not by its kind is deleted what holds most of the page's text (``MOST``; the
+``SURE`` kinds: nearly all of it), nor, by a name, what holds main content. Main
+content inside other deleted elements is kept if the element has no end tag, or
+if the page has none elsewhere, except in asides and comments. Inside main
+content, a name that may be an article's subject too (``SUBJECTS``) deletes
+only what is mostly links.
+
 Inside declared main content, passages that many articles share are text, not
 template. There a recurring subtree goes only if it is mostly links or a box
 (``BOXES``) of a kind, by tag and class, that no other block of the same main
@@ -43,6 +51,8 @@ from mnemo.sources.snapshot import materialize
 MIN_PAGES = 5       # distinct pages of the host that have the subtree
 SHARE = 0.2         # ... and their share of the host's distinct pages
 LINKS = 0.6         # share of link text from which the skeleton counts
+MOST = 0.5          # share of the plain text above which an element is not deleted for its kind
+NEARLY = 0.9        # ... for adverts, comments and cookie notices
 OWN = 0.2           # share of its text that main content keeps, or nothing is deleted from it
 
 # Elements of HTML.
@@ -56,9 +66,10 @@ IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
            "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
          "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
+HEADERS = {"header", "site-header", "page-header"}     # names, outside main content
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Kinds of elements that are not article text.
-DROPPED_TAGS = set("""head title script style noscript template iframe object embed svg canvas math audio video map nav footer aside form
+DROPPED_TAGS = set("""head title script style noscript template iframe object embed svg canvas annotation annotation-xml audio video map nav footer aside form
 button select textarea input datalist dialog menu search noembed noframes xmp""".split())
 DROPPED_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 DROPPED_WORDS = set("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu
@@ -66,8 +77,17 @@ breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices
 commentlist disqus replies share sharing social related recommended pagination pager masthead login signup subscription widget
 banner alert notification aside topbar toolbar topnav sidenav subnav navlinks sidemenu adbox adslot adsbygoogle""".split())
 
-# Of these, the ones that rule out an article element too.
+PARTS = set("""reader user site top bottom left right primary secondary main area box block bar list link links button buttons icon
+icons slot unit items form container wrapper sticky mobile""".split())
+# Of these, the ones that rule out an article element too; adverts, comments and cookie notices; and
+# those that may be what an article or a part of it is about.
 ARTICLE_WORDS = set("ad ads advert advertisement sponsored comment comments sidebar related recommended cookie cookies".split())
+SURE = set("ad ads advert adverts advertisement comment comments commentlist disqus replies cookie cookies adbox adslot adsbygoogle".split())
+SUBJECTS = set("""sponsor promo promotion nav navigation menu notice notices share sharing social related recommended login
+subscription widget banner alert notification consent gdpr""".split())
+# Tags whose end tag tells whether they hold what follows.
+CLOSED = set("nav footer button select datalist".split())
+ASIDES = set("aside dialog complementary alertdialog".split())
 
 # Never text, so not hashed; and what may be a box inside main content.
 NO_TEXT = set("head title script style noscript template iframe object embed svg canvas audio video map textarea noembed noframes xmp".split())
@@ -76,11 +96,23 @@ BOXES = set("div section details fieldset center address".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|"
                     r"<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
-_WORD = re.compile(r"[a-z0-9]+")
+_PART = re.compile(r"[-_]+")
+
+
+def _kinds(names: frozenset, words: set) -> set:
+    """The words of a kind that a class or id says: as the whole name, or as
+    a name of nothing but such words, parts and numbers."""
+    found = set(names & words)
+    for name in names - found:
+        parts = [x for x in _PART.split(name) if x]
+        mine = {x for x in parts if x in words}
+        if mine and all(x in words or x in PARTS or x.isdigit() for x in parts):
+            found |= mine
+    return found
 
 
 class Element:
-    __slots__ = ("tag", "role", "words", "children", "dropped", "main", "exact", "shape", "size", "links")
+    __slots__ = ("tag", "role", "words", "children", "dropped", "main", "exact", "shape", "size", "links", "kind", "ended", "heads")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag = tag
@@ -90,10 +122,16 @@ class Element:
             found = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(attributes)}
             self.role = found.get("role", "").strip().lower()
             names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-        self.words = frozenset(_WORD.findall(names)) if names else frozenset()
+        self.words = frozenset(names.split())
         self.main = tag in ("article", "main") or self.role in ("main", "article")
-        words = ARTICLE_WORDS if self.main else DROPPED_WORDS
-        self.dropped = (tag in DROPPED_TAGS or self.role in DROPPED_ROLES or bool(self.words & words)) and tag not in ("html", "body")
+        self.ended = False
+        self.heads = tag == "header" or not HEADERS.isdisjoint(self.words)
+        # why it is no text: its tag, its role, or the words that its names say
+        self.kind: str | set = ""
+        if tag not in ("html", "body"):
+            self.kind = ("tag" if tag in DROPPED_TAGS else "role" if self.role in DROPPED_ROLES
+                         else _kinds(self.words, ARTICLE_WORDS if self.main else DROPPED_WORDS) if self.words else "")
+        self.dropped = bool(self.kind)
         if self.dropped:
             self.main = False
 
@@ -150,26 +188,91 @@ def _close(stack: list, tag: str) -> None:
     inner = tag == "p" or tag not in BLOCK
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag == tag:
+            stack[k].ended = True
             del stack[k:]
             return
         if inner and stack[k].tag in BLOCK and stack[k].tag != "p":
             return
 
 
-def _prune(root: Element) -> list[Element]:
-    """The elements to take text from: declared main content, or the page."""
+def _plain(root: Element) -> dict[int, tuple[int, int]]:
+    """(characters outside links, all characters) of every element below ``root``."""
+    order, todo = [], [root]
+    while todo:
+        e = todo.pop()
+        order.append(e)
+        todo.extend(c for c in e.children if isinstance(c, Element) and c.tag not in NO_TEXT)
+    size: dict[int, tuple[int, int]] = {}
+    for e in reversed(order):
+        plain = every = 0
+        for c in e.children:
+            p, n = size.get(id(c), (0, 0)) if isinstance(c, Element) else (len("".join(c.split())),) * 2
+            plain, every = plain + p, every + n
+        size[id(e)] = 0 if e.tag == "a" else plain, every
+    return size
+
+
+def _keep_most(top: Element, plain: dict) -> bool:
+    """Keep what only its kind deletes but holds most of the text of ``top``."""
+    changed = False
+    todo = [c for c in top.children if isinstance(c, Element)]
+    while todo:
+        e = todo.pop()
+        if e.tag in NO_TEXT:
+            continue
+        if e.dropped and not (e.tag in CLOSED and e.ended):
+            sure = isinstance(e.kind, set) and e.kind <= SURE
+            if plain[id(e)][0] > (NEARLY if sure else MOST) * plain[id(top)][0]:
+                e.dropped, changed = False, True
+        if not e.dropped:
+            todo.extend(c for c in e.children if isinstance(c, Element))
+    return changed
+
+
+def _mains(root: Element) -> tuple[list[Element], list[Element]]:
+    """Main content in page order: (seen, inside closed elements whose tag or
+    role is no text). A name alone, or a tag that is not closed, hides none."""
     found: list[Element] = []
-    inside_dropped: list[Element] = []
-    todo = [(root, False)]
+    hidden: list[Element] = []
+    todo = [(root, "")]
     while todo:
-        e, hidden = todo.pop()
-        hidden = hidden or e.dropped
+        e, state = todo.pop()
         if e.main:
-            (inside_dropped if hidden else found).append(e)
+            if state != "own":
+                (hidden if state else found).append(e)
             continue
-        todo.extend((c, hidden) for c in reversed(e.children) if isinstance(c, Element))
-    # an unclosed menu may swallow the article
-    return found or [e for e in inside_dropped if e.tag == "article" or e.role == "main" or e.tag == "main"][:1]
+        if e.dropped:
+            named = isinstance(e.kind, set)
+            if e.tag in NO_TEXT or named and e.kind & ARTICLE_WORDS or e.ended and (e.tag in ASIDES or e.role in ASIDES):
+                state = "own"
+            elif e.ended and not named:
+                state = state or "closed"
+        todo.extend((c, state) for c in reversed(e.children) if isinstance(c, Element))
+    return found, hidden
+
+
+def _prune(root: Element) -> list[Element]:
+    """The elements to take text from: declared main content, or none for the
+    whole page. Says of every element whether it is dropped."""
+    mains, hidden = _mains(root)
+    plain = {} if mains else _plain(root)
+    if not mains and _keep_most(root, plain):
+        mains, hidden = _mains(root)
+    mains = mains or hidden
+    for top in mains or [root]:
+        inside = [e for e in _below(top, kinds=True) if e.dropped or e.heads]
+        if inside:
+            plain = plain or _plain(root)
+        for e in inside:
+            p, n = plain[id(e)]
+            if mains and isinstance(e.kind, set) and e.kind <= SUBJECTS and 2 * p > n and e.tag not in ("article", "main"):
+                e.dropped = False
+            # nor is a header that was not closed, or holds the text
+            if e.heads and (not e.ended or mains and e.tag != "header" or p > NEARLY * plain[id(top)][0]):
+                e.heads = False
+        if mains and inside:
+            _keep_most(top, plain)
+    return mains
 
 
 def _hash(*parts: str) -> int:
@@ -179,7 +282,7 @@ def _hash(*parts: str) -> int:
 def _sign(root: Element) -> list[Element]:
     """Hash all subtrees below ``root``, of dropped elements too; returns the
     blocks with text that are not and hold no main content, from the top down.
-    A subtree is hashed without the dropped elements inside it."""
+    A subtree is hashed without the elements of a dropped kind inside it."""
     order, todo = [], [root]
     while todo:
         e = todo.pop()
@@ -197,7 +300,7 @@ def _sign(root: Element) -> list[Element]:
             elif c.tag not in NO_TEXT:
                 if c.main or id(c) in holds:
                     holds.add(id(e))
-                if not c.dropped:
+                if not c.kind:
                     size, linked = size + c.size, linked + c.links
                     parts.append(str(c.exact))
                     if shapes[-1] != str(c.shape):
@@ -218,16 +321,23 @@ def subtrees(page: str) -> tuple[int, list[int]]:
     return _hash("page", page), sorted({h for e in _sign(parse(page)) for h in (e.exact, e.shape)})
 
 
-def _below(top: Element) -> list[Element]:
-    """The elements inside ``top`` that are not dropped, from the top down."""
+def _below(top: Element, kinds: bool = False) -> list[Element]:
+    """The elements inside ``top`` that are not dropped (or with ``kinds``
+    all that may have text), from the top down."""
     order, todo = [], [top]
     while todo:
         e = todo.pop()
         order.append(e)
-        todo.extend(c for c in reversed(e.children) if isinstance(c, Element) and not c.dropped)
+        todo.extend(c for c in reversed(e.children) if isinstance(c, Element) and (
+            c.tag not in NO_TEXT if kinds else not c.dropped))
     return order[1:]
 
 
+def _length(top: Element) -> int:
+    """Characters of text inside ``top`` that are not dropped."""
+    return sum(len("".join(c.split())) for e in [top, *_below(top)] for c in e.children if isinstance(c, str))
+
+
 def _templates(root: Element, mains: list[Element], templates: set[int]) -> list[Element]:
     """The blocks of a page that go as template: all that recur, or inside
     declared main content those that are no passage of it."""
@@ -247,7 +357,8 @@ def _templates(root: Element, mains: list[Element], templates: set[int]) -> list
                     or e.shape in templates and linked and e.words and (e.tag in BOXES or e.tag in ("ul", "ol"))):
                 gone.append(e)
                 covered.update(map(id, _below(e)))
-        if top.size - sum(e.size for e in gone) >= OWN * top.size:
+        lost = sum(map(_length, gone))
+        if gone and _length(top) - lost >= OWN * _length(top):
             out += gone
     return out
 
@@ -285,7 +396,7 @@ def extract(page: str | None, templates: set[int] | None = None) -> str:
             elif c.tag == "br":
                 line.append(" ")
             else:
-                heads = (heads or c.tag == "header" or "header" in c.words) and c.tag not in HEADINGS
+                heads = (heads or c.heads) and c.tag not in HEADINGS
                 if c.tag in BLOCK:
                     flush()
                     todo.append((c, heads, True))

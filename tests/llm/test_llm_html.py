@@ -75,3 +75,25 @@ def test_templates_inside_and_beside_declared_main_content(spark):
     assert text[100] == "A plain page."
     assert all(text[200 + k] == "T\nOne part.\nTwo." for k in range(8))
     assert all(html_extract.subtrees(page)[1] for _, _, page in rows)
+
+
+def test_names_and_wrappers_drop_no_article_text():
+    e = html_extract.extract
+    for name in ("layout has-sidebar", "with-menu", "no-ads", "social-science", "sidebar", "widget"):
+        assert e(f"<div class='{name}'><p>All of the text.</p></div><footer>f</footer>") == "All of the text."
+        two = f"<article><p>One of them.</p></article><article><p>Two.</p></article><p>tail</p></div><nav><a>m</a></nav>"
+        assert e(f"<body><div class='{name}'>{two}") == "One of them.\nTwo."
+    assert e("<nav><ul><li><a>m</a><article><p>one</p></article><article><p>two</p></article>") == "one\ntwo"
+    assert e("<article>first</article><nav><a>m</a><article>second</article>") == "first\nsecond"
+    assert e("<article>first</article><nav><a>m</a><article>teaser</article></nav>") == "first"
+    assert e("<aside><article>teaser</article></aside><p>The text of the page.</p>") == "The text of the page."
+    assert e("<article><p>text</p></article><div class=comments><article>c</article></div>") == "text"
+    assert e("<form id=page><div class=menu><a>m</a></div><p>The text of the page.</p></form>") == "The text of the page."
+    assert e("<header><p>Not closed, so all of the page is in it.</p><p>More.</p>") == "Not closed, so all of the page is in it.\nMore."
+    parts = "".join(f"<div class='{n}'><p>{n}</p></div>" for n in ("related-work", "notice", "market-share", "share", "section-header", "header"))
+    assert e(f"<article><h1>T</h1>{parts}</article>") == "T\nrelated-work\nnotice\nmarket-share\nshare\nsection-header\nheader"
+    assert e("<article><p>The text.</p><div class=related><a>Other</a></div><div class=site-ads>x</div></article>") == "The text."
+    assert e("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p>") == "so x=1 holds"
+    assert e("<div class='comment-list'><p>c</p></div><div id=comment-12>d</div><p>The text.</p>") == "The text."
+    deep = "<div class=notice>" * 3000
+    assert e(f"<article>{deep}<p>deep</p>") == e(f"{deep}<p>deep</p>") == "deep"
