@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.llm.components import components
@@ -63,16 +63,22 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * ones > len(start), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, tie: bool = False) -> DataFrame:
+    """(doc_id, fp): one row per row of ``docs``; fp is the fingerprint as a
+    signed long. With ``tie`` also a hash of the text."""
     arrow(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column("text").cast(pa.large_binary())], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            more = [b.column("tie")] if tie else []
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), *more], schema.fieldNames())
 
-    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("fp", "long"))
+    schema = docs.select("doc_id").schema.add("fp", "long")
+    if tie:
+        schema = schema.add("tie", "long")
+    more = [F.xxhash64(docs["text"]).alias("tie")] if tie else []
+    return docs.select("doc_id", "text", *more).mapInArrow(run, schema)
 
 
 class Golay:
@@ -166,28 +172,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each group: that of its smallest doc_id.
+    """One row of ``docs`` for each group: that of its smallest doc_id (rows
+    without one come last), and of these that of the smallest text hash.
 
-    Of rows that share the doc_id one stays. Rows without a doc_id stay
-    only if their whole group has none, then one for each distinct row.
+    Rows are told apart by doc_id and text, so a doc_id that occurs with
+    different texts may stay once for each group.
     """
     spark = docs.sparkSession
-    g = materialize(spark, groups(docs).select("doc_id", "component_id"), "simhash-groups")
-    heads = g.where("component_id is not null").select(F.col("component_id").alias("_id")).distinct()
-    ids = g.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"))
-    # only the ids that go, written first: where they are few, the planner
+    prints = materialize(spark, fingerprints(docs, tie=True), "simhash")
+    head = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))
+    first = materialize(spark, prints.groupBy("fp").agg(F.min(head).alias("head")), "simhash-distinct")
+    roots = components(links(first.select("fp")))
+    heads = materialize(spark, first.join(roots.withColumnRenamed("u", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
+                        .agg(F.min("head").alias("head")).select("head._id", "head._tie"), "simhash-heads")
+    rows = prints.groupBy(F.col("doc_id").alias("id"), "tie").agg(F.count("*").alias("n"))
+    is_head = rows["id"].eqNullSafe(heads["_id"]) & (rows["tie"] == heads["_tie"])
+    # only the rows that go, written first: where they are few, the planner
     # sends them to the documents instead of shuffling the texts
-    losers = materialize(spark, ids.join(heads, "_id", "left_anti").select("_id"), "simhash-losers")
-    # columns by reference: the documents may have columns of any name
-    kept = docs.where(docs["doc_id"].isNotNull()).join(losers, docs["doc_id"] == losers["_id"], "left_anti")
-    repeated = materialize(spark, ids.where("n > 1").join(heads, "_id").select("_id"), "simhash-repeated")
+    losers = materialize(spark, rows.join(heads, is_head, "left_anti").select(F.col("id").alias("_id"), F.col("tie").alias("_tie")), "simhash-losers")
+
+    def same(x: DataFrame) -> Column:
+        # columns by reference: the documents may have columns of any name
+        return docs["doc_id"].eqNullSafe(x["_id"]) & (F.xxhash64(docs["text"]) == x["_tie"])
+
+    kept = docs.join(losers, same(losers), "left_anti")
+    repeated = materialize(spark, rows.where("n > 1").join(heads, is_head, "left_semi").select(
+        F.col("id").alias("_id"), F.col("tie").alias("_tie")), "simhash-repeated")
     if not repeated.isEmpty():
-        again = docs["doc_id"] == repeated["_id"]
-        rows = kept.join(repeated, again, "left_semi").select(
-            F.struct(*docs.columns).alias("row"), docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_tie"))
-        rank = F.row_number().over(Window.partitionBy("_id").orderBy("_tie"))
-        one = rows.withColumn("_rank", rank).where("_rank = 1").select("row.*")
-        kept = kept.join(repeated, again, "left_anti").unionByName(one)
-    if g.where("component_id is null").limit(1).isEmpty():
-        return kept
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates())
+        one = (kept.join(repeated, same(repeated), "left_semi")
+               .select(F.struct(*docs.columns).alias("row"), docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_tie"))
+               .dropDuplicates(["_id", "_tie"]).select("row.*"))
+        kept = kept.join(repeated, same(repeated), "left_anti").unionByName(one)
+    return kept

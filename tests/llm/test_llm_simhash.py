@@ -90,3 +90,19 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(5, 5)]
     got = {r.u: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(1, 201)}, **{1000 + k: 1000 for k in range(1, 300)}}
+
+
+def test_every_group_keeps_one_row_with_repeated_ids(spark):
+    a, b, c = ("one two three four five six", "all other words are in this one", "nothing like the first or second of them")
+    near = a.upper()        # same fingerprint
+    cases = [
+        ([(5, a), (5, b)], {(5, a), (5, b)}),                          # two groups of one doc_id
+        ([(3, a), (5, near), (5, b)], {(3, a), (5, b)}),               # a near copy goes, the other group's only row stays
+        ([(5, a), (5, a), (None, near), (None, c), (None, c), (7, b)], {(5, a), (None, c), (7, b)}),
+    ]
+    for rows, expect in cases:
+        docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, _id string, tie int")
+        got = simhash.keep_first(docs)
+        assert got.columns == docs.columns
+        got = [(r.doc_id, r.text) for r in got.collect()]
+        assert set(got) == expect and len(got) == len(expect)
