@@ -53,7 +53,7 @@ def shape_grams(w: Words, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     place = np.zeros(n + 1, dtype=np.int64)
     np.cumsum(kept, out=place[1:])
     short = Words.__new__(Words)
-    short.data, short._total = kind[kept], None
+    short.data, short._eights = kind[kept], None
     h = short.span_hashes(place[w.start], place[w.end])
     exact = w.hashes()
     at = np.flatnonzero(w.doc[:-1] == w.doc[1:])

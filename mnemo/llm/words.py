@@ -13,15 +13,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 RUN_BYTES = 1_000_000
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+_LANE = 8            # bytes that are hashed at once
+_LONG = 4096         # longer spans are hashed one by one
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,14 +35,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, RUN_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(size, _U(base & ((1 << 64) - 1)))
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """lanes[i]: the eight bytes from position i on, zeros after the end."""
+    padded = np.zeros(len(data) + _LANE, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0, lanes: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span start[i]:end[i].
+
+    Eight bytes at a time go through :func:`mix`, all spans side by side, so
+    every byte passes the mixer before the next; the length is part of the
+    hash. Spans of over ``_LONG`` bytes are hashed by XXH3.
+    """
+    size = (end - start).astype(np.int64)
+    out = mix(size.astype(_U) + _U(0x9E3779B97F4A7C15 ^ seed))
+    lanes = _lanes(data) if lanes is None else lanes
+    at = np.flatnonzero((size > 0) & (size <= _LONG))
+    h, place, left = out[at], start[at].astype(np.int64), size[at]
+    while len(at):
+        v = lanes[place]
+        short = np.flatnonzero(left < _LANE)
+        v[short] &= (_U(1) << (left[short] * 8).astype(_U)) - _U(1)
+        h = mix(h ^ v)
+        more = left > _LANE
+        if more.all():
+            place, left = place + _LANE, left - _LANE
+            continue
+        out[at[~more]] = h[~more]
+        at, h, place, left = at[more], h[more], place[more] + _LANE, left[more] - _LANE
+    for k in np.flatnonzero(size > _LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k]: end[k]].tobytes(), seed=seed)
+    return out
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +98,7 @@ class Words:
     """
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, lower: bool = False):
-        self._total = None
+        self._eights = None
         self.off = off - off[0]
         data = buf[off[0]: off[-1]]
         if lower:
@@ -101,13 +126,9 @@ class Words:
 
     def span_hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A 64-bit hash of the bytes of each span start[i]:end[i]."""
-        n = len(self.data)
-        up, down = _power(n + 1)
-        if self._total is None:
-            self._total = np.zeros(n + 1, dtype=_U)
-            np.cumsum((self.data.astype(_U) + _U(1)) * up[:n], out=self._total[1:])
-        h = (self._total[end] - self._total[start]) * down[start]
-        return mix(h ^ ((end - start).astype(_U) << _U(48)))
+        if self._eights is None:
+            self._eights = _lanes(self.data)
+        return hash_spans(self.data, start, end, lanes=self._eights)
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""

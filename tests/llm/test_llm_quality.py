@@ -10,7 +10,7 @@ from conftest import SF001
 from llm_cases import ODD_TEXTS, documents, empty
 
 from mnemo.llm import quality_classifier, quality_rules, queries
-from mnemo.llm.words import Words, raw, runs
+from mnemo.llm.words import Words, hash_spans, raw, runs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -40,6 +40,32 @@ def test_base_counts_equal_brute_force():
     assert got.tolist() == [_counts(t) for t in texts]
 
 
+def _thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") & 1 else a for i in range(n))
+
+
+def test_lines_of_alternating_patterns_are_told_apart():
+    """Such pairs are equal under a polynomial hash modulo 2^64."""
+    for n in (1024, 2048, 4096, 8192):
+        line, other = _thue_morse(n), _thue_morse(n, "b", "a")
+        text = f"{line}\n{other}\n{line}"
+        words = " ".join([line, other, "x", "y", "z", other, line, "x", "y", "z"])
+        got = quality_rules.counts(pa.array([text, words], pa.string()))
+        assert got.tolist() == [_counts(text), _counts(words)] and got[0, 3] == 1 and got[1, 4] == 0
+
+
+def test_span_hash_of_all_lengths_and_places():
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 100, 9000).astype(np.uint8)
+    start = np.concatenate([rng.integers(0, 8990, 20_000), [0, 0, 5, 9000]])
+    end = np.minimum(start + np.concatenate([rng.integers(0, 40, 20_000), [9000, 4096, 4102, 0]]), 9000)
+    h = hash_spans(data, start, end)
+    spans = [data[s:e].tobytes() for s, e in zip(start, end)]
+    assert len(set(h.tolist())) == len(set(spans)) == len(set(zip(spans, h.tolist())))
+    alone = [hash_spans(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0] for x in spans[:50] + spans[-4:]]
+    assert alone == h[[*range(50), *range(-4, 0)]].tolist()
+
+
 def test_words_of_a_slice_and_hashes():
     texts = pa.array(["skip", *_texts()], pa.string()).slice(1)
     buf, off = raw(texts)
