@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemo.llm import byte_bpe, html_extract, lm_score, minhash, mixing, piece_counts, quality_classifier, quality_rules, quote_links, simhash
+from mnemo.llm import byte_bpe, html_extract, importance, lm_score, minhash, mixing, piece_counts, quality_classifier, quality_rules, quote_links, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_classifier": op2_quality_classifier,
@@ -66,7 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quote_links": op8_quote_links,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
+    "op11_importance": op11_importance,
 }
 ORACLES: dict[str, str] = {
     "op6_mixing": mixing.ORACLE,
+    "op11_importance": importance.ORACLE,
 }
