@@ -113,15 +113,15 @@ def rows(texts: pa.Array, bits: int, families) -> Iterator[tuple[np.ndarray, np.
         yield u.astype(np.int32), np.bincount(back, weights=val).astype(np.float32)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, target: str, sample: int, bits: int, families,
-                  eligible: Column | None = None) -> DataFrame:
-    """Features of about ``sample`` labelled documents: (key, y, idx, val).
+def labelled_texts(docs: DataFrame, labels: DataFrame, target: str, sample: int, eligible: Column | None = None) -> DataFrame:
+    """(key, y, text) of about ``sample`` labelled documents.
 
     The bound is the caller's documented parameter. Rows are taken by a
     hash of doc_id, so that the choice is the same in every run; all
     labelled rows are used while there are no more than ``sample``. A
-    doc_id labelled twice counts once, with its larger label. The sampled
-    labels (at most about ``sample`` rows) are broadcast to the documents.
+    doc_id labelled twice counts once, with its larger label; one that has
+    several texts counts once, with the least of them. The sampled labels
+    (at most about ``sample`` rows) are broadcast to the documents.
     """
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull())
     if eligible is not None:
@@ -131,9 +131,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, sample: int,
     key = F.xxhash64(F.col("doc_id").cast("string"))
     if total > sample:
         known = known.where(F.pmod(key, F.lit(1 << 30)) < int(sample / total * (1 << 30)))
-    picked = (docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-              .select(key.alias("key"), F.col("_y").alias("y"), "text"))
+    return (docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id")
+            .agg(F.max("_y").alias("y"), F.min("text").alias("text")).select(key.alias("key"), "y", "text"))
+
 
+def training_rows(docs: DataFrame, labels: DataFrame, target: str, sample: int, bits: int, families,
+                  eligible: Column | None = None) -> DataFrame:
+    """Features of about ``sample`` labelled documents (see
+    :func:`labelled_texts`): (key, y, idx, val)."""
     def featurise(batches):
         for b in batches:
             idx, val = [], []
@@ -143,6 +148,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, sample: int,
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("y").cast(pa.int32()), pa.array(idx, pa.binary()),
                                               pa.array(val, pa.binary())], ["key", "y", "idx", "val"])
 
+    picked = labelled_texts(docs, labels, target, sample, eligible)
     return picked.mapInArrow(featurise, "key long, y int, idx binary, val binary")
 
 
@@ -165,4 +171,4 @@ def fitted(features: DataFrame, fit) -> bytes:
     return bytes(got[0][0]) if got else fit(none)
 
 
-__all__ = ["char_grams", "fitted", "in_doc", "in_order", "margins", "mix", "remainder", "rows", "shape_grams", "training_rows", "word_grams"]
+__all__ = ["char_grams", "fitted", "in_doc", "in_order", "labelled_texts", "margins", "mix", "remainder", "rows", "shape_grams", "training_rows", "word_grams"]
