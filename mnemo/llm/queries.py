@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemo.llm import byte_bpe, html_extract, importance, lm_score, minhash, mixing, piece_counts, quality_classifier, quality_rules, quote_links, simhash, toxicity
+from mnemo.llm import byte_bpe, collocations, html_extract, importance, lm_score, minhash, mixing, piece_counts, quality_classifier, quality_rules, quote_links, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -75,9 +79,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
     "op11_importance": op11_importance,
+    "op12_collocations": op12_collocations,
     "op13_toxicity": op13_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op6_mixing": mixing.ORACLE,
     "op11_importance": importance.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
