@@ -7,6 +7,12 @@ than the one before (convex repetition costs). The result says how often
 each pattern is taken whole and how many words it gives beyond; documents
 are then chosen in a seeded order by a threshold per pattern.
 
+The choice is the plain greedy rule: in seeded order every document is taken
+that is no longer than the words still wanted of its pattern. It takes one
+step for each run of documents that fit, and as what is still wanted falls
+below the document that ended the run, few steps (about the logarithm of the
+largest size) until no document fits.
+
 The driver sees one row per pattern, at most ``MAX_PATTERNS`` (an error
 beyond: these are combinations of named sources, not data). A null or empty
 text has size 0 and is taken 0 words. Sources may be null. Rows that share a
@@ -27,7 +33,6 @@ WEIGHTS = (5, 2, 1)     # fixed by the contract, repeating over the sources
 PASSES = 3              # no document is taken more often
 SEED = "mix-1"
 MAX_PATTERNS = 100_000
-STEPS = 5               # documents too long for the rest that are passed over
 PREFIX = 4              # hexadecimal digits of the order's hash: 65,536 buckets
 LAST = "g"              # above every hexadecimal hash
 
@@ -136,12 +141,11 @@ def flow(sizes: dict, quotas: dict, costs=tuple(range(1, PASSES + 1))) -> dict:
 def plan(sized: DataFrame, wanted) -> tuple[DataFrame, dict, dict]:
     """(cuts, source sizes, targets) for a table (pattern, size, place).
 
-    cuts has one row per pattern: ``whole`` passes, and ``steps`` (limit,
-    stop): a document is taken once more if for some step its size is at
-    most the limit and its place before the stop. This is the greedy choice
-    in seeded order of every document that still fits, cut after ``STEPS``
-    documents that did not fit. ``wanted`` makes the targets from the
-    source sizes.
+    cuts has one row per pattern: ``whole`` passes, and ``steps`` (most,
+    after, stop): a document is taken once more if its size is at most the
+    limit of a step and its place between the step's ends. This is the greedy
+    choice in seeded order of every document that still fits. ``wanted``
+    makes the targets from the source sizes.
     """
     spark = sized.sparkSession
     rows = sized.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
@@ -157,13 +161,15 @@ def plan(sized: DataFrame, wanted) -> tuple[DataFrame, dict, dict]:
     for p, passes in flow(sizes, goal).items():
         whole[p] = sum(1 for x in passes if x >= sizes[p] - 1e-4) if sizes[p] else 0
         state[p] = sum(passes[whole[p]:]), ""
-    for _ in range(STEPS):
+    while state:
         found = {tuple(r.pattern): r for r in _step(sized, state).collect()}
         for p, r in found.items():
-            rest, stop = state[p]
-            steps[p].append((rest, r.stop))
+            rest, after = state[p]
+            steps[p].append((rest, after, r.stop))
             state[p] = rest - float(r.words), r.stop
-    schema = "pattern array<string>, whole int, steps array<struct<most: double, stop: string>>"
+        # patterns of which nothing fits any more are done
+        state = {p: state[p] for p in found if state[p][0] >= 1 and state[p][1] != LAST}
+    schema = "pattern array<string>, whole int, steps array<struct<most: double, after: string, stop: string>>"
     return spark.createDataFrame([(list(p), whole[p], steps[p]) for p in sizes], schema), by_source, goal
 
 
@@ -176,7 +182,7 @@ def _step(sized: DataFrame, state: dict) -> DataFrame:
     """
     levels = F.broadcast(sized.sparkSession.createDataFrame(
         [(list(p), float(rest), stop) for p, (rest, stop) in state.items() if rest >= 1], "pattern array<string>, rest double, stop string"))
-    fit = (sized.join(levels, "pattern").where("size > 0 and size <= rest and place >= stop")
+    fit = (sized.join(levels, "pattern").where("size > 0 and size <= rest and place > stop")
            .withColumn("bucket", F.substring("place", 1, PREFIX)))
     sums = fit.groupBy("pattern", "bucket", "rest").agg(F.sum("size").alias("words"))
     ends = sums.withColumn("after", F.sum("words").over(Window.partitionBy("pattern").orderBy("bucket")))
@@ -192,7 +198,7 @@ def _step(sized: DataFrame, state: dict) -> DataFrame:
 
 def _repeats(df: DataFrame, cuts: DataFrame) -> DataFrame:
     """``df`` (pattern, size, place, ...) with ``times``: how often a row is taken."""
-    more = F.exists("steps", lambda s: (F.col("size") <= s["most"]) & (F.col("place") < s["stop"]))
+    more = F.exists("steps", lambda s: (F.col("size") <= s["most"]) & (F.col("place") > s["after"]) & (F.col("place") < s["stop"]))
     least = F.least(F.col("whole") + more.cast("int"), F.lit(PASSES))
     return df.join(F.broadcast(cuts), "pattern").withColumn("times", least).drop("whole", "steps")
 
@@ -224,18 +230,9 @@ def mix(docs: DataFrame, members: Column | None = None, wanted=targets) -> DataF
     return (_repeats(keyed, cuts).withColumn("copy", F.explode(F.array_repeat(F.lit(1), times))).select("row.*"))
 
 
-_STEP_SQL = """
-c{k} AS (
-  SELECT d.source, d.place, d.size, b.rest, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place) AS total
-  FROM d JOIN b{j} b ON d.source IS NOT DISTINCT FROM b.source WHERE d.size > 0 AND d.size <= b.rest AND d.place >= b.stop),
-f{k} AS (SELECT source, min(place) AS stop FROM c{k} WHERE total > rest GROUP BY source),
-b{k} AS (
-  SELECT b.source, coalesce(f.stop, 'g') AS stop, b.rest AS most,
-         b.rest - coalesce((SELECT sum(c.size) FROM c{k} c WHERE c.source IS NOT DISTINCT FROM b.source AND c.place < coalesce(f.stop, 'g')), 0)::DOUBLE AS rest
-  FROM b{j} b LEFT JOIN f{k} f ON f.source IS NOT DISTINCT FROM b.source)"""
-
+# The greedy rule document by document.
 ORACLE = """
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
          md5(concat('mix-1:', coalesce(doc_id::VARCHAR, ''))) AS place
   FROM documents),
@@ -251,12 +248,18 @@ f AS (SELECT free, rest FROM r WHERE 3 * z * rest > free * w ORDER BY k LIMIT 1)
 t AS (
   SELECT r.source, r.z, round(CASE WHEN f.rest IS NULL OR 3 * r.z * f.rest <= f.free * r.w THEN 3.0 * r.z ELSE f.free * r.w / f.rest END, 6) AS target
   FROM r LEFT JOIN f ON true),
-b0 AS (
+b AS (
   SELECT source, z, target, CASE WHEN z > 0 THEN floor(target / z)::BIGINT ELSE 0 END AS whole,
-         target - CASE WHEN z > 0 THEN floor(target / z) ELSE 0 END * z AS rest, '' AS stop
-  FROM t),""" + ",".join(_STEP_SQL.format(j=k - 1, k=k) for k in range(1, STEPS + 1)) + """
-SELECT d.doc_id, d.size, b0.z AS source_size, b0.target, d.size * (b0.whole + CASE WHEN
-         """ + " OR ".join(f"(d.size <= b{k}.most AND d.place < b{k}.stop)" for k in range(1, STEPS + 1)) + """
-         THEN 1 ELSE 0 END) AS taken
-FROM d JOIN b0 ON d.source IS NOT DISTINCT FROM b0.source
-""" + "".join(f"JOIN b{k} ON d.source IS NOT DISTINCT FROM b{k}.source\n" for k in range(1, STEPS + 1))
+         target - CASE WHEN z > 0 THEN floor(target / z) ELSE 0 END * z AS rest
+  FROM t),
+o AS (SELECT source, doc_id, size, row_number() OVER (PARTITION BY source ORDER BY place) AS i FROM d WHERE size > 0),
+walk(source, i, rest, took) AS (
+  SELECT source, 0::BIGINT, rest::DOUBLE, false FROM b
+  UNION ALL
+  SELECT w.source, o.i, CASE WHEN o.size <= w.rest THEN w.rest - o.size ELSE w.rest END, o.size <= w.rest
+  FROM walk w JOIN o ON o.source IS NOT DISTINCT FROM w.source AND o.i = w.i + 1)
+SELECT d.doc_id, d.size, b.z AS source_size, b.target, d.size * (b.whole + CASE WHEN walk.took THEN 1 ELSE 0 END) AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+LEFT JOIN o ON o.doc_id = d.doc_id AND o.source IS NOT DISTINCT FROM d.source
+LEFT JOIN walk ON walk.source IS NOT DISTINCT FROM d.source AND walk.i = o.i
+"""

@@ -1,3 +1,5 @@
+import hashlib
+import random
 import re
 
 import pytest
@@ -68,6 +70,36 @@ def test_equals_sql(spark):
     assert ((per["taken"] - per["target"]).abs() < 0.03 * per["target"]).all()
 
 
+def _greedy(rows, rest):
+    """Plain greedy choice in seeded order; rows of one place go together."""
+    taken = set()
+    places = {}
+    for i, size in rows:
+        if size:
+            places.setdefault(hashlib.md5(f"mix-1:{i}".encode()).hexdigest(), []).append((i, size))
+    for _, same in sorted(places.items()):
+        fit = [(i, size) for i, size in same if size <= rest]
+        if fit and sum(size for _, size in fit) <= rest:
+            rest -= sum(size for _, size in fit)
+            taken |= {i for i, _ in fit}
+    return taken
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_every_document_that_fits_is_taken(spark, seed):
+    """Many more than five documents must be passed over before the last fits."""
+    rnd = random.Random(seed)
+    rows = [(i, rnd.choice([1, 2, 3, 50, 400, 900, 5000])) for i in range(400)] + [(7, 30), (7, 31)]
+    docs = spark.createDataFrame([(i, "w " * n, "s") for i, n in rows], "doc_id long, text string, source string")
+    wanted = rnd.randint(2000, sum(n for _, n in rows) - 1)
+    got = mixing.mix(docs, wanted=lambda sizes: {"s": float(wanted)}).groupBy("doc_id", "text").count().collect()
+    expect = _greedy(rows, wanted)
+    assert {r.doc_id for r in got} == expect and all(r["count"] == 1 for r in got)
+    words = sum(len(r.text.split()) for r in got)
+    left = [n for i, n in rows if i not in expect]
+    assert words <= wanted and (not left or min(left) > wanted - words)
+
+
 def test_odd_rows_and_overlaps(spark):
     docs = documents(spark)
     first, again = (sorted(map(tuple, mixing.mixture(docs).collect()), key=str) for _ in range(2))
