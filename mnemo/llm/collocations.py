@@ -48,6 +48,7 @@ TOP = 2000
 COVER = (100, 80)    # dropped if 100 * f(longer) >= 80 * f(phrase)
 SCALE = 2_000_000
 SHARD_BYTES = 16_000_000      # of text for each hash partition
+BLOCK_BYTES = 3_000_000       # of text that a block has, or one longer text
 SALTS = 64           # parts of a language that are ranked before the whole
 
 _U = np.uint64
@@ -106,8 +107,9 @@ def _shard(key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return (p >> _U(rest)).astype(np.int64), ((p & _U((1 << rest) - 1)) >> _U(rest - 32)).astype("<u4")
 
 
-def merge(keys: list[np.ndarray], counts: list[np.ndarray], capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """One Misra-Gries summary of several: at most ``capacity`` counters.
+def merge(keys: list[np.ndarray], counts: list[np.ndarray], capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """One Misra-Gries summary of several: at most ``capacity`` counters, and
+    what was taken off each.
 
     Equal keys are added; if more than ``capacity`` remain, the count of rank
     capacity + 1 is taken off all. Each unit taken off goes with at least
@@ -116,25 +118,32 @@ def merge(keys: list[np.ndarray], counts: list[np.ndarray], capacity: int) -> tu
     """
     k, back = np.unique(np.concatenate(keys), return_inverse=True)
     n = np.bincount(back, weights=np.concatenate(counts), minlength=len(k)).astype(np.int64)
+    cut = 0
     if len(k) > capacity:
-        n -= np.partition(n, len(n) - capacity - 1)[len(n) - capacity - 1]
+        cut = int(np.partition(n, len(n) - capacity - 1)[len(n) - capacity - 1])
+        n -= cut
         k, n = k[n > 0], n[n > 0]
-    return k, n
+    return k, n, cut
 
 
 def survivors(messages, mass: int, least: int = LEAST) -> np.ndarray:
-    """The keys left in the merged summary of (keys, counts) messages; every
-    key of at least ``least`` occurrences is among them."""
+    """The keys in the merged summary of (keys, counts) messages that may
+    have ``least`` occurrences; every key that has them is among these.
+
+    A key occurs at most as often as its counter and all that was taken off
+    say, so what is below ``least`` with that is left out as well.
+    """
     capacity = mass // least + 1
-    keys, counts, held = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)], 0
+    keys, counts, held, lost = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)], 0, 0
     for k, n in messages:
         keys.append(k)
         counts.append(n)
         held += len(k)
         if held > 4 * capacity + 100_000:
-            k, n = merge(keys, counts, capacity)
-            keys, counts, held = [k], [n], len(k)
-    return merge(keys, counts, capacity)[0]
+            k, n, cut = merge(keys, counts, capacity)
+            keys, counts, held, lost = [k], [n], len(k), lost + cut
+    k, n, cut = merge(keys, counts, capacity)
+    return k[n + lost + cut >= least]
 
 
 def _question(block: pa.Table, shards: int, least: int) -> dict[int, bytes]:
@@ -222,7 +231,7 @@ def _count(state: bytes, replies: dict[int, bytes], shards: int) -> pa.Table:
             [("n", "sum")]).rename_columns(["lang", "phrase", "n"])
 
 
-def frequent(docs: DataFrame, least: int = LEAST, shards: int | None = None, block_bytes: int | None = None) -> DataFrame:
+def frequent(docs: DataFrame, least: int = LEAST, shards: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(lang, phrase, n): all phrases of 1 to ``MOST_WORDS`` words that occur
     ``least`` times or more in their language, and for each language the
     empty phrase with the number of its words."""
