@@ -91,7 +91,7 @@ def test_colliding_hashes_do_not_mix_phrases(monkeypatch):
     replies = {s: collocations._answer([p], 1)[0] for s, p in collocations._question(block, 3, 30).items()}
     got = collocations._count(collocations._state(block), replies, 3).to_pylist()
     f, _ = _counts(rows)
-    assert {(r["lang"], r["phrase"]): r["n"] for r in got if r["phrase"]} == {(g, p): k for g in f for p, k in f[g].items()}
+    assert {tuple(r["tagged"].split("\t", 1)[::-1]): r["n"] for r in got if r["tagged"][0] != "\t"} == {(g, p): k for g in f for p, k in f[g].items()}
 
 
 def test_summaries_keep_every_frequent_key():
