@@ -537,19 +537,16 @@ def q_number_array_json(spark, sf):
     return nodes.select("memory_id", pv_json(F.col("props")["a"]).alias("json"))
 
 
-# Doubles and their JavaScript text.
-NUMBER_TEXTS = [(1e-7, "1e-7"), (1e20, "100000000000000000000"), (1e21, "1e+21"), (1.5e300, "1.5e+300"), (-2.5e-9, "-2.5e-9"),
-                (0.000001, "0.000001"), (123456789.125, "123456789.125"), (1e16, "10000000000000000"), (0.1, "0.1"), (-5.0, "-5"),
-                (3.14e-5, "0.0000314")]
-
-
-@register("number_text", "SELECT n_nationkey, CASE n_nationkey % " + str(len(NUMBER_TEXTS)) + " " + " ".join(
-    f"WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(NUMBER_TEXTS)) + " END AS text FROM nation")
+@register("number_text", "SELECT l_orderkey, l_linenumber, l_partkey, " + jsnum("CASE l_linenumber % 3 WHEN 0 THEN l_extendedprice * 1000.0 "
+          "WHEN 1 THEN l_extendedprice / 100000.0 ELSE l_quantity * l_discount END") + " AS text FROM lineitem")
 def q_number_text(spark, sf):
-    """Number text as JavaScript prints it, one value per nation."""
+    """Number text as JavaScript prints it: prices and quantities of all line
+    items at several scales (tests/test_golden.py has the extreme values)."""
     from mnemo.functions.values import js_number_text
-    value = F.element_at(F.array(*(F.lit(v) for v, _ in NUMBER_TEXTS)), (F.col("n_nationkey") % len(NUMBER_TEXTS) + 1).cast("int"))
-    return _t(spark, sf, "nation").select("n_nationkey", js_number_text(value).alias("text"))
+    turn = F.col("l_linenumber") % 3
+    value = (F.when(turn == 0, F.col("l_extendedprice") * F.lit(1000.0)).when(turn == 1, F.col("l_extendedprice") / F.lit(100000.0))
+             .otherwise(F.col("l_quantity") * F.col("l_discount")))
+    return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", js_number_text(value).alias("text"))
 
 
 # ------------------------------------------------------------------ bulk search
@@ -575,7 +572,10 @@ def _bulk_requests(spark, sf):
         F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("since_date"), s(7).alias("limit"))
     al = t("region").agg(F.count("*")).select(s("nations").alias("req_key"), s("").alias("query"), s("nation").alias("label"),
                                      F.lit(None).cast("string").alias("since_date"), s(30).alias("limit"))
-    return ev.unionByName(br).unionByName(sg).unionByName(pr).unionByName(rg).unionByName(al)
+    su = t("supplier").select(
+        F.concat(s("supplier:"), "s_name").alias("req_key"), F.col("s_name").alias("query"), s("supplier").alias("label"),
+        F.lit(None).cast("string").alias("since_date"), s(2).alias("limit"))
+    return ev.unionByName(br).unionByName(sg).unionByName(pr).unionByName(rg).unionByName(al).unionByName(su)
 
 
 BULK_SQL = """
@@ -586,7 +586,8 @@ BULK_SQL = """
           UNION ALL SELECT DISTINCT 'priority:' || o_orderpriority, split_part(o_orderpriority, '-', 2), 'order',
                  '2000-01-01', 10 FROM orders
           UNION ALL SELECT 'any:' || r_name, r_name, NULL, NULL, 7 FROM region
-          UNION ALL SELECT 'nations', '', 'nation', NULL, 30),
+          UNION ALL SELECT 'nations', '', 'nation', NULL, 30
+          UNION ALL SELECT 'supplier:' || s_name, s_name, 'supplier', NULL, 2 FROM supplier),
 rw AS (SELECT req_key, unnest(string_split(lower(trim(query)), ' ')) AS w FROM req WHERE trim(query) <> ''),
 hits AS (SELECT DISTINCT r.req_key, n.memory_id, n.created_at, r.lim FROM req r JOIN nodes n
            ON (r.label IS NULL OR n.first_label = r.label) AND (r.since IS NULL OR n.created_at >= r.since)
@@ -599,8 +600,8 @@ SELECT req_key, memory_id, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank
 
 @register("bulk_search", BULK_SQL)
 def q_bulk_search(spark, sf):
-    """About a hundred searches derived from the data (per event type,
-    brand, market segment, priority, region, and one match-all) in one job."""
+    """Searches derived from the data (per event type, brand, market segment,
+    priority, region and supplier, and one match-all) in one job."""
     from mnemo.plans.bulk import bulk_search
     return bulk_search(g(spark, sf).nodes, _bulk_requests(spark, sf))
 
@@ -887,12 +888,12 @@ def q_search_result_json(spark, sf):
 
 
 @register("bulk_request_errors", """
-, req AS (SELECT r_regionkey, r_name FROM region)
-SELECT 'limit -1:' || r_name AS req_key, 'invalid limit: -1.0' AS reason FROM req
-UNION ALL SELECT 'limit 1.5:' || r_name, 'invalid limit: 1.5' FROM req
-UNION ALL SELECT 'depth 1.5:' || r_name, 'invalid depth: 1.5' FROM req""")
+SELECT 'limit -1:' || c_name AS req_key, 'invalid limit: -1.0' AS reason FROM customer
+UNION ALL SELECT 'limit 1.5:' || c_name, 'invalid limit: 1.5' FROM customer
+UNION ALL SELECT 'depth 1.5:' || c_name, 'invalid depth: 1.5' FROM customer""")
 def q_bulk_request_errors(spark, sf):
-    """Requests whose limit or depth a single search would refuse."""
+    """Requests whose limit or depth a single search would refuse, five for
+    each customer."""
     from mnemo.plans.bulk import request_errors
     return request_errors(_odd_requests(spark, sf))
 
@@ -901,18 +902,18 @@ def _odd_requests(spark, sf):
     cases = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(lim).cast("double").alias("limit"), F.lit(d).cast("double").alias("depth"))
                       for n, lim, d in (("limit -1:", -1.0, None), ("limit 1.5:", 1.5, None), ("limit 0:", 0.0, None),
                                         ("depth 1.5:", 2.0, 1.5), ("good:", 2.0, 0.0))))
-    return _t(spark, sf, "region").select("r_name", F.explode(cases).alias("c")).select(
-        F.concat("c.n", "r_name").alias("req_key"), F.col("r_name").alias("query"), F.lit(None).cast("string").alias("label"),
+    return _t(spark, sf, "customer").select("c_name", F.explode(cases).alias("c")).select(
+        F.concat("c.n", "c_name").alias("req_key"), F.col("c_name").alias("query"), F.lit(None).cast("string").alias("label"),
         F.lit(None).cast("string").alias("since_date"), "c.limit", "c.depth")
 
 
 @register("bulk_odd_limits", """
-, hits AS (SELECT r.r_name, n.memory_id, row_number() OVER (PARTITION BY r.r_name ORDER BY n.created_at DESC NULLS FIRST, n.memory_id) AS rank
-  FROM region r JOIN nodes n ON contains(n.search_text, split_part(lower(r.r_name), ' ', 1))
-       OR (contains(r.r_name, ' ') AND contains(n.search_text, split_part(lower(r.r_name), ' ', 2))))
-SELECT 'good:' || r_name AS req_key, memory_id, CAST(rank AS INTEGER) AS rank FROM hits WHERE rank <= 2""")
+, hits AS (SELECT c.c_name, n.memory_id, row_number() OVER (PARTITION BY c.c_name ORDER BY n.created_at DESC NULLS FIRST, n.memory_id) AS rank
+  FROM customer c JOIN nodes n ON contains(n.search_text, lower(c.c_name)))
+SELECT 'good:' || c_name AS req_key, memory_id, CAST(rank AS INTEGER) AS rank FROM hits WHERE rank <= 2""")
 def q_bulk_odd_limits(spark, sf):
-    """Of the same requests only the good ones (and limit 0, without rows) are answered."""
+    """Of the same requests only the good ones (and limit 0, without rows)
+    are answered: a search for every customer's name."""
     from mnemo.plans.bulk import bulk_search
     return bulk_search(g(spark, sf).nodes, _odd_requests(spark, sf))
 
@@ -937,23 +938,118 @@ def q_bulk_order_by(spark, sf):
     return bulk_search(g(spark, sf).nodes, reqs)
 
 
-@register("answer_request_log", f"""
-, hits AS (SELECT r.r_regionkey, n.memory_id, CAST(row_number() OVER (PARTITION BY r.r_regionkey
-           ORDER BY n.created_at DESC NULLS FIRST, n.memory_id) AS INTEGER) AS rank
-  FROM region r JOIN nodes n ON contains(n.search_text, split_part(lower(r.r_name), ' ', 1))
-       OR (contains(r.r_name, ' ') AND contains(n.search_text, split_part(lower(r.r_name), ' ', 2))))
-SELECT {11 * 10 ** 12} + r_regionkey * 10 + 3 AS seq, 'search_memories' AS tool, h.memory_id, h.rank, a.b AS related_id,
-       a.edge_id AS first_edge, CASE WHEN a.a IS NULL THEN NULL ELSE 1 END AS distance, CAST(NULL AS VARCHAR) AS label,
+READ_BLOCKS = (1, 3, 4, 5, 8)     # of the derived log, after which every supplier reads
+
+
+def _read_lines(spark, sf):
+    """Two reads per supplier after each of some blocks: a search for what
+    the log marks or makes, and a label listing."""
+    from mnemo.sources.testlog import BLOCK, _line
+    blocks = F.explode(F.array(*(F.lit(b) for b in READ_BLOCKS))).alias("b")
+    calls = _t(spark, sf, "supplier").select("s_suppkey", blocks)
+    at = (F.col("b") + 1) * F.lit(BLOCK) - F.lit(1) - F.col("s_suppkey") * 2
+    search = F.struct(F.lit("gold Follow").alias("query"), (F.col("s_suppkey") % 7).alias("limit"), F.lit(1).alias("depth"))
+    return (calls.select(_line(at, "search_memories", search))
+            .unionByName(calls.select(_line(at - 1, "list_memory_labels", F.struct(F.lit(None).cast("string").alias("unused"))))))
+
+
+# states of memories and spans of connections by block of the derived log: f <= block < t
+STATES_SQL = LOG_KEYS_SQL + f"""
+, gone AS (SELECT CAST({3 * K} AS BIGINT) + c_custkey AS id FROM customer WHERE c_acctbal > 9890),
+debt AS (SELECT CAST({3 * K} AS BIGINT) + c_custkey AS id, c_name, c_acctbal FROM customer WHERE c_acctbal < 0),
+pairs AS (SELECT CAST({6 * K} AS BIGINT) + l_orderkey AS src, CAST({5 * K} AS BIGINT) + l_partkey AS dst, l_orderkey * 100000 + l_partkey AS pk FROM pk),
+st AS (
+  SELECT memory_id, labels, created_at, search_text, 0 AS f, CASE WHEN g.id IS NOT NULL THEN 4 WHEN d.id IS NOT NULL THEN 3 ELSE 99 END AS t
+  FROM nodes n LEFT JOIN gone g ON g.id = memory_id LEFT JOIN debt d ON d.id = memory_id
+  UNION ALL SELECT id, ['customer', 'debtor'], NULL, lower(concat_ws(chr(10), {jsnum('c_acctbal')}, c_name, 'gold')), 3, 99 FROM debt
+  UNION ALL SELECT CAST({11 * K} AS BIGINT) + o_orderkey, ['note'], '{NOW}', lower('{NOW}' || chr(10) || 'follow up ' || o_orderpriority), 1,
+         CASE WHEN o_orderstatus = 'F' THEN 8 ELSE 99 END FROM urgent),
+sp AS (
+  SELECT e.edge_id, e.src, e.dst, 0 AS f, CASE WHEN x.id IS NOT NULL OR y.id IS NOT NULL THEN 4 WHEN e.type = 'CONTAINS' AND p.src IS NOT NULL THEN 5 ELSE 99 END AS t
+  FROM edges e LEFT JOIN gone x ON x.id = e.src LEFT JOIN gone y ON y.id = e.dst LEFT JOIN pairs p ON p.src = e.src AND p.dst = e.dst
+  UNION ALL SELECT CAST({15 * K} AS BIGINT) + pk, src, dst, 6, 99 FROM pairs
+  UNION ALL SELECT CAST({12 * K} AS BIGINT) + o_orderkey, CAST({11 * K} AS BIGINT) + o_orderkey, CAST({6 * K} AS BIGINT) + o_orderkey, 2,
+         CASE WHEN o_orderstatus = 'F' THEN 8 ELSE 99 END FROM urgent),
+ad AS (SELECT src AS a, dst AS b, edge_id, f, t FROM sp UNION ALL SELECT dst, src, edge_id, f, t FROM sp WHERE src <> dst)"""
+
+
+@register("answer_request_log", STATES_SQL + f"""
+, late AS (SELECT s_suppkey, unnest({list(READ_BLOCKS)}) AS b FROM supplier),
+rq AS (
+  SELECT (b + 1) * {B} - 1 - s_suppkey * 2 AS seq, b, 'gold' AS w1, 'follow' AS w2, s_suppkey % 7 AS lim FROM late
+  UNION ALL SELECT {11 * B} + r_regionkey * 10 + 3, 11, split_part(lower(r_name), ' ', 1),
+         CASE WHEN contains(r_name, ' ') THEN split_part(lower(r_name), ' ', 2) ELSE split_part(lower(r_name), ' ', 1) END, 10 FROM region),
+ask AS (SELECT DISTINCT b, w1, w2 FROM rq),
+best AS (SELECT a.b, a.w1, s.memory_id, CAST(row_number() OVER (PARTITION BY a.b, a.w1 ORDER BY s.created_at DESC NULLS FIRST, s.memory_id) AS INTEGER) AS rank
+  FROM ask a JOIN st s ON s.f <= a.b AND a.b < s.t AND (contains(s.search_text, a.w1) OR contains(s.search_text, a.w2))),
+hits AS (SELECT rq.seq, rq.b, h.memory_id, h.rank FROM rq JOIN best h ON h.b = rq.b AND h.w1 = rq.w1 AND h.rank <= rq.lim),
+conn AS (SELECT h.seq, h.memory_id, a.b AS related_id, a.edge_id FROM hits h JOIN ad a ON a.a = h.memory_id AND a.f <= h.b AND h.b < a.t),
+lst AS (SELECT (b + 1) * {B} - 2 - s_suppkey * 2 AS seq, b FROM late UNION ALL SELECT {11 * B} + r_regionkey * 10 + 4, 11 FROM region),
+cnt AS (SELECT b, label, CAST(count(*) AS BIGINT) AS n FROM (SELECT q.b, unnest(s.labels) AS label FROM (SELECT DISTINCT b FROM lst) q JOIN st s ON s.f <= q.b AND q.b < s.t) GROUP BY ALL)
+SELECT h.seq, 'search_memories' AS tool, h.memory_id, h.rank, c.related_id, c.edge_id AS first_edge,
+       CASE WHEN c.edge_id IS NULL THEN NULL ELSE 1 END AS distance, CAST(NULL AS VARCHAR) AS label,
        CAST(NULL AS BIGINT) AS count, CAST(NULL AS VARCHAR) AS reason
-FROM hits h LEFT JOIN adj a ON a.a = h.memory_id WHERE h.rank <= 10
+FROM hits h LEFT JOIN conn c ON c.seq = h.seq AND c.memory_id = h.memory_id
 UNION ALL
-SELECT {11 * 10 ** 12} + r_regionkey * 10 + 4, 'list_memory_labels', NULL, NULL, NULL, NULL, NULL, l.label, l.n, NULL
-FROM region, (SELECT label, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(labels) AS label FROM nodes) GROUP BY label) l""")
+SELECT l.seq, 'list_memory_labels', NULL, NULL, NULL, NULL, NULL, c.label, c.n, NULL FROM lst l JOIN cnt c ON c.b = l.b""")
 def q_answer_request_log(spark, sf):
-    """The searches and label listings of the derived log, answered."""
+    """The searches and label listings of the derived log, with reads of
+    every supplier between its blocks, each answered on the graph as the
+    calls before it left it."""
     from mnemo.plans.bulk import answer_reads
     from mnemo.sources.requests import parse_log_lines, validate_requests
-    return answer_reads(g(spark, sf), validate_requests(parse_log_lines(_log_lines(spark, sf))))
+    lines = _log_lines(spark, sf).unionByName(_read_lines(spark, sf))
+    return answer_reads(g(spark, sf), validate_requests(parse_log_lines(lines)), NOW)
+
+
+def _visit_lines(spark, sf):
+    """Three updates of every debtor, the second of which takes a property away."""
+    from mnemo.sources.testlog import BLOCK, _line
+    debtors = _t(spark, sf, "customer").where("c_acctbal < 0")
+    turns = (F.struct(F.lit(0.0).alias("visit"), F.lit("a").alias("flag")), F.struct(F.lit(1.0).alias("visit"), F.lit(None).cast("string").alias("flag")),
+             F.struct(F.lit(2.0).alias("visit")))
+    out = [debtors.select(_line(F.lit(12 * BLOCK) + F.col("c_custkey") * 10 + i, "update_memory", F.struct(
+        (F.lit(3 * K) + F.col("c_custkey")).alias("nodeId"), props.alias("properties")))) for i, props in enumerate(turns)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@register("replay_replies", LOG_KEYS_SQL + f"""
+, debt AS (SELECT c_custkey, CAST({3 * K} AS BIGINT) + c_custkey AS id, c_name, {jsnum('c_acctbal')} AS bal FROM customer WHERE c_acctbal < 0),
+dseq AS (SELECT {3 * B} + c_custkey AS seq, -1 AS turn, * FROM debt UNION ALL SELECT {12 * B} + c_custkey * 10 + i, i, debt.* FROM debt, range(3) r(i)),
+pr AS (SELECT l_orderkey * 100000 + l_partkey AS pk, n FROM pk),
+fin AS (SELECT * FROM urgent WHERE o_orderstatus = 'F')
+SELECT {B} + o_orderkey AS seq, 'create_memory' AS op, 'created' AS status, CAST({11 * K} AS BIGINT) + o_orderkey AS id, 'text' AS key, 'follow up ' || o_orderpriority AS text FROM urgent
+UNION ALL SELECT {B} + o_orderkey, 'create_memory', 'created', CAST({11 * K} AS BIGINT) + o_orderkey, 'created_at', '{NOW}' FROM urgent
+UNION ALL SELECT {2 * B} + o_orderkey, 'create_connection', 'created', CAST({12 * K} AS BIGINT) + o_orderkey, 'created_at', '{NOW}' FROM urgent
+UNION ALL SELECT seq, 'update_memory', 'applied', id, 'name', c_name FROM dseq
+UNION ALL SELECT seq, 'update_memory', 'applied', id, 'acctbal', bal FROM dseq
+UNION ALL SELECT seq, 'update_memory', 'applied', id, 'tier', 'gold' FROM dseq
+UNION ALL SELECT seq, 'update_memory', 'applied', id, 'visit', CAST(turn AS VARCHAR) FROM dseq WHERE turn >= 0
+UNION ALL SELECT seq, 'update_memory', 'applied', id, 'flag', 'a' FROM dseq WHERE turn = 0
+UNION ALL SELECT {4 * B} + c_custkey, 'delete_memory', 'applied', NULL, 'deletedCount', '1' FROM customer WHERE c_acctbal > 9890
+UNION ALL SELECT {5 * B} + pk, 'delete_connection', 'applied', NULL, 'deletedCount', CAST(n AS VARCHAR) FROM pr
+UNION ALL SELECT {6 * B} + pk, 'create_connection', 'created', CAST({15 * K} AS BIGINT) + pk, 'note', 're-added' FROM pr
+UNION ALL SELECT {7 * B} + pk, 'update_connection', 'applied', CAST({15 * K} AS BIGINT) + pk, 'note', 're-added' FROM pr
+UNION ALL SELECT {7 * B} + pk, 'update_connection', 'applied', CAST({15 * K} AS BIGINT) + pk, 'checked', 'true' FROM pr
+UNION ALL SELECT {8 * B} + o_orderkey, 'delete_memory', 'applied', NULL, 'deletedCount', '1' FROM fin
+UNION ALL SELECT {9 * B} + o_orderkey, 'create_connection', 'no_match', NULL, NULL, NULL FROM fin
+UNION ALL SELECT {10 * B} + n_nationkey * 2, 'update_memory', 'no_match', NULL, NULL, NULL FROM nation
+UNION ALL SELECT {10 * B} + n_nationkey * 2 + 1, 'delete_memory', 'applied', NULL, 'deletedCount', '0' FROM nation""")
+def q_replay_replies(spark, sf):
+    """The reply to every change call of the derived log and of three more
+    updates per debtor, read back from its JSON: each property of the record
+    as it was right after the call."""
+    from mnemo.functions.values import js_number_text
+    from mnemo.sources.requests import parse_log_lines
+    from mnemo.streaming.history import replay_replies
+    log = parse_log_lines(_log_lines(spark, sf).unionByName(_visit_lines(spark, sf)))
+    get = F.try_variant_get
+    told = replay_replies(g(spark, sf), log, NOW).withColumn("v", F.parse_json("json"))
+    told = told.withColumn("r", F.coalesce(get("v", "$.memory", "variant"), get("v", "$.relationship", "variant"), F.col("v")))
+    rows = told.select("seq", "op", "status", get("r", "$._id", "bigint").alias("id"), F.explode_outer(get("r", "$", "map<string,variant>")).alias("key", "value"))
+    number = F.schema_of_variant("value").rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)")
+    text = F.when(number, js_number_text(get("value", "$", "double"))).otherwise(get("value", "$", "string"))
+    return rows.where(F.col("key").isNull() | ~F.col("key").isin("_id", "_labels", "_type")).select("seq", "op", "status", "id", "key", text.alias("text"))
 
 
 @register("bulk_search_expand", BULK_SQL.replace(
