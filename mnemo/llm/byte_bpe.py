@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
-from mnemo.llm.words import arrow
+from mnemo.llm.words import arrow, release as give_back
 
 STATES = 150_000    # deterministic states kept before the tables start anew
 WORDS = 300_000     # pre-tokens whose ids are kept before that table starts anew
@@ -329,7 +329,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False,
     with the workers). ``with_ids`` adds the ids as an array column. A worker
     keeps the ids of up to ``most_words`` pre-tokens (default ``WORDS``) and up
     to about ``most_states`` states (``STATES``), which sets its memory and
-    never its results, and frees its tables after each task; without ``release`` it keeps them for
+    never its results, and frees these tables after each task; without ``release`` it keeps them for
     its next tasks, which takes memory from other stages and saves time.
     """
     arrow(docs.sparkSession)
@@ -359,7 +359,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False,
             yield from rows(c, batches)
         finally:
             if release:
-                c.forget()
-                codec.cache_clear()     # the ranks are read again by the next task
+                c.forget()      # the ranks stay for the next task
+                give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

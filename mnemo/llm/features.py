@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemo.llm.words import Words, in_doc, mix, raw, runs, windows
+from mnemo.llm.words import Words, in_doc, mix, raw, releasing, runs, windows
 
 _U = np.uint64
 
@@ -149,7 +149,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, sample: int,
                                               pa.array(val, pa.binary())], ["key", "y", "idx", "val"])
 
     picked = labelled_texts(docs, labels, target, sample, eligible)
-    return picked.mapInArrow(featurise, "key long, y int, idx binary, val binary")
+    return picked.mapInArrow(releasing(featurise), "key long, y int, idx binary, val binary")
 
 
 def in_order(pdf) -> list[tuple[np.ndarray, np.ndarray, int]]:
@@ -167,7 +167,7 @@ def fitted(features: DataFrame, fit) -> bytes:
     def train(batches):
         yield pd.DataFrame({"model": [fit(pd.concat([none, *batches]))]})
 
-    got = features.repartition(1).mapInPandas(train, "model binary").collect()
+    got = features.repartition(1).mapInPandas(releasing(train), "model binary").collect()
     return bytes(got[0][0]) if got else fit(none)
 
 

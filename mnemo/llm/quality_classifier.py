@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.llm.features import fitted, in_order, margins, remainder, shape_grams, training_rows, word_grams
-from mnemo.llm.words import arrow
+from mnemo.llm.words import arrow, releasing
 
 BITS = 18          # 2**18 buckets: a model of 1 MB whatever the input
 SAMPLE = 8000      # at most about so many labelled rows are learnt from
@@ -74,7 +74,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             s = sigmoid(margins(b.column("_text"), shared.value, BITS, FAMILIES))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(s)], ["row", "score"])
 
-    return rows.mapInArrow(run, rows.select("row").schema.add("score", "double"))
+    return rows.mapInArrow(releasing(run), rows.select("row").schema.add("score", "double"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

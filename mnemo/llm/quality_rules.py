@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from mnemo.llm.features import char_grams, fitted, in_order, margins, shape_grams, training_rows, word_grams
 from mnemo.llm.quality_classifier import sigmoid
-from mnemo.llm.words import SPACE, Words, arrow, in_doc, raw, repeats, runs, sums, windows
+from mnemo.llm.words import SPACE, Words, arrow, in_doc, raw, releasing, repeats, runs, sums, windows
 
 BITS = 18          # 2**18 buckets: a model of 1 MB whatever the input
 SAMPLE = 4000      # at most about so many labelled rows are learnt from
@@ -25,6 +25,7 @@ MIN_WORDS = 10     # fixed by the contract
 MAX_REPEAT = 20    # per cent, fixed by the contract
 WINDOW = 5
 FAMILIES = [word_grams, shape_grams, char_grams]
+ROWS = 64          # whose features are put together at once while training
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -86,13 +87,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
             w[-1] = 40.0
             return w.astype(np.float32).tobytes()
         learn, check = [r for k, r in enumerate(data) if k % 5], data[::5]
-        idx, val = np.concatenate([r[0] for r in learn]), np.concatenate([r[1] for r in learn]).astype(np.float64)
-        row = np.repeat(np.arange(len(learn)), [len(r[0]) for r in learn])
-        y = np.array([r[2] for r in learn], dtype=np.float64)
         seen = np.full(len(w), 1e-8)
         for _ in range(40):
-            p = sigmoid(np.bincount(row, weights=w[idx] * val, minlength=len(y)))
-            g = np.bincount(idx, weights=(p - y)[row] * val, minlength=len(w)) / len(y) + 1e-5 * w
+            g = 1e-5 * w
+            for at in range(0, len(learn), ROWS):      # a few rows at a time: the features stay as they came
+                part = learn[at: at + ROWS]
+                idx, val = np.concatenate([r[0] for r in part]), np.concatenate([r[1] for r in part])
+                row = np.repeat(np.arange(len(part)), [len(r[0]) for r in part])
+                off = sigmoid(np.bincount(row, weights=w[idx] * val, minlength=len(part))) - np.array([r[2] for r in part])
+                np.add.at(g, idx, (off / len(learn))[row] * val)
             seen += g * g
             w -= 0.3 * g / np.sqrt(seen)
         a, b = _platt(np.array([float(w[i] @ v) for i, v, _ in check]), np.array([r[2] for r in check], dtype=np.float64))
@@ -150,7 +153,7 @@ def judge(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(n[:, k]) for k in range(5)), pa.array(p)], schema.names)
 
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    return rows.mapInArrow(run, schema).select("row", *COUNTS, failed.alias("base_failed"), "probability")
+    return rows.mapInArrow(releasing(run), schema).select("row", *COUNTS, failed.alias("base_failed"), "probability")
 
 
 def _kept():

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.llm.components import components
-from mnemo.llm.words import arrow
+from mnemo.llm.words import arrow, releasing
 from mnemo.sources.snapshot import materialize
 
 SHINGLE = 3
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, tie: bool = False) -> DataFrame:
     if tie:
         schema = schema.add("tie", "long")
     more = [F.xxhash64(docs["text"]).alias("tie")] if tie else []
-    return docs.select("doc_id", "text", *more).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *more).mapInArrow(releasing(run), schema)
 
 
 class Golay:
@@ -128,7 +128,7 @@ def _keys(distinct: DataFrame) -> DataFrame:
                 row, col = np.nonzero(key >= 0)
                 yield pa.RecordBatch.from_arrays([pa.array(key[row, col]), pa.array(fp[row])], ["key", "fp"])
 
-    return distinct.mapInArrow(run, "key long, fp long")
+    return distinct.mapInArrow(releasing(run), "key long, fp long")
 
 
 def _distance(a: str, b: str) -> Column:

@@ -8,6 +8,8 @@ stay small (a single longer text makes a run of its own).
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-RUN_BYTES = 1_000_000
+RUN_BYTES = 250_000
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -174,3 +176,25 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def arrow(spark, rows: int = 200) -> None:
     """Arrow batches of at most ``rows`` rows: texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def release() -> None:
+    """Give memory that is no longer used back to the system: a Python worker
+    waits for its next task with what it once held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):      # not the GNU library
+        pass
+
+
+def releasing(run):
+    """``run``, a function of a task's batches, with :func:`release` after the last."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
