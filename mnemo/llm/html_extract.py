@@ -1,6 +1,6 @@
 """HTML extraction with site template removal.
 
-A page is read into a tree of elements. Three things are deleted from it:
+A page is read into a tree of elements. Four things are deleted from it:
 
 * elements whose kind says that they are no article text (menus, headers,
   footers, sidebars, notices, adverts, forms, scripts, styles, reader
@@ -12,6 +12,13 @@ A page is read into a tree of elements. Three things are deleted from it:
   with runs of equal children as one. The hashes are counted per host in
   Spark; subtrees that recur on at least ``MIN_PAGES`` and ``SHARE`` of the
   host's distinct pages are deleted;
+* site chrome by its place: a block is named by the tags and class names from
+  the root down to it, without its text. The container that holds most of the
+  text on most of a host's pages is the host's core; blocks beside it and
+  beside what is around it go if their names recur on the host as above, so
+  menus, adverts, sidebars and footers are learnt from the site whatever they
+  say and whatever they are called. What holds a first heading or declared
+  main content stays;
 * if the page declares its main content (``article``, ``main`` or the role),
   everything outside of it.
 
@@ -54,6 +61,9 @@ LINKS = 0.6         # share of link text from which the skeleton counts
 MOST = 0.5          # share of the plain text above which an element is not deleted for its kind
 NEARLY = 0.9        # ... for adverts, comments and cookie notices
 OWN = 0.2           # share of its text that main content keeps, or nothing is deleted from it
+CORE = 0.5          # share of a page's text that its core holds, and of the host's pages on which it does
+MAINS = ("article", "main")
+CORES = set("article main section div td center body".split())     # elements that can be a core
 
 # Elements of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -92,9 +102,11 @@ ASIDES = set("aside dialog complementary alertdialog".split())
 # Never text, so not hashed; and what may be a box inside main content.
 NO_TEXT = set("head title script style noscript template iframe object embed svg canvas audio video map textarea noembed noframes xmp".split())
 BOXES = set("div section details fieldset center address".split())
+# What goes by its place; headings, paragraphs, figures and the like stay.
+BESIDE = BOXES | set("nav header footer aside menu ul ol form dialog search".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|"
-                    r"<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
 _PART = re.compile(r"[-_]+")
 
@@ -112,7 +124,7 @@ def _kinds(names: frozenset, words: set) -> set:
 
 
 class Element:
-    __slots__ = ("tag", "role", "words", "children", "dropped", "main", "exact", "shape", "size", "links", "kind", "ended", "heads")
+    __slots__ = ("tag", "role", "words", "children", "dropped", "main", "exact", "shape", "size", "links", "kind", "ended", "heads", "path")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag = tag
@@ -123,7 +135,7 @@ class Element:
             self.role = found.get("role", "").strip().lower()
             names = f"{found.get('class', '')} {found.get('id', '')}".lower()
         self.words = frozenset(names.split())
-        self.main = tag in ("article", "main") or self.role in ("main", "article")
+        self.main = tag in MAINS or bool(self.role) and self.role in MAINS
         self.ended = False
         self.heads = tag == "header" or not HEADERS.isdisjoint(self.words)
         # why it is no text: its tag, its role, or the words that its names say
@@ -136,65 +148,129 @@ class Element:
             self.main = False
 
 
+class _Ends:
+    """Where tags end; every part of the page is looked at a few times at most."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.dead: set[int] = set()     # quotes from which no end is found
+
+    def __call__(self, at: int, quoted: bool) -> int:
+        """The place of the ``>`` that ends the tag, -1 if nothing does.
+        With ``quoted``, values in quotes may hold one."""
+        if at > self.last:
+            return -1
+        if not quoted:
+            return self.page.find(">", at)
+        met = []
+        while True:
+            m = _STOP.search(self.page, at)
+            if m is None or m.start() in self.dead:
+                break
+            if m[0] == ">":
+                return m.start()
+            met.append(m.start())
+            at = self.page.find(m[0], m.end()) + 1
+            if not at:
+                break
+        self.dead.update(met)
+        return -1
+
+
+class _Open:
+    """The open elements, with the places of each tag among them."""
+
+    def __init__(self, root: Element):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]       # places of blocks that no inline end tag closes
+
+    def push(self, e: Element) -> None:
+        self.places.setdefault(e.tag, []).append(len(self.stack))
+        if e.tag in BLOCK and e.tag != "p":
+            self.blocks.append(len(self.stack))
+        self.stack.append(e)
+
+    def cut(self, k: int) -> None:
+        """Close the elements from place k on."""
+        for e in self.stack[k:]:
+            self.places[e.tag].pop()
+        while self.blocks[-1] >= k:
+            self.blocks.pop()
+        del self.stack[k:]
+
+    def nearest(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def imply(self, tags: set, scope: set | None) -> None:
+        """Close the nearest open elements of ``tags`` inside the scope
+        (None: any block)."""
+        while True:
+            k = self.nearest(tags)
+            if not k or k <= (self.blocks[-1] if scope is None else self.nearest(scope)):
+                return
+            self.cut(k)
+            if not (tags & {"td", "th"} and "tr" in tags):
+                return
+
+    def close(self, tag: str) -> None:
+        """An end tag; without an open element it is ignored, and inline
+        elements and paragraphs do not close the block around them."""
+        k = self.nearest((tag,))
+        if k and (k > self.blocks[-1] or tag in BLOCK and tag != "p"):
+            self.stack[k].ended = True
+            self.cut(k)
+
+
 def parse(page: str) -> Element:
-    """The element tree of a page; never fails, whatever the markup."""
+    """The element tree of a page; never fails, whatever the markup, and
+    takes time in proportion to the page."""
     root = Element("html")
-    stack = [root]
-    at, size = 0, len(page)
+    open_, ends = _Open(root), _Ends(page)
+    at, size, raw_gone = 0, len(page), set()
     while at < size:
         m = _TOKEN.search(page, at)
         if m is None:
-            stack[-1].children.append(page[at:])
+            open_.stack[-1].children.append(page[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(page[at: m.start()])
-        at = m.end()
-        if m[1] is not None:
-            _close(stack, m[1].lower())
-        elif m[2] is not None:
-            tag = m[2].lower()
-            if tag in ("html", "body") and not m[3].strip():
-                continue
-            if tag in ENDS_P:
-                _imply(stack, {"p"}, BLOCK - {"p"})
-            if tag in IMPLIED:
-                _imply(stack, IMPLIED[tag], SCOPE[tag])
-            element = Element(tag, m[3])
-            stack[-1].children.append(element)
-            if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                element.children.append(page[at: end.start() if end else size])
-                at = end.end() if end else size
-            elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "math", "path")):
-                stack.append(element)
+            open_.stack[-1].children.append(page[at: m.start()])
+        if m[1]:
+            at = page.find("-->", m.end())
+            at = at + 3 if at >= 0 else size
+            continue
+        end = ends(m.end(), m[3] is not None and not m[2])
+        if end < 0:     # no tag: the sign is text
+            open_.stack[-1].children.append("<")
+            at = m.start() + 1
+            continue
+        at, tag = end + 1, (m[3] or "").lower()
+        if not tag:
+            continue
+        if m[2]:
+            open_.close(tag)
+            continue
+        attributes = page[m.end(): end]
+        if tag in ("html", "body") and not attributes.strip():
+            continue
+        if tag in ENDS_P:
+            open_.imply({"p"}, None)
+        if tag in IMPLIED:
+            open_.imply(IMPLIED[tag], SCOPE[tag])
+        element = Element(tag, attributes)
+        open_.stack[-1].children.append(element)
+        if tag in RAW:
+            found = None if tag in raw_gone else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if found is None:
+                raw_gone.add(tag)
+            element.children.append(page[at: found.start() if found else size])
+            at = found.end() if found else size
+        elif tag not in VOID and not (attributes.endswith("/") and tag in ("svg", "math", "path")):
+            open_.push(element)
     return root
 
 
-def _imply(stack: list, tags: set, scope: set) -> None:
-    """Close the nearest open element of ``tags`` inside the scope."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            del stack[k:]
-            if tags & {"td", "th"} and "tr" in tags:
-                continue
-            return
-        if stack[k].tag in scope:
-            return
-
-
-def _close(stack: list, tag: str) -> None:
-    """An end tag; without an open element it is ignored, and inline elements
-    and paragraphs do not close the block around them."""
-    inner = tag == "p" or tag not in BLOCK
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag == tag:
-            stack[k].ended = True
-            del stack[k:]
-            return
-        if inner and stack[k].tag in BLOCK and stack[k].tag != "p":
-            return
-
-
 def _plain(root: Element) -> dict[int, tuple[int, int]]:
     """(characters outside links, all characters) of every element below ``root``."""
     order, todo = [], [root]
@@ -220,7 +296,7 @@ def _keep_most(top: Element, plain: dict) -> bool:
         e = todo.pop()
         if e.tag in NO_TEXT:
             continue
-        if e.dropped and not (e.tag in CLOSED and e.ended):
+        if e.dropped and e.kind != "place" and not (e.tag in CLOSED and e.ended):
             sure = isinstance(e.kind, set) and e.kind <= SURE
             if plain[id(e)][0] > (NEARLY if sure else MOST) * plain[id(top)][0]:
                 e.dropped, changed = False, True
@@ -265,7 +341,7 @@ def _prune(root: Element) -> list[Element]:
             plain = plain or _plain(root)
         for e in inside:
             p, n = plain[id(e)]
-            if mains and isinstance(e.kind, set) and e.kind <= SUBJECTS and 2 * p > n and e.tag not in ("article", "main"):
+            if mains and isinstance(e.kind, set) and e.kind <= SUBJECTS and 2 * p > n and e.tag not in MAINS:
                 e.dropped = False
             # nor is a header that was not closed, or holds the text
             if e.heads and (not e.ended or mains and e.tag != "header" or p > NEARLY * plain[id(top)][0]):
@@ -316,9 +392,74 @@ def _sign(root: Element) -> list[Element]:
     return out
 
 
-def subtrees(page: str) -> tuple[int, list[int]]:
-    """(hash of the whole page, hashes of its subtrees that may be template)."""
-    return _hash("page", page), sorted({h for e in _sign(parse(page)) for h in (e.exact, e.shape)})
+def _name(root: Element) -> None:
+    """Give every element that may have text the hash of its place: tags and
+    names from the root down."""
+    root.path = 0
+    todo = [root]
+    while todo:
+        e = todo.pop()
+        for c in e.children:
+            if isinstance(c, Element) and c.tag not in NO_TEXT:
+                c.path = _hash("place", str(e.path), c.tag, *sorted(c.words))
+                todo.append(c)
+
+
+def _core(root: Element) -> Element | None:
+    """The deepest container with most of the text outside links."""
+    plain = _plain(root)
+    e, core = root, None
+    while True:
+        inside = [c for c in e.children if isinstance(c, Element) and plain.get(id(c), (0, 0))[0] > CORE * plain[id(root)][0]]
+        if not inside:
+            return core
+        e = inside[0]
+        if e.tag in CORES:
+            core = e
+
+
+def places(root: Element) -> tuple[set[int], int | None]:
+    """(places of the blocks, place of the core) of a page."""
+    _name(root)
+    core = _core(root)
+    blocks = {e.path for e in _below(root, kinds=True) if e.tag in BLOCK}
+    return blocks, core.path if core is not None else None
+
+
+def _chrome(root: Element, templates: set[int]) -> list[Element]:
+    """The blocks beside the host's core, and beside what is around it, whose
+    places recur on the host."""
+    _name(root)
+    around: dict[int, Element] = {}
+    core, todo = None, [root]
+    while todo and core is None:
+        e = todo.pop()
+        for c in reversed(e.children):
+            if isinstance(c, Element) and c.tag not in NO_TEXT:
+                around[id(c)] = e
+                todo.append(c)
+        if e is not root and e.tag in CORES and _hash("core", str(e.path)) in templates and getattr(e, "exact", None) not in templates:
+            core = e
+    out = []
+    while core is not None and core is not root:
+        parent = around[id(core)]
+        for c in parent.children:
+            if (isinstance(c, Element) and c is not core and c.tag in BESIDE and not c.main
+                    and _hash("block", str(c.path)) in templates
+                    and not any(x.main or x.tag == "h1" for x in [c, *_below(c, kinds=True)])):
+                out.append(c)
+        core = parent
+    return out
+
+
+def subtrees(page: str) -> tuple[int, list[int], list[int]]:
+    """(hash of the whole page, hashes of its subtrees and block places that
+    may be template, hash of its core's place)."""
+    root = parse(page)
+    found = {h for e in _sign(root) for h in (e.exact, e.shape)}
+    blocks, core = places(root)
+    found |= {_hash("block", str(p)) for p in blocks}
+    return _hash("page", page), sorted(found), [_hash("core", str(core))] if core is not None else []
 
 
 def _below(top: Element, kinds: bool = False) -> list[Element]:
@@ -338,10 +479,9 @@ def _length(top: Element) -> int:
     return sum(len("".join(c.split())) for e in [top, *_below(top)] for c in e.children if isinstance(c, str))
 
 
-def _templates(root: Element, mains: list[Element], templates: set[int]) -> list[Element]:
+def _templates(blocks: list[Element], mains: list[Element], templates: set[int]) -> list[Element]:
     """The blocks of a page that go as template: all that recur, or inside
     declared main content those that are no passage of it."""
-    blocks = _sign(root)
     if not mains:
         return [e for e in blocks if e.exact in templates or e.shape in templates]
     may = {id(e) for e in blocks}
@@ -368,8 +508,11 @@ def extract(page: str | None, templates: set[int] | None = None) -> str:
     if not page:
         return ""
     root = parse(page)
+    signed = _sign(root) if templates else []
+    for e in _chrome(root, templates) if templates else ():
+        e.dropped, e.kind = True, e.kind or "place"
     mains = _prune(root)
-    for e in _templates(root, mains, templates) if templates else ():
+    for e in _templates(signed, mains, templates) if templates else ():
         e.dropped = True
     blocks: list[str] = []
     line: list[str] = []
@@ -414,23 +557,25 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = S
 
     def sign(batches):
         for b in batches:
-            hosts, whole, hashes = [], [], []
+            hosts, whole, hashes, votes = [], [], [], []
             for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-                body, found = subtrees(page or "")
-                for h in [body, *found]:
+                body, found, core = subtrees(page or "")
+                for h in [body, *found, *core]:
                     hosts.append(host)
                     whole.append(body)
                     hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(whole, pa.int64()), pa.array(hashes, pa.int64())],
-                                             ["host", "page", "hash"])
+                votes += [False] * (1 + len(found)) + [True] * len(core)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(whole, pa.int64()), pa.array(hashes, pa.int64()), pa.array(votes, pa.bool_())],
+                                             ["host", "page", "hash", "core"])
 
     # written first: pages are signed once
-    found = materialize(spark, keyed.select("host", "html").mapInArrow(sign, "host string, page long, hash long"), "subtrees")
+    found = materialize(spark, keyed.select("host", "html").mapInArrow(sign, "host string, page long, hash long, core boolean"), "subtrees")
     # one row per page and subtree; copies of a page fall together
     once = found.distinct()
     total = materialize(spark, once.where("page = hash").groupBy("host").agg(F.count("*").alias("pages")), "host-pages")
-    common = (once.where("page <> hash").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-              .join(total, "host").where(F.col("n") >= share * F.col("pages")))
+    least = F.when(F.col("core"), F.lit(CORE)).otherwise(F.lit(share)) * F.col("pages")
+    common = (once.where("page <> hash").groupBy("host", "hash", "core").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+              .join(total, "host").where(F.col("n") >= least))
     # one row per host, of at most 1 / share times the subtrees of its average
     # page; written, so that the planner knows its size and, where it is
     # small, sends it to the pages instead of shuffling the pages to meet it

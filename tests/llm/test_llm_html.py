@@ -97,3 +97,57 @@ def test_names_and_wrappers_drop_no_article_text():
     assert e("<div class='comment-list'><p>c</p></div><div id=comment-12>d</div><p>The text.</p>") == "The text."
     deep = "<div class=notice>" * 3000
     assert e(f"<article>{deep}<p>deep</p>") == e(f"{deep}<p>deep</p>") == "deep"
+
+
+def test_chrome_is_learnt_without_any_list(monkeypatch):
+    """With the lists of names, roles, tags and main content emptied, hosts of
+    five pages or more give the same texts: what recurs beside the core goes."""
+    import duckdb
+    from conftest import SF01
+
+    pages = duckdb.sql(f"SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, html FROM '{SF01}/pages.parquet'").fetchall()
+    for name in ("DROPPED_WORDS", "DROPPED_ROLES", "ARTICLE_WORDS", "SURE", "SUBJECTS", "PARTS", "HEADERS", "CLOSED", "ASIDES", "MAINS"):
+        monkeypatch.setattr(html_extract, name, set())
+    monkeypatch.setattr(html_extract, "DROPPED_TAGS", html_extract.NO_TEXT)
+    hosts = {}
+    for i, host, page in pages:
+        hosts.setdefault(host, {}).setdefault(page, i)
+    large = {h: p for h, p in hosts.items() if len(p) >= html_extract.MIN_PAGES}
+    assert len(large) >= 15
+    for own in large.values():
+        times, votes = {}, {}
+        for page in own:
+            _, found, core = html_extract.subtrees(page)
+            for h in found:
+                times[h] = times.get(h, 0) + 1
+            for h in core:
+                votes[h] = votes.get(h, 0) + 1
+        least = max(html_extract.MIN_PAGES, html_extract.SHARE * len(own))
+        learnt = {h for h, n in times.items() if n >= least} | {h for h, n in votes.items() if n >= max(html_extract.MIN_PAGES, html_extract.CORE * len(own))}
+        assert learnt
+        for page in own:
+            assert html_extract.extract(page, learnt) == _plain(page)
+            assert html_extract.extract(page) != _plain(page)      # nothing else takes the chrome away
+
+
+def test_places_keep_headings_leads_and_other_layouts(spark):
+    rows = [(k, "http://c.example/", f"<body><div class=x>Words of the day number {k} and some more</div><div class=y><h1>Title {k}</h1></div>"
+             f"<div class=story><p>{'Long story text. ' * 20}{k}</p></div><p>Lead {k}</p></body>") for k in range(8)]
+    rows += [(50, "http://c.example/", "<body><div class=x>Only this box here.</div></body>")]
+    text = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(8):
+        story = " ".join(("Long story text. " * 20 + str(k)).split())
+        assert text[k] == f"Title {k}\n{story}\nLead {k}"
+    assert text[50] == "Only this box here."
+
+
+def test_odd_markup_takes_linear_time():
+    import time
+
+    mb = 1_000_000
+    for page in ('<a "' * (mb // 4), '<a "' * (mb // 4) + ">", "<b>" * (mb // 7) + "</i>" * (mb // 7), "<i><div>" + "<b>" * (mb // 7) + "</i>" * (mb // 7),
+                 "<b>" * (mb // 14) + "<div></div>" * (mb // 14), "<" * mb, "<a '\"" * (mb // 6), "<script>" * (mb // 8), "<!--" * (mb // 4), "<li>" * (mb // 4),
+                 "<td><tr>" * (mb // 8), "<a x='>" * (mb // 7) + "text"):
+        began = time.time()
+        html_extract.extract(page)
+        assert time.time() - began < 15, page[:20]
