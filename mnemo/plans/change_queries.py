@@ -11,7 +11,7 @@ from mnemo.functions.values import PROPS_DDL, null_pv, pv_array, pv_boolean, pv_
 from mnemo.operators import audit, mutate
 from mnemo.plans.oracle import iso as iso_sql
 from mnemo.plans.oracle import jsnum
-from mnemo.plans.registry import FLAG_WHERE, g, register, search_sql, seeds_sql, trails_sql
+from mnemo.plans.registry import FLAG_WHERE, g, register, search_sql, seeds_sql, stored, trails_sql
 from mnemo.plans.search import search_memories
 from mnemo.sources.testgraph import K, contains_line_number, iso, read_table
 
@@ -867,7 +867,7 @@ def q_search_result_json(spark, sf):
     its related memories, and each connection's type."""
     from mnemo.functions.values import js_number_text
     from mnemo.plans.search import reply_json
-    graph = g(spark, sf)
+    graph = stored(spark, sf)
     flat = search_memories(graph, query="urgent high", label="order", since_date="1998-01-01", limit=10, depth=1)
     docs = reply_json(flat, graph, depth=1, part_size=10_000).select(F.parse_json("json").alias("v"))
     get = F.try_variant_get
@@ -999,7 +999,7 @@ def q_answer_request_log(spark, sf):
     from mnemo.plans.bulk import answer_reads
     from mnemo.sources.requests import parse_log_lines, validate_requests
     lines = _log_lines(spark, sf).unionByName(_read_lines(spark, sf))
-    return answer_reads(g(spark, sf), validate_requests(parse_log_lines(lines)), NOW)
+    return answer_reads(stored(spark, sf), validate_requests(parse_log_lines(lines)), NOW)
 
 
 def _visit_lines(spark, sf):
@@ -1044,7 +1044,7 @@ def q_replay_replies(spark, sf):
     from mnemo.streaming.history import replay_replies
     log = parse_log_lines(_log_lines(spark, sf).unionByName(_visit_lines(spark, sf)))
     get = F.try_variant_get
-    told = replay_replies(g(spark, sf), log, NOW).withColumn("v", F.parse_json("json"))
+    told = replay_replies(stored(spark, sf), log, NOW).withColumn("v", F.parse_json("json"))
     told = told.withColumn("r", F.coalesce(get("v", "$.memory", "variant"), get("v", "$.relationship", "variant"), F.col("v")))
     rows = told.select("seq", "op", "status", get("r", "$._id", "bigint").alias("id"), F.explode_outer(get("r", "$", "map<string,variant>")).alias("key", "value"))
     number = F.schema_of_variant("value").rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)")
