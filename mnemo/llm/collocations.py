@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemo.llm.exchange import blocks, name, narrow, pack, unpack
+from mnemo.llm.exchange import blocks, name, narrow, pack, parts_of, unpack
 from mnemo.llm.words import arrow, hash_spans, mix, raw, windows
 from mnemo.sources.snapshot import materialize
 
@@ -48,7 +48,6 @@ LEAST = 30
 TOP = 2000
 COVER = (100, 80)    # dropped if 100 * f(longer) >= 80 * f(phrase)
 SCALE = 2_000_000
-SHARD_BYTES = 16_000_000      # of text for each hash partition
 BLOCK_BYTES = 3_000_000       # of text that a block has, or one longer text
 SALTS = 64           # parts of a language that are ranked before the whole
 
@@ -242,8 +241,7 @@ def frequent(docs: DataFrame, least: int = LEAST, shards: int | None = None, blo
     arrow(spark)
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     if shards is None:
-        size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
-        shards = min(max(1, -(-size // SHARD_BYTES)), 1 << _SHARD_BITS)
+        shards = min(parts_of(docs), 1 << _SHARD_BITS)
 
     def ask(batches):
         for block in blocks(batches, block_bytes):

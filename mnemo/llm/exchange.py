@@ -9,8 +9,9 @@ every block in the same order, and the answers meet the block's documents
 again in one cogroup. All shuffles are Spark's; payloads are numpy arrays.
 
 Keys go to shards by hash and are distinct within a block, so a frequent key
-costs a shard one entry per block. The number of shards follows the session's
-number of shuffle partitions, as for any other Spark shuffle.
+costs a shard one entry per block. The number of shards follows the bytes of
+the texts (:func:`parts_of`), so that a shard's work and memory stay the same
+however large the input is and whatever the session's settings are.
 
 With ``keep`` the blocks are made once and written to the shared checkpoint
 folder (less work, more disk); without, they are made twice, once for the
@@ -30,15 +31,23 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from mnemo.llm.words import arrow
 from mnemo.sources.snapshot import materialize
 
 BLOCK_BYTES = 6_000_000
+PART_BYTES = 16_000_000      # of text for each part that a task takes up whole
 MESSAGE = "block string, shard int, payload binary"
 _DTYPES = ["<u1", "<u2", "<u4", "<u8", "<i8", "<f4"]
 
 
+def parts_of(docs: DataFrame, column: str = "text") -> int:
+    """In how many parts of ``PART_BYTES`` the texts of a table are worked on."""
+    size = docs.agg(F.sum(F.octet_length(column).cast("long")).alias("n")).first()["n"] or 0
+    return max(1, -(-size // PART_BYTES))
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays to one compressed payload, byte planes apart."""
     head, body = [struct.pack("<B", len(arrays))], []
@@ -104,7 +113,7 @@ def ask(docs: DataFrame, questions: Callable, answer: Callable, combine: Callabl
     """
     spark = docs.sparkSession
     arrow(spark)
-    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    shards = shards or parts_of(docs)
 
     def rows(batches, what: str):
         for block in blocks(batches, block_bytes):

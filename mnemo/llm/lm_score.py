@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.llm.elias_fano import Trie
-from mnemo.llm.exchange import ask, blocks, narrow, pack, unpack
+from mnemo.llm.exchange import ask, blocks, narrow, pack, parts_of, unpack
 from mnemo.llm.features import remainder
 from mnemo.llm.words import Words, arrow, mix, raw, runs
 
@@ -47,7 +47,7 @@ DISCOUNT = 0.75
 STEP = 0.03                     # of a byte code, in log10
 COUNT_BYTES = 24_000_000        # of documents whose words are counted at once
 BLOCK_BYTES = 9_000_000         # of documents whose n-grams are asked at once
-SHARDS = 4                      # per shuffle partition of the session
+SHARDS = 4                      # for each part of the texts
 FREQUENT = 64                   # words per shard looked at for the list of frequent words
 HELD_OUT = 1                    # crc32(doc_id) mod 5 of rows that are not learnt from
 BITS = [64, 40, 32, 32, 32]     # of a word's hash, by level
@@ -324,13 +324,12 @@ def _combine(state: bytes, replies: dict[int, bytes], shards: int, n_train: int,
                          "n_known": known, "base_score": base, "score": add(np.log10(p))})
 
 
-def word_counts(docs: DataFrame) -> tuple[int, int, dict[int, int]]:
+def word_counts(docs: DataFrame, shards: int) -> tuple[int, int, dict[int, int]]:
     """(training tokens, distinct training tokens, {hash: count}) where the
     last has the words of at least one shard's fair share of all tokens, so
     at most as many as shards, and BEGIN and END."""
     spark = docs.sparkSession
     arrow(spark)
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def count(batches):
         for block in blocks(batches, COUNT_BYTES):
@@ -369,10 +368,10 @@ def word_counts(docs: DataFrame) -> tuple[int, int, dict[int, int]]:
 def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder(5) != HELD_OUT).alias("train"))
-    spark = docs.sparkSession
-    # a shard is taken up whole by a task, so it is a part of a partition
-    shards = SHARDS * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    n, v, hot = word_counts(docs)
+    # a shard is taken up whole by a task
+    parts = parts_of(docs)
+    shards = SHARDS * parts
+    n, v, hot = word_counts(docs, parts)
     schema = (docs.select("doc_id").schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double"))
     scored = ask(docs, lambda block, s: _ask_block(block, s, hot, order), lambda shard, messages: _answer(messages, hot, order),
                  lambda state, replies: _combine(state, replies, shards, n, v, order), schema, shards, block_bytes=BLOCK_BYTES)

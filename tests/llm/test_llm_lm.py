@@ -9,7 +9,7 @@ import pytest
 from conftest import SF001
 from llm_cases import ODD_TEXTS, documents, empty
 
-from mnemo.llm import lm_score
+from mnemo.llm import exchange, lm_score
 from mnemo.llm.elias_fano import Monotone, Trie
 
 
@@ -78,7 +78,11 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 def test_scores_equal_brute_force(spark, order, monkeypatch):
     monkeypatch.setattr(lm_score, "BLOCK_BYTES", 3000)
     monkeypatch.setattr(lm_score, "COUNT_BYTES", 5000)
+    monkeypatch.setattr(exchange, "PART_BYTES", 20_000)      # several shards
     texts = dict(enumerate(ODD_TEXTS)) | {100 + k: t for k, t in enumerate(["a b a b c", "A b", "b c a", "the the the"] * 6)}
+    # long words that a polynomial hash modulo 2^64 takes for one
+    line = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    texts |= {500: line, 501: line.translate({97: 98, 98: 97}), 502: line}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     expect = _brute(texts, order)
     got = lm_score.score_documents(docs, order).collect()
