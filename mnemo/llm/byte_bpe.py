@@ -14,9 +14,10 @@ is bounded by the longest vocabulary word. States and transitions are made
 when first met and kept in tables of bounded size.
 
 Decoding. :class:`StreamDecoder` takes ids in any portions and gives back
-whole code points. Its UTF-8 state machine is run once per vocabulary word
-from the start state; a portion whose words all lead from start to start
-needs no stepping, other words are stepped byte by byte.
+whole code points. Its UTF-8 state machine is a table (state, byte) -> state;
+what each vocabulary word does to each state is kept too, so a portion is
+composed of its words' steps, and portions of words that lead from start to
+start need none.
 
 A null or empty text has no ids. The ranks are a file of base64 words and
 ranks; special tokens do not exist here, their strings are ordinary text.
@@ -217,59 +218,113 @@ class Transducer:
         return out + tail[::-1]
 
 
+START, ERROR = 0, 8
+
+
+def _utf8_table() -> np.ndarray:
+    """(state, byte) -> state of the UTF-8 machine; ERROR where the byte
+    cannot follow. States: the start; one, two or three more bytes of
+    80..BF; and the second bytes that E0, ED, F0 and F4 narrow."""
+    t = np.full((9, 256), ERROR, dtype=np.uint8)
+    t[START, :0x80] = START
+    t[START, 0xC2:0xE0], t[START, 0xE1:0xF0], t[START, 0xF1:0xF4] = 1, 2, 3
+    t[START, 0xE0], t[START, 0xED], t[START, 0xF0], t[START, 0xF4] = 4, 5, 6, 7
+    t[1, 0x80:0xC0], t[2, 0x80:0xC0], t[3, 0x80:0xC0] = START, 1, 2
+    t[4, 0xA0:0xC0], t[5, 0x80:0xA0], t[6, 0x90:0xC0], t[7, 0x80:0x90] = 1, 1, 2, 2
+    return t
+
+
+_UTF8 = _utf8_table()
+_NEXT = _UTF8.tolist()
+_LOST = "\ufffd".encode()
+
+
 class StreamDecoder:
-    """Ids in, whole code points out; bytes that are not UTF-8 become U+FFFD."""
+    """Ids in, whole code points out; of bytes that are not UTF-8 each
+    longest start of a code point, or single byte, becomes U+FFFD.
+
+    The machine's state is kept between portions. ``after[state, word]`` and
+    ``tail[state, word]`` say where each vocabulary word leads from each
+    state and how many of its last bytes begin a code point that it does not
+    end, so a word is one step; only a word that meets an error is stepped
+    byte by byte.
+    """
 
     def __init__(self, words: list[bytes]):
         self.words = words
-        self.whole = np.array([self._whole(w) for w in words])
-        self.pending = b""
-
-    @staticmethod
-    def _whole(word: bytes) -> bool:
-        """Whether the state machine gets from start to start over the word."""
-        return _utf8_tail(word) == 0 and _valid(word)
+        n = len(words)
+        size = np.array([len(w) for w in words])
+        first = np.concatenate([[0], np.cumsum(size)])
+        data = np.frombuffer(b"".join(words) + b"\0", np.uint8)
+        self.after = np.repeat(np.arange(8, dtype=np.uint8)[:, None], n, axis=1)
+        self.tail = np.full((8, n), -1, dtype=np.int32)     # -1: no code point begins in the word
+        order = np.argsort(-size, kind="stable")
+        for k in range(int(size.max(initial=0))):
+            at = order[: np.searchsorted(-size[order], -k, side="left")]      # words of more than k bytes
+            before = self.after[:, at]
+            now = _UTF8[before, data[first[at] + k]]
+            begins = (before == START) & (now != START)
+            self.tail[:, at] = np.where(begins, (size[at] - k)[None, :], self.tail[:, at])
+            self.after[:, at] = now
+        self.tail[self.after == START] = 0
+        self.whole = self.after[START] == START
+        self.state, self.pending = START, b""
 
     def feed(self, ids: np.ndarray) -> bytes:
         """The UTF-8 bytes of the code points completed by ``ids``."""
-        words = self.words
-        if not self.pending and self.whole[ids].all():
+        words, out = self.words, []
+        whole = self.whole[ids]
+        if self.state == START and whole.all():
             return b"".join([words[i] for i in ids.tolist()])
-        data = self.pending + b"".join([words[i] for i in ids.tolist()])
-        cut = len(data) - _utf8_tail(data)
-        self.pending = data[cut:]
-        return _mended(data[:cut])
+        at, n, listed = 0, len(ids), ids.tolist()
+        odd = np.flatnonzero(~whole)
+        while at < n:
+            if self.state == START:
+                k = np.searchsorted(odd, at)
+                stop = int(odd[k]) if k < len(odd) else n
+                out += [words[i] for i in listed[at:stop]]
+                at = stop
+                if at == n:
+                    break
+            out.append(self._step(listed[at]))
+            at += 1
+        return b"".join(out)
+
+    def _step(self, i: int) -> bytes:
+        word, now = self.words[i], int(self.after[self.state, i])
+        if now == ERROR:
+            return self._bytes(word)
+        tail = int(self.tail[self.state, i])
+        self.state = now
+        if tail < 0:
+            self.pending += word
+            return b""
+        done = self.pending + word[: len(word) - tail]
+        self.pending = word[len(word) - tail:]
+        return done
+
+    def _bytes(self, data: bytes) -> bytes:
+        out, state, pending = [], self.state, self.pending
+        for byte in data:
+            now = _NEXT[state][byte]
+            if now == ERROR and state != START:     # the start of a code point that does not go on
+                out.append(_LOST)
+                pending, now = b"", _NEXT[START][byte]
+            if now == ERROR:
+                out.append(_LOST)
+                state, pending = START, b""
+                continue
+            pending += bytes((byte,))
+            if now == START:
+                out.append(pending)
+                pending = b""
+            state = now
+        self.state, self.pending = state, pending
+        return b"".join(out)
 
     def finish(self) -> bytes:
-        rest, self.pending = self.pending, b""
-        return _mended(rest)
-
-
-def _valid(data: bytes) -> bool:
-    try:
-        data.decode()
-        return True
-    except UnicodeDecodeError:
-        return False
-
-
-def _mended(data: bytes) -> bytes:
-    return data if _valid(data) else data.decode("utf-8", "replace").encode()
-
-
-# Bytes that follow a lead byte (0 where no lead byte is).
-_FOLLOW = np.zeros(256, dtype=np.int64)
-_FOLLOW[0xC2:0xE0], _FOLLOW[0xE0:0xF0], _FOLLOW[0xF0:0xF5] = 1, 2, 3
-
-
-def _utf8_tail(data: bytes) -> int:
-    """Length of the unfinished code point at the end (0: the machine is at its start)."""
-    for back in range(1, min(3, len(data)) + 1):
-        b = data[-back]
-        if b & 0xC0 == 0x80:
-            continue
-        return back if _FOLLOW[b] >= back else 0
-    return 0
+        rest, self.state, self.pending = self.pending, START, b""
+        return _LOST if rest else b""
 
 
 def _pack(ids: list[int]) -> bytes:

@@ -78,3 +78,44 @@ def test_round_trip_rows(spark, both):
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
     assert byte_bpe.round_trip(empty(spark), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(data=st.lists(st.one_of(st.binary(max_size=6), st.text(max_size=4).map(str.encode), st.sampled_from(
+    [b"\xf0\x9f", b"\x99\x82", b"\xe0\x80", b"\xed\xa0\x80", b"\xf4\x90", b"\xc0", b"\xe6\x97"])), max_size=12), cuts=st.lists(st.integers(1, 3)))
+def test_any_split_of_any_bytes_decodes_as_the_library(both, data, cuts):
+    """Words of one byte, and real words, in portions of any size."""
+    codec, library = both
+    ids = [i for part in data for i in (library.encode_ordinary(part.decode()) if len(part) % 2 and _is_utf8(part) else [codec.transducer.ranks[bytes((b,))] for b in part])]
+    decoder, out, at = byte_bpe.StreamDecoder.__new__(byte_bpe.StreamDecoder), [], 0
+    decoder.__dict__.update(codec.decoder.__dict__, state=byte_bpe.START, pending=b"")
+    cuts = [*cuts, *[5] * len(ids)]
+    while at < len(ids):
+        n = cuts.pop(0)
+        out.append(decoder.feed(np.array(ids[at: at + n], dtype=np.int64)))
+        out[-1].decode()        # whole code points only
+        at += n
+    out.append(decoder.finish())
+    whole = b"".join(codec.words[i] for i in ids)
+    assert b"".join(out) == whole.decode("utf-8", "replace").encode()
+
+
+def _is_utf8(part):
+    try:
+        part.decode()
+        return True
+    except UnicodeDecodeError:
+        return False
+
+
+def test_effect_of_every_word_on_every_state(both):
+    """The kept rows equal the machine run byte by byte."""
+    decoder = both[0].decoder
+    rnd = random.Random(1)
+    odd = np.flatnonzero(~decoder.whole).tolist()
+    for i in odd + rnd.sample(range(len(decoder.words)), 2000):
+        for state in range(8):
+            now = state
+            for byte in decoder.words[i]:
+                now = byte_bpe._UTF8[now, byte]
+            assert decoder.after[state, i] == now
