@@ -19,7 +19,8 @@ what each vocabulary word does to each state is kept too, so a portion is
 composed of its words' steps, and portions of words that lead from start to
 start need none.
 
-A null or empty text has no ids. The ranks are a file of base64 words and
+A null or empty text has no ids. Repeated rows are encoded one by one, extra
+columns are ignored, an empty table gives no rows. The ranks are a file of base64 words and
 ranks; special tokens do not exist here, their strings are ordinary text.
 """
 

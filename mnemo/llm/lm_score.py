@@ -19,6 +19,11 @@ which sums to one over the V known words and one unknown word.
   block's n-grams by successor search inside their context.
 * Blocks sum the logarithms per document.
 
+Repeated rows are learnt from and scored one by one; a null doc_id counts as
+the empty text where the fold is chosen, and stays null. Extra columns are
+ignored. An empty table gives no rows; without training rows every token has
+probability 1 and counts as unknown.
+
 The shares are quantised to steps of ``STEP`` in log10. Counts and base
 scores are exact. Every n-gram of every training document counts; nothing
 is pruned. Words are told apart by 64-bit hashes, successors of one context

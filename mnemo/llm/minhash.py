@@ -8,6 +8,10 @@ alike (optimal densification). Of each bin the ``BITS`` lowest bits are
 stored, packed; the likeness of two fingerprints is the share of equal bins,
 corrected for the chance that unequal values agree in their low bits.
 
+Repeated rows have a fingerprint each; rows of one doc_id follow one another by
+a hash of their text. Extra columns are kept by :func:`fingerprints` and ignored
+by :func:`compare_edits`; an empty table gives no rows.
+
 A text without words (null, empty, white space) has the fingerprint "" and is
 like another of the kind (1.0) and unlike every other text (0.0).
 """

@@ -7,7 +7,9 @@ pre-token in each document and asks the shards for the pieces of its distinct
 pre-tokens; a shard encodes each distinct pre-token of the corpus once. A
 document's count is the sum of frequency times pieces.
 
-A null or empty text has no tokens. ``model`` is a sentencepiece file that
+A null or empty text has no tokens. Repeated rows are counted one by one, a
+null doc_id stays null, extra columns are ignored, an empty table gives no
+rows. ``model`` is a sentencepiece file that
 every executor can read (installed with the workers).
 """
 

@@ -167,7 +167,9 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document."""
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every
+    document: one row per row, repeated ones too. Extra columns are ignored,
+    an empty table gives no rows."""
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -6,11 +6,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import SF001
+from conftest import SF01, SF001
 from llm_cases import ODD_TEXTS, documents, empty
 
 from mnemo.llm import quality_classifier, quality_rules, queries
-from mnemo.llm.words import Words, hash_spans, raw, runs
+from mnemo.llm.features import margins, rows
+from mnemo.llm.words import Words, hash_spans, mix, raw, runs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -127,3 +128,75 @@ def test_calibration_is_monotone_and_close():
     assert a == pytest.approx(0.5, abs=0.08) and b == pytest.approx(-1, abs=0.2)
     a, b = quality_rules._platt(np.array([-9.0, -8, 7, 9]), np.array([0.0, 0, 1, 1]))
     assert a > 0 and np.isfinite([a, b]).all()
+
+
+# ------------------------------------------------- the models against dictionaries
+
+def _h(data):
+    return int(hash_spans(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]))[0]) if data else 0
+
+
+def _mix(x):
+    return int(mix(np.array([x & (1 << 64) - 1], dtype=np.uint64))[0])
+
+
+def _shape(word):
+    kinds = ["a" if chr(b).islower() and b < 128 or b >= 128 else "A" if 65 <= b <= 90 else "0" if 48 <= b <= 57 else chr(b) for b in word]
+    return "".join(k for k, before in zip(kinds, [None, *kinds]) if k != before).encode()
+
+
+def _plain_features(text, chars=False):
+    """{bucket: value}, the bias last, by plain loops."""
+    data = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    h = [_h(w) for w in words]
+    families = [h, [_mix(a * 0x9E3779B97F4A7C15 + b) for a, b in zip(h, h[1:])], [_h(_shape(w)) for w in words], [_mix((a == b) + 7) for a, b in zip(h, h[1:])]]
+    if chars:
+        for n in (3, 4):
+            families.append([int.from_bytes(data[i: i + n], "little") * (0x9E3779B97F4A7C15 * n & (1 << 64) - 1) & (1 << 64) - 1 for i in range(len(data) - n + 1)])
+    out = Counter()
+    for family in families:
+        for x in family:
+            out[x >> 46] += 1 / len(family) ** 0.5
+    out[1 << 18] += 1
+    return out
+
+
+def test_features_scores_and_ftrl_equal_a_dictionary_version():
+    texts = _texts()
+    for families, chars in ((quality_classifier.FAMILIES, False), (quality_rules.FAMILIES, True)):
+        for (idx, val), t in zip(rows(pa.array(texts, pa.string()), 18, families), texts):
+            expect = _plain_features(t, chars)
+            assert idx.tolist() == sorted(expect) and val == pytest.approx([expect[i] for i in sorted(expect)], rel=1e-5)
+        weights = np.random.default_rng(3).normal(size=(1 << 18) + 1).astype(np.float32)
+        got = margins(pa.array(texts, pa.string()), weights, 18, families)
+        assert got == pytest.approx([sum(v * float(weights[i]) for i, v in _plain_features(t, chars).items()) for t in texts], rel=1e-4, abs=1e-4)
+    rnd = random.Random(4)
+    data = [(_plain_features(t), rnd.randint(0, 1)) for t in texts[:120]]
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= 0.05 else (np.sign(z[i]) * 0.05 - z[i]) / ((1 + n[i] ** 0.5) / 0.5 + 0.1)
+
+    model = quality_classifier.Ftrl((1 << 18) + 1)
+    for x, y in data:
+        p = 1 / (1 + np.exp(-sum(weight(i) * v for i, v in x.items())))
+        for i, v in x.items():
+            g = (p - y) * v
+            w = weight(i)
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.5 * w
+            n[i] += g * g
+        model.update(np.array(sorted(x)), np.array([x[i] for i in sorted(x)]), y)
+    got = model.weights()
+    assert [got[i] for i in z] == pytest.approx([weight(i) for i in z], rel=1e-9, abs=1e-12)
+    assert set(np.flatnonzero(got).tolist()) <= set(z)
+
+
+def test_rules_model_on_rows_that_it_did_not_learn_from(spark):
+    docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
+    learnt = labels.where("crc32(cast(doc_id AS string)) % 3 <> 0")
+    weights = quality_rules.fit(docs, learnt)
+    unseen = labels.where("crc32(cast(doc_id AS string)) % 3 = 0").join(docs, "doc_id").collect()
+    p = quality_classifier.sigmoid(margins(pa.array([r.text for r in unseen], pa.string()), weights, quality_rules.BITS, quality_rules.FAMILIES))
+    right = [(x >= quality_rules.KEEP) == (r.quality == 1) for x, r in zip(p, unseen)]
+    assert len(right) > 80 and np.mean(right) > 0.85
