@@ -58,6 +58,20 @@ def _merged(table: DataFrame, columns: list[str], key: str, inserts, upserts, de
     return out
 
 
+def _merged_adjacency(adj: DataFrame, d: GraphDelta) -> DataFrame:
+    """The stored adjacency less the connections that are gone and with the
+    new ones: the stored table is read as it lies, clustered on the node, and
+    never made anew from all edges. Changed connections keep their ends."""
+    from mnemo.operators.expand import ADJ_COLUMNS, adjacency
+
+    out = adj.select(*ADJ_COLUMNS)
+    if d.edge_deletes is not None:
+        out = out.join(d.edge_deletes.select("edge_id"), "edge_id", "left_anti").select(*ADJ_COLUMNS)
+    if d.edge_inserts is not None:
+        out = out.unionByName(adjacency(d.edge_inserts).select(*ADJ_COLUMNS))
+    return out
+
+
 def apply_delta(graph: Graph, d: GraphDelta) -> Graph:
     """The graph after a delta. Untouched rows pass through; a table that a
     delta does not name is the same table."""
@@ -66,7 +80,7 @@ def apply_delta(graph: Graph, d: GraphDelta) -> Graph:
         nodes = _merged(nodes, NODE_COLUMNS, "memory_id", d.node_inserts, d.node_upserts, d.node_deletes)
     if any(x is not None for x in (d.edge_inserts, d.edge_upserts, d.edge_deletes)):
         edges = _merged(edges, EDGE_COLUMNS, "edge_id", d.edge_inserts, d.edge_upserts, d.edge_deletes)
-        adj = None
+        adj = None if adj is None else _merged_adjacency(adj, d)
     high = [None if h is None else max(h, new or 0)
             for h, new in ((graph.node_high, d.node_high), (graph.edge_high, d.edge_high))]
     return Graph(nodes, edges, adj, *high, older=None if None not in high else graph)

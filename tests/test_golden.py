@@ -283,6 +283,14 @@ def test_c14_number_text(spark):
     assert ids(search_candidates(g.nodes, "5.0")) == []
 
 
+def test_number_text_of_extreme_values(spark):
+    from mnemo.functions.values import js_number_text
+    cases = [(1e-7, "1e-7"), (1e20, "100000000000000000000"), (1e21, "1e+21"), (1.5e300, "1.5e+300"), (-2.5e-9, "-2.5e-9"), (0.000001, "0.000001"),
+             (123456789.125, "123456789.125"), (1e16, "10000000000000000"), (0.1, "0.1"), (-5.0, "-5"), (3.14e-5, "0.0000314")]
+    got = spark.createDataFrame(cases, "v double, text string").select(js_number_text(F.col("v")).alias("got"), "text").collect()
+    assert [r.got for r in got] == [r.text for r in got]
+
+
 def test_c22_resolve_tie_break(spark):
     g = graph_from_records(spark, [(12, ["n"], {"name": "x"}), (30, ["n"], {"name": "12"}),
                                    (40, ["n"], {"name": "dup"}), (41, ["n"], {"name": "dup"})])
@@ -373,7 +381,7 @@ def test_bulk_search_batches_of_words_give_same_result(spark, people, monkeypatc
                                   ("c", "", None, None, 3), ("d", "zz", None, None, 1), ("e", "Ben engineer ben", None, None, 9)],
                                  "req_key string, query string, label string, since_date string, limit int")
     whole = sorted(tuple(r) for r in bulk.bulk_search(people.nodes, reqs).collect())
-    monkeypatch.setattr(bulk, "WORDS", 1)
+    monkeypatch.setattr(bulk, "FEW", 1)      # by trigrams, labels and names not listed
     split = sorted(tuple(r) for r in bulk.bulk_search(people.nodes, reqs).collect())
     assert whole == split and len([r for r in whole if r[0] != "e"]) == 2 + 2 + 3
     # every request equals its single search
