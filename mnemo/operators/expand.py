@@ -6,8 +6,11 @@ edge. Each result row is ``(memory_id, related_id, first_edge, distance)``
 where ``first_edge`` is the trail's edge at the seed and ``distance`` the
 trail's length; rows are distinct on those four columns.
 
-Plan: level ``k`` is ``frontier(k-1) JOIN adjacency ON node = a``, with
-the trail's edge ids carried as an array to enforce edge uniqueness.
+Plan: level ``k`` is ``frontier(k-1) JOIN adjacency ON node = a``. What a
+trail can still do depends on its seed, first edge, end and the *set* of its
+edges, so that is the state: the edges beside the first as a sorted array,
+made only where a further level follows and kept once per level however many
+orders of walking them lead there. Up to depth 2 there is no array at all.
 The adjacency table holds every edge once per direction (a self-loop
 once) and, in a snapshot, is sorted by ``a`` so the first level reads only
 the row groups around the seeds. Seeds are at most the search limit, so
@@ -21,7 +24,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Levels between lineage cuts of long expansions (each cut writes the
@@ -57,16 +60,32 @@ def _first_level(seeds: DataFrame, adj: DataFrame, seed_ids: list[int] | None,
     return (adj.join(F.broadcast(s) if small else s, "a")
             .select(F.col("a").alias("memory_id"), F.col("b").alias("node"),
                     F.col("edge_id").alias("first_edge"), F.col("type").alias("first_type"),
-                    F.col("outgoing").alias("first_outgoing"), F.array("edge_id").alias("path")))
+                    F.col("outgoing").alias("first_outgoing")))
 
 
-def _next_level(frontier: DataFrame, adj: DataFrame) -> DataFrame:
-    f = frontier.select("memory_id", F.col("node").alias("a"), "first_edge", "first_type",
-                        "first_outgoing", "path")
-    return (f.join(adj.select("a", "b", "edge_id"), "a")
-            .where(~F.array_contains("path", F.col("edge_id")))
-            .select("memory_id", F.col("b").alias("node"), "first_edge", "first_type",
-                    "first_outgoing", F.concat("path", F.array("edge_id")).alias("path")))
+STATE = ["memory_id", "first_edge", "node", "others"]
+
+
+def unused(k: int) -> Column:
+    """Whether ``edge_id`` is new to the trail that it would make k long."""
+    new = F.col("edge_id") != F.col("first_edge")
+    return new if k == 2 else new & ~F.array_contains("others", F.col("edge_id"))
+
+
+def others_after(k: int) -> Column:
+    """The set of a k long trail's edges beside the first, sorted."""
+    return F.array("edge_id") if k == 2 else F.array_sort(F.concat("others", F.array("edge_id")))
+
+
+def _next_level(frontier: DataFrame, adj: DataFrame, k: int, last: bool) -> DataFrame:
+    columns = ["memory_id", F.col("b").alias("node"), "first_edge", "first_type", "first_outgoing"]
+    f = frontier.withColumnRenamed("node", "a")
+    step = f.join(adj.select("a", "b", "edge_id"), "a").where(unused(k))
+    if last:
+        return step.select(*columns)
+    step = step.select(*columns, others_after(k).alias("others"))
+    # two edges can be walked in two orders from the third level on
+    return step if k == 2 else step.dropDuplicates(STATE)
 
 
 def expand(seeds: DataFrame, adj: DataFrame, depth: int, seed_ids: list[int] | None = None,
@@ -108,7 +127,7 @@ def expand(seeds: DataFrame, adj: DataFrame, depth: int, seed_ids: list[int] | N
         if k == 2:
             first = level
         wanted = level if depths is None else level.join(depths.where(F.col("depth") >= k).select("memory_id"), "memory_id", "left_semi")
-        level = _next_level(wanted, adj)
+        level = _next_level(wanted, adj, k, last=k == depth)
         outs.append(_out(level, k))
     if first_level is not None:
         first_level.append(first)

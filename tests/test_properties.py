@@ -116,3 +116,23 @@ def test_query_lowercase_matches_text_lowercase(spark):
     g = graph_from_records(spark, [(1, ["n"], {"name": "ΟΔΟΣ"}), (2, ["n"], {"name": "İstanbul"})])
     assert [r.memory_id for r in search_candidates(g.nodes, "ΟΔΟΣ").collect()] == [1]
     assert [r.memory_id for r in search_candidates(g.nodes, "İSTANBUL").collect()] == [2]
+
+
+def test_trails_are_carried_as_edge_sets(spark):
+    """Between two nodes with parallel edges every order of walking them is
+    the same state: fewer frontier rows, the same result as a walk."""
+    from itertools import permutations
+
+    from mnemo.operators.expand import adjacency, expand, release
+
+    n, depth = 6, 5
+    g = graph_from_records(spark, [(1, ["n"], {}), (2, ["n"], {})], [(100 + k, 1, 2, "E", {}) for k in range(n)])
+    seeds, levels = spark.createDataFrame([(1,)], "memory_id bigint"), []
+    got = {tuple(r) for r in expand(seeds, adjacency(g.edges), depth, persisted=levels).select("memory_id", "related_id", "first_edge", "distance").collect()}
+    assert got == {(1, 2 if k % 2 else 1, 100 + e, k) for k in range(1, depth + 1) for e in range(n)}
+    walks = [sum(1 for _ in permutations(range(n), k)) for k in range(1, depth)]
+    kept = [df.count() for df in levels]
+    assert kept[0] == n and "others" not in levels[0].columns
+    # levels 1, 2 and 4 (3 is checkpointed): first edge, and the set of three others
+    assert kept[1] == walks[1] and kept[2] == walks[3] // 6
+    release(levels)
