@@ -615,12 +615,11 @@ def _log_lines(spark, sf):
     return _reduce(lambda a, b: a.unionByName(b), log_blocks(spark, sf, NOW))
 
 
-def _graph_counts(graph):
-    e = graph.edges.groupBy(F.col("type").alias("name")).agg(F.count(F.lit(1)).alias("count")) \
-        .select(F.lit("edge").alias("kind"), "name", "count")
-    n = graph.nodes.agg(F.count(F.lit(1)).alias("count")).select(F.lit("node").alias("kind"),
-                                                                 F.lit("*").alias("name"), "count")
-    return e.unionByName(n)
+def _graph_rows(graph):
+    """Every connection with its ends and type, every memory with its text."""
+    none = F.lit(None).cast("bigint")
+    return graph.edges.select(F.lit("edge").alias("kind"), F.col("edge_id").alias("id"), "src", "dst", F.col("type").alias("text")).unionByName(
+        graph.nodes.select(F.lit("node").alias("kind"), F.col("memory_id").alias("id"), none.alias("src"), none.alias("dst"), F.col("search_text").alias("text")))
 
 
 B = 10 ** 12
@@ -628,6 +627,33 @@ LOG_KEYS_SQL = f"""
 , urgent AS (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT'),
 pk AS (SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)"""
 
+# states of memories and spans of connections by block of the derived log: f <= block < t
+STATES_SQL = LOG_KEYS_SQL + f"""
+, gone AS (SELECT CAST({3 * K} AS BIGINT) + c_custkey AS id FROM customer WHERE c_acctbal > 9890),
+debt AS (SELECT CAST({3 * K} AS BIGINT) + c_custkey AS id, c_name, c_acctbal FROM customer WHERE c_acctbal < 0),
+pairs AS (SELECT CAST({6 * K} AS BIGINT) + l_orderkey AS src, CAST({5 * K} AS BIGINT) + l_partkey AS dst, l_orderkey * 100000 + l_partkey AS pk FROM pk),
+st AS (
+  SELECT memory_id, labels, created_at, search_text, 0 AS f, CASE WHEN g.id IS NOT NULL THEN 4 WHEN d.id IS NOT NULL THEN 3 ELSE 99 END AS t
+  FROM nodes n LEFT JOIN gone g ON g.id = memory_id LEFT JOIN debt d ON d.id = memory_id
+  UNION ALL SELECT id, ['customer', 'debtor'], NULL, lower(concat_ws(chr(10), {jsnum('c_acctbal')}, c_name, 'gold')), 3, 99 FROM debt
+  UNION ALL SELECT CAST({11 * K} AS BIGINT) + o_orderkey, ['note'], '{NOW}', lower('follow up ' || o_orderpriority || chr(10) || '{NOW}'), 1,
+         CASE WHEN o_orderstatus = 'F' THEN 8 ELSE 99 END FROM urgent),
+sp AS (
+  SELECT e.edge_id, e.src, e.dst, e.type, 0 AS f, CASE WHEN x.id IS NOT NULL OR y.id IS NOT NULL THEN 4 WHEN e.type = 'CONTAINS' AND p.src IS NOT NULL THEN 5 ELSE 99 END AS t
+  FROM edges e LEFT JOIN gone x ON x.id = e.src LEFT JOIN gone y ON y.id = e.dst LEFT JOIN pairs p ON p.src = e.src AND p.dst = e.dst
+  UNION ALL SELECT CAST({15 * K} AS BIGINT) + pk, src, dst, 'CONTAINS', 6, 99 FROM pairs
+  UNION ALL SELECT CAST({12 * K} AS BIGINT) + o_orderkey, CAST({11 * K} AS BIGINT) + o_orderkey, CAST({6 * K} AS BIGINT) + o_orderkey, 'ABOUT', 2,
+         CASE WHEN o_orderstatus = 'F' THEN 8 ELSE 99 END FROM urgent),
+ad AS (SELECT src AS a, dst AS b, edge_id, f, t FROM sp UNION ALL SELECT dst, src, edge_id, f, t FROM sp WHERE src <> dst)"""
+
+
+def rows_at_sql(block: int) -> str:
+    """Every connection and memory of the derived graph after a block of the derived log."""
+    return STATES_SQL + f"""
+SELECT 'edge' AS kind, edge_id AS id, src, dst, type AS text FROM sp WHERE f <= {block} AND {block} < t
+UNION ALL SELECT 'node', memory_id, NULL, NULL, search_text FROM st WHERE f <= {block} AND {block} < t"""
+
+
 VALIDATE_SQL = LOG_KEYS_SQL + f"""
 , v AS (
   SELECT {B} + o_orderkey AS seq, 'create_memory' AS name FROM urgent
@@ -673,37 +699,17 @@ def q_load_request_log(spark, sf):
     return read_request_log(spark, f"{path}/*").select("seq", "name")
 
 
-REPLAY_COUNTS_SQL = LOG_KEYS_SQL + f"""
-, gone AS (SELECT CAST({3 * K} AS BIGINT) + c_custkey AS id FROM customer WHERE c_acctbal > 9890),
-pairs AS (SELECT CAST({6 * K} AS BIGINT) + l_orderkey AS src, CAST({5 * K} AS BIGINT) + l_partkey AS dst FROM pk),
-e2 AS (SELECT type FROM edges e WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)
-         AND NOT (type = 'CONTAINS' AND EXISTS (SELECT 1 FROM pairs p WHERE p.src = e.src AND p.dst = e.dst))
-       UNION ALL SELECT 'CONTAINS' FROM pk
-       UNION ALL SELECT 'ABOUT' FROM urgent WHERE o_orderstatus <> 'F'),
-n2 AS (SELECT memory_id FROM nodes WHERE memory_id NOT IN (SELECT id FROM gone)
-       UNION ALL SELECT o_orderkey FROM urgent WHERE o_orderstatus <> 'F')
-SELECT 'edge' AS kind, type AS name, CAST(count(*) AS BIGINT) AS count FROM e2 GROUP BY type
-UNION ALL SELECT 'node', '*', CAST(count(*) AS BIGINT) FROM n2"""
-
-
-@register("replay_log", REPLAY_COUNTS_SQL)
+@register("replay_log", rows_at_sql(11))
 def q_replay_log(spark, sf):
-    """R2: the derived log replayed onto the derived graph: remaining
-    nodes and connections per type."""
+    """R2: the derived log replayed onto the derived graph: every memory and
+    connection that is left."""
     from mnemo.sources.requests import parse_log_lines
     from mnemo.streaming.replay import replay_log
     change, _ = replay_log(g(spark, sf), parse_log_lines(_log_lines(spark, sf)), NOW)
-    return _graph_counts(change.graph)
+    return _graph_rows(change.graph)
 
 
-@register("replay_as_of", LOG_KEYS_SQL + f"""
-, gone AS (SELECT CAST({3 * K} AS BIGINT) + c_custkey AS id FROM customer WHERE c_acctbal > 9890),
-e2 AS (SELECT type FROM edges e WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)
-       UNION ALL SELECT 'ABOUT' FROM urgent),
-n2 AS (SELECT memory_id FROM nodes WHERE memory_id NOT IN (SELECT id FROM gone)
-       UNION ALL SELECT o_orderkey FROM urgent)
-SELECT 'edge' AS kind, type AS name, CAST(count(*) AS BIGINT) AS count FROM e2 GROUP BY type
-UNION ALL SELECT 'node', '*', CAST(count(*) AS BIGINT) FROM n2""")
+@register("replay_as_of", rows_at_sql(4))
 def q_replay_as_of(spark, sf):
     """The graph as of the end of block 4 of the derived log (notes
     created and linked, debtors updated, top-balance customers deleted;
@@ -712,7 +718,7 @@ def q_replay_as_of(spark, sf):
     from mnemo.sources.testlog import BLOCK
     from mnemo.streaming.replay import replay_as_of
     ops = change_ops(validate_requests(parse_log_lines(_log_lines(spark, sf))))
-    return _graph_counts(replay_as_of(g(spark, sf), ops, NOW, 5 * BLOCK - 1).graph)
+    return _graph_rows(replay_as_of(g(spark, sf), ops, NOW, 5 * BLOCK - 1).graph)
 
 
 @register("replay_results", LOG_KEYS_SQL + f"""
@@ -834,7 +840,7 @@ def q_replay_awkward_results(spark, sf):
     return change.result.select("seq", "status").unionByName(quarantine.select("seq", F.col("reason").alias("status")))
 
 
-@register("stream_replay", REPLAY_COUNTS_SQL)
+@register("stream_replay", rows_at_sql(11))
 def q_stream_replay(spark, sf):
     """The same log as a growing folder, replayed by Structured
     Streaming as its blocks arrive, one delta per micro-batch; the last
@@ -849,7 +855,7 @@ def q_stream_replay(spark, sf):
         write_log(spark, sf, f"{base}/log", NOW, blocks)
         last = stream_replay(spark, f"{base}/log", f"{base}/snapshot0", f"{base}/out", NOW,
                              checkpoint=f"{base}/_checkpoint", max_files_per_trigger=1_000_000, compact_every=3)
-    return _graph_counts(stream_state(spark, f"{base}/snapshot0", f"{base}/out", last + 1, 3))
+    return _graph_rows(stream_state(spark, f"{base}/snapshot0", f"{base}/out", last + 1, 3))
 
 
 REPLY_SQL = seeds_sql(FLAG_WHERE, 10) + trails_sql(1) + """
@@ -953,26 +959,6 @@ def _read_lines(spark, sf):
             .unionByName(calls.select(_line(at - 1, "list_memory_labels", F.struct(F.lit(None).cast("string").alias("unused"))))))
 
 
-# states of memories and spans of connections by block of the derived log: f <= block < t
-STATES_SQL = LOG_KEYS_SQL + f"""
-, gone AS (SELECT CAST({3 * K} AS BIGINT) + c_custkey AS id FROM customer WHERE c_acctbal > 9890),
-debt AS (SELECT CAST({3 * K} AS BIGINT) + c_custkey AS id, c_name, c_acctbal FROM customer WHERE c_acctbal < 0),
-pairs AS (SELECT CAST({6 * K} AS BIGINT) + l_orderkey AS src, CAST({5 * K} AS BIGINT) + l_partkey AS dst, l_orderkey * 100000 + l_partkey AS pk FROM pk),
-st AS (
-  SELECT memory_id, labels, created_at, search_text, 0 AS f, CASE WHEN g.id IS NOT NULL THEN 4 WHEN d.id IS NOT NULL THEN 3 ELSE 99 END AS t
-  FROM nodes n LEFT JOIN gone g ON g.id = memory_id LEFT JOIN debt d ON d.id = memory_id
-  UNION ALL SELECT id, ['customer', 'debtor'], NULL, lower(concat_ws(chr(10), {jsnum('c_acctbal')}, c_name, 'gold')), 3, 99 FROM debt
-  UNION ALL SELECT CAST({11 * K} AS BIGINT) + o_orderkey, ['note'], '{NOW}', lower('{NOW}' || chr(10) || 'follow up ' || o_orderpriority), 1,
-         CASE WHEN o_orderstatus = 'F' THEN 8 ELSE 99 END FROM urgent),
-sp AS (
-  SELECT e.edge_id, e.src, e.dst, 0 AS f, CASE WHEN x.id IS NOT NULL OR y.id IS NOT NULL THEN 4 WHEN e.type = 'CONTAINS' AND p.src IS NOT NULL THEN 5 ELSE 99 END AS t
-  FROM edges e LEFT JOIN gone x ON x.id = e.src LEFT JOIN gone y ON y.id = e.dst LEFT JOIN pairs p ON p.src = e.src AND p.dst = e.dst
-  UNION ALL SELECT CAST({15 * K} AS BIGINT) + pk, src, dst, 6, 99 FROM pairs
-  UNION ALL SELECT CAST({12 * K} AS BIGINT) + o_orderkey, CAST({11 * K} AS BIGINT) + o_orderkey, CAST({6 * K} AS BIGINT) + o_orderkey, 2,
-         CASE WHEN o_orderstatus = 'F' THEN 8 ELSE 99 END FROM urgent),
-ad AS (SELECT src AS a, dst AS b, edge_id, f, t FROM sp UNION ALL SELECT dst, src, edge_id, f, t FROM sp WHERE src <> dst)"""
-
-
 @register("answer_request_log", STATES_SQL + f"""
 , late AS (SELECT s_suppkey, unnest({list(READ_BLOCKS)}) AS b FROM supplier),
 rq AS (
