@@ -17,10 +17,11 @@ def stored_graph(spark, tmp_path_factory):
     from mnemo.sources.testgraph import build_graph
 
     path = write_graph(build_graph(spark, SF001), str(tmp_path_factory.mktemp("graph") / "g"))
-    old = registry.g
-    registry.g = change_queries.g = lambda spark, sf: read_graph(spark, path) if sf == SF001 else old(spark, sf)
+    old = registry.g, registry.stored
+    registry.g = change_queries.g = registry.stored = change_queries.stored = lambda spark, sf: read_graph(spark, path) if sf == SF001 else old[0](spark, sf)
     yield
-    registry.g = change_queries.g = old
+    registry.g = change_queries.g = old[0]
+    registry.stored = change_queries.stored = old[1]
 
 
 @pytest.fixture(scope="module")
