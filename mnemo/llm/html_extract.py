@@ -78,7 +78,7 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
          "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 HEADERS = {"header", "site-header", "page-header"}     # names, outside main content
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-# Kinds of elements that are not article text.
+# Elements, roles and names that are not article text.
 DROPPED_TAGS = set("""head title script style noscript template iframe object embed svg canvas annotation annotation-xml audio video map nav footer aside form
 button select textarea input datalist dialog menu search noembed noframes xmp""".split())
 DROPPED_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -89,20 +89,20 @@ banner alert notification aside topbar toolbar topnav sidenav subnav navlinks si
 
 PARTS = set("""reader user site top bottom left right primary secondary main area box block bar list link links button buttons icon
 icons slot unit items form container wrapper sticky mobile""".split())
-# Of these, the ones that rule out an article element too; adverts, comments and cookie notices; and
+# Of these, the ones that rule out an article element too; adverts, comments and cookie notices; and
 # those that may be what an article or a part of it is about.
 ARTICLE_WORDS = set("ad ads advert advertisement sponsored comment comments sidebar related recommended cookie cookies".split())
 SURE = set("ad ads advert adverts advertisement comment comments commentlist disqus replies cookie cookies adbox adslot adsbygoogle".split())
 SUBJECTS = set("""sponsor promo promotion nav navigation menu notice notices share sharing social related recommended login
 subscription widget banner alert notification consent gdpr""".split())
-# Tags whose end tag tells whether they hold what follows.
+# Tags whose end tag tells whether they hold what follows.
 CLOSED = set("nav footer button select datalist".split())
 ASIDES = set("aside dialog complementary alertdialog".split())
 
-# Never text, so not hashed; and what may be a box inside main content.
+# Never text, so not hashed; and what may be a box inside main content.
 NO_TEXT = set("head title script style noscript template iframe object embed svg canvas audio video map textarea noembed noframes xmp".split())
 BOXES = set("div section details fieldset center address".split())
-# What goes by its place; headings, paragraphs, figures and the like stay.
+# What goes by its place; headings, paragraphs, figures and the like stay.
 BESIDE = BOXES | set("nav header footer aside menu ul ol form dialog search".split())
 
 _TOKEN = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
