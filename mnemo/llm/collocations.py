@@ -333,14 +333,16 @@ w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM pie
 g AS (
   SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase
   FROM w, range(1, 5) r(k) WHERE len(words) >= k),
-f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
 total AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
 c AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k >= 2),
-cut AS (
-  SELECT c.lang, c.size, c.phrase, c.a, t.k, x.f AS l, y.f AS r, (2000000 * c.a::HUGEINT) // (x.f + y.f) AS score
-  FROM c, range(1, 4) t(k), f x, f y
-  WHERE t.k < c.size AND x.lang = c.lang AND x.phrase = array_to_string(c.words[1:t.k], ' ')
-    AND y.lang = c.lang AND y.phrase = array_to_string(c.words[t.k + 1:], ' ')),
+halves AS MATERIALIZED (
+  SELECT lang, size, phrase, a, t.k, array_to_string(words[1:t.k], ' ') AS head, array_to_string(words[t.k + 1:], ' ') AS rest
+  FROM c, range(1, 4) t(k) WHERE t.k < size),
+heads AS MATERIALIZED (SELECT h.*, x.f AS l FROM halves h JOIN f x ON x.lang = h.lang AND x.phrase = h.head),
+cut AS MATERIALIZED (
+  SELECT h.lang, h.size, h.phrase, h.a, h.k, h.l, y.f AS r, (2000000 * h.a::HUGEINT) // (h.l + y.f) AS score
+  FROM heads h JOIN f y ON y.lang = h.lang AND y.phrase = h.rest),
 best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 inner_ AS (
   SELECT c.lang, c.a AS around, array_to_string(c.words[i:i + n - 1], ' ') AS phrase
