@@ -120,6 +120,26 @@ def test_compaction_copies_the_rows_that_stay(spark, tmp_path):
     assert dict((x[0], x[4]) for x in final[1])[120] == (("w", "5"),)
 
 
+def test_compaction_of_an_unchanged_table_copies_it(spark, tmp_path):
+    from mnemo.operators.delta import GraphDelta, net_delta
+    from mnemo.sources.snapshot import read_graph, write_compacted
+
+    g = graph_from_records(spark, [(i, ["n"], {"t": f"g{i}"}) for i in range(9)], [(i, i, i + 1, "E", {}) for i in range(8)])
+    snap = write_graph(g, str(tmp_path / "a"))
+    none = GraphDelta(node_deletes=spark.createDataFrame([(3,)], "memory_id bigint"), edge_deletes=spark.createDataFrame([(2,), (3,)], "edge_id bigint"))
+    seen = []
+    import mnemo.sources.snapshot as snapshot
+    old, snapshot._clustered = snapshot._clustered, lambda df, *order: seen.append(df.count()) or old(df, *order)
+    try:
+        for _ in range(2):      # again over what an earlier try left
+            write_compacted(spark, snap, net_delta(spark, [none]), str(tmp_path / "b"))
+    finally:
+        snapshot._clustered = old
+    nodes, edges, adj = rows_of(read_graph(spark, str(tmp_path / "b")))
+    assert [x[0] for x in nodes] == [0, 1, 2, 4, 5, 6, 7, 8] and [x[0] for x in edges] == [0, 1, 4, 5, 6, 7] and len(adj) == 12
+    assert set(seen) == {0}     # nothing that stays is clustered anew
+
+
 def test_net_delta_equals_its_deltas_in_turn(spark):
     import random
 
