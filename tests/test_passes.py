@@ -80,3 +80,26 @@ def test_search_reply_does_not_store_the_graph(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(change_queries, "stored", no)
     assert change_queries.q_search_result_json(spark, SF001).count() > 0
+
+
+def test_replay_reads_the_ids_of_connections_once(spark):
+    from mnemo.sources.requests import change_ops, local_log, validate_requests
+    from mnemo.streaming.replay import lifetimes, replay
+
+    plain = people(spark)
+    edges, edge_rows = counted(plain.edges, "edge_id")
+    calls = [("delete_memory", {"nodeId": 2}), ("create_connection", {"fromMemoryId": 1, "toMemoryId": 3, "type": "LIKES", "connectionId": 11}),
+             ("create_connection", {"fromMemoryId": 1, "toMemoryId": 3, "type": "LIKES", "connectionId": 20}),
+             ("update_connection", {"fromMemoryId": 1, "toMemoryId": 3, "type": "LIVES_IN", "properties": {"seen": True}}),
+             ("update_memory", {"nodeId": 1, "properties": {"age": 4}}), ("delete_memory", {"nodeId": 77})]
+    ops = change_ops(validate_requests(local_log(spark, [{"seq": i, "name": n, "arguments": a} for i, (n, a) in enumerate(calls)])))
+    lives = lifetimes(Graph(plain.nodes, edges), ops, NOW)
+    assert edge_rows.value == 3
+    assert sorted((r.edge_id, r.y < 1 << 62) for r in lives.edges.collect()) == [(10, False), (11, False), (12, True), (20, False)]
+    change = replay(plain, ops, NOW)
+    # what the merge takes from the stored tables, written beforehand
+    assert sorted(r[0] for r in change.delta.node_gone.collect()) == [1, 2]
+    assert sorted(r[0] for r in change.delta.edge_gone.collect()) == [10, 11, 12]
+    assert sorted(r.memory_id for r in change.graph.nodes.collect()) == [1, 3]
+    assert {r.edge_id: sorted(r.props) for r in change.graph.edges.collect()} == {10: ["seen", "since"], 11: ["seen"], 20: ["created_at"]}
+    assert "Broadcast" in change.graph.nodes._jdf.queryExecution().sparkPlan().toString()

@@ -164,3 +164,27 @@ def test_net_delta_equals_its_deltas_in_turn(spark):
     got = apply_delta(base, net.delta)
     assert net.nodes_bounded and net.edges_bounded and (got.node_high, got.edge_high) == (53, 53)
     assert rows_of(got) == rows_of(chain) and {x[0] for x in rows_of(got)[0]} == live
+
+
+def test_edges_in_order_are_written_without_another_shuffle(spark, tmp_path):
+    from dataclasses import replace
+
+    from conftest import SF001
+    from mnemo.model import EDGE_COLUMNS
+    from mnemo.sources.snapshot import read_graph, write_graph
+    from mnemo.sources.testgraph import build_graph, edges_by_order
+
+    graph = build_graph(spark, SF001)
+    lines, others = edges_by_order(spark, SF001)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan
+    assert lines.count() > 0 and others.where("type = 'CONTAINS'").isEmpty()
+    rows = lambda df: sorted(map(str, df.select(*EDGE_COLUMNS).collect()))
+    one = read_graph(spark, write_graph(graph, f"{tmp_path}/one"))
+    two = read_graph(spark, write_graph(replace(graph, edge_parts=None), f"{tmp_path}/two"))
+    assert rows(one.edges) == rows(two.edges) == rows(graph.edges)
+    assert sorted(map(tuple, one.adj.collect())) == sorted(map(tuple, two.adj.collect()))
+    lines.select("edge_id", "src").write.parquet(f"{tmp_path}/lines")
+    for path in (tmp_path / "lines").glob("*.parquet"):
+        ids = [(r.src, r.edge_id) for r in spark.read.parquet(str(path)).collect()]
+        assert ids == sorted(ids)
