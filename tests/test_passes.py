@@ -103,3 +103,40 @@ def test_replay_reads_the_ids_of_connections_once(spark):
     assert sorted(r.memory_id for r in change.graph.nodes.collect()) == [1, 3]
     assert {r.edge_id: sorted(r.props) for r in change.graph.edges.collect()} == {10: ["seen", "since"], 11: ["seen"], 20: ["created_at"]}
     assert "Broadcast" in change.graph.nodes._jdf.queryExecution().sparkPlan().toString()
+
+
+def _mixed_log(spark):
+    from mnemo.sources.requests import local_log, validate_requests
+
+    calls = [("delete_memory", {"nodeId": 2}), ("update_connection", {"fromMemoryId": 1, "toMemoryId": 3, "type": "LIVES_IN", "properties": {"seen": True}}),
+             ("create_memory", {"memoryId": 50, "label": "note", "properties": {"name": "n"}}), ("delete_memory", {"nodeId": 50})]
+    return validate_requests(local_log(spark, [{"seq": i, "name": n, "arguments": a} for i, (n, a) in enumerate(calls)]))
+
+
+def test_replay_reads_changed_connections_once(spark):
+    from mnemo.sources.requests import change_ops
+    from mnemo.streaming.replay import replay
+
+    plain = people(spark)
+    edges, edge_rows = counted(plain.edges, "edge_id")
+    change = replay(Graph(plain.nodes, edges), change_ops(_mixed_log(spark)), NOW)
+    assert {r.edge_id: sorted(r.props) for r in change.delta.edge_upserts.collect()} == {10: ["seen", "since"], 11: ["seen"]}
+    assert edge_rows.value == 3 + 3      # the ids and ends of all, the rows that change
+
+
+def test_stored_memories_are_not_shuffled_to_meet_the_log(spark):
+    from mnemo.streaming.history import History
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        past = History(people(spark), _mixed_log(spark), NOW)
+        plan = past.still_nodes._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(r.memory_id for r in past.still_nodes.collect()) == [1, 3]
+        assert sorted((r.memory_id, r.f, r.t) for r in past.states.collect()) == [(2, -2, 0), (50, 2, 3)]
+        seeds = spark.createDataFrame([("x", 0, 3, 1), ("y", 9, 3, 2)], "req_key string, at bigint, memory_id bigint, depth int")
+        got = sorted((r.req_key, r.related_id, r.first_edge, r.distance) for r in past.expand(seeds).collect())
+        assert got == [("x", 1, 10, 1), ("x", 1, 11, 1), ("x", 2, 12, 1), ("y", 1, 10, 1), ("y", 1, 11, 1), ("y", 3, 10, 2), ("y", 3, 11, 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
